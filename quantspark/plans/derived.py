@@ -20,6 +20,7 @@ SQL: dict[str, str] = {
         ROUND(SUM(l_extendedprice)/SUM(l_quantity)+3e-10,6) AS close, SUM(l_quantity) AS volume
         FROM lineitem JOIN part ON p_partkey=l_partkey GROUP BY 1,2""",
     "px_monthly": """SELECT p_brand AS ticker, CAST(date_trunc('month',l_shipdate) AS DATE) AS d,
+        ROUND(SUM(l_extendedprice*(1-l_discount))/SUM(l_quantity)+3e-10,6) AS open,
         ROUND(SUM(l_extendedprice)/SUM(l_quantity)+3e-10,6) AS close, SUM(l_quantity) AS volume
         FROM lineitem JOIN part ON p_partkey=l_partkey GROUP BY 1,2""",
     "mkt_daily": """SELECT CAST(l_shipdate AS DATE) AS d, ROUND(SUM(l_extendedprice)/SUM(l_quantity)+3e-10,6) AS close
@@ -30,7 +31,7 @@ SQL: dict[str, str] = {
     "cal_monthly": "SELECT d, LAG(d) OVER (ORDER BY d) AS prev_d FROM (SELECT DISTINCT d FROM px_monthly)",
     "ret_daily": """SELECT b.ticker, b.d, b.open, b.close, b.volume, p.close AS prev_close, b.close/p.close-1 AS ret
         FROM px_daily b JOIN cal_daily c ON c.d=b.d LEFT JOIN px_daily p ON p.ticker=b.ticker AND p.d=c.prev_d""",
-    "ret_monthly": """SELECT b.ticker, b.d, b.close, p.close AS prev_close, b.close/p.close-1 AS ret
+    "ret_monthly": """SELECT b.ticker, b.d, b.open, b.close, p.close AS prev_close, b.close/p.close-1 AS ret
         FROM px_monthly b JOIN cal_monthly c ON c.d=b.d LEFT JOIN px_monthly p ON p.ticker=b.ticker AND p.d=c.prev_d""",
     "bars_hourly": """SELECT event_type AS ticker, date_trunc('hour',ts) AS ts, ROUND(AVG(value)+3e-10,6) AS close
         FROM events GROUP BY 1,2""",
@@ -53,7 +54,23 @@ SQL: dict[str, str] = {
         FROM lineitem JOIN part ON p_partkey=l_partkey""",
     "f13_sub": """SELECT o_orderkey AS accession, o_custkey%40 AS cik,
         last_day(CAST(CAST(date_trunc('quarter',o_orderdate) AS DATE) + INTERVAL '70' DAY AS DATE)) AS period,
-        CASE WHEN o_orderkey%11=0 THEN 1 ELSE 0 END AS late FROM orders""",
+        last_day(CAST(CAST(date_trunc('quarter',o_orderdate) AS DATE) + (CASE WHEN o_orderkey%11=0 THEN 252 ELSE 160 END) * INTERVAL '1' DAY AS DATE)) AS bucket_end
+        FROM orders""",
+    "f13": """SELECT i.*, s.cik, s.period, s.bucket_end FROM f13_info i LEFT JOIN f13_sub s ON s.accession=i.accession WHERE i.class='COM'""",
+    "f13_cusip": """WITH n AS (SELECT bucket_end, cusip, period, name, COUNT(*) AS n FROM f13 GROUP BY 1,2,3,4),
+          m AS (SELECT * FROM n QUALIFY ROW_NUMBER() OVER (PARTITION BY bucket_end, cusip, period ORDER BY n DESC, name)=1),
+          a AS (SELECT bucket_end, cusip, period, SUM(shares) AS total_shares, SUM(value) AS total_value, COUNT(DISTINCT accession) AS num_filers
+            FROM f13 WHERE period IS NOT NULL GROUP BY 1,2,3)
+        SELECT a.*, m.name FROM a JOIN m USING (bucket_end, cusip, period)""",
+    "f13_holder": """SELECT bucket_end, cusip, cik, period, SUM(shares) AS shares, SUM(value) AS value FROM f13 WHERE period IS NOT NULL GROUP BY 1,2,3,4""",
+    "holders": """SELECT concat('Brand#',CAST(1+s_suppkey%25 AS VARCHAR)) AS ticker, s_name AS holder,
+        CASE WHEN s_suppkey%2=0 THEN 'institution' ELSE 'fund' END AS holder_type, CAST(DATE '1998-01-01' + s_nationkey AS DATE) AS date_reported,
+        s_acctbal/1e6 AS pct_held, (s_acctbal-5000)/1e4 AS pct_change FROM supplier""",
+    "rec_trend": """SELECT concat('Brand#',CAST(1+o_custkey%25 AS VARCHAR)) AS ticker,
+        CASE o_orderstatus WHEN 'F' THEN '0m' WHEN 'O' THEN '-3m' ELSE '-1m' END AS period,
+        COUNT(*) FILTER (o_orderpriority='1-URGENT') AS strongBuy, COUNT(*) FILTER (o_orderpriority='2-HIGH') AS buy,
+        COUNT(*) FILTER (o_orderpriority='3-MEDIUM') AS hold, COUNT(*) FILTER (o_orderpriority='4-NOT SPECIFIED') AS sell,
+        COUNT(*) FILTER (o_orderpriority='5-LOW') AS strongSell FROM orders GROUP BY 1,2""",
     "f13_info": """SELECT l_orderkey AS accession, concat('C',CAST(l_partkey%50 AS VARCHAR)) AS cusip, upper(p_name) AS name,
         CASE WHEN l_linestatus='O' THEN 'COM' ELSE 'PUT' END AS class, l_extendedprice AS value, l_quantity AS shares
         FROM lineitem JOIN part ON p_partkey=l_partkey""",
@@ -66,6 +83,24 @@ SQL: dict[str, str] = {
         UNION ALL SELECT ticker, s, e, ROUND(v*1.01+3e-6,2), CAST(e + INTERVAL '410' DAY AS DATE), '10-Q' FROM p WHERE EXTRACT(month FROM s)<10
         UNION ALL SELECT ticker, s, last_day(CAST(s + INTERVAL '340' DAY AS DATE)), v, CAST(s + INTERVAL '425' DAY AS DATE), '10-K'
           FROM y WHERE n=4""",
+    "facts6": """WITH q AS (SELECT p_brand AS ticker, CAST(date_trunc('quarter',l_shipdate) AS DATE) AS s,
+          ROUND(SUM(l_extendedprice),2) AS revenue, ROUND(SUM(l_extendedprice*l_discount)+3e-6,2) AS net_income,
+          ROUND(SUM(l_tax*l_quantity)/1000+3e-10,6) AS eps_diluted, ROUND(SUM(l_quantity),2) AS shares_outstanding,
+          ROUND(SUM(l_extendedprice*l_tax)+3e-6,2) AS operating_income, ROUND(SUM(l_extendedprice*(l_discount+l_tax))+3e-6,2) AS operating_cash_flow
+          FROM lineitem JOIN part ON p_partkey=l_partkey GROUP BY 1,2),
+        u AS (UNPIVOT q ON revenue, net_income, eps_diluted, shares_outstanding, operating_income, operating_cash_flow INTO NAME concept VALUE v),
+        p AS (SELECT ticker, concept, s, last_day(CAST(s + INTERVAL '70' DAY AS DATE)) AS e, v FROM u),
+        y AS (SELECT ticker, concept, CAST(date_trunc('year',s) AS DATE) AS s, ROUND(SUM(v)+3e-10,6) AS v, COUNT(*) AS n FROM u GROUP BY 1,2,3)
+        SELECT ticker, concept, CASE WHEN concept<>'shares_outstanding' THEN s END AS start_d, e AS end_d, v AS val, CAST(e + INTERVAL '45' DAY AS DATE) AS filed, '10-Q' AS form
+          FROM p WHERE EXTRACT(month FROM s)<10 OR concept='shares_outstanding'
+        UNION ALL SELECT ticker, concept, s, last_day(CAST(s + INTERVAL '340' DAY AS DATE)), v, CAST(s + INTERVAL '425' DAY AS DATE), '10-K'
+          FROM y WHERE n=4 AND concept<>'shares_outstanding'""",
+    "stock_info": """SELECT p_brand AS ticker, ROUND(AVG(p_size)/50-0.5+3e-10,6) AS revenueGrowth, ROUND(AVG(p_retailprice)/2000+3e-10,6) AS earningsGrowth,
+        ROUND(AVG(p_retailprice)/100+3e-10,6) AS forwardPE, CASE WHEN COUNT(*)%3<>0 THEN ROUND(AVG(p_size)/10+3e-10,6) END AS pegRatio,
+        ROUND(MAX(p_retailprice)/300+3e-10,6) AS enterpriseToRevenue, ROUND(AVG(p_size)/100+3e-10,6) AS operatingMargins,
+        CASE WHEN COUNT(*)%5=0 THEN 0.0 ELSE CAST(SUM(p_size) AS DOUBLE) END AS operatingCashflow, ROUND(SUM(p_retailprice)/10+3e-10,6) AS totalRevenue,
+        CAST(COUNT(*) AS DOUBLE) AS averageVolume, CAST(MAX(p_size)*2 AS DOUBLE) AS volume, ROUND(AVG(p_retailprice)*1.1+3e-10,6) AS targetMeanPrice,
+        ROUND(MIN(p_retailprice)+3e-10,6) AS currentPrice, ROUND(AVG(p_size)/1000+3e-10,6) AS shortPercentOfFloat FROM part GROUP BY 1""",
     "trades": """WITH b AS (SELECT c_mktsegment AS portfolio, o_orderpriority AS ticker, o_orderstatus AS rule,
           CAST(o_orderdate AS DATE) AS d, o_orderkey AS k, CAST(1+o_orderkey%10 AS DOUBLE) AS shares, o_totalprice/1000 AS price
           FROM orders JOIN customer ON c_custkey=o_custkey)
@@ -137,12 +172,16 @@ def _close():
     return _six(F.sum("l_extendedprice") / F.sum("l_quantity"))
 
 
+def _open():
+    return _six(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / F.sum("l_quantity"))
+
+
 def px_daily(t) -> DataFrame:
     return (
         _lines(t)
         .groupBy(F.col("p_brand").alias("ticker"), F.to_date("l_shipdate").alias("d"))
         .agg(
-            _six(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / F.sum("l_quantity")).alias("open"),
+            _open().alias("open"),
             _close().alias("close"),
             F.sum("l_quantity").alias("volume"),
         )
@@ -151,7 +190,7 @@ def px_daily(t) -> DataFrame:
 
 def px_monthly(t) -> DataFrame:
     month = F.to_date(F.date_trunc("month", "l_shipdate"))
-    return _lines(t).groupBy(F.col("p_brand").alias("ticker"), month.alias("d")).agg(_close().alias("close"), F.sum("l_quantity").alias("volume"))
+    return _lines(t).groupBy(F.col("p_brand").alias("ticker"), month.alias("d")).agg(_open().alias("open"), _close().alias("close"), F.sum("l_quantity").alias("volume"))
 
 
 def mkt_daily(t) -> DataFrame:
@@ -238,7 +277,8 @@ def f13_sub(t) -> DataFrame:
         F.col("o_orderkey").alias("accession"),
         (F.col("o_custkey") % 40).alias("cik"),
         F.last_day(F.date_add(quarter, 70)).alias("period"),
-        F.when(F.col("o_orderkey") % 11 == 0, 1).otherwise(0).alias("late"),
+        # Every 11th filing arrives one bucket late.
+        F.last_day(F.date_add(quarter, F.when(F.col("o_orderkey") % 11 == 0, 252).otherwise(160))).alias("bucket_end"),
     )
 
 
@@ -258,6 +298,27 @@ def f13_info(t) -> DataFrame:
     )
 
 
+def holders(t) -> DataFrame:
+    return t.read("supplier").select(
+        F.concat(F.lit("Brand#"), (1 + F.col("s_suppkey") % 25).cast("string")).alias("ticker"),
+        F.col("s_name").alias("holder"),
+        F.when(F.col("s_suppkey") % 2 == 0, "institution").otherwise("fund").alias("holder_type"),
+        F.date_add(F.lit("1998-01-01").cast("date"), F.col("s_nationkey")).alias("date_reported"),
+        (F.col("s_acctbal") / 1e6).alias("pct_held"),
+        ((F.col("s_acctbal") - 5000) / 1e4).alias("pct_change"),
+    )
+
+
+def rec_trend(t) -> DataFrame:
+    named = {"strongBuy": "1-URGENT", "buy": "2-HIGH", "hold": "3-MEDIUM", "sell": "4-NOT SPECIFIED", "strongSell": "5-LOW"}
+    period = F.when(F.col("o_orderstatus") == "F", "0m").when(F.col("o_orderstatus") == "O", "-3m").otherwise("-1m")
+    ticker = F.concat(F.lit("Brand#"), (1 + F.col("o_custkey") % 25).cast("string"))
+    return (
+        t.read("orders").groupBy(ticker.alias("ticker"), period.alias("period"))
+        .agg(*[F.count_if(F.col("o_orderpriority") == p).alias(c) for c, p in named.items()])
+    )
+
+
 def facts(t) -> DataFrame:
     quarters = (
         _lines(t)
@@ -277,6 +338,48 @@ def facts(t) -> DataFrame:
     return first.select(shape).unionByName(again.select(shape)).unionByName(annual.select(shape))
 
 
+def facts6(t) -> DataFrame:
+    """Six concepts per brand: three quarters and a year filed for flows, every quarter for share counts."""
+    ext, disc, tax, qty = (F.col(f"l_{c}") for c in ("extendedprice", "discount", "tax", "quantity"))
+    cents = lambda v: F.round(F.sum(v) + F.lit(3e-6), 2)
+    quarters = _lines(t).groupBy(F.col("p_brand").alias("ticker"), F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("s")).agg(
+        F.round(F.sum(ext), 2).alias("revenue"),
+        cents(ext * disc).alias("net_income"),
+        _six(F.sum(tax * qty) / 1000).alias("eps_diluted"),
+        F.round(F.sum(qty), 2).alias("shares_outstanding"),
+        cents(ext * tax).alias("operating_income"),
+        cents(ext * (disc + tax)).alias("operating_cash_flow"),
+    )
+    concepts = [c for c in quarters.columns if c not in ("ticker", "s")]
+    long = quarters.unpivot(["ticker", "s"], concepts, "concept", "v")
+    instant = F.col("concept") == "shares_outstanding"
+    periods = long.filter((F.month("s") < 10) | instant).withColumn("e", F.last_day(F.date_add("s", 70)))
+    years = (
+        long.filter(~instant)
+        .groupBy("ticker", "concept", F.to_date(F.date_trunc("year", "s")).alias("s"))
+        .agg(_six(F.sum("v")).alias("v"), F.count("*").alias("n"))
+        .filter("n = 4")
+    )
+    filed = periods.select("ticker", "concept", F.when(~instant, F.col("s")).alias("start_d"), F.col("e").alias("end_d"), F.col("v").alias("val"), F.date_add("e", 45).alias("filed"), F.lit("10-Q").alias("form"))
+    annual = years.select("ticker", "concept", F.col("s").alias("start_d"), F.last_day(F.date_add("s", 340)).alias("end_d"), F.col("v").alias("val"), F.date_add("s", 425).alias("filed"), F.lit("10-K").alias("form"))
+    return filed.unionByName(annual)
+
+
+def stock_info(t) -> DataFrame:
+    """One map of text fields per brand, with zero and missing fields."""
+    n, size, price = F.count("*"), F.col("p_size"), F.col("p_retailprice")
+    fields = {
+        "revenueGrowth": _six(F.avg(size) / 50 - 0.5), "earningsGrowth": _six(F.avg(price) / 2000), "forwardPE": _six(F.avg(price) / 100),
+        "pegRatio": F.when(n % 3 != 0, _six(F.avg(size) / 10)), "enterpriseToRevenue": _six(F.max(price) / 300),
+        "operatingMargins": _six(F.avg(size) / 100), "operatingCashflow": F.when(n % 5 == 0, 0.0).otherwise(F.sum(size).cast("double")),
+        "totalRevenue": _six(F.sum(price) / 10), "averageVolume": n.cast("double"), "volume": (F.max(size) * 2).cast("double"),
+        "targetMeanPrice": _six(F.avg(price) * 1.1), "currentPrice": _six(F.min(price)), "shortPercentOfFloat": _six(F.avg(size) / 1000),
+    }
+    rows = t.read("part").groupBy(F.col("p_brand").alias("ticker")).agg(*[v.alias(k) for k, v in fields.items()])
+    pairs = [x for k in fields for x in (F.lit(k), F.col(k).cast("string"))]
+    return rows.select("ticker", F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()).alias("info"))
+
+
 def trades(t) -> DataFrame:
     customer = t.read("customer").select("c_custkey", "c_mktsegment")
     buys = (
