@@ -106,6 +106,23 @@ SQL: dict[str, str] = {
           FROM orders JOIN customer ON c_custkey=o_custkey)
         SELECT portfolio, ticker, rule, d, 'BUY' AS action, shares, price, k*2 AS seq FROM b
         UNION ALL SELECT portfolio, ticker, rule, CAST(d + INTERVAL '30' DAY AS DATE), 'SELL', shares, price*1.02, k*2+1 FROM b WHERE k%3=0""",
+    "trade_px": """SELECT o_orderpriority AS ticker, CAST(o_orderdate AS DATE) AS d, ROUND(SUM(o_totalprice)/COUNT(*)/1000+3e-10,6) AS close
+        FROM orders WHERE isodow(o_orderdate)<=4 GROUP BY 1,2""",
+    "portfolios": """SELECT c_mktsegment AS portfolio, ROUND(SUM(c_acctbal),2) AS initial_cash, DATE '1996-01-01' AS created FROM customer GROUP BY 1""",
+    "rule_held": """SELECT c_mktsegment AS portfolio, o_orderstatus AS rule, concat('Brand#',CAST(1+o_custkey%25 AS VARCHAR)) AS ticker,
+        CAST(COUNT(*) AS DOUBLE) AS shares, ROUND(AVG(o_totalprice)/1000+3e-10,6) AS avg_cost, CAST(MAX(o_orderdate) AS DATE) AS entry_date
+        FROM orders JOIN customer ON c_custkey=o_custkey GROUP BY 1,2,3 HAVING COUNT(*)%4=0""",
+    "rule_candidates": """SELECT o_orderstatus AS rule, concat('Brand#',CAST(1+o_custkey%25 AS VARCHAR)) AS ticker, ROUND(AVG(o_totalprice)/1000+3e-10,6) AS score
+        FROM orders GROUP BY 1,2 HAVING COUNT(*)%3<>0""",
+    "thesis_now": """SELECT p_brand AS ticker, CASE WHEN COUNT(*)%4=0 THEN 'short' ELSE 'long' END AS direction,
+        ROUND(AVG(p_retailprice)/2000+(COUNT(*)%7)/14.0+3e-10,6) AS confidence, CAST(7+(COUNT(*)*13)%700 AS INT) AS expected_horizon_days FROM part GROUP BY 1""",
+    "thesis_held": """SELECT c_mktsegment AS portfolio, concat('Brand#',CAST(1+o_custkey%25 AS VARCHAR)) AS ticker, CAST(COUNT(*) AS DOUBLE) AS shares,
+        ROUND(AVG(o_totalprice)/1000+3e-10,6) AS avg_cost FROM orders JOIN customer ON c_custkey=o_custkey WHERE o_orderstatus='P' GROUP BY 1,2 HAVING COUNT(*)%3=0""",
+    "position_events": """SELECT 'created' AS event, CAST(o_orderkey AS VARCHAR) AS id, c_mktsegment AS portfolio, concat('Brand#',CAST(1+o_custkey%25 AS VARCHAR)) AS ticker,
+          CAST(o_orderdate AS DATE) AS created, CAST(30+o_orderkey%300 AS INT) AS expected_horizon_days, NULL::DATE AS closed_date, NULL::DOUBLE AS actual_return_pct, o_orderkey*2 AS seq
+          FROM orders JOIN customer ON c_custkey=o_custkey
+        UNION ALL SELECT 'closed', CAST(CASE WHEN o_orderkey%15=0 THEN -o_orderkey-1 ELSE o_orderkey END AS VARCHAR), NULL, NULL, NULL, NULL, CAST(o_orderdate + INTERVAL '40' DAY AS DATE), o_totalprice/1e5, o_orderkey*2+1
+          FROM orders WHERE o_orderkey%3=0""",
     "articles": """SELECT concat('http://a/',CAST(doc_id AS VARCHAR)) AS link, source, substr(text,1,60) AS title, text,
         CASE WHEN doc_id%50<>0 THEN CAST(DATE '2024-01-01' + CAST(doc_id%200 AS INT) AS DATE) END AS published, doc_id FROM documents""",
     "headlines": r"""SELECT page_id AS ord, regexp_extract(url,'https?://([^/]+)',1) AS domain,
@@ -406,6 +423,76 @@ def trades(t) -> DataFrame:
     )
 
 
+def trade_px(t) -> DataFrame:
+    """Quotes on Monday to Thursday only, so prices must carry forward."""
+    return (
+        t.read("orders").filter(F.weekday("o_orderdate") < 4)
+        .groupBy(F.col("o_orderpriority").alias("ticker"), F.to_date("o_orderdate").alias("d"))
+        .agg(_six(F.sum("o_totalprice") / F.count("*") / 1000).alias("close"))
+    )
+
+
+def portfolios(t) -> DataFrame:
+    return t.read("customer").groupBy(F.col("c_mktsegment").alias("portfolio")).agg(F.round(F.sum("c_acctbal"), 2).alias("initial_cash")).withColumn(
+        "created", F.lit("1996-01-01").cast("date")
+    )
+
+
+def _brand_of_customer():
+    return F.concat(F.lit("Brand#"), (1 + F.col("o_custkey") % 25).cast("string"))
+
+
+def _customer_orders(t) -> DataFrame:
+    customer = t.read("customer").select("c_custkey", F.col("c_mktsegment").alias("portfolio"))
+    return t.read("orders").join(customer, F.col("c_custkey") == F.col("o_custkey")).withColumn("ticker", _brand_of_customer())
+
+
+def rule_held(t) -> DataFrame:
+    return (
+        _customer_orders(t).groupBy("portfolio", F.col("o_orderstatus").alias("rule"), "ticker")
+        .agg(F.count("*").cast("double").alias("shares"), _six(F.avg("o_totalprice") / 1000).alias("avg_cost"), F.to_date(F.max("o_orderdate")).alias("entry_date"))
+        .filter("shares % 4 = 0")
+    )
+
+
+def rule_candidates(t) -> DataFrame:
+    return (
+        t.read("orders").groupBy(F.col("o_orderstatus").alias("rule"), _brand_of_customer().alias("ticker"))
+        .agg(_six(F.avg("o_totalprice") / 1000).alias("score"), F.count("*").alias("_n")).filter("_n % 3 <> 0").drop("_n")
+    )
+
+
+def thesis_now(t) -> DataFrame:
+    n = F.count("*")
+    return t.read("part").groupBy(F.col("p_brand").alias("ticker")).agg(
+        F.when(n % 4 == 0, "short").otherwise("long").alias("direction"),
+        _six(F.avg("p_retailprice") / 2000 + (n % 7) / 14.0).alias("confidence"),
+        (7 + (n * 13) % 700).cast("int").alias("expected_horizon_days"),
+    )
+
+
+def thesis_held(t) -> DataFrame:
+    return (
+        _customer_orders(t).filter("o_orderstatus = 'P'").groupBy("portfolio", "ticker")
+        .agg(F.count("*").cast("double").alias("shares"), _six(F.avg("o_totalprice") / 1000).alias("avg_cost")).filter("shares % 3 = 0")
+    )
+
+
+def position_events(t) -> DataFrame:
+    """A creation per order, a close for every third key; some closes have no creation."""
+    rows, k = _customer_orders(t), F.col("o_orderkey")
+    created = rows.select(
+        F.lit("created").alias("event"), k.cast("string").alias("id"), "portfolio", "ticker", F.to_date("o_orderdate").alias("created"),
+        F.lit(0.7).alias("entry_confidence"), (30 + k % 300).cast("int").alias("expected_horizon_days"), F.lit("loop").alias("rule"), (k * 2).alias("seq"),
+    )
+    closed = rows.filter(k % 3 == 0).select(
+        F.lit("closed").alias("event"), F.when(k % 15 == 0, -k - 1).otherwise(k).cast("string").alias("id"),
+        F.to_date(F.date_add("o_orderdate", 40)).alias("closed_date"), (F.col("o_totalprice") / 1e5).alias("actual_return_pct"),
+        F.lit("horizon").alias("close_reason"), (k * 2 + 1).alias("seq"),
+    )
+    return created.unionByName(closed, allowMissingColumns=True)
+
+
 def articles(t) -> DataFrame:
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 200).cast("int"))
     return t.read("documents").select(

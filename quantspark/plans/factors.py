@@ -31,7 +31,7 @@ _TABLE = f"""WITH {_TECH_TAIL},
       FROM (SELECT *, nullif(volume,0) AS volume_ FROM stock_info) s LEFT JOIN lt ON lt.ticker=s.ticker LEFT JOIN rt ON rt.ticker=s.ticker LEFT JOIN nu ON nu.ticker=s.ticker
       LEFT JOIN hf ON hf.ticker=s.ticker LEFT JOIN nf ON nf.ticker=s.ticker)"""
 
-_RANKS = _TABLE + f""", lf AS (UNPIVOT INCLUDE NULLS ft ON {', '.join(rk.FACTORS)} INTO NAME factor VALUE value),
+_RANKS = _TABLE + f""", lf AS (SELECT ticker, factor, value FROM ft UNPIVOT INCLUDE NULLS (value FOR factor IN ({", ".join(rk.FACTORS)}))),
     lo AS (SELECT *, CASE WHEN factor IN ('forward_pe','peg_ratio','ev_to_revenue') THEN -value ELSE value END AS o FROM lf),
     pr AS (SELECT a.ticker, a.factor, a.value, CASE WHEN a.o IS NOT NULL THEN ((SELECT COUNT(*) FROM lo b WHERE b.factor=a.factor AND b.o<a.o)
        + ((SELECT COUNT(*) FROM lo b WHERE b.factor=a.factor AND b.o=a.o)+1)/2.0) / (SELECT COUNT(o) FROM lo b WHERE b.factor=a.factor)*100 END AS pct FROM lo a)"""
