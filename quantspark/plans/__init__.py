@@ -1,4 +1,4 @@
 """Registered queries. Importing this package fills the registry."""
 
-from quantspark.plans import factors, filings, ledger, prices, studies  # noqa: F401
+from quantspark.plans import boards, factors, filings, ledger, prices, research, studies  # noqa: F401
 from quantspark.plans.base import REGISTRY  # noqa: F401

@@ -123,7 +123,11 @@ SQL: dict[str, str] = {
           FROM orders JOIN customer ON c_custkey=o_custkey
         UNION ALL SELECT 'closed', CAST(CASE WHEN o_orderkey%15=0 THEN -o_orderkey-1 ELSE o_orderkey END AS VARCHAR), NULL, NULL, NULL, NULL, CAST(o_orderdate + INTERVAL '40' DAY AS DATE), o_totalprice/1e5, o_orderkey*2+1
           FROM orders WHERE o_orderkey%3=0""",
-    "articles": """SELECT concat('http://a/',CAST(doc_id AS VARCHAR)) AS link, source, substr(text,1,60) AS title, text,
+    "thesis_log": """SELECT concat('Brand#',CAST(1+o_custkey%25 AS VARCHAR)) AS ticker, CASE WHEN o_orderkey%4=0 THEN 'critic' ELSE 'aggregated' END AS event,
+        CAST(o_orderdate AS DATE) AS date, o_orderkey AS seq, ROUND(o_totalprice/600000+3e-10,6) AS confidence, CAST(o_custkey%50 AS INT) AS claims_considered FROM orders""",
+    "narratives": """SELECT event_type AS series_key, CASE WHEN event_id%10=0 THEN 'month' WHEN event_id%3=0 THEN NULL ELSE 'week' END AS period,
+        CAST(ts AS DATE) AS date, event_id AS seq, value FROM events""",
+    "articles": """SELECT concat('http://a/',CAST(doc_id AS VARCHAR)) AS link, source, split_part(text, chr(10), 1) AS title, text,
         CASE WHEN doc_id%50<>0 THEN CAST(DATE '2024-01-01' + CAST(doc_id%200 AS INT) AS DATE) END AS published, doc_id FROM documents""",
     "headlines": r"""SELECT page_id AS ord, regexp_extract(url,'https?://([^/]+)',1) AS domain,
         regexp_extract(html,'<title>([^<]*)</title>',1) AS title FROM pages""",
@@ -132,9 +136,9 @@ SQL: dict[str, str] = {
     # Model responses: valid JSON, broken JSON (every 7th) and JSON inside prose (every 11th).
     "responses": r"""SELECT concat('http://a/',CAST(d.doc_id AS VARCHAR)) AS link, concat('T',CAST(d.doc_id%30 AS VARCHAR)) AS ticker,
         d.source AS source, CAST(DATE '2024-01-01' + CAST(d.doc_id%200 AS INT) AS DATE) AS as_of, d.doc_id AS doc_id,
-        CASE WHEN d.doc_id%7=0 THEN concat('{"claims": [', substr(regexp_replace(d.text,'[^A-Za-z ]','','g'),1,20))
+        CASE WHEN d.doc_id%7=0 THEN concat('{"claims": [', md5(d.text))
         ELSE concat(CASE WHEN d.doc_id%11=0 THEN 'Here is the answer: ' ELSE '' END,
-          '{"event": "', substr(regexp_replace(d.text,'[^A-Za-z ]','','g'),1,40),
+          '{"event": "', md5(d.text),
           '", "companies": ["T', CAST(d.doc_id%30 AS VARCHAR), '", "ZZ", "T', CAST(d.doc_id%13 AS VARCHAR),
           '"], "event_type": "', CASE WHEN d.doc_id%5=0 THEN 'rumour' ELSE 'earnings' END,
           '", "importance": ', CASE WHEN d.doc_id%17=0 THEN '"many"' ELSE CAST(2*l.quality + d.doc_id%12 AS VARCHAR) END,
@@ -493,12 +497,30 @@ def position_events(t) -> DataFrame:
     return created.unionByName(closed, allowMissingColumns=True)
 
 
+def thesis_log(t) -> DataFrame:
+    k = F.col("o_orderkey")
+    return t.read("orders").select(
+        _brand_of_customer().alias("ticker"), F.when(k % 4 == 0, "critic").otherwise("aggregated").alias("event"),
+        F.to_date("o_orderdate").alias("date"), k.alias("seq"), _six(F.col("o_totalprice") / 600000).alias("confidence"),
+        (F.col("o_custkey") % 50).cast("int").alias("claims_considered"),
+    )
+
+
+def narratives(t) -> DataFrame:
+    """A log of refreshes; entries without a period count as weekly."""
+    k = F.col("event_id")
+    return t.read("events").select(
+        F.col("event_type").alias("series_key"), F.when(k % 10 == 0, "month").when(k % 3 == 0, None).otherwise("week").alias("period"),
+        F.to_date("ts").alias("date"), k.alias("seq"), "value",
+    )
+
+
 def articles(t) -> DataFrame:
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 200).cast("int"))
     return t.read("documents").select(
         F.concat(F.lit("http://a/"), F.col("doc_id").cast("string")).alias("link"),
         "source",
-        F.substring("text", 1, 60).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         "text",
         F.when(F.col("doc_id") % 50 != 0, day).alias("published"),
         "doc_id",
@@ -534,11 +556,10 @@ def responses(t) -> DataFrame:
     labels = t.read("labels").select("doc_id", "quality", "toxic")
     k = F.col("doc_id")
     num = lambda c: c.cast("string")
-    words = F.regexp_replace("text", "[^A-Za-z ]", "")
     pick = lambda cond, a, b: F.when(cond, F.lit(a)).otherwise(F.lit(b))
     raw = F.concat(
         pick(k % 11 == 0, "Here is the answer: ", ""),
-        F.lit('{"event": "'), F.substring(words, 1, 40),
+        F.lit('{"event": "'), F.md5("text"),
         F.lit('", "companies": ["T'), num(k % 30), F.lit('", "ZZ", "T'), num(k % 13),
         F.lit('"], "event_type": "'), pick(k % 5 == 0, "rumour", "earnings"),
         F.lit('", "importance": '), F.when(k % 17 == 0, F.lit('"many"')).otherwise(num(2 * F.col("quality") + k % 12)),
@@ -559,5 +580,5 @@ def responses(t) -> DataFrame:
         "source",
         F.date_add(F.lit("2024-01-01").cast("date"), (k % 200).cast("int")).alias("as_of"),
         "doc_id",
-        F.when(k % 7 == 0, F.concat(F.lit('{"claims": ['), F.substring(words, 1, 20))).otherwise(raw).alias("raw"),
+        F.when(k % 7 == 0, F.concat(F.lit('{"claims": ['), F.md5("text"))).otherwise(raw).alias("raw"),
     )

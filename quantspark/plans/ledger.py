@@ -153,13 +153,13 @@ def dip_candidates(t):
 
 @query("streak_candidates", "H14 X7", "ticker s,score f",
        """WITH k AS (SELECT * FROM earnings QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY earnings_date DESC)<=8),
-       nx AS (SELECT ticker, MIN(earnings_date) AS nd FROM k WHERE earnings_date>DATE '2000-07-28' GROUP BY 1),
+       nx AS (SELECT ticker, MIN(earnings_date) AS nd FROM k WHERE earnings_date>DATE '2001-07-27' GROUP BY 1),
        pr AS (SELECT k.ticker, k.surprise_pct, nx.nd, ROW_NUMBER() OVER (PARTITION BY k.ticker ORDER BY earnings_date DESC) AS r FROM k JOIN nx ON nx.ticker=k.ticker WHERE k.earnings_date<nx.nd AND k.reported_eps IS NOT NULL),
        tw AS (SELECT ticker, MAX(nd) AS nd, COUNT(surprise_pct) AS c, MIN(surprise_pct) AS lo, MAX(surprise_pct) AS hi, AVG(surprise_pct) AS av FROM pr WHERE r<=2 GROUP BY 1)
        SELECT ticker, greatest(1-ABS(av-0)/60.0, 0.01) AS score FROM tw WHERE c=2 AND lo>=-60 AND hi<=60
-         AND (SELECT COUNT(*) FROM generate_series(DATE '2000-07-29', CAST(nd - INTERVAL 1 DAY AS DATE), INTERVAL 1 DAY) g(x) WHERE isodow(x)<=5)=0""")
+         AND (SELECT COUNT(*) FROM generate_series(DATE '2001-07-28', CAST(nd - INTERVAL 1 DAY AS DATE), INTERVAL 1 DAY) g(x) WHERE isodow(x)<=5)=0""")
 def streak_candidates(t):
-    return ru.streak_candidates(dv.earnings(t), "2000-07-28", -60.0, 60.0)
+    return ru.streak_candidates(dv.earnings(t), "2001-07-27", -60.0, 60.0)
 
 
 @query("position_state", "J20 S22", "id s,portfolio s,ticker s,created d,status s,closed_date d,actual_return_pct f",
