@@ -14,17 +14,17 @@ def join_filings(info: DataFrame, submissions: DataFrame) -> DataFrame:
 def cusip_aggregate(lines: DataFrame) -> DataFrame:
     """Per (bucket, cusip, period): usual name, shares, value and distinct filings.
 
-    A first aggregation by filing and name shrinks hot issues before the
-    counts; the modal name is the most frequent one, ties by spelling.
+    Filings combine before they are counted and names before they are
+    compared, so a hot issue shrinks on the map side. The usual name is the
+    most frequent one, ties by spelling.
     """
     keys = ["bucket_end", "cusip", "period"]
-    small = lines.filter("period is not null").groupBy(*keys, "accession", "name").agg(
-        F.count("*").alias("n"), F.sum("shares").alias("shares"), F.sum("value").alias("value")
+    known = lines.filter("period is not null")
+    per_filing = known.groupBy(*keys, "accession").agg(F.sum("shares").alias("shares"), F.sum("value").alias("value"))
+    totals = per_filing.groupBy(*keys).agg(
+        F.sum("shares").alias("total_shares"), F.sum("value").alias("total_value"), F.count("*").alias("num_filers")
     )
-    totals = small.groupBy(*keys).agg(
-        F.sum("shares").alias("total_shares"), F.sum("value").alias("total_value"), F.count_distinct("accession").alias("num_filers")
-    )
-    names = small.filter("name is not null").groupBy(*keys, "name").agg(F.sum("n").alias("n"))
+    names = known.filter("name is not null").groupBy(*keys, "name").agg(F.count("*").alias("n"))
     usual = names.groupBy(*keys).agg(F.min_by("name", F.struct(-F.col("n"), F.col("name"))).alias("name"))
     return totals.join(usual, keys, "left").withColumn("name", F.coalesce("name", F.lit("")))
 

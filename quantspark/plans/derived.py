@@ -189,37 +189,41 @@ def _six(value):
     return F.round(value + F.lit(3e-10), 6)
 
 
-def _close():
-    return _six(F.sum("l_extendedprice") / F.sum("l_quantity"))
+def _sums(t, unit: str) -> DataFrame:
+    """Partial sums per brand and day (or month): the one pass over line items that
+    prices, the market, earnings and company facts are all derived from."""
+    ext, disc, tax, qty = (F.col(f"l_{c}") for c in ("extendedprice", "discount", "tax", "quantity"))
+    day = F.to_date("l_shipdate") if unit == "day" else F.to_date(F.date_trunc(unit, "l_shipdate"))
+    return _lines(t).groupBy(F.col("p_brand").alias("ticker"), day.alias("d")).agg(
+        F.sum(ext).alias("s_ext"), F.sum(ext * (1 - disc)).alias("s_net"), F.sum(qty).alias("s_qty"),
+        F.sum(ext * disc).alias("s_disc"), F.sum(tax * qty).alias("s_tax_qty"), F.sum(ext * tax).alias("s_tax"),
+    )
 
 
-def _open():
-    return _six(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / F.sum("l_quantity"))
+def daily_sums(t) -> DataFrame:
+    return _sums(t, "day")
 
 
-def px_daily(t) -> DataFrame:
-    return (
-        _lines(t)
-        .groupBy(F.col("p_brand").alias("ticker"), F.to_date("l_shipdate").alias("d"))
-        .agg(
-            _open().alias("open"),
-            _close().alias("close"),
-            F.sum("l_quantity").alias("volume"),
-        )
+def monthly_sums(t) -> DataFrame:
+    return _sums(t, "month")
+
+
+def prices_from(sums: DataFrame) -> DataFrame:
+    return sums.select(
+        "ticker", "d", _six(F.col("s_net") / F.col("s_qty")).alias("open"), _six(F.col("s_ext") / F.col("s_qty")).alias("close"), F.col("s_qty").alias("volume")
     )
 
 
-def px_monthly(t) -> DataFrame:
-    month = F.to_date(F.date_trunc("month", "l_shipdate"))
-    return _lines(t).groupBy(F.col("p_brand").alias("ticker"), month.alias("d")).agg(_open().alias("open"), _close().alias("close"), F.sum("l_quantity").alias("volume"))
+def market_from(sums: DataFrame) -> DataFrame:
+    return sums.groupBy("d").agg(_six(F.sum("s_ext") / F.sum("s_qty")).alias("close"))
 
 
-def mkt_daily(t) -> DataFrame:
-    return t.read("lineitem").groupBy(F.to_date("l_shipdate").alias("d")).agg(_close().alias("close"))
+def px_daily(t) -> DataFrame:
+    return prices_from(daily_sums(t))
 
 
-def mkt_monthly(t) -> DataFrame:
-    return t.read("lineitem").groupBy(F.to_date(F.date_trunc("month", "l_shipdate")).alias("d")).agg(_close().alias("close"))
+def px_monthly(t) -> DataFrame:
+    return prices_from(monthly_sums(t))
 
 
 def bars_hourly(t) -> DataFrame:
@@ -230,11 +234,9 @@ def bars_hourly(t) -> DataFrame:
     )
 
 
-def earnings(t) -> DataFrame:
-    quarters = (
-        _lines(t)
-        .groupBy(F.col("p_brand").alias("ticker"), F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("qs"))
-        .agg(_six(F.sum("l_extendedprice") / F.sum("l_quantity") / 100).alias("v"))
+def earnings_from(sums: DataFrame) -> DataFrame:
+    quarters = sums.groupBy("ticker", F.to_date(F.date_trunc("quarter", "d")).alias("qs")).agg(
+        _six(F.sum("s_ext") / F.sum("s_qty") / 100).alias("v")
     )
     by_quarter = Window.partitionBy("ticker").orderBy("qs")
     done = F.col("qs") < F.col("mq")
@@ -251,6 +253,10 @@ def earnings(t) -> DataFrame:
     )
 
 
+def earnings(t) -> DataFrame:
+    return earnings_from(_sums(t, "quarter"))
+
+
 def analyst(t) -> DataFrame:
     action = (
         F.when(F.col("o_orderpriority") == "1-URGENT", "up")
@@ -341,11 +347,7 @@ def rec_trend(t) -> DataFrame:
 
 
 def facts(t) -> DataFrame:
-    quarters = (
-        _lines(t)
-        .groupBy(F.col("p_brand").alias("ticker"), F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("s"))
-        .agg(F.round(F.sum("l_extendedprice"), 2).alias("v"))
-    )
+    quarters = _sums(t, "quarter").select("ticker", F.col("d").alias("s"), F.round("s_ext", 2).alias("v"))
     periods = quarters.withColumn("e", F.last_day(F.date_add("s", 70))).filter(F.month("s") < 10)
     years = (
         quarters.groupBy("ticker", F.to_date(F.date_trunc("year", "s")).alias("s"))
@@ -359,17 +361,17 @@ def facts(t) -> DataFrame:
     return first.select(shape).unionByName(again.select(shape)).unionByName(annual.select(shape))
 
 
-def facts6(t) -> DataFrame:
+def facts6_from(sums: DataFrame) -> DataFrame:
     """Six concepts per brand: three quarters and a year filed for flows, every quarter for share counts."""
-    ext, disc, tax, qty = (F.col(f"l_{c}") for c in ("extendedprice", "discount", "tax", "quantity"))
-    cents = lambda v: F.round(F.sum(v) + F.lit(3e-6), 2)
-    quarters = _lines(t).groupBy(F.col("p_brand").alias("ticker"), F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("s")).agg(
-        F.round(F.sum(ext), 2).alias("revenue"),
-        cents(ext * disc).alias("net_income"),
-        _six(F.sum(tax * qty) / 1000).alias("eps_diluted"),
-        F.round(F.sum(qty), 2).alias("shares_outstanding"),
-        cents(ext * tax).alias("operating_income"),
-        cents(ext * (disc + tax)).alias("operating_cash_flow"),
+    cents = lambda v: F.round(v + F.lit(3e-6), 2)
+    total = {c: F.sum(c) for c in ("s_ext", "s_disc", "s_tax_qty", "s_qty", "s_tax")}
+    quarters = sums.groupBy("ticker", F.to_date(F.date_trunc("quarter", "d")).alias("s")).agg(
+        F.round(total["s_ext"], 2).alias("revenue"),
+        cents(total["s_disc"]).alias("net_income"),
+        _six(total["s_tax_qty"] / 1000).alias("eps_diluted"),
+        F.round(total["s_qty"], 2).alias("shares_outstanding"),
+        cents(total["s_tax"]).alias("operating_income"),
+        cents(total["s_disc"] + total["s_tax"]).alias("operating_cash_flow"),
     )
     concepts = [c for c in quarters.columns if c not in ("ticker", "s")]
     long = quarters.unpivot(["ticker", "s"], concepts, "concept", "v")

@@ -43,7 +43,7 @@ _CATS = _RANKS + ", sc AS (SELECT ticker, " + ", ".join(
 
 def _table(t):
     return rk.factor_table(
-        dv.stock_info(t), dv.rec_trend(t), dv.analyst(t), dv.insider(t), dv.holders(t), stage(dv.px_daily(t)), dv.mkt_daily(t), TODAY
+        dv.stock_info(t), dv.rec_trend(t), dv.analyst(t), dv.insider(t), dv.holders(t), *px.bars_and_market(t), TODAY
     ).withColumn("insider_flow", F.round("insider_flow", 2))
 
 
@@ -91,10 +91,10 @@ BRAND_COMPANIES = {f"Brand#{i + 1}": w for i, w in enumerate(["Ring Works", "Bol
 
 
 def _panel(t):
-    bars = stage(dv.px_daily(t))
+    sums = stage(dv.daily_sums(t))
     return pn.build_panel(
-        stage(grid(t)), fa.fact_history(stage(dv.facts6(t))), bars, stage(dv.mkt_daily(t)), dv.analyst(t), dv.insider(t), stage(dv.splits(t)),
-        stage(_flow(t, BRAND_COMPANIES)),
+        stage(grid(t)), fa.fact_history(stage(dv.facts6_from(sums))), dv.prices_from(sums), stage(dv.market_from(sums)),
+        dv.analyst(t), dv.insider(t), stage(dv.splits(t)), _flow(t, BRAND_COMPANIES),
     )
 
 
@@ -155,9 +155,8 @@ _FORWARD = f"""WITH {_GRID}, cd AS (SELECT DISTINCT d FROM px_daily UNION SELECT
 
 
 def _forward(t):
-    bars = stage(dv.px_daily(t))
-    days = bars.select("d").unionByName(dv.mkt_daily(t).select("d")).distinct()
-    return pn.forward_return(grid(t), bars, stage(days))
+    bars, market = px.bars_and_market(t)
+    return pn.forward_return(grid(t), bars, bars.select("d").unionByName(market.select("d")).distinct())
 
 
 @query("forward_return", "P13", "ticker s,date d,forward_return f4", _FORWARD + " SELECT * FROM fr")
@@ -181,7 +180,7 @@ def rank_ic(t):
     from quantspark.operators.asof import asof
     from quantspark.operators.timeseries import momentum
 
-    bars, market = stage(dv.px_daily(t)), stage(dv.mkt_daily(t))
+    bars, market = px.bars_and_market(t)
     scores = asof(grid(t), momentum(bars, market, 84), ["ticker"], "date", "d", {"momentum": "score"})
     days = bars.select("d").unionByName(market.select("d")).distinct()
     return ltr.rank_ic(scores.join(pn.forward_return(grid(t), bars, days), ["ticker", "date"]))

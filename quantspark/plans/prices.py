@@ -25,8 +25,14 @@ DIP_SQL = (
 )
 
 
+def bars_and_market(t):
+    """Daily bars and the market from one staged pass over the line items."""
+    sums = stage(dv.daily_sums(t))
+    return dv.prices_from(sums), dv.market_from(sums)
+
+
 def _dip_trades(t):
-    return ev.dip_trades(stage(dv.px_daily(t)), dv.mkt_daily(t), DROP, HOLD, COST)
+    return ev.dip_trades(*bars_and_market(t), DROP, HOLD, COST)
 
 
 @query(
@@ -107,7 +113,7 @@ _TECH = """WITH w AS (SELECT ticker, d, close, volume,
     _TECH + " SELECT * FROM tech",
 )
 def technicals(t):
-    return ts.technicals(stage(dv.px_daily(t)), dv.mkt_daily(t))
+    return ts.technicals(*bars_and_market(t))
 
 
 @query(
@@ -145,8 +151,9 @@ def recent_dips(t):
 def signal_bundle(t):
     from pyspark.sql import functions as F
 
-    known = dv.earnings(t).filter(F.col("earnings_date") <= F.lit("2000-08-05").cast("date"))
-    return ts.signal_bundle(dv.px_daily(t), known, "2000-08-05")
+    sums = stage(dv.daily_sums(t))
+    known = dv.earnings_from(sums).filter(F.col("earnings_date") <= F.lit("2000-08-05").cast("date"))
+    return ts.signal_bundle(dv.prices_from(sums), known, "2000-08-05")
 
 
 def _pead(direction: str, sign: str) -> str:
@@ -162,14 +169,19 @@ def _pead(direction: str, sign: str) -> str:
 _PEAD_COLUMNS = "ticker s,earnings_date d,surprise_pct f,buy_date d,buy_price f,sell_date d,sell_price f,stock_return f,benchmark_return f,excess_return f"
 
 
+def _pead_study(t, direction):
+    sums = stage(dv.daily_sums(t))
+    return ev.pead_trades(dv.earnings_from(sums), dv.prices_from(sums), dv.market_from(sums), 5.0, HOLD, direction)
+
+
 @query("pead_beat", "H9 J2 J1 J4", _PEAD_COLUMNS, _pead("beat", "> 5"))
 def pead_beat(t):
-    return ev.pead_trades(dv.earnings(t), stage(dv.px_daily(t)), dv.mkt_daily(t), 5.0, HOLD, "beat")
+    return _pead_study(t, "beat")
 
 
 @query("pead_miss", "H9 J2 J1 J4", _PEAD_COLUMNS, _pead("miss", "< -5"))
 def pead_miss(t):
-    return ev.pead_trades(dv.earnings(t), stage(dv.px_daily(t)), dv.mkt_daily(t), 5.0, HOLD, "miss")
+    return _pead_study(t, "miss")
 
 
 @query(
@@ -183,7 +195,8 @@ def pead_miss(t):
     + " SELECT * FROM done",
 )
 def earnings_streak(t):
-    return ev.streak_trades(dv.earnings(t), stage(dv.px_daily(t)), dv.mkt_daily(t), 1.0, HOLD)
+    sums = stage(dv.daily_sums(t))
+    return ev.streak_trades(dv.earnings_from(sums), dv.prices_from(sums), dv.market_from(sums), 1.0, HOLD)
 
 
 @query(

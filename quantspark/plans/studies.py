@@ -56,7 +56,8 @@ def diverged_candidates(t):
        SELECT ticker, COUNT(*) AS n, covar_samp(ret,br)/var_samp(br) AS beta FROM ret_monthly JOIN b USING (d)
        WHERE ret IS NOT NULL AND br IS NOT NULL GROUP BY 1 HAVING COUNT(*)>=10 AND var_samp(br)<>0""")
 def beta(t):
-    return co.beta(stage(dv.px_monthly(t)), dv.mkt_monthly(t))
+    sums = stage(dv.monthly_sums(t))
+    return co.beta(dv.prices_from(sums), dv.market_from(sums))
 
 
 @query("overnight_intraday", "W6", "ticker s,d d,overnight f,intraday f",
