@@ -17,6 +17,7 @@ def local_session(cores: str | int = "*", app: str = "quantspark", shuffle_parti
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
