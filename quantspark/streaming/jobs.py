@@ -113,7 +113,11 @@ class LastMark(StatefulProcessor):
         self.state = handle.getValueState("mark", StructType([StructField("ts", TimestampType()), StructField("op", StringType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = pd.concat(rows).sort_values("ts").iloc[-1]
+        newest = None
+        for chunk in rows:
+            last = chunk.loc[chunk["ts"].idxmax()]
+            if newest is None or last["ts"] >= newest["ts"]:
+                newest = last
         had = self.state.get() if self.state.exists() else (None, "unmark")
         if had[0] is not None and newest["ts"] < pd.Timestamp(had[0]):
             return
