@@ -2,7 +2,8 @@
 
 ``columns`` fixes the output of both forms. Types: ``s`` string, ``d`` date
 written as text, ``t`` timestamp as text, ``i`` bigint, ``b`` boolean,
-``f`` double rounded to six places (``f2`` to two).
+``f`` double rounded to six places (``f2`` to two), ``e`` double rounded to eight
+significant digits (for values of unbounded size).
 """
 
 from __future__ import annotations
@@ -55,6 +56,9 @@ def _nudge(digits: int) -> float:
 def _typed(df: DataFrame, spec: list[tuple[str, str]]) -> DataFrame:
     def column(name: str, kind: str):
         value = F.col(name)
+        if kind == "e":
+            size = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(value))))
+            return F.when(value == 0, F.lit(0.0)).otherwise(F.round(value / size + F.lit(_nudge(8)), 8) * size)
         if kind.startswith("f"):
             digits = int(kind[1:] or 6)
             return F.round(value.cast("double") + F.lit(_nudge(digits)), digits) + F.lit(0.0)
@@ -66,6 +70,9 @@ def _typed(df: DataFrame, spec: list[tuple[str, str]]) -> DataFrame:
 
 
 def _sql_column(name: str, kind: str) -> str:
+    if kind == "e":
+        size = f"pow(10.0::DOUBLE, floor(log10(abs({name}))))"
+        return f"CASE WHEN {name}=0 THEN 0.0::DOUBLE WHEN {name} IS NOT NULL THEN ROUND({name}/{size} + {_nudge(8):.1e}, 8) * {size} END AS {name}"
     if kind.startswith("f"):
         digits = int(kind[1:] or 6)
         return f"ROUND(CAST({name} AS DOUBLE) + {_nudge(digits):.1e}, {digits}) + 0.0 AS {name}"

@@ -134,12 +134,12 @@ def momentum_picks(t):
     return bt.picks_by_rebalance(bars, dates, LOOKBACK, N)
 
 
-@query("momentum_equity", "H2 H4 W7", "label s,d d,equity f", _curve(_TOP) + " SELECT * FROM curve")
+@query("momentum_equity", "H2 H4 W7", "label s,d d,equity e", _curve(_TOP) + " SELECT * FROM curve")
 def momentum_equity(t):
     return bt.backtest(stage(dv.px_monthly(t)), bt.top_n_strategy(LOOKBACK, N), STEP, START, BPS, "momentum")
 
 
-@query("equal_weight_equity", "H2 H3", "label s,d d,equity f", _curve(_ALL) + " SELECT * FROM curve")
+@query("equal_weight_equity", "H2 H3", "label s,d d,equity e", _curve(_ALL) + " SELECT * FROM curve")
 def equal_weight_equity(t):
     return bt.backtest(stage(dv.px_monthly(t)), bt.equal_weight_strategy(LOOKBACK), STEP, START, BPS, "equal_weight")
 
@@ -149,12 +149,12 @@ _RANDOM = f"""SELECT trial AS label, date, ticker, 1.0/COUNT(*) OVER (PARTITION
     FROM pool, generate_series(0,{TRIALS - 1}) g(trial)) WHERE r<={N}"""
 
 
-@query("random_control", "H5", "d d,equity f", _curve(_RANDOM) + " SELECT d, AVG(equity) AS equity FROM curve GROUP BY 1")
+@query("random_control", "H5", "d d,equity e", _curve(_RANDOM) + " SELECT d, AVG(equity) AS equity FROM curve GROUP BY 1")
 def random_control(t):
     return bt.random_average(stage(dv.px_monthly(t)), LOOKBACK, N, STEP, START, TRIALS, BPS)
 
 
-@query("perf_summary", "A12 W8 H6", "label s,total_return f,cagr f,volatility f,sharpe f,max_drawdown f",
+@query("perf_summary", "A12 W8 H6", "label s,total_return e,cagr e,volatility f,sharpe f,max_drawdown f",
        _curve(f"{_TOP} UNION ALL {_ALL}") + """, m AS (SELECT *, equity/LAG(equity) OVER (PARTITION BY label ORDER BY d)-1 AS r,
          equity/MAX(equity) OVER (PARTITION BY label ORDER BY d)-1 AS dd FROM curve),
        s AS (SELECT label, arg_max(equity,d)/arg_min(equity,d) AS g, date_diff('day',MIN(d),MAX(d))/365.25 AS y, stddev_samp(r) AS sd, AVG(r) AS mu, MIN(dd) AS max_drawdown FROM m GROUP BY 1)

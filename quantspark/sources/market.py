@@ -35,7 +35,7 @@ def _wide(spark: SparkSession, path: str, value: str) -> DataFrame:
     raw = spark.read.csv(path, header=True)
     time, *tickers = raw.columns
     long = raw.select(F.col(f"`{time}`").alias("t"), *[_number(F.col(f"`{c}`")).alias(c) for c in tickers])
-    return long.unpivot(["t"], tickers, "ticker", value).filter(F.col(value).isNotNull())
+    return long.unpivot(["t"], [F.col(f"`{c}`") for c in tickers], "ticker", value).filter(F.col(value).isNotNull())
 
 
 def read_prices(spark: SparkSession, path: str, value: str = "close") -> DataFrame:
