@@ -123,8 +123,7 @@ def equity_curves(bars: DataFrame, weights: DataFrame, dates: DataFrame, start=N
     earned = held.join(returns, ["ticker", "d"]).groupBy("label", "d").agg(F.sum(F.col("w") * F.col("ret")).alias("_r"))
     labels = weights.select("label").distinct()
     # Days are bounded by the calendar; labels are the curves asked for.
-    grid = labels.join(F.broadcast(plan.groupBy().agg(F.collect_list(F.struct("d", "_first", "_charged")).alias("_days"))), how="left")
-    grid = grid.select("label", F.inline("_days"))
+    grid = labels.select("label", F.inline(plan.agg(F.collect_list(F.struct("d", "_first", "_charged"))).scalar()))
     day = (
         grid.join(earned, ["label", "d"], "left")
         .withColumn("_r", F.coalesce("_r", F.lit(0.0)) - F.when(F.col("_charged"), F.lit(cost_bps / 10_000)).otherwise(0.0))

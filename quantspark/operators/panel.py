@@ -22,8 +22,7 @@ _PER_SHARE = {"eps_diluted": "divide", "shares_outstanding": "multiply"}
 
 def panel_grid(tickers: DataFrame, dates: DataFrame) -> DataFrame:
     """Every (date, ticker): the dates travel as one array, so no cross join is planned."""
-    days = dates.agg(F.collect_set("date").alias("_dates"))
-    return tickers.select("ticker").distinct().join(F.broadcast(days), how="left").select("ticker", F.explode("_dates").alias("date"))
+    return tickers.select("ticker").distinct().select("ticker", F.explode(dates.agg(F.collect_set("date")).scalar()).alias("date"))
 
 
 def forward_return(grid: DataFrame, bars: DataFrame, days: DataFrame, horizon: int = 30) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quantspark.operators.asof import asof
 from quantspark.operators.ordered import affine_final, in_chunks, running, running_min_before
+from quantspark.session import stage
 
 # Holdings below this are closed; cash and share checks allow this slack.
 CLOSED_BELOW, SLACK = 1e-9, 1e-6
@@ -45,7 +46,8 @@ def positions(trades: DataFrame, keys: list[str] | None = None) -> DataFrame:
     Pass ``["portfolio", "rule", "ticker"]`` to track each rule on its own.
     """
     keys = keys or ["portfolio", "ticker"]
-    held = running(in_chunks(trades, keys, ORDER), keys, ORDER, {"held": signed_shares()})
+    log = trades.select(*keys, *ORDER, "action", "shares", "price")
+    held = running(in_chunks(log, keys, ORDER), keys, ORDER, {"held": signed_shares()})
     before = F.col("held") - signed_shares()
     keep = F.when(~_is_buy() & (before != 0), F.try_divide(before - F.col("shares"), before)).otherwise(F.lit(1.0))
     paid = F.when(_is_buy(), F.col("shares") * F.col("price")).otherwise(F.lit(0.0))
@@ -71,7 +73,8 @@ def closed_trades(trades: DataFrame) -> DataFrame:
     """
     keys = ["portfolio", "rule", "ticker"]
     buy, sale = F.when(_is_buy(), 1).otherwise(0), F.when(_is_buy(), 0).otherwise(1)
-    counted = running(in_chunks(trades, keys, ORDER), keys, ORDER, {"_buys": buy, "_sales": sale})
+    log = trades.select(*keys, *ORDER, "action", "shares", "price")
+    counted = running(in_chunks(log, keys, ORDER), keys, ORDER, {"_buys": buy, "_sales": sale})
     counted = counted.withColumn("_s", F.col("_buys") - F.col("_sales"))
     walked = running_min_before(counted, keys, ORDER, "_s", "_low")
     ignored = F.greatest(F.lit(0), -F.least(F.col("_low"), F.col("_s")))
@@ -162,15 +165,16 @@ def valuation_history(trades: DataFrame, portfolios: DataFrame, bars: DataFrame,
     forward; a ticker without any price yet counts as zero.
     """
     end = F.lit(until).cast("date")
-    first = trades.groupBy("portfolio").agg(F.min("d").alias("_first"))
+    daily = stage(trades.groupBy("portfolio", "ticker", "d").agg(F.sum(signed_shares()).alias("_q"), F.sum(signed_cash()).alias("_c")))
+    first = daily.groupBy("portfolio").agg(F.min("d").alias("_first"))
     spans = portfolios.join(first, "portfolio", "left").withColumn("start", F.least("created", "_first"))
     days = spans.select("portfolio", "initial_cash", "start", F.explode(F.sequence("start", end)).alias("d"))
-    flows = trades.groupBy("portfolio", "d").agg(F.sum(signed_cash()).alias("_c"))
+    flows = daily.groupBy("portfolio", "d").agg(F.sum("_c").alias("_c"))
     so_far = Window.partitionBy("portfolio").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
     cash = days.join(flows, ["portfolio", "d"], "left").select(
         "portfolio", "d", (F.col("initial_cash") + F.sum(F.coalesce("_c", F.lit(0.0))).over(so_far)).alias("cash")
     )
-    moved = trades.groupBy("portfolio", "ticker", "d").agg(F.sum(signed_shares()).alias("_q"))
+    moved = daily.select("portfolio", "ticker", "d", "_q")
     held_days = moved.groupBy("portfolio", "ticker").agg(F.min("d").alias("_from")).select(
         "portfolio", "ticker", F.explode(F.sequence("_from", end)).alias("d")
     )
@@ -178,7 +182,7 @@ def valuation_history(trades: DataFrame, portfolios: DataFrame, bars: DataFrame,
     held = held_days.join(moved, ["portfolio", "ticker", "d"], "left").select(
         "portfolio", "ticker", "d", F.sum(F.coalesce("_q", F.lit(0.0))).over(per_ticker).alias("_held")
     )
-    known = bars.filter("close is not null").join(spans.agg(F.min("start").alias("_s")), F.col("d") >= F.col("_s"), "left_semi")
+    known = bars.filter(F.col("close").isNotNull() & (F.col("d") >= spans.agg(F.min("start")).scalar()))
     priced = asof(held, known, ["ticker"], "d", "d", {"close": "_p"})
     worth = priced.groupBy("portfolio", "d").agg(F.sum(F.col("_held") * F.col("_p")).alias("holdings_value"))
     return (
@@ -191,5 +195,5 @@ def valuation_history(trades: DataFrame, portfolios: DataFrame, bars: DataFrame,
 def pop_last_trade(trades: DataFrame, portfolio: str) -> DataFrame:
     """The log without the last trade of one portfolio."""
     mine = F.col("portfolio") == portfolio
-    last = trades.filter(mine).agg(F.max(F.struct("d", "seq")).alias("_last"))
-    return trades.join(F.broadcast(last), mine & (F.struct("d", "seq") == F.col("_last")), "left_anti")
+    last = trades.filter(mine).agg(F.max(F.struct("d", "seq"))).scalar()
+    return trades.filter(F.coalesce(~mine | (F.struct("d", "seq") != last), F.lit(True)))

@@ -55,33 +55,27 @@ def load_positions(events: DataFrame) -> DataFrame:
     )
 
 
-def horizon_closes(open_positions: DataFrame, held: DataFrame, prices: DataFrame, as_of) -> DataFrame:
-    """Open positions whose horizon has passed, with the return against average cost.
+def position_closes(state: DataFrame, held: DataFrame, prices: DataFrame, theses: DataFrame, profiles: DataFrame, as_of) -> DataFrame:
+    """Open positions to close: horizon passed, else thesis no longer long or confident enough.
 
-    ``held`` is (portfolio, ticker, shares, avg_cost).
+    ``held`` is (portfolio, ticker, shares, avg_cost); the return is against
+    average cost. The horizon review comes first, so it names the reason.
     """
-    due = open_positions.filter("status = 'open'").filter(F.datediff(F.lit(as_of).cast("date"), "created") >= F.col("expected_horizon_days"))
-    return _priced_close(due, held, prices, "horizon")
-
-
-def invalidated_closes(open_positions: DataFrame, held: DataFrame, prices: DataFrame, theses: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Open positions whose thesis is no longer long or confident enough."""
-    weak = (
-        open_positions.filter("status = 'open'")
-        .join(theses.select("ticker", "direction", "confidence"), "ticker")
-        .join(profiles.select("portfolio", "confidence_min"), "portfolio")
-        .filter((F.col("confidence") < F.col("confidence_min")) | ~F.col("direction").eqNullSafe("long"))
-    )
-    return _priced_close(weak, held, prices, "invalidated")
-
-
-def _priced_close(rows: DataFrame, held: DataFrame, prices: DataFrame, reason: str) -> DataFrame:
+    due = F.datediff(F.lit(as_of).cast("date"), "created") >= F.col("expected_horizon_days")
+    known = F.col("confidence").isNotNull()
+    weak = known & ((F.col("confidence") < F.col("confidence_min")) | ~F.col("direction").eqNullSafe("long"))
     return (
-        rows.join(held.select("portfolio", "ticker", "shares", "avg_cost"), ["portfolio", "ticker"])
+        state.filter("status = 'open'")
+        .join(theses.select("ticker", "direction", "confidence"), "ticker", "left")
+        .join(profiles.select("portfolio", "confidence_min"), "portfolio", "left")
+        .withColumn("_due", due)
+        .filter(F.col("_due") | weak)
+        .join(held.select("portfolio", "ticker", "shares", "avg_cost"), ["portfolio", "ticker"])
         .join(prices.select("ticker", "price"), "ticker")
         .select(
             "id", "portfolio", "ticker", "shares", "price",
-            ((F.try_divide("price", "avg_cost") - 1) * 100).alias("actual_return_pct"), F.lit(reason).alias("close_reason"),
+            ((F.try_divide("price", "avg_cost") - 1) * 100).alias("actual_return_pct"),
+            F.when(F.col("_due"), "horizon").otherwise("invalidated").alias("close_reason"),
         )
     )
 
@@ -98,13 +92,13 @@ def open_positions_on_theses(profiles: DataFrame, theses: DataFrame, held: DataF
     worth = marked.groupBy("portfolio").agg(F.sum(F.col("shares") * F.col("price")).alias("_h"), F.count("*").alias("_n"))
     # One array of theses meets each portfolio row, so no cross join is planned.
     offered = theses.join(prices.select("ticker", "price"), "ticker", "left")
-    bundle = offered.agg(F.sort_array(F.collect_list(F.struct("ticker", "direction", "confidence", "expected_horizon_days", "price"))).alias("_theses"))
+    bundle = offered.agg(F.sort_array(F.collect_list(F.struct("ticker", "direction", "confidence", "expected_horizon_days", "price"))))
     owned = marked.groupBy("portfolio").agg(F.map_from_entries(F.collect_list(F.struct("ticker", "shares"))).alias("_owned"))
     base = (
         profiles.join(cash.select("portfolio", "cash"), "portfolio")
         .join(worth, "portfolio", "left")
         .join(owned, "portfolio", "left")
-        .join(F.broadcast(bundle), how="left")
+        .withColumn("_theses", bundle.scalar())
         .withColumn("_value", F.col("cash") + F.coalesce("_h", F.lit(0.0)))
         .withColumn("_n", F.coalesce("_n", F.lit(0)).cast("double"))
     )

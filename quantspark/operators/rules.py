@@ -77,8 +77,7 @@ def ranked_entries(portfolios: DataFrame, held: DataFrame, candidates: DataFrame
     # Slots bound the rows per (portfolio, rule); candidates are one row per rule and ticker.
     offers = candidates.join(config, "rule")
     open_slots = (
-        portfolios.select("portfolio").join(F.broadcast(config.agg(F.collect_list("rule").alias("_rules"))), how="left")
-        .select("portfolio", F.explode("_rules").alias("rule"))
+        portfolios.select("portfolio", F.explode(config.agg(F.collect_list("rule")).scalar()).alias("rule"))
         .join(mine, ["portfolio", "rule"], "left")
     )
     fresh = (

@@ -49,6 +49,11 @@ def pick_union(picked: DataFrame, typed: str, benchmark: str) -> DataFrame:
     return both.select(F.upper(F.trim("ticker")).alias("ticker")).filter("ticker <> ''").distinct()
 
 
+def panel_intersect(picks: DataFrame, panel: DataFrame) -> DataFrame:
+    """Picked tickers that occur in the panel."""
+    return picks.select("ticker").distinct().join(panel.select("ticker"), "ticker", "left_semi")
+
+
 def calendar(bars: DataFrame) -> DataFrame:
     """The shared calendar of a price frame: each day with the row before it."""
     days = bars.filter("close is not null").select("d").distinct()
@@ -97,12 +102,10 @@ def range_return(bars: DataFrame, start=None, end=None) -> DataFrame:
 def compare_vs_benchmark(bars: DataFrame, benchmark: str, start=None, end=None) -> DataFrame:
     """Total return per ticker and its gap to the benchmark, best first."""
     totals = range_return(bars, start, end).select("ticker", "total_return")
-    base = totals.filter(F.col("ticker") == benchmark).select(F.col("total_return").alias("_b"))
+    base = totals.filter(F.col("ticker") == benchmark).select("total_return").scalar()
     return (
         totals.filter(F.col("ticker") != benchmark)
-        .join(F.broadcast(base), how="left")
-        .withColumn("vs_benchmark", F.col("total_return") - F.col("_b"))
-        .drop("_b")
+        .withColumn("vs_benchmark", F.col("total_return") - base)
         .orderBy(F.col("total_return").desc_nulls_last(), "ticker")
     )
 

@@ -50,7 +50,7 @@ class Query:
 
 def _nudge(digits: int) -> float:
     """Moves exact halves off the rounding edge; the ``+ 0.0`` after rounding removes -0.0."""
-    return 3.0 * 10.0 ** -(digits + 4)
+    return float(f"3.1416e-{digits + 4}")
 
 
 def _typed(df: DataFrame, spec: list[tuple[str, str]]) -> DataFrame:
@@ -72,10 +72,10 @@ def _typed(df: DataFrame, spec: list[tuple[str, str]]) -> DataFrame:
 def _sql_column(name: str, kind: str) -> str:
     if kind == "e":
         size = f"pow(10.0::DOUBLE, floor(log10(abs({name}))))"
-        return f"CASE WHEN {name}=0 THEN 0.0::DOUBLE WHEN {name} IS NOT NULL THEN ROUND({name}/{size} + {_nudge(8):.1e}, 8) * {size} END AS {name}"
+        return f"CASE WHEN {name}=0 THEN 0.0::DOUBLE WHEN {name} IS NOT NULL THEN ROUND({name}/{size} + {_nudge(8)!r}, 8) * {size} END AS {name}"
     if kind.startswith("f"):
         digits = int(kind[1:] or 6)
-        return f"ROUND(CAST({name} AS DOUBLE) + {_nudge(digits):.1e}, {digits}) + 0.0 AS {name}"
+        return f"ROUND(CAST({name} AS DOUBLE) + {_nudge(digits)!r}, {digits}) + 0.0 AS {name}"
     if kind == "d":
         return f"CAST(CAST({name} AS DATE) AS VARCHAR) AS {name}"
     if kind == "t":

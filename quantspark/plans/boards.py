@@ -7,7 +7,6 @@ from quantspark.operators import macro as mc
 from quantspark.plans import derived as dv
 from quantspark.plans.base import query
 from quantspark.plans.research import _ITEMS, _claims
-from quantspark.session import stage
 
 # key, order, label, cadence, unit, transform, delta format, chart days, longer chart days
 SERIES = [
@@ -97,7 +96,7 @@ def card_marks(t):
 
 @query("unread_cards", "J19", "card_id s", _FEED + " SELECT card_id FROM fd WHERE card_id NOT IN (SELECT card_id FROM fd WHERE importance>=5)")
 def unread_cards(t):
-    feed = stage(_feed(t))
+    feed = _feed(t)
     return cd.unread(feed, feed.filter("importance >= 5").select(F.col("card_id").alias("card")))
 
 

@@ -189,19 +189,19 @@ def _six(value):
     return F.round(value + F.lit(3e-10), 6)
 
 
-def _sums(t, unit: str) -> DataFrame:
+def _sums(t, unit: str, full: bool = False) -> DataFrame:
     """Partial sums per brand and day (or month): the one pass over line items that
-    prices, the market, earnings and company facts are all derived from."""
+    prices, the market and earnings are all derived from; ``full`` adds those of company facts."""
     ext, disc, tax, qty = (F.col(f"l_{c}") for c in ("extendedprice", "discount", "tax", "quantity"))
     day = F.to_date("l_shipdate") if unit == "day" else F.to_date(F.date_trunc(unit, "l_shipdate"))
-    return _lines(t).groupBy(F.col("p_brand").alias("ticker"), day.alias("d")).agg(
-        F.sum(ext).alias("s_ext"), F.sum(ext * (1 - disc)).alias("s_net"), F.sum(qty).alias("s_qty"),
-        F.sum(ext * disc).alias("s_disc"), F.sum(tax * qty).alias("s_tax_qty"), F.sum(ext * tax).alias("s_tax"),
-    )
+    sums = [F.sum(ext).alias("s_ext"), F.sum(ext * (1 - disc)).alias("s_net"), F.sum(qty).alias("s_qty")]
+    if full:
+        sums += [F.sum(ext * disc).alias("s_disc"), F.sum(tax * qty).alias("s_tax_qty"), F.sum(ext * tax).alias("s_tax")]
+    return _lines(t).groupBy(F.col("p_brand").alias("ticker"), day.alias("d")).agg(*sums)
 
 
-def daily_sums(t) -> DataFrame:
-    return _sums(t, "day")
+def daily_sums(t, full: bool = False) -> DataFrame:
+    return _sums(t, "day", full)
 
 
 def monthly_sums(t) -> DataFrame:

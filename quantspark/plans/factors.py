@@ -91,7 +91,7 @@ BRAND_COMPANIES = {f"Brand#{i + 1}": w for i, w in enumerate(["Ring Works", "Bol
 
 
 def _panel(t):
-    sums = stage(dv.daily_sums(t))
+    sums = stage(dv.daily_sums(t, full=True))
     return pn.build_panel(
         stage(grid(t)), fa.fact_history(stage(dv.facts6_from(sums))), dv.prices_from(sums), stage(dv.market_from(sums)),
         dv.analyst(t), dv.insider(t), stage(dv.splits(t)), _flow(t, BRAND_COMPANIES),
@@ -191,3 +191,13 @@ def ltr_scores(t):
     panel = stage(ltr.time_split(ltr.relevance_labels(_panel(t))))
     model = ltr.train_ranker(panel.filter("not is_test"))
     return model.transform(panel.filter("is_test")).select("date", "ticker", "score", "forward_return")
+
+
+@query("factor_changes", "W27", "ticker s,d d,factor s,previous f,current f,delta_pct f",
+       """WITH u AS (UNPIVOT (SELECT ticker, d, open AS revenue_growth, close AS earnings_growth FROM px_monthly) ON revenue_growth, earnings_growth INTO NAME factor VALUE v),
+       l AS (SELECT *, LAG(v) OVER (PARTITION BY ticker, factor ORDER BY d) AS p FROM u), c AS (SELECT *, ROUND((v-p)/abs(p)*100+3e-10,1) AS delta_pct FROM l WHERE p<>0)
+       SELECT ticker, d, factor, p AS previous, v AS current, delta_pct FROM c WHERE abs(delta_pct)>=5""")
+def factor_changes(t):
+    bars = dv.px_monthly(t)
+    inner = F.create_map(F.lit("revenue_growth"), F.col("open"), F.lit("earnings_growth"), F.col("close"))
+    return rk.factor_changes(bars.select("ticker", "d", F.lit(0).alias("seq"), F.create_map(F.lit("Growth"), inner).alias("factors")))

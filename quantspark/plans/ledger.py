@@ -77,7 +77,7 @@ def marked_trades(t):
            """SELECT p.portfolio, cs.cash, coalesce(h.v,0) AS holdings_value, cs.cash+coalesce(h.v,0) AS total_value, (cs.cash+coalesce(h.v,0))/p.initial_cash-1 AS total_return
            FROM portfolios p JOIN cs ON cs.portfolio=p.portfolio LEFT JOIN (SELECT portfolio AS hp, SUM(sh*coalesce(mk.price, cost/sh)) AS v FROM fin LEFT JOIN mk ON mk.ticker=fin.ticker WHERE sh>1e-9 GROUP BY 1) h ON h.hp=p.portfolio"""))
 def portfolio_totals(t):
-    return pf.portfolio_totals(stage(dv.trades(t)), dv.portfolios(t), latest_price(dv.trade_px(t), "2001-12-31"))
+    return pf.portfolio_totals(dv.trades(t), dv.portfolios(t), latest_price(dv.trade_px(t), "2001-12-31"))
 
 
 @query("trade_violations", "H23", "portfolio s,ticker s,d d,action s,seq i,reason s",
@@ -100,7 +100,7 @@ def trade_violations(t):
        hv AS (SELECT h.portfolio, h.d, SUM(h.held*x.close) AS v FROM hd h ASOF JOIN trade_px x ON x.ticker=h.ticker AND x.d<=h.d GROUP BY 1,2)
        SELECT ca.portfolio, ca.d, ca.cash, coalesce(hv.v,0) AS holdings_value, ca.cash+coalesce(hv.v,0) AS total_value FROM ca LEFT JOIN hv ON hv.portfolio=ca.portfolio AND hv.d=ca.d""")
 def valuation_daily(t):
-    return pf.valuation_history(stage(dv.trades(t)), dv.portfolios(t), dv.trade_px(t), UNTIL)
+    return pf.valuation_history(dv.trades(t), dv.portfolios(t), dv.trade_px(t), UNTIL)
 
 
 # rule, order, slots, hold days, unit size, exit on signal loss
@@ -175,14 +175,13 @@ _PX = f"px AS (SELECT ticker, arg_max(close,d) AS price FROM px_daily WHERE d<=D
 @query("position_closes", "H22", "id s,portfolio s,ticker s,actual_return_pct f,close_reason s",
        f"""WITH {_PX}, op AS (SELECT c.* FROM position_events c WHERE event='created' AND NOT EXISTS (SELECT 1 FROM position_events x WHERE x.event='closed' AND x.id=c.id)),
        h AS (SELECT op.id, op.portfolio, op.ticker, (px.price/t.avg_cost-1)*100 AS actual_return_pct, op.expected_horizon_days, op.created FROM op JOIN thesis_held t ON t.portfolio=op.portfolio AND t.ticker=op.ticker JOIN px ON px.ticker=op.ticker)
-       SELECT id, portfolio, ticker, actual_return_pct, 'horizon' AS close_reason FROM h WHERE date_diff('day',created,DATE '{TODAY}')>=expected_horizon_days
-       UNION ALL SELECT h.id, h.portfolio, h.ticker, h.actual_return_pct, 'invalidated' FROM h JOIN thesis_now n ON n.ticker=h.ticker WHERE n.confidence<0.6 OR n.direction<>'long'""")
+       SELECT h.id, h.portfolio, h.ticker, h.actual_return_pct, CASE WHEN date_diff('day',created,DATE '{TODAY}')>=h.expected_horizon_days THEN 'horizon' ELSE 'invalidated' END AS close_reason
+       FROM h LEFT JOIN thesis_now n ON n.ticker=h.ticker WHERE date_diff('day',created,DATE '{TODAY}')>=h.expected_horizon_days OR n.confidence<0.6 OR n.direction<>'long'""")
 def position_closes(t):
-    state = stage(po.load_positions(dv.position_events(t)))
-    held, prices = stage(dv.thesis_held(t)), latest_price(dv.px_daily(t), TODAY)
+    state = po.load_positions(dv.position_events(t))
+    held, prices = dv.thesis_held(t), latest_price(dv.px_daily(t), TODAY)
     profiles = po.strategies(dv.portfolios(t).withColumn("risk_profile", F.lit(None).cast("string")).withColumn("concentration", F.lit(None).cast("string")).withColumn("horizon", F.lit(None).cast("string")))
-    prices = stage(prices)
-    return po.horizon_closes(state, held, prices, TODAY).unionByName(po.invalidated_closes(state, held, prices, dv.thesis_now(t), profiles))
+    return po.position_closes(state, held, prices, dv.thesis_now(t), profiles, TODAY)
 
 
 @query("position_candidates", "H21 X1", "id s,portfolio s,ticker s,shares f,price f,entry_confidence f",

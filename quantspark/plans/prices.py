@@ -1,10 +1,16 @@
 """Queries over daily and monthly bars: event studies, returns and indicators."""
 
+import uuid
+from datetime import timedelta
+
+from pyspark.sql import functions as F
+
 from quantspark.operators import events as ev
 from quantspark.operators import timeseries as ts
 from quantspark.plans import derived as dv
 from quantspark.plans.base import query
-from quantspark.session import stage
+from quantspark.session import ensure_checkpoint_dir, stage
+from quantspark.streaming import jobs
 
 # Wild daily moves in the derived bars: a 50 % threshold keeps studies meaningful.
 DROP, HOLD, COST = 0.5, 30, 10.0
@@ -116,6 +122,56 @@ def technicals(t):
     return ts.technicals(*bars_and_market(t))
 
 
+@query(
+    "latest_technicals", "W10 W11 W12", "ticker s,d d,close f,return_7d f,momentum_2w f,relative_strength_2w f,momentum f,price_vs_ma f,relative_volume f",
+    _TECH + """, z AS (SELECT p.ticker, p.d, p.close, MIN(p.d) OVER a AS fa, arg_min(p.close,p.d) OVER a AS ca, MIN(p.d) OVER b AS fb, arg_min(p.close,p.d) OVER b AS cb FROM px_daily p
+      WINDOW a AS (PARTITION BY ticker ORDER BY d RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW), b AS (PARTITION BY ticker ORDER BY d RANGE BETWEEN INTERVAL 14 DAY PRECEDING AND CURRENT ROW)),
+    zl AS (SELECT * FROM z QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY d DESC)=1),
+    m1 AS (SELECT zl.*, m.d AS md, m.close AS mc FROM zl ASOF LEFT JOIN mkt_daily m ON m.d>=zl.fb), m2 AS (SELECT m1.*, m.d AS nd, m.close AS nc FROM m1 ASOF LEFT JOIN mkt_daily m ON m.d<=m1.d)
+    SELECT m2.ticker, m2.d, m2.close, CASE WHEN fa<m2.d THEN (m2.close/ca-1)*100 END AS return_7d, CASE WHEN fb<m2.d THEN (m2.close/cb-1)*100 END AS momentum_2w,
+      CASE WHEN fb<m2.d AND md<nd THEN (m2.close/cb-nc/mc)*100 END AS relative_strength_2w, t.momentum, t.price_vs_ma, t.relative_volume FROM m2 JOIN tech t ON t.ticker=m2.ticker AND t.d=m2.d""",
+)
+def latest_technicals(t):
+    return ts.latest_technicals(*bars_and_market(t))
+
+
+@query(
+    "indicator_history", "F15 U2", "ticker s,d d,value f",
+    _TECH + " SELECT ticker, d, momentum AS value FROM tech WHERE d>=DATE '2000-01-01' AND momentum IS NOT NULL",
+)
+def indicator_history(t):
+    bars, market = bars_and_market(t)
+    return ts.indicator_history(ts.momentum(bars, market, 84), "momentum", "2000-01-01")
+
+
+@query(
+    "bars_from_ticks", "R6", "ticker s,ts t,close f,ticks i",
+    "SELECT event_type AS ticker, date_trunc('hour', ts) AS ts, arg_max(value, ts) AS close, COUNT(*) AS ticks FROM events GROUP BY 1,2",
+)
+def bars_from_ticks(t):
+    return jobs.bars_from_ticks(_ticks(t.read("events")))
+
+
+def _ticks(events):
+    return events.select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"))
+
+
+@query(
+    "stream_bars", "R6", "ticker s,ts t,close f,ticks i",
+    """SELECT event_type AS ticker, date_trunc('hour', ts) AS ts, arg_max(value, ts) AS close, COUNT(*) AS ticks FROM events GROUP BY 1,2
+       HAVING date_trunc('hour', MIN(ts)) + INTERVAL 1 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE""",
+)
+def stream_bars(t):
+    """The same bars as a stream over the landed file: windows close behind the watermark."""
+    schema = t.read("events").schema
+    ticks = _ticks(t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder))
+    ensure_checkpoint_dir(t.spark)
+    run = f"{t.spark.sparkContext.getCheckpointDir()}/bars-{uuid.uuid4()}"
+    job = jobs.bars_from_ticks(ticks).writeStream.format("parquet").option("path", f"{run}/bars").option("checkpointLocation", f"{run}/state").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return t.spark.read.parquet(f"{run}/bars")
+
+
 @query(
     "volume_spikes", "W13", "ticker s,d d,volume f2,vs_avg_pct f",
     """WITH w AS (SELECT ticker, d, volume, COUNT(*) OVER k AS n, AVG(volume) OVER k AS a FROM px_daily
@@ -149,8 +205,6 @@ def recent_dips(t):
       FROM p FULL JOIN (SELECT * FROM f WHERE age BETWEEN 0 AND 10) f ON f.ticker=p.ticker""",
 )
 def signal_bundle(t):
-    from pyspark.sql import functions as F
-
     sums = stage(dv.daily_sums(t))
     known = dv.earnings_from(sums).filter(F.col("earnings_date") <= F.lit("2000-08-05").cast("date"))
     return ts.signal_bundle(dv.prices_from(sums), known, "2000-08-05")
@@ -230,6 +284,4 @@ def reported_recently(t):
 def upcoming_earnings(t):
     reports = stage(dv.earnings(t))
     last = ev.earnings_span(reports).first()["last_report"]
-    from datetime import timedelta
-
     return ev.upcoming_reports(reports, last - timedelta(days=7), 7)

@@ -144,12 +144,12 @@ def equal_weight_equity(t):
     return bt.backtest(stage(dv.px_monthly(t)), bt.equal_weight_strategy(LOOKBACK), STEP, START, BPS, "equal_weight")
 
 
-_RANDOM = f"""SELECT trial AS label, date, ticker, 1.0/COUNT(*) OVER (PARTITION BY trial, date) AS w FROM (SELECT *,
+_RANDOM_SQL = f"""SELECT trial AS label, date, ticker, 1.0/COUNT(*) OVER (PARTITION BY trial, date) AS w FROM (SELECT *,
     ROW_NUMBER() OVER (PARTITION BY trial, date ORDER BY md5(concat(CAST(trial AS VARCHAR),'|',CAST(date AS VARCHAR),'|',ticker)), ticker) AS r
     FROM pool, generate_series(0,{TRIALS - 1}) g(trial)) WHERE r<={N}"""
 
 
-@query("random_control", "H5", "d d,equity e", _curve(_RANDOM) + " SELECT d, AVG(equity) AS equity FROM curve GROUP BY 1")
+@query("random_control", "H5", "d d,equity e", _curve(_RANDOM_SQL) + " SELECT d, AVG(equity) AS equity FROM curve GROUP BY 1")
 def random_control(t):
     return bt.random_average(stage(dv.px_monthly(t)), LOOKBACK, N, STEP, START, TRIALS, BPS)
 
@@ -167,3 +167,12 @@ def perf_summary(t):
     weights = bt.equal_weight(bt.top_n(pool, N)).withColumn("label", F.lit("momentum")).unionByName(
         bt.equal_weight(pool).withColumn("label", F.lit("equal_weight")))
     return bt.performance_summary(bt.equity_curves(bars, weights, dates, START, BPS))
+
+
+@query("momentum_study", "H6 H5", "label s,d d,equity e",
+       _curve(f"SELECT label::VARCHAR AS label, date, ticker, w FROM ({_TOP} UNION ALL {_ALL} UNION ALL SELECT CAST(label AS VARCHAR), date, ticker, w FROM ({_RANDOM_SQL}))")
+       + f""" SELECT CASE WHEN label IN ('momentum','equal_weight') THEN label ELSE 'random' END AS label, d, AVG(equity) AS equity FROM curve GROUP BY 1,2
+       UNION ALL SELECT 'benchmark', d, close/first_value(close) OVER (ORDER BY d) FROM mkt_monthly WHERE d>=DATE '{START}'""")
+def momentum_study(t):
+    sums = stage(dv.monthly_sums(t))
+    return bt.momentum_study(dv.prices_from(sums), dv.market_from(sums), LOOKBACK, N, STEP, START, TRIALS, BPS)

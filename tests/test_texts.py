@@ -174,3 +174,23 @@ def test_cards(spark):
     read = cd.marked(spark.createDataFrame(marks, "kind string, user_id string, card string, op string, ts timestamp, seq int"))
     assert [r.card for r in read.collect()] == ["c1"]
     assert sorted(r.text for r in cd.unread(feed, read).collect()) == ["f", "y"] and cd.only_marked(feed, read).count() == 1
+
+
+def test_thesis_log_rows_and_context(spark):
+    claims = spark.createDataFrame([("c1", "A", "l", day("2024-01-01"))], "id string, ticker string, source_link string, created date")
+    theses = spark.createDataFrame([("A", 0.5, 10, "t", "long", 1.0, ["c"], ["i"])], "ticker string, confidence double, expected_horizon_days int, thesis string, direction string, expected_return_pct double, catalysts array<string>, invalidation array<string>")
+    none = spark.createDataFrame([], "ticker string, multiplier double, concerns array<string>")
+    final = th.final_confidence(th.critic_flags(theses, claims, "2024-01-02"), none)
+    rows = {r.event: r for r in th.thesis_events(final, "2024-01-02").collect()}
+    assert rows["aggregated"].confidence == pytest.approx(0.45) and rows["aggregated"].claims_considered == 1
+    assert rows["critic"].llm_multiplier is None and rows["critic"].llm_concerns == [] and len(rows["critic"].deterministic_flags) == 1
+    funds = spark.createDataFrame([("A", day("2024-01-01"), 1, "long", 0.5), ("A", day("2024-01-01"), 2, "short", 0.6)], "ticker string, date date, seq int, fundamental_direction string, fundamental_confidence double")
+    calls = spark.createDataFrame([], "ticker string, date date, seq int, earnings_direction string, earnings_confidence double")
+    row = th.with_snapshots(theses, funds, calls).first()
+    assert (row.fundamental_direction, row.earnings_direction) == ("short", None)
+    due = spark.createDataFrame([("A", day("2024-01-03")), ("B", day("2024-01-04"))], "ticker string, earnings_date date")
+    done = spark.createDataFrame([], "ticker string, earnings_date date")
+    assert [r.ticker for r in th.earnings_refresh_due(due, done, "2024-01-02").collect()] == ["A"]
+    index = spark.createDataFrame([("a", day("2024-01-01"), "p1"), ("b", day("2024-01-01"), "p2")], "ticker string, transcript_date date, path string")
+    stored = spark.createDataFrame([("a", "p1", day("2024-01-01"), 1)], "ticker string, transcript_url string, date date, seq int")
+    assert [r.ticker for r in ar.new_transcripts(index, stored).collect()] == ["b"]
