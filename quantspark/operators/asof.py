@@ -1,9 +1,10 @@
 """As-of lookups by union-and-window.
 
-Probe times and series rows are merged into one ordered stream per key, so
-the cost is one shuffle and one sort, never a range join. Both sides have one
-row per (key, day), which bounds a window partition by the length of the
-calendar however many raw rows a key has.
+Probe rows and series rows are merged into one ordered stream per key, so the
+cost is one shuffle and one sort, never a range join. A series has one row per
+(key, day) and probes are dates of the same calendar, which bounds a window
+partition. Probes without such a bound are reduced to their distinct times
+first and joined back afterwards.
 """
 
 from __future__ import annotations
@@ -12,16 +13,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _merge(probes, series, keys, at, when, values):
-    left = probes.select(*keys, F.col(at).alias("_t")).distinct()
-    left = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None))
+def _merge(probes, series, keys, at, when, values, payload):
     right = series.select(
         *keys,
         F.col(when).alias("_t"),
         F.lit(0).alias("_side"),
         F.struct(F.col(when).alias("_when"), *[F.col(c) for c in values]).alias("_v"),
+        F.lit(None).alias("_row"),
     )
-    return left.withColumn("_v", F.col("_v").cast(right.schema["_v"].dataType)).unionByName(right)
+    left = probes.select(
+        *keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema["_v"].dataType).alias("_v"), payload.alias("_row")
+    )
+    return left.unionByName(right.withColumn("_row", F.col("_row").cast(left.schema["_row"].dataType)))
 
 
 def asof(
@@ -35,13 +38,19 @@ def asof(
     strict: bool = False,
     when_as: str | None = None,
     max_age_days: int | None = None,
+    bounded: bool = True,
 ) -> DataFrame:
     """Left as-of join. ``values`` maps series columns to output names.
 
     ``forward`` takes the first series row at or after ``at``; ``backward``
-    the last row at or before it. ``strict`` excludes equal times.
+    the last row at or before it. ``strict`` excludes equal times. Pass
+    ``bounded=False`` when many probes may share a key and time.
     """
-    merged = _merge(probes, series, keys, at, when, list(values))
+    if not bounded:
+        times = probes.select(*keys, at).distinct()
+        found = asof(times, series, keys, at, when, values, direction, strict, when_as, max_age_days)
+        return probes.join(found, [*keys, at], "left")
+    merged = _merge(probes, series, keys, at, when, list(values), F.struct(*probes.columns))
     # Rows seen earlier in the window order are the match candidates.
     time_order = F.col("_t").desc() if direction == "forward" else F.col("_t").asc()
     tie_order = F.col("_side").desc() if strict else F.col("_side").asc()
@@ -50,20 +59,14 @@ def asof(
         .orderBy(time_order, tie_order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    found = (
-        merged.withColumn("_hit", F.last("_v", ignorenulls=True).over(window))
-        .filter("_side = 1")
-        .select(*keys, F.col("_t").alias(at), "_hit")
-    )
+    out = merged.withColumn("_hit", F.last("_v", ignorenulls=True).over(window)).filter("_side = 1")
     if max_age_days is not None:
-        fresh = F.abs(F.datediff(F.col(at), F.col("_hit._when"))) <= max_age_days
-        found = found.withColumn("_hit", F.when(fresh, F.col("_hit")))
-    out = probes.join(found, [*keys, at], "left")
-    for source, target in values.items():
-        out = out.withColumn(target, F.col(f"_hit.{source}"))
+        fresh = F.abs(F.datediff("_t", F.col("_hit._when"))) <= max_age_days
+        out = out.withColumn("_hit", F.when(fresh, F.col("_hit")))
+    taken = [F.col(f"_hit.{source}").alias(target) for source, target in values.items()]
     if when_as:
-        out = out.withColumn(when_as, F.col("_hit._when"))
-    return out.drop("_hit")
+        taken.append(F.col("_hit._when").alias(when_as))
+    return out.select("_row.*", *taken)
 
 
 def benchmark_lookup(days: DataFrame, benchmark: DataFrame) -> DataFrame:

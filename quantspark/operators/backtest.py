@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quantspark.operators.asof import asof
 from quantspark.operators.timeseries import calendar, daily_returns
+from quantspark.session import stage
 
 #: A strategy turns rebalance dates and bars into ``(date, ticker, w)`` rows.
 WeightFunction = Callable[[DataFrame, DataFrame], DataFrame]
@@ -135,8 +136,8 @@ def equity_curves(bars: DataFrame, weights: DataFrame, dates: DataFrame, start=N
 
 def backtest(bars: DataFrame, strategy: WeightFunction, freq: str | int = "ME", start=None, cost_bps: float = 0.0, label: str = "strategy") -> DataFrame:
     """Equity curve of one strategy on its own schedule."""
-    dates = rebalance_dates(calendar(bars).select("d"), freq, start)
-    weights = strategy(dates, bars).withColumn("label", F.lit(label))
+    dates = stage(rebalance_dates(calendar(bars).select("d"), freq, start))
+    weights = stage(strategy(dates, bars).withColumn("label", F.lit(label)))
     return equity_curves(bars, weights, dates, start, cost_bps)
 
 
@@ -147,9 +148,12 @@ def buy_and_hold(bars: DataFrame, label: str = "ticker") -> DataFrame:
 
 def random_average(bars: DataFrame, lookback_days: int, n: int, freq: str | int, start, trials: int = 1000, cost_bps: float = 0.0) -> DataFrame:
     """Mean equity over ``trials`` random-pick portfolios on the same schedule."""
-    dates = rebalance_dates(calendar(bars).select("d"), freq, start)
-    draws = random_picks(eligible(bars, dates, lookback_days), n, trials)
-    weights = equal_weight(draws, "trial").withColumnRenamed("trial", "label")
+    dates = stage(rebalance_dates(calendar(bars).select("d"), freq, start))
+    return _random_average(bars, eligible(bars, dates, lookback_days), dates, n, start, trials, cost_bps)
+
+
+def _random_average(bars, pool, dates, n, start, trials, cost_bps) -> DataFrame:
+    weights = stage(equal_weight(random_picks(pool, n, trials), "trial").withColumnRenamed("trial", "label"))
     return equity_curves(bars, weights, dates, start, cost_bps).groupBy("d").agg(F.avg("equity").alias("equity"))
 
 
@@ -182,13 +186,14 @@ def performance_summary(curves: DataFrame, risk_free: float = 0.0) -> DataFrame:
 
 def momentum_study(bars: DataFrame, benchmark: DataFrame, lookback_days: int, n: int, freq: str | int, start, trials: int = 1000, cost_bps: float = 0.0) -> DataFrame:
     """Curves of the momentum picks, the whole universe, random picks and the benchmark."""
-    dates = rebalance_dates(calendar(bars).select("d"), freq, start)
-    pool = eligible(bars, dates, lookback_days)
-    weights = (
+    # Schedule, pool and weights hold a few rows per rebalance and feed several branches.
+    dates = stage(rebalance_dates(calendar(bars).select("d"), freq, start))
+    pool = stage(eligible(bars, dates, lookback_days))
+    weights = stage(
         equal_weight(top_n(pool, n)).withColumn("label", F.lit("momentum"))
         .unionByName(equal_weight(pool).withColumn("label", F.lit("equal_weight")))
     )
     curves = equity_curves(bars, weights, dates, start, cost_bps)
-    random = random_average(bars, lookback_days, n, freq, start, trials, cost_bps).select(F.lit("random").alias("label"), "d", "equity")
+    random = _random_average(bars, pool, dates, n, start, trials, cost_bps).select(F.lit("random").alias("label"), "d", "equity")
     held = benchmark.filter(F.col("d") >= F.lit(start).cast("date")).withColumn("ticker", F.lit("benchmark"))
     return curves.unionByName(random).unionByName(buy_and_hold(held))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quantspark.operators.asof import asof, benchmark_lookup, with_benchmark_return
 from quantspark.operators.timeseries import daily_returns
+from quantspark.session import stage
 
 
 def _close_out(entries: DataFrame, bars: DataFrame, benchmark: DataFrame, cost_bps: float) -> DataFrame:
@@ -17,7 +18,7 @@ def _close_out(entries: DataFrame, bars: DataFrame, benchmark: DataFrame, cost_b
     priced = bars.filter("close is not null")
     exits = asof(entries, priced, ["ticker"], "_target", "d", {"close": "sell_price"}, "forward", when_as="sell_date")
     done = exits.filter("sell_date is not null")
-    lookup = benchmark_lookup(priced.select("d"), benchmark)
+    lookup = stage(benchmark_lookup(priced.select("d"), benchmark))
     spans = with_benchmark_return(done, lookup, "buy_date", "sell_date")
     return (
         spans.filter("benchmark_return is not null")

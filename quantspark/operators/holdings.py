@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantspark.session import stage
+
 
 def join_filings(info: DataFrame, submissions: DataFrame) -> DataFrame:
     """Common-stock lines with the filer and period of their submission."""
@@ -80,6 +82,8 @@ def institutional_history(
         .filter(F.col("_n") <= quarters + 1)
         .withColumn("prior_period", F.lead("period").over(order))
     )
+    # A few rows per vintage and company, used by both sides of the comparison.
+    kept = stage(kept)
     rows = holders.join(kept.select("vintage", "ticker", "cusip", "period", "prior_period", "bucket_end"), ["cusip", "period", "bucket_end"])
     largest = F.row_number().over(Window.partitionBy("vintage", "ticker", "period").orderBy(F.col("shares").desc(), "cik"))
     current = rows.filter("prior_period is not null").withColumn("_r", largest).filter(F.col("_r") <= top)

@@ -183,7 +183,7 @@ def valuation_history(trades: DataFrame, portfolios: DataFrame, bars: DataFrame,
         "portfolio", "ticker", "d", F.sum(F.coalesce("_q", F.lit(0.0))).over(per_ticker).alias("_held")
     )
     known = bars.filter(F.col("close").isNotNull() & (F.col("d") >= spans.agg(F.min("start")).scalar()))
-    priced = asof(held, known, ["ticker"], "d", "d", {"close": "_p"})
+    priced = asof(held, known, ["ticker"], "d", "d", {"close": "_p"}, bounded=False)
     worth = priced.groupBy("portfolio", "d").agg(F.sum(F.col("_held") * F.col("_p")).alias("holdings_value"))
     return (
         cash.join(worth, ["portfolio", "d"], "left")

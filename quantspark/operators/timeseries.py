@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantspark.operators.asof import benchmark_lookup, with_benchmark_return
+from quantspark.session import stage
 
 def _by_day():
     return Window.partitionBy("ticker").orderBy("d")
@@ -123,7 +124,7 @@ def momentum(bars: DataFrame, benchmark: DataFrame, days_back: int, suffix: str
         .withColumn("_ret", F.when(F.col("_fd") < F.col("d"), F.try_divide("close", "_fc") - 1))
         .withColumnRenamed("_fd", "_start")
     )
-    lookup = benchmark_lookup(priced.select("d"), benchmark)
+    lookup = stage(benchmark_lookup(priced.select("d"), benchmark))
     return (
         with_benchmark_return(spans, lookup, "_start", "d", "_bench", min_rows=2)
         .withColumn(f"momentum{suffix}", F.col("_ret") * 100)

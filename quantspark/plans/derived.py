@@ -208,6 +208,10 @@ def monthly_sums(t) -> DataFrame:
     return _sums(t, "month")
 
 
+def quarterly_sums(t) -> DataFrame:
+    return _sums(t, "quarter")
+
+
 def prices_from(sums: DataFrame) -> DataFrame:
     return sums.select(
         "ticker", "d", _six(F.col("s_net") / F.col("s_qty")).alias("open"), _six(F.col("s_ext") / F.col("s_qty")).alias("close"), F.col("s_qty").alias("volume")
@@ -254,7 +258,7 @@ def earnings_from(sums: DataFrame) -> DataFrame:
 
 
 def earnings(t) -> DataFrame:
-    return earnings_from(_sums(t, "quarter"))
+    return earnings_from(quarterly_sums(t))
 
 
 def analyst(t) -> DataFrame:
@@ -346,8 +350,8 @@ def rec_trend(t) -> DataFrame:
     )
 
 
-def facts(t) -> DataFrame:
-    quarters = _sums(t, "quarter").select("ticker", F.col("d").alias("s"), F.round("s_ext", 2).alias("v"))
+def facts_from(sums: DataFrame) -> DataFrame:
+    quarters = sums.select("ticker", F.col("d").alias("s"), F.round("s_ext", 2).alias("v"))
     periods = quarters.withColumn("e", F.last_day(F.date_add("s", 70))).filter(F.month("s") < 10)
     years = (
         quarters.groupBy("ticker", F.to_date(F.date_trunc("year", "s")).alias("s"))

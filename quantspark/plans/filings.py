@@ -111,8 +111,13 @@ def ownership_ranking(t):
     return pit.ownership_ranking(dv.holders(t))
 
 
+def _facts(t):
+    """Facts of one concept; their branches share one staged pass over the line items."""
+    return dv.facts_from(stage(dv.quarterly_sums(t))).withColumn("concept", F.lit("revenue"))
+
+
 def _history(t):
-    return fa.fact_history(dv.facts(t).withColumn("concept", F.lit("revenue")))
+    return fa.fact_history(_facts(t))
 
 
 _DEDUP = "dd AS (SELECT * FROM facts QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker,start_d,end_d,form ORDER BY filed DESC, val DESC)=1)"
@@ -129,12 +134,12 @@ _TTM = _DERIVED + """, hist AS (SELECT ticker,start_d,end_d,val,filed,form FROM
 
 @query("facts_dedup", "U5 S14", "ticker s,start_d d,end_d d,form s,val f2,filed d", f"WITH {_DEDUP} SELECT * FROM dd")
 def facts_dedup(t):
-    return fa.dedup_facts(dv.facts(t))
+    return fa.dedup_facts(_facts(t))
 
 
 @query("derived_quarters", "P4 J6 F8", "ticker s,start_d d,end_d d,val f2,filed d,form s", f"WITH {_DERIVED} SELECT * FROM der")
 def derived_quarters(t):
-    return fa.derived_quarters(fa.dedup_facts(stage(dv.facts(t).withColumn("concept", F.lit("revenue")))))
+    return fa.derived_quarters(fa.dedup_facts(_facts(t)))
 
 
 @query("ttm_asof", "P5 W17 J5 P3", "ticker s,date d,ttm f2",
@@ -157,7 +162,7 @@ def yoy_ttm(t):
        one AS (SELECT * FROM k QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker,date ORDER BY end_d DESC, filed)=1)
        SELECT g.ticker, g.date, o.val AS value FROM grid g LEFT JOIN one o ON o.ticker=g.ticker AND o.date=g.date""")
 def latest_instant(t):
-    quarters = fa.dedup_facts(dv.facts(t).withColumn("concept", F.lit("revenue"))).filter("form = '10-Q'")
+    quarters = fa.dedup_facts(_facts(t)).filter("form = '10-Q'")
     line = fa.instant_timeline(quarters)
     return asof(grid(t).withColumn("concept", F.lit("revenue")), stage(line), ["ticker", "concept"], "date", "d", {"value": "value"})
 

@@ -159,7 +159,7 @@ def dip_candidates(t):
        SELECT ticker, greatest(1-ABS(av-0)/60.0, 0.01) AS score FROM tw WHERE c=2 AND lo>=-60 AND hi<=60
          AND (SELECT COUNT(*) FROM generate_series(DATE '2001-07-28', CAST(nd - INTERVAL 1 DAY AS DATE), INTERVAL 1 DAY) g(x) WHERE isodow(x)<=5)=0""")
 def streak_candidates(t):
-    return ru.streak_candidates(dv.earnings(t), "2001-07-27", -60.0, 60.0)
+    return ru.streak_candidates(dv.earnings_from(stage(dv.quarterly_sums(t))), "2001-07-27", -60.0, 60.0)
 
 
 @query("position_state", "J20 S22", "id s,portfolio s,ticker s,created d,status s,closed_date d,actual_return_pct f",

@@ -162,10 +162,10 @@ def random_control(t):
          CASE WHEN sd<>0 THEN sqrt(252)*mu/sd END AS sharpe, max_drawdown FROM s""")
 def perf_summary(t):
     bars = stage(dv.px_monthly(t))
-    dates = bt.rebalance_dates(calendar(bars).select("d"), STEP, START)
-    pool = bt.eligible(bars, dates, LOOKBACK)
-    weights = bt.equal_weight(bt.top_n(pool, N)).withColumn("label", F.lit("momentum")).unionByName(
-        bt.equal_weight(pool).withColumn("label", F.lit("equal_weight")))
+    dates = stage(bt.rebalance_dates(calendar(bars).select("d"), STEP, START))
+    pool = stage(bt.eligible(bars, dates, LOOKBACK))
+    weights = stage(bt.equal_weight(bt.top_n(pool, N)).withColumn("label", F.lit("momentum")).unionByName(
+        bt.equal_weight(pool).withColumn("label", F.lit("equal_weight"))))
     return bt.performance_summary(bt.equity_curves(bars, weights, dates, START, BPS))
 
 
