@@ -23,7 +23,7 @@ _PAIR_SCHEMA = (
 )
 
 
-def _tile_pairs(key, frame: pd.DataFrame) -> pd.DataFrame:
+def _tile_pairs(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """Statistics of every pair with one leg in tile ``i`` and one in tile ``j``."""
     i, j = key
     frame = frame.sort_values("d")
