@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantspark.operators.timeseries import cumulative_return, daily_returns
+from quantspark.session import stage
 
 TICKERS_PER_TILE = 256
 
@@ -113,7 +114,7 @@ def top_diverged(diverged: DataFrame, k: int = 15) -> DataFrame:
 def diverged_candidates(bars: DataFrame, as_of, lookback_months: int = 6, min_correlation: float = 0.8, min_abs_z: float = 1.5) -> DataFrame:
     """The lagging leg of every diverged pair, scored by its largest |z|."""
     today = F.lit(as_of).cast("date")
-    window = bars.filter((F.col("d") <= today) & (F.col("d") >= F.date_sub(today, lookback_months * 31)))
+    window = stage(bars.filter((F.col("d") <= today) & (F.col("d") >= F.date_sub(today, lookback_months * 31))))
     found = divergence(pair_statistics(window), min_correlation).filter(F.abs("z_score") >= min_abs_z)
     laggard = F.when(F.col("z_score") > 0, F.col("ticker_b")).otherwise(F.col("ticker_a"))
     return found.groupBy(laggard.alias("ticker")).agg(F.max(F.abs("z_score")).alias("score"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantspark.operators.timeseries import calendar, daily_returns
+from quantspark.session import stage
 
 #: A rule turns an as-of date and its tables into ``(ticker, score)`` rows.
 RuleFunction = Callable[..., DataFrame]
@@ -25,7 +26,8 @@ def business_gap_is_empty(as_of: Column, report: Column) -> Column:
 def dip_candidates(bars: DataFrame, as_of, drop: float = 0.05) -> DataFrame:
     """Tickers that fell by ``drop`` on ``as_of``; empty unless that is a trading day of the frame."""
     today = F.lit(as_of).cast("date")
-    recent = bars.filter((F.col("d") <= today) & (F.col("d") >= F.date_sub(today, 10)))
+    # The date filter reaches the scan of the bars; ten days of them are then staged for both uses.
+    recent = stage(bars.filter((F.col("d") <= today) & (F.col("d") >= F.date_sub(today, 10))))
     return (
         daily_returns(recent, calendar(recent))
         .filter((F.col("d") == today) & (F.col("ret") <= -drop))

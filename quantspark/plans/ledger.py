@@ -148,7 +148,7 @@ def rule_fill(t):
        """WITH w AS (SELECT * FROM px_daily WHERE d<=DATE '2000-05-12' AND d>=DATE '2000-05-02'), c AS (SELECT d, LAG(d) OVER (ORDER BY d) AS p FROM (SELECT DISTINCT d FROM w))
        SELECT a.ticker, ABS(a.close/b.close-1) AS score FROM w a JOIN c ON c.d=a.d JOIN w b ON b.ticker=a.ticker AND b.d=c.p WHERE a.d=DATE '2000-05-12' AND a.close/b.close-1<=-0.05""")
 def dip_candidates(t):
-    return ru.dip_candidates(stage(dv.px_daily(t)), "2000-05-12")
+    return ru.dip_candidates(dv.px_daily(t), "2000-05-12")
 
 
 @query("streak_candidates", "H14 X7", "ticker s,score f",

@@ -48,7 +48,7 @@ def top_diverged(t):
         ret_win AS (SELECT b.ticker, b.d, b.close, b.close/p.close-1 AS ret FROM win b JOIN wc c ON c.d=b.d LEFT JOIN win p ON p.ticker=b.ticker AND p.d=c.prev_d), cum""")
        + " SELECT CASE WHEN z_score>0 THEN ticker_b ELSE ticker_a END AS ticker, MAX(ABS(z_score)) AS score FROM z WHERE correlation>=0.2 AND ABS(z_score)>=1.5 GROUP BY 1")
 def diverged_candidates(t):
-    return co.diverged_candidates(stage(dv.px_monthly(t)), "2001-10-01", 30, 0.2, 1.5)
+    return co.diverged_candidates(dv.px_monthly(t), "2001-10-01", 30, 0.2, 1.5)
 
 
 @query("beta", "A13", "ticker s,n i,beta f",
