@@ -47,7 +47,7 @@ def thin_articles(t):
 
 
 @query("html_text", "X2 L1 E5", "page_id i,text s",
-       r"""SELECT page_id, trim(replace(replace(replace(replace(regexp_replace(regexp_replace(html,'<[^>]+>',' ','g'),'\s+',' ','g'),'&quot;','"'),'&copy;','©'),'&middot;','·'),'&amp;','&')) AS text FROM pages""")
+       r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(html,'<[^>]+>',' ','g'),'\s+',' ','g'),'&quot;','"'),'&copy;','©'),'&middot;','·'),'&amp;?','&','g')) AS text FROM pages""")
 def html_text(t):
     return t.read("pages").select("page_id", strip_html(F.col("html")).alias("text"))
 
