@@ -36,8 +36,18 @@ CRITIC_RANGE = (0.7, 1.0)
 
 
 def _parsed(responses: DataFrame) -> DataFrame:
-    """Add ``_m``: the response's JSON object as field -> text, NULL if broken."""
-    return responses.withColumn("_m", F.from_json(json_blob(F.col("raw")), "map<string,string>"))
+    """Add ``_m``: the response's JSON object as field -> text, NULL if broken.
+
+    Parsed as the only element of an array, so text after a complete object
+    breaks it instead of being ignored.
+    """
+    return responses.withColumn("_m", _only_object("map<string,string>"))
+
+
+def _only_object(kind: str) -> Column:
+    wrapped = F.concat(F.lit("["), json_blob(F.col("raw")), F.lit("]"))
+    items = F.from_json(wrapped, f"array<{kind}>", {"allowSingleQuotes": "false"})
+    return F.when(F.size(items) == 1, F.get(items, 0))
 
 
 def _has(fields: list[str], holder: str | Column = "_m") -> Column:
@@ -63,6 +73,16 @@ def whole(value: Column) -> Column:
     return value.try_cast("double").try_cast("int")
 
 
+def _event_columns() -> dict[str, Column]:
+    """Importance and novelty by JSON type: text counts as a number only if it is a whole one,
+    and any text but the empty one counts as true."""
+    typed = _only_object("struct<importance: double, novel: boolean>")
+    text = F.when(_text("importance").rlike(r"^\s*[+-]?\d+\s*$"), whole(_text("importance")))
+    number = F.coalesce(typed["importance"].try_cast("int"), text)
+    novel = F.coalesce(typed["novel"], F.coalesce(~F.trim(_text("novel")).isin("0", "0.0", "", "[]", "{}", "null"), F.lit(False)))
+    return {"importance": F.coalesce(clamp(number, 0, 10), F.lit(0)), "novel": novel}
+
+
 def normalise_event(responses: DataFrame, valid: list[str]) -> DataFrame:
     """Article classification: tracked companies only, labels within their lists, importance 0-10."""
     return _parsed(responses).filter(_has(EVENT_FIELDS)).withColumn("_c", tracked_companies(_texts("companies"), valid)).select(
@@ -70,11 +90,11 @@ def normalise_event(responses: DataFrame, valid: list[str]) -> DataFrame:
         _text("event").alias("event"),
         F.col("_c").alias("companies"),
         enum_or(_text("event_type"), EVENT_TYPES, "other").alias("event_type"),
-        F.coalesce(clamp(whole(_text("importance")), 0, 10), F.lit(0)).alias("importance"),
+        _event_columns()["importance"].alias("importance"),
         enum_or(_text("time_horizon"), TIME_HORIZONS, "months").alias("time_horizon"),
         _texts("key_facts").alias("key_facts"),
         enum_or(_text("type"), ARTICLE_TYPES, "news").alias("type"),
-        truthy(_text("novel")).alias("novel"),
+        _event_columns()["novel"].alias("novel"),
         F.coalesce(_text("summary"), F.lit("")).alias("summary"),
     )
 
@@ -86,11 +106,11 @@ def normalise_known_company_event(responses: DataFrame) -> DataFrame:
         _text("event").alias("event"),
         F.array("ticker").alias("companies"),
         enum_or(_text("event_type"), EVENT_TYPES, "other").alias("event_type"),
-        F.coalesce(clamp(whole(_text("importance")), 0, 10), F.lit(0)).alias("importance"),
+        _event_columns()["importance"].alias("importance"),
         enum_or(_text("time_horizon"), TIME_HORIZONS, "months").alias("time_horizon"),
         _texts("key_facts").alias("key_facts"),
         F.lit("news").alias("type"),
-        truthy(_text("novel")).alias("novel"),
+        _event_columns()["novel"].alias("novel"),
     )
 
 

@@ -66,15 +66,18 @@ EVENT = '{"event": "e", "companies": ["B", "A", "A", "X"], "event_type": "%s", "
 
 
 def test_events(spark):
-    raws = [EVENT % ("earnings", '"11"', "true", ', "summary": "s"'), "Sure!\n" + EVENT % ("gossip", '"x"', "false", ', "summary": null') + " done", EVENT % ("capex", "3", "true", ""), "no json", "{broken", '{"a": 1}', None]
+    raws = [EVENT % ("earnings", '"11"', "true", ', "summary": "s"'), "Sure!\n" + EVENT % ("gossip", '"x"', "false", ', "summary": null') + " done", EVENT % ("capex", "3", "true", ""), "no json", "{broken", '{"a": 1}', None,
+            EVENT % ("earnings", "7", "true", ', "summary": "s"') + ' and {"b": 2}', (EVENT % ("earnings", "7", "true", ', "summary": "s"')).replace('"', "'"),
+            EVENT % ("earnings", '"7.5"', '"false"', ', "summary": "s"'), EVENT % ("earnings", "7.5", "0", ', "summary": "s"')]
     rows = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string")
     got = {r.i: r for r in cl.normalise_event(rows, ["A", "B"]).collect()}
-    assert set(got) == {0, 1}
+    assert set(got) == {0, 1, 9, 10}
+    assert [(got[i].importance, got[i].novel) for i in (9, 10)] == [(0, True), (7, False)]
     assert (got[0].companies, got[0].event_type, got[0].importance, got[0].novel) == (["A", "B"], "earnings", 10, True)
     assert (got[1].event_type, got[1].importance, got[1].novel, got[1].summary) == ("other", 0, False, "")
     filing = cl.normalise_known_company_event(rows.withColumn("ticker", F.lit("Q"))).filter("i = 2").first()
     assert filing.companies == ["Q"] and filing.type == "news"
-    assert ar.event_gate(cl.normalise_event(rows, ["A"])).count() == 1
+    assert sorted(r.i for r in ar.event_gate(cl.normalise_event(rows, ["A"])).collect()) == [0]
 
 
 def test_claims(spark):
