@@ -98,12 +98,12 @@ def test_logs(spark, tmp_path):
     write(tmp_path / "fund/A.json", json.dumps([{"date": "2024-01-01", "factors": {"Growth": {"revenue_growth": 0.1}}}]))
     assert logs.read_event_log(spark, "fundamentals", str(tmp_path / "fund")).first().factors["Growth"]["revenue_growth"] == 0.1
     write(tmp_path / "pf/p1/trades.csv", 'date,ticker,action,shares,price,note\n2024-01-02,A,BUY,1,2.5,"a, b"\n2024-01-01,A,BUY,1,2,x,r1\n')
-    write(tmp_path / "pf/p1/meta.json", '{"name": "p1", "initial_cash": 100.0, "created": "2024-01-01", "rules": {"loop_a": {"horizon": "any"}}}')
+    write(tmp_path / "pf/p1/meta.json", '{"name": "p1", "initial_cash": 100.0, "created": "2024-01-01", "rules": {"theses": {"horizon": "any"}}}')
     write(tmp_path / "pf/p1/positions.json", '[{"event": "created", "id": "i", "ticker": "A", "created": "2024-01-01"}]')
     rows = logs.read_trades(spark, str(tmp_path / "pf/*/trades.csv")).orderBy("seq").collect()
     assert [(r.portfolio, r.seq, r.note, r.rule, r.price) for r in rows] == [("p1", 1, "a, b", "", 2.5), ("p1", 2, "x", "r1", 2.0)]
     p = logs.read_portfolios(spark, str(tmp_path / "pf/*/meta.json")).first()
-    assert (p.portfolio, p.initial_cash, p.rules["loop_a"]["horizon"]) == ("p1", 100.0, "any")
+    assert (p.portfolio, p.initial_cash, p.rules["theses"]["horizon"]) == ("p1", 100.0, "any")
     assert logs.read_event_log(spark, "positions", str(tmp_path / "pf/*/positions.json")).first().portfolio == "p1"
     cfg = write(tmp_path / "config.json", json.dumps({"universe": {"A": {"name": "Apple", "sector": "Big Tech"}, "B": {"name": "Bee"}}, "news_sources": [{"name": "N", "url": "u", "active": True}, {"name": "O", "url": "v"}]}))
     assert sorted((r.ticker, r.sector) for r in logs.read_universe(spark, cfg).collect()) == [("A", "Big Tech"), ("B", "Other")]
