@@ -25,16 +25,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantspark.llm.decontamination import FOLD
 from quantspark.llm.rows import arrow_column, steps
 
 SAMPLE_ROWS = 6000
 BITS = 18
 DIMENSIONS = 8
-WINDOW = 12
+WINDOW = 4
 SIZES = (3, 4, 5, 6)
+#: N-grams of fewer training texts are left out; weight decay of a training step.
+MIN_TEXTS = 4
+DECAY = 0.02
 THRESHOLD = 0.3
 
+#: A-Z fold to a-z, every digit to 0, bytes of non-ASCII characters stay, everything else separates words.
+FOLD = bytes(b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+
 
 @dataclass
 class Grams:
@@ -90,47 +95,75 @@ def word_scores(grams: Grams, table: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     table: np.ndarray  # float32 per bucket
+    slope: float
     bias: float
     usable: bool
 
 
-def score_texts(texts: list[bytes], model: Model) -> np.ndarray:
-    if not model.usable:
-        return np.zeros(len(texts))
+def worst_windows(texts: list[bytes], table: np.ndarray) -> np.ndarray:
+    """The largest window mean of every text; 0 without words."""
     worst = np.full(len(texts), -np.inf)
     grams = grams_of(texts)
     if len(grams.text):
         begin = np.flatnonzero(np.diff(grams.window, prepend=-1))
-        mean = np.add.reduceat(word_scores(grams, model.table), begin) / np.diff(np.append(begin, len(grams.window)))
+        mean = np.add.reduceat(word_scores(grams, table), begin) / np.diff(np.append(begin, len(grams.window)))
         np.maximum.at(worst, grams.window_text, mean)
-    return _sigmoid(np.where(np.isfinite(worst), worst, 0.0) + model.bias)
+    return np.where(np.isfinite(worst), worst, 0.0)
+
+
+def score_texts(texts: list[bytes], model: Model) -> np.ndarray:
+    return _sigmoid(worst_windows(texts, model.table) * model.slope + model.bias) if model.usable else np.zeros(len(texts))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 4, epochs: int = 40, rate: float = 0.08) -> Model:
-    """Train embeddings and softmax jointly (Adam, whole sample per step).
+def calibrated(table: np.ndarray, texts: list[bytes], labels: np.ndarray) -> Model:
+    """Fit slope and bias of the worst window's logit on texts that did not train the table (Newton steps)."""
+    z = np.concatenate([worst_windows(part, table) for _, part in steps(texts)])
+    scale = max(float(np.abs(z).max()), 1e-9)
+    x = np.stack([z / scale, np.ones(len(z))], 1)
+    beta = np.zeros(2)
+    for _ in range(50):
+        p = _sigmoid(x @ beta)
+        gradient = x.T @ (labels - p) - 0.01 * beta
+        curve = (x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2)
+        beta += np.clip(np.linalg.solve(curve, gradient), -4, 4)
+    return Model(table, float(beta[0] / scale), float(beta[1]), True)
+
+
+def fit(texts: list[bytes], labels: np.ndarray) -> Model:
+    """Train on three quarters of the texts and calibrate on the rest, or on all where a class would be missing."""
+    nothing = Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, False)
+    labels = np.asarray(labels)
+    if not len(labels) or labels.min() == labels.max():
+        return nothing
+    kept = np.arange(len(texts)) % 4 != 3
+    if any(len(set(labels[part].tolist())) < 2 for part in (kept, ~kept)):
+        table = embed(texts, labels)
+        return calibrated(table, texts, labels)
+    table = embed([t for t, k in zip(texts, kept, strict=True) if k], labels[kept])
+    return calibrated(table, [t for t, k in zip(texts, kept, strict=True) if not k], labels[~kept])
+
+
+def embed(texts: list[bytes], labels: np.ndarray, rounds: int = 3, epochs: int = 30, rate: float = 0.08) -> np.ndarray:
+    """Train embeddings and softmax jointly (Adam, whole sample per step); gives one number per bucket.
 
     The gradient of a window's logit difference with respect to a bucket's embedding is its share of the
     window times the class difference, so only one number per bucket has to be gathered per step.
     """
-    nothing = Model(np.zeros(1 << BITS, np.float32), 0.0, False)
-    if not len(labels) or labels.min() == labels.max():
-        return nothing
     # Equal words share their n-grams: keep each distinct word once.
     lexicon: dict[bytes, int] = {}
-    of_word, of_window, window_text, empty = [], [], [], 0
+    of_word, of_window, window_text = [], [], []
     for i, t in enumerate(texts):
         words = t.translate(FOLD).split()
-        empty += not words
         of_word.append(np.fromiter((lexicon.setdefault(w, len(lexicon)) for w in words), np.int32, len(words)))
         windows = -(-len(words) // WINDOW)
         of_window.append(np.arange(len(words)) // WINDOW + len(window_text))
         window_text.extend([i] * windows)
     if not lexicon:
-        return nothing
+        return np.zeros(1 << BITS, np.float32)
     token, window, owner = np.concatenate(of_word), np.concatenate(of_window), np.array(window_text)
     words, word, bucket = list(lexicon), [], []
     base = 0
@@ -140,8 +173,15 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 4, epochs: int = 4
         bucket.append(grams.bucket)
         base += len(part)
     word, bucket = np.concatenate(word), np.concatenate(bucket)
-    used, bucket = np.unique(bucket, return_inverse=True)
+    # Buckets of n-grams that hardly any text has cannot teach anything: they keep a zero vector.
+    in_texts = np.zeros(len(words))
+    for ids in of_word:
+        in_texts[np.unique(ids)] += 1
+    support = np.bincount(bucket, in_texts[word], 1 << BITS)
     in_word = np.bincount(word, minlength=len(words)).astype(np.float32)
+    taught = support[bucket] >= MIN_TEXTS
+    word, bucket = word[taught], bucket[taught]
+    used, bucket = np.unique(bucket, return_inverse=True)
     in_window = np.bincount(window).astype(np.float32)
     n, m = len(in_window), len(used)
 
@@ -168,10 +208,11 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 4, epochs: int = 4
             toward = softmax[:, 1] - softmax[:, 0]
             slope = per_bucket @ vectors
             total = error.sum()
-            gradients = (np.outer(per_bucket, toward) * 30 + 1e-6 * vectors, np.stack([-slope, slope], 1) + 1e-4 * softmax, np.array([-total, total], np.float32))
+            gradients = (np.outer(per_bucket, toward), np.stack([-slope, slope], 1) + 1e-4 * softmax, np.array([-total, total], np.float32))
             for p, g, (mean, square) in zip((vectors, softmax, bias), gradients, state, strict=True):
                 mean += 0.1 * (g - mean)
                 square += 0.01 * (g * g - square)
+                p *= 1 - rate * DECAY
                 p -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
         if turn + 1 < rounds:
             # Only windows that stand out keep the label of a toxic text; each toxic text keeps its worst one.
@@ -184,7 +225,7 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 4, epochs: int = 4
             weight = np.where(toxic, min(0.3 / share, 20.0), np.where(labels[owner] == 1, 0.2, 1.0)).astype(np.float32)
     table = np.zeros(1 << BITS, np.float32)
     table[used] = vectors @ (softmax[:, 1] - softmax[:, 0])
-    return Model(table, float(bias[1] - bias[0]), True)
+    return table
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
@@ -206,5 +247,5 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 def toxicity(model: Model, spark):
     """A Column function: text -> probability that the text is toxic."""
-    sent = spark.sparkContext.broadcast((model.table, model.bias, model.usable))
+    sent = spark.sparkContext.broadcast((model.table, model.slope, model.bias, model.usable))
     return arrow_column(lambda texts: score_texts(texts, Model(*sent.value)).tolist(), "double", pa.float64())
