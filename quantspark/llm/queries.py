@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspark.llm import decontamination, langid, simhash, toxicity
-from quantspark.llm.rows import remainder, table
+from quantspark.llm import decontamination, langid, mixing, sharding, simhash, syncmers, toxicity
+from quantspark.llm.rows import remainder, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,15 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+@query
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Copies of every document in a mix of sources weighted 3, 1, 2."""
+    docs = table(spark, folder, "documents")
+    sized = stage(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")))
+    found = mixing.copies(sized, F.col("size"))
+    return found.select("doc_id", "size", "mix.source_size", "mix.target", (F.col("size") * F.col("mix.copies")).cast("long").alias("taken"))
+
+
 @query
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
@@ -56,3 +65,16 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     model = langid.train(docs.filter(~held_out))
     found = langid.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+@query
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Eight shards of nearly equal bytes."""
+    found = sharding.sharded(table(spark, folder, "documents"))
+    return found.withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query
+def op10_syncmers(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text."""
+    return syncmers.compare_with_next(table(spark, folder, "documents").select("doc_id", "text"))

@@ -80,7 +80,7 @@ def masks(level: int, radius: int = RADIUS) -> list[int]:
 
 def forest(bucket: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links inside each bucket; rows of a bucket lie together."""
-    n = len(prints)
+    n, bits = len(prints), prints.view(np.uint64)
     begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if n else np.zeros(0, int)
     size = np.diff(np.append(begin, n))
     rest = np.repeat(begin + size, size) - np.arange(n)  # rows of the bucket from here on
@@ -88,7 +88,7 @@ def forest(bucket: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndar
     active = np.flatnonzero(rest > 1)
     step = 1
     while len(active):
-        close = active[np.bitwise_count(prints[active] ^ prints[active + step]) <= radius]
+        close = active[np.bitwise_count(bits[active] ^ bits[active + step]) <= radius]
         a, b = close, close + step
         while len(a):
             la, lb = label[a], label[b]
