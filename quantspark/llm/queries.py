@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspark.llm import decontamination, langid, mixing, sharding, simhash, syncmers, toxicity
+from quantspark.llm import decontamination, langid, mixing, sharding, simhash, suffix_tree, syncmers, toxicity
 from quantspark.llm.rows import remainder, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,16 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op4_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every text, learned from rows whose id's remainder is not 0."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 10) == 0
+    tree, counts = suffix_tree.train(docs.filter(~held_out).select("text"))
+    found = suffix_tree.score(docs, tree, counts)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 @query
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark windows of 13 words found in every document."""

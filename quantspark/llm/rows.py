@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspark.session import stage  # noqa: F401  (re-exported: checkpoint into the shared folder)
+from quantspark.session import ensure_checkpoint_dir, stage  # noqa: F401  (stage is re-exported)
 
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -72,3 +73,14 @@ def arrow_column(function: Callable[[list[bytes]], list[dict] | list], returns:
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, returns).asNondeterministic()
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
+
+    Like :func:`stage`, for larger tables: columnar, compressed, with columns that later steps may skip.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quantspark.llm.rows import arrow_column, steps
 
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 BITS = 18
 DIMENSIONS = 8
 WINDOW = 4
