@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspark.llm import decontamination, langid, mixing, sharding, simhash, suffix_tree, syncmers, toxicity
+from quantspark.llm import decontamination, langid, licenses, mixing, sharding, simhash, suffix_tree, syncmers, toxicity
 from quantspark.llm.rows import remainder, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,13 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+@query
+def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and labels of every text."""
+    found = licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return licenses.summary(found).drop("text")
+
+
 @query
 def op10_syncmers(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every text and of its edited text."""
