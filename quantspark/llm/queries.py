@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspark.llm import decontamination, langid, licenses, mixing, sharding, simhash, suffix_tree, syncmers, toxicity
+from quantspark.llm import decontamination, langid, licenses, mixing, sharding, simhash, suffix_array, suffix_tree, syncmers, toxicity
 from quantspark.llm.rows import remainder, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,12 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+@query
+def op7_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every text that repeat 50 bytes of a document with a smaller id."""
+    return suffix_array.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))[0]
+
+
 @query
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Eight shards of nearly equal bytes."""
