@@ -59,7 +59,7 @@ class Automaton:
                 if i + 1 >= window:
                     state_of = self._cut(state)
                     self.whole.setdefault(state_of, set()).add(name)
-            if len(ids) < window:
+            if 0 < len(ids) < window:
                 short.setdefault(state, {}).setdefault(len(ids), set()).add(name)
                 self.least = min(self.least, len(ids))
         # The nearest state at or above each state (over suffix links) that ends a short window.

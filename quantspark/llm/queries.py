@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspark.llm import decontamination, langid, licenses, mixing, sharding, simhash, suffix_array, suffix_tree, syncmers, toxicity
+from quantspark.llm import decontamination, langid, licenses, mixing, oracles, sharding, simhash, suffix_array, suffix_tree, syncmers, toxicity
 from quantspark.llm.rows import remainder, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_mixing": oracles.MIXING, "op5_decontamination": oracles.DECONTAMINATION}
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]):
