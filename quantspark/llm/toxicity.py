@@ -11,7 +11,7 @@ texts keep it.
 Because the softmax is linear, scoring needs one number per n-gram bucket: its embedding times the
 difference of the two class weights. That table has 2**BITS floats and is what tasks receive.
 
-Defined cases: a null or word-free text gets the score of an empty window; labels that are null are
+Defined cases: a null or word-free text scores as the median clean text; labels that are null are
 left out, several labels of one id count as toxic if any is; without labels of both classes every
 score is 0.
 """
@@ -97,22 +97,26 @@ class Model:
     table: np.ndarray  # float32 per bucket
     slope: float
     bias: float
+    empty: float  # stands for the worst window of a text without words
     usable: bool
 
 
 def worst_windows(texts: list[bytes], table: np.ndarray) -> np.ndarray:
-    """The largest window mean of every text; 0 without words."""
+    """The largest window mean of every text; NaN without words."""
     worst = np.full(len(texts), -np.inf)
     grams = grams_of(texts)
     if len(grams.text):
         begin = np.flatnonzero(np.diff(grams.window, prepend=-1))
         mean = np.add.reduceat(word_scores(grams, table), begin) / np.diff(np.append(begin, len(grams.window)))
         np.maximum.at(worst, grams.window_text, mean)
-    return np.where(np.isfinite(worst), worst, 0.0)
+    return np.where(np.isfinite(worst), worst, np.nan)
 
 
 def score_texts(texts: list[bytes], model: Model) -> np.ndarray:
-    return _sigmoid(worst_windows(texts, model.table) * model.slope + model.bias) if model.usable else np.zeros(len(texts))
+    if not model.usable:
+        return np.zeros(len(texts))
+    z = worst_windows(texts, model.table)
+    return _sigmoid(np.where(np.isnan(z), model.empty, z) * model.slope + model.bias)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -122,7 +126,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def calibrated(table: np.ndarray, texts: list[bytes], labels: np.ndarray) -> Model:
     """Fit slope and bias of the worst window's logit on texts that did not train the table (Newton steps)."""
     z = np.concatenate([worst_windows(part, table) for _, part in steps(texts)])
-    scale = max(float(np.abs(z).max()), 1e-9)
+    z, labels = z[~np.isnan(z)], labels[~np.isnan(z)]
+    scale = max(float(np.abs(z).max(initial=0)), 1e-9)
     x = np.stack([z / scale, np.ones(len(z))], 1)
     beta = np.zeros(2)
     for _ in range(50):
@@ -130,12 +135,13 @@ def calibrated(table: np.ndarray, texts: list[bytes], labels: np.ndarray) -> Mod
         gradient = x.T @ (labels - p) - 0.01 * beta
         curve = (x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2)
         beta += np.clip(np.linalg.solve(curve, gradient), -4, 4)
-    return Model(table, float(beta[0] / scale), float(beta[1]), True)
+    clean = z[labels == 0]
+    return Model(table, float(beta[0] / scale), float(beta[1]), float(np.median(clean)) if len(clean) else 0.0, True)
 
 
 def fit(texts: list[bytes], labels: np.ndarray) -> Model:
     """Train on three quarters of the texts and calibrate on the rest, or on all where a class would be missing."""
-    nothing = Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, False)
+    nothing = Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, 0.0, False)
     labels = np.asarray(labels)
     if not len(labels) or labels.min() == labels.max():
         return nothing
@@ -247,5 +253,5 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 def toxicity(model: Model, spark):
     """A Column function: text -> probability that the text is toxic."""
-    sent = spark.sparkContext.broadcast((model.table, model.slope, model.bias, model.usable))
+    sent = spark.sparkContext.broadcast((model.table, model.slope, model.bias, model.empty, model.usable))
     return arrow_column(lambda texts: score_texts(texts, Model(*sent.value)).tolist(), "double", pa.float64())
