@@ -93,3 +93,14 @@ def sector_groups(universe: DataFrame) -> DataFrame:
 def universe(picks: DataFrame, excluded: list[str]) -> DataFrame:
     """First name per ticker over the categories kept; ``picks`` is (category, name, ticker, ord)."""
     return picks.filter(~F.col("category").isin(*excluded)).groupBy("ticker").agg(F.min_by("name", "ord").alias("name"))
+
+
+def name_pairs(universe: DataFrame) -> DataFrame:
+    """(name, ticker) pairs under which a ticker may be met: its display name and itself."""
+    return universe.select("name", "ticker").union(universe.select("ticker", "ticker")).distinct()
+
+
+def display_names(pairs: DataFrame) -> DataFrame:
+    """One name per ticker: the first real name, else the ticker itself."""
+    rank = F.struct((F.col("name") == F.col("ticker")).alias("bare"), "name")
+    return pairs.groupBy("ticker").agg(F.min_by("name", rank).alias("name"))

@@ -63,9 +63,19 @@ def _texts(field: str) -> Column:
     return F.coalesce(F.from_json(_text(field), "array<string>"), F.array().cast("array<string>"))
 
 
-def truthy(value: Column) -> Column:
-    """False for null, false, zero and empty values, true otherwise."""
-    return F.coalesce(~F.lower(F.trim(value)).isin("false", "0", "0.0", "", "[]", "{}", "null"), F.lit(False))
+def truthy(holder: Column, field: str) -> Column:
+    """Truth of a JSON field by its type: null, false, zero and empty values are false.
+
+    ``holder`` is the object as VARIANT, so the text ``"false"`` is told from the literal and is true.
+    """
+    value = F.try_variant_get(holder, f"$.{field}", "variant")
+    kind, text = F.schema_of_variant(value), F.try_variant_get(holder, f"$.{field}", "string")
+    number = F.try_variant_get(holder, f"$.{field}", "double")
+    found = (
+        F.when(kind == "STRING", text != "").when(kind == "BOOLEAN", text == "true").when(kind == "VOID", F.lit(False))
+        .when(kind.startswith("ARRAY"), text != "[]").when(kind.startswith("OBJECT"), text != "{}").otherwise(number != 0)
+    )
+    return F.coalesce(found, F.lit(False))
 
 
 def whole(value: Column) -> Column:
@@ -116,15 +126,19 @@ def normalise_known_company_event(responses: DataFrame) -> DataFrame:
 
 def _claim_items(responses: DataFrame) -> DataFrame:
     items = F.from_json(_text("claims"), "array<map<string,string>>")
-    exploded = _parsed(responses).withColumn("_item", F.explode(items)).drop("_m")
+    typed = F.from_json(_text("claims"), "array<variant>")
+    exploded = _parsed(responses).select(*responses.columns, F.explode(F.arrays_zip(items.alias("text"), typed.alias("typed"))).alias("_both"))
+    exploded = exploded.select(*responses.columns, F.col("_both.text").alias("_item"), F.col("_both.typed").alias("_typed"))
     item = lambda f: F.col("_item")[f]
-    trade = truthy(item("trade_worthy"))
+    trade = truthy(F.col("_typed"), "trade_worthy")
     usable = (
         F.coalesce(_has(CLAIM_FIELDS, "_item"), F.lit(False))
         & F.coalesce(item("direction").isin(*DIRECTIONS), F.lit(False))
         & (~trade | _has(TRADE_FIELDS, "_item"))
+        & item("confidence").try_cast("double").isNotNull() & whole(item("importance")).isNotNull()
+        & (~trade | (whole(item("expected_horizon_days")).isNotNull() & item("expected_return_pct").try_cast("double").isNotNull()))
     )
-    return exploded.withColumn("_trade", trade).withColumn("usable", F.coalesce(usable, F.lit(False)))
+    return exploded.withColumn("_trade", trade).withColumn("usable", F.coalesce(usable, F.lit(False))).drop("_typed")
 
 
 def normalise_claims(responses: DataFrame) -> DataFrame:
@@ -174,7 +188,7 @@ def normalise_thesis(responses: DataFrame) -> DataFrame:
         _texts("catalysts").alias("catalysts"),
         _texts("invalidation").alias("invalidation"),
         _text("reasoning").alias("reasoning"),
-    )
+    ).filter("confidence IS NOT NULL AND expected_return_pct IS NOT NULL AND expected_horizon_days IS NOT NULL")
 
 
 def normalise_critic(responses: DataFrame) -> DataFrame:
@@ -184,7 +198,7 @@ def normalise_critic(responses: DataFrame) -> DataFrame:
         clamp(_text("multiplier").try_cast("double"), *CRITIC_RANGE).alias("multiplier"),
         _texts("concerns").alias("concerns"),
         _text("reasoning").alias("reasoning"),
-    )
+    ).filter("multiplier IS NOT NULL")
 
 
 def normalise_fundamental(responses: DataFrame) -> DataFrame:
@@ -195,7 +209,7 @@ def normalise_fundamental(responses: DataFrame) -> DataFrame:
         _text("summary").alias("summary"),
         _texts("key_changes").alias("key_changes"),
         _texts("risks").alias("risks"),
-    )
+    ).filter("fundamental_confidence IS NOT NULL")
 
 
 def normalise_earnings_call(responses: DataFrame) -> DataFrame:
@@ -209,20 +223,21 @@ def normalise_earnings_call(responses: DataFrame) -> DataFrame:
         _texts("key_qa_moments").alias("key_qa_moments"),
         _texts("risks").alias("risks"),
         _text("summary").alias("summary"),
-    )
+    ).filter("earnings_confidence IS NOT NULL")
 
 
 def normalise_macro(responses: DataFrame, with_direction: bool = True) -> DataFrame:
-    out = _parsed(responses).filter(_has(["narrative"])).select(
-        *responses.columns, "_m", _text("narrative").alias("narrative"), truthy(_text("has_clear_driver")).alias("has_clear_driver")
+    typed = _parsed(responses).withColumn("_v", _only_object("variant"))
+    out = typed.filter(_has(["narrative"])).select(
+        *responses.columns, "_m", "_v", _text("narrative").alias("narrative"), truthy(F.col("_v"), "has_clear_driver").alias("has_clear_driver")
     )
     if with_direction:
         out = (
             out.withColumn("direction", enum_or(_text("direction"), ["bullish", "bearish", "neutral"], "neutral"))
             .withColumn("confidence", enum_or(_text("confidence"), ["low", "medium", "high"], "low"))
-            .withColumn("trade_worthy", truthy(_text("trade_worthy")))
+            .withColumn("trade_worthy", truthy(F.col("_v"), "trade_worthy"))
         )
-    return out.drop("_m")
+    return out.drop("_m", "_v")
 
 
 def claim_counts(claims: DataFrame, *by: str) -> DataFrame:

@@ -67,7 +67,7 @@ def factor_table(
     bars: DataFrame, benchmark: DataFrame, today, momentum_weeks: int = 12,
 ) -> DataFrame:
     """Sixteen raw factors per ticker of ``info``."""
-    price = momentum(bars, benchmark, momentum_weeks * 7)
+    price = momentum(bars.filter(F.col("d") <= F.lit(today).cast("date")), benchmark, momentum_weeks * 7)
     latest = price.groupBy("ticker").agg(F.max_by(F.struct("momentum", "relative_strength"), "d").alias("_m")).select(
         "ticker", "_m.momentum", "_m.relative_strength"
     )

@@ -35,18 +35,16 @@ def dip_candidates(bars: DataFrame, as_of, drop: float = 0.05) -> DataFrame:
     )
 
 
-def streak_candidates(earnings: DataFrame, as_of, low: float = 0.0, high: float = 2.0, limit: int = 8) -> DataFrame:
+def streak_candidates(earnings: DataFrame, as_of, low: float = 0.0, high: float = 2.0) -> DataFrame:
     """Two mild beats in a row, on the last business day before the next report.
 
     Scored by closeness to the middle of the range, at least 0.01.
     """
     today = F.lit(as_of).cast("date")
     middle, half = (low + high) / 2, max((high - low) / 2, 1e-9)
-    newest = F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("earnings_date").desc()))
-    known = earnings.withColumn("_n", newest).filter(F.col("_n") <= limit)
-    upcoming = known.filter(F.to_date("earnings_date") > today).groupBy("ticker").agg(F.min(F.to_date("earnings_date")).alias("_next"))
+    upcoming = earnings.filter(F.to_date("earnings_date") > today).groupBy("ticker").agg(F.min(F.to_date("earnings_date")).alias("_next"))
     due = upcoming.filter(business_gap_is_empty(today, F.col("_next")))
-    past = known.join(due, "ticker").filter((F.to_date("earnings_date") < F.col("_next")) & F.col("reported_eps").isNotNull())
+    past = earnings.join(due, "ticker").filter((F.to_date("earnings_date") < F.col("_next")) & F.col("reported_eps").isNotNull())
     back = F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("earnings_date").desc()))
     two = past.withColumn("_r", back).filter("_r <= 2").groupBy("ticker").agg(
         F.count("surprise_pct").alias("_c"), F.min("surprise_pct").alias("_lo"), F.max("surprise_pct").alias("_hi"), F.avg("surprise_pct").alias("_avg")

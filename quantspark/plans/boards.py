@@ -7,6 +7,7 @@ from quantspark.operators import macro as mc
 from quantspark.plans import derived as dv
 from quantspark.plans.base import query
 from quantspark.plans.research import _ITEMS, _claims
+from quantspark.session import stage
 
 # key, order, label, cadence, unit, transform, delta format, chart days, longer chart days
 SERIES = [
@@ -94,9 +95,9 @@ def card_marks(t):
     return cd.marked(dv.marks(t))
 
 
-@query("unread_cards", "J19", "card_id s", _FEED + " SELECT card_id FROM fd WHERE card_id NOT IN (SELECT card_id FROM fd WHERE importance>=5)")
+@query("unread_cards", "J19", "card_id s", _FEED + " SELECT card_id FROM (SELECT card_id, bool_or(coalesce(importance>=5,false)) OVER (PARTITION BY card_id) AS seen FROM fd) WHERE NOT seen")
 def unread_cards(t):
-    feed = _feed(t)
+    feed = stage(_feed(t))
     return cd.unread(feed, feed.filter("importance >= 5").select(F.col("card_id").alias("card")))
 
 

@@ -109,15 +109,15 @@ SQL: dict[str, str] = {
     "trade_px": """SELECT o_orderpriority AS ticker, CAST(o_orderdate AS DATE) AS d, ROUND(SUM(o_totalprice)/COUNT(*)/1000+3e-10,6) AS close
         FROM orders WHERE isodow(o_orderdate)<=4 GROUP BY 1,2""",
     "portfolios": """SELECT c_mktsegment AS portfolio, ROUND(SUM(c_acctbal),2) AS initial_cash, DATE '1996-01-01' AS created FROM customer GROUP BY 1""",
-    "rule_held": """SELECT c_mktsegment AS portfolio, o_orderstatus AS rule, concat('Brand#',CAST(1+o_custkey%25 AS VARCHAR)) AS ticker,
+    "rule_held": """SELECT c_mktsegment AS portfolio, o_orderstatus AS rule, concat('Brand#',CAST(1+8*(o_orderkey%3)+SUM(o_custkey)%8 AS VARCHAR)) AS ticker,
         CAST(COUNT(*) AS DOUBLE) AS shares, ROUND(AVG(o_totalprice)/1000+3e-10,6) AS avg_cost, CAST(MAX(o_orderdate) AS DATE) AS entry_date
-        FROM orders JOIN customer ON c_custkey=o_custkey GROUP BY 1,2,3 HAVING COUNT(*)%4=0""",
-    "rule_candidates": """SELECT o_orderstatus AS rule, concat('Brand#',CAST(1+o_custkey%25 AS VARCHAR)) AS ticker, ROUND(AVG(o_totalprice)/1000+3e-10,6) AS score
-        FROM orders GROUP BY 1,2 HAVING COUNT(*)%3<>0""",
+        FROM orders JOIN customer ON c_custkey=o_custkey GROUP BY 1,2,o_orderkey%3""",
+    "rule_candidates": """SELECT o_orderstatus AS rule, concat(CASE WHEN COUNT(*)%3=0 THEN 'Gone#' ELSE 'Brand#' END,CAST(1+o_custkey%25 AS VARCHAR)) AS ticker, ROUND(AVG(o_totalprice)/1000+3e-10,6) AS score
+        FROM orders GROUP BY 1,o_custkey%25""",
     "thesis_now": """SELECT p_brand AS ticker, CASE WHEN COUNT(*)%4=0 THEN 'short' ELSE 'long' END AS direction,
         ROUND(AVG(p_retailprice)/2000+(COUNT(*)%7)/14.0+3e-10,6) AS confidence, CAST(7+(COUNT(*)*13)%700 AS INT) AS expected_horizon_days FROM part GROUP BY 1""",
-    "thesis_held": """SELECT c_mktsegment AS portfolio, concat('Brand#',CAST(1+o_custkey%25 AS VARCHAR)) AS ticker, CAST(COUNT(*) AS DOUBLE) AS shares,
-        ROUND(AVG(o_totalprice)/1000+3e-10,6) AS avg_cost FROM orders JOIN customer ON c_custkey=o_custkey WHERE o_orderstatus='P' GROUP BY 1,2 HAVING COUNT(*)%3=0""",
+    "thesis_held": """SELECT c_mktsegment AS portfolio, concat('Brand#',CAST(1+4*(o_custkey%6)+SUM(o_custkey)%4 AS VARCHAR)) AS ticker, CAST(COUNT(*) AS DOUBLE) AS shares,
+        ROUND(AVG(o_totalprice)/1000+3e-10,6) AS avg_cost FROM orders JOIN customer ON c_custkey=o_custkey GROUP BY 1,o_custkey%6""",
     "position_events": """SELECT 'created' AS event, CAST(o_orderkey AS VARCHAR) AS id, c_mktsegment AS portfolio, concat('Brand#',CAST(1+o_custkey%25 AS VARCHAR)) AS ticker,
           CAST(o_orderdate AS DATE) AS created, CAST(30+o_orderkey%300 AS INT) AS expected_horizon_days, NULL::DATE AS closed_date, NULL::DOUBLE AS actual_return_pct, o_orderkey*2 AS seq
           FROM orders JOIN customer ON c_custkey=o_custkey
@@ -141,17 +141,17 @@ SQL: dict[str, str] = {
           '{"event": "', md5(d.text),
           '", "companies": ["T', CAST(d.doc_id%30 AS VARCHAR), '", "ZZ", "T', CAST(d.doc_id%13 AS VARCHAR),
           '"], "event_type": "', CASE WHEN d.doc_id%5=0 THEN 'rumour' ELSE 'earnings' END,
-          '", "importance": ', CASE WHEN d.doc_id%17=0 THEN '"many"' ELSE CAST(2*l.quality + d.doc_id%12 AS VARCHAR) END,
+          '", "importance": ', CASE WHEN d.doc_id%17=0 THEN '"many"' ELSE CAST(2*coalesce(l.quality,0) + d.doc_id%12 AS VARCHAR) END,
           ', "time_horizon": "', CASE WHEN d.doc_id%4=0 THEN 'weeks' ELSE 'years' END,
           '", "key_facts": ["f1", "f2"], "type": "', CASE WHEN d.doc_id%3=0 THEN 'analysis' ELSE 'blog' END,
-          '", "novel": ', CASE WHEN l.toxic=0 THEN 'true' ELSE 'false' END,
+          '", "novel": ', CASE WHEN coalesce(l.toxic,0)=0 THEN 'true' ELSE 'false' END,
           CASE WHEN d.doc_id%19=0 THEN '' ELSE ', "summary": "s"' END,
           ', "claims": [{"claim": "c', CAST(d.doc_id AS VARCHAR), 'a", "trade_worthy": true, "direction": "',
           CASE WHEN d.doc_id%6=0 THEN 'up' ELSE 'long' END, '", "confidence": ', CASE WHEN d.doc_id%8=0 THEN '1.4' ELSE '0.6' END,
           ', "importance": ', CAST(d.doc_id%15 AS VARCHAR), ', "expected_return_pct": 4.5',
           CASE WHEN d.doc_id%9=0 THEN '' ELSE concat(', "expected_horizon_days": ', CAST(d.doc_id%900 AS VARCHAR)) END,
           '}, {"claim": "c', CAST(d.doc_id AS VARCHAR), 'b", "trade_worthy": false, "direction": "short", "confidence": 0.3, "importance": 4, "context": "x"}]}')
-        END AS raw FROM documents d JOIN labels l ON l.doc_id=d.doc_id""",
+        END AS raw FROM documents d LEFT JOIN labels l ON l.doc_id=d.doc_id""",
 }
 
 
@@ -458,17 +458,22 @@ def _customer_orders(t) -> DataFrame:
 
 
 def rule_held(t) -> DataFrame:
+    """Three positions per portfolio and rule; every order counts in one of them."""
+    third = (F.col("o_orderkey") % 3).alias("third")
     return (
-        _customer_orders(t).groupBy("portfolio", F.col("o_orderstatus").alias("rule"), "ticker")
-        .agg(F.count("*").cast("double").alias("shares"), _six(F.avg("o_totalprice") / 1000).alias("avg_cost"), F.to_date(F.max("o_orderdate")).alias("entry_date"))
-        .filter("shares % 4 = 0")
+        _customer_orders(t).groupBy("portfolio", F.col("o_orderstatus").alias("rule"), third)
+        .agg(F.count("*").cast("double").alias("shares"), _six(F.avg("o_totalprice") / 1000).alias("avg_cost"), F.to_date(F.max("o_orderdate")).alias("entry_date"), F.sum("o_custkey").alias("_s"))
+        .withColumn("ticker", F.concat(F.lit("Brand#"), (1 + 8 * F.col("third") + F.col("_s") % 8).cast("string")))
+        .select("portfolio", "rule", "ticker", "shares", "avg_cost", "entry_date")
     )
 
 
 def rule_candidates(t) -> DataFrame:
     return (
-        t.read("orders").groupBy(F.col("o_orderstatus").alias("rule"), _brand_of_customer().alias("ticker"))
-        .agg(_six(F.avg("o_totalprice") / 1000).alias("score"), F.count("*").alias("_n")).filter("_n % 3 <> 0").drop("_n")
+        t.read("orders").groupBy(F.col("o_orderstatus").alias("rule"), (F.col("o_custkey") % 25).alias("_b"))
+        .agg(_six(F.avg("o_totalprice") / 1000).alias("score"), F.count("*").alias("_n"))
+        .withColumn("ticker", F.concat(F.when(F.col("_n") % 3 == 0, "Gone#").otherwise("Brand#"), (1 + F.col("_b")).cast("string")))
+        .select("rule", "ticker", "score")
     )
 
 
@@ -483,8 +488,10 @@ def thesis_now(t) -> DataFrame:
 
 def thesis_held(t) -> DataFrame:
     return (
-        _customer_orders(t).filter("o_orderstatus = 'P'").groupBy("portfolio", "ticker")
-        .agg(F.count("*").cast("double").alias("shares"), _six(F.avg("o_totalprice") / 1000).alias("avg_cost")).filter("shares % 3 = 0")
+        _customer_orders(t).groupBy("portfolio", (F.col("o_custkey") % 6).alias("_b"))
+        .agg(F.count("*").cast("double").alias("shares"), _six(F.avg("o_totalprice") / 1000).alias("avg_cost"), F.sum("o_custkey").alias("_s"))
+        .withColumn("ticker", F.concat(F.lit("Brand#"), (1 + 4 * F.col("_b") + F.col("_s") % 4).cast("string")))
+        .select("portfolio", "ticker", "shares", "avg_cost")
     )
 
 
@@ -580,7 +587,8 @@ def responses(t) -> DataFrame:
         F.lit('}, {"claim": "c'), num(k),
         F.lit('b", "trade_worthy": false, "direction": "short", "confidence": 0.3, "importance": 4, "context": "x"}]}'),
     )
-    return docs.join(labels, "doc_id").select(
+    known = docs.join(labels, "doc_id", "left").fillna(0, ["quality", "toxic"])
+    return known.select(
         F.concat(F.lit("http://a/"), num(k)).alias("link"),
         F.concat(F.lit("T"), num(k % 30)).alias("ticker"),
         "source",

@@ -19,7 +19,7 @@ WEIGHTS = {"Growth": 2.0, "Valuation": 1.0, "Quality": 1.0, "Momentum": 3.0, "Se
 _TECH_TAIL = px._TECH.removeprefix("WITH ")
 
 _TABLE = f"""WITH {_TECH_TAIL},
-    lt AS (SELECT * FROM tech QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY d DESC)=1),
+    lt AS (SELECT * FROM tech WHERE d<=DATE '{TODAY}' QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY d DESC)=1),
     rt AS (SELECT ticker, MAX(sh) FILTER (period='0m') - MAX(sh) FILTER (period='-3m') AS v FROM (SELECT ticker, period, (strongBuy+buy)/nullif(strongBuy+buy+hold+sell+strongSell,0) AS sh FROM rec_trend) GROUP BY 1),
     nu AS (SELECT ticker, COUNT(*) FILTER (action='up')-COUNT(*) FILTER (action='down') AS v FROM analyst WHERE grade_date>=DATE '{TODAY}' - INTERVAL 90 DAY GROUP BY 1),
     hf AS (SELECT ticker, AVG(pct_change)*100 AS v FROM holders GROUP BY 1),

@@ -86,9 +86,9 @@ def analyst_summary(t):
     return pit.analyst_summary(dv.analyst(t), latest_price(dv.px_daily(t), "1998-06-30"), "1998-06-01", "1998-06-30")
 
 
-@query("analyst_candidates", "H15", "ticker s,score f4", _SUMMARY + " SELECT ticker, upside_pct AS score FROM j WHERE up+maintain>=down AND upside_pct>=20")
+@query("analyst_candidates", "H15", "ticker s,score f4", _SUMMARY.replace("1998-06-23", "1998-06-20") + " SELECT ticker, upside_pct AS score FROM j WHERE up+maintain>=down AND upside_pct>=20")
 def analyst_candidates(t):
-    return pit.analyst_candidates(dv.analyst(t), latest_price(dv.px_daily(t), "1998-06-30"), "1998-06-30", "1998-06-01")
+    return pit.analyst_candidates(dv.analyst(t), latest_price(dv.px_daily(t), "1998-06-30", 10), "1998-06-30", "1998-06-01")
 
 
 @query("net_upgrades_live", "A3", "ticker s,net_upgrades f",
@@ -158,12 +158,11 @@ def yoy_ttm(t):
 
 
 @query("latest_instant", "W18 P5", "ticker s,date d,value f2",
-       f"""WITH {_GRID}, {_DEDUP}, k AS (SELECT g.ticker, g.date, h.end_d, h.val, h.filed FROM grid g JOIN dd h ON h.ticker=g.ticker AND h.filed<=g.date WHERE h.form='10-Q'),
+       f"""WITH {_GRID}, {_DEDUP}, k AS (SELECT g.ticker, g.date, h.end_d, h.val, h.filed FROM grid g JOIN dd h ON h.ticker=g.ticker AND h.filed<=g.date ),
        one AS (SELECT * FROM k QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker,date ORDER BY end_d DESC, filed)=1)
        SELECT g.ticker, g.date, o.val AS value FROM grid g LEFT JOIN one o ON o.ticker=g.ticker AND o.date=g.date""")
 def latest_instant(t):
-    quarters = fa.dedup_facts(_facts(t)).filter("form = '10-Q'")
-    line = fa.instant_timeline(quarters)
+    line = fa.instant_timeline(fa.dedup_facts(_facts(t)))
     return asof(grid(t).withColumn("concept", F.lit("revenue")), stage(line), ["ticker", "concept"], "date", "d", {"value": "value"})
 
 

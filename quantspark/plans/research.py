@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quantspark.functions.dates import in_earnings_window, iso_week_key, is_monthly_day, is_weekly_day, month_end_label, month_key
+from quantspark.functions.dates import iso_week_key, is_monthly_day, is_weekly_day, month_end_label, month_key
 from quantspark.functions.formats import compact_dollars, dollar_scale, factor_text
 from quantspark.functions.text import known_ticker, split_transcript, stable_id, strip_html
 from quantspark.operators import articles as ar
@@ -142,11 +142,12 @@ def claim_counts(t):
 
 
 _THESES = _ITEMS + """, te AS (SELECT ticker, 0.5+(COUNT(*)%5)/10.0 AS confidence, CAST(7+COUNT(*)%50 AS INT) AS expected_horizon_days FROM responses GROUP BY 1),
-    l2 AS (SELECT * FROM bc QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY created DESC, id)<=200),
-    e AS (SELECT ticker, COUNT(DISTINCT source_link) AS sources, COUNT(*) AS claims_considered, MAX(created) AS newest FROM l2 GROUP BY 1),
+    e AS (SELECT ticker, COUNT(DISTINCT source_link) AS sources, COUNT(*) AS claims_considered, MAX(created) AS newest FROM bc GROUP BY 1),
     f AS (SELECT te.*, e.sources, e.claims_considered, date_diff('day', e.newest, DATE '2024-08-01') AS age_days FROM te JOIN e ON e.ticker=te.ticker),
     fl AS (SELECT *, (CASE WHEN sources=1 THEN 0.9 ELSE 1 END)*(CASE WHEN confidence>=0.75 AND claims_considered<3 THEN 0.85 ELSE 1 END)*(CASE WHEN age_days>expected_horizon_days THEN 0.85 ELSE 1 END) AS deterministic_multiplier,
-      (sources=1)::INT+(confidence>=0.75 AND claims_considered<3)::INT+(age_days>expected_horizon_days)::INT AS n_flags FROM f)"""
+      concat_ws(';', CASE WHEN sources=1 THEN 'one article is the only evidence' END,
+        CASE WHEN confidence>=0.75 AND claims_considered<3 THEN concat(CAST(claims_considered AS VARCHAR),' claims are thin evidence for ',printf('%.0f',confidence*100),'% confidence') END,
+        CASE WHEN age_days>expected_horizon_days THEN concat('no claim in ',CAST(age_days AS VARCHAR),' days, horizon is ',CAST(expected_horizon_days AS VARCHAR),' days') END) AS flags FROM f)"""
 
 
 def _theses(t):
@@ -154,9 +155,9 @@ def _theses(t):
     return dv.responses(t).groupBy("ticker").agg((0.5 + (n % 5) / 10.0).alias("confidence"), (7 + n % 50).cast("int").alias("expected_horizon_days"))
 
 
-@query("critic_flags", "A16 T5", "ticker s,sources i,claims_considered i,age_days i,deterministic_multiplier f,n_flags i", _THESES + " SELECT * FROM fl")
+@query("critic_flags", "A16 T5", "ticker s,sources i,claims_considered i,age_days i,deterministic_multiplier f,flags s", _THESES + " SELECT * FROM fl")
 def critic_flags(t):
-    return th.critic_flags(_theses(t), _claims(t), "2024-08-01").withColumn("n_flags", F.size("deterministic_flags"))
+    return th.critic_flags(_theses(t), _claims(t), "2024-08-01").withColumn("flags", F.concat_ws(";", "deterministic_flags"))
 
 
 @query("final_confidence", "L7", "ticker s,pre_critic_confidence f,critic_multiplier f,confidence f",
@@ -168,11 +169,15 @@ def final_confidence(t):
     return th.final_confidence(flagged, reviews)
 
 
-@query("claim_inputs", "L11 T5", "ticker s,n i,first_claim s,last_claim s",
-       _THESES + " SELECT ticker, COUNT(*) AS n, arg_min(claim, (created, id)) AS first_claim, arg_max(claim, (created, id)) AS last_claim FROM l2 GROUP BY 1")
+@query("claim_inputs", "L11", "ticker s,position i,id s,created d,claim s,importance i",
+       _ITEMS + " SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY created, id) AS position FROM bc")
 def claim_inputs(t):
-    rows = th.claim_inputs(_claims(t))
-    return rows.select("ticker", F.size("claims").alias("n"), F.element_at("claims", 1)["claim"].alias("first_claim"), F.element_at("claims", -1)["claim"].alias("last_claim"))
+    return th.claim_inputs(_claims(t))
+
+
+@query("newest_claims", "T5", "ticker s,id s,created d", _ITEMS + " SELECT * FROM bc QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY created DESC, id)<=10")
+def newest_claims(t):
+    return th.latest_claims(_claims(t), 10)
 
 
 _LOG2 = "WITH l AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY date DESC, seq DESC) AS n FROM thesis_log WHERE event='aggregated')"
@@ -194,12 +199,12 @@ def latest_theses(t):
 
 
 @query("currently_holding", "J18", "ticker s,holding b,created d",
-       _LOG2 + """, op AS (SELECT ticker, MAX(created) AS created FROM position_events c WHERE event='created' AND portfolio='BUILDING' AND expected_horizon_days>=325 AND NOT EXISTS (SELECT 1 FROM position_events x WHERE x.event='closed' AND x.id=c.id) GROUP BY 1)
+       _LOG2 + """, op AS (SELECT ticker, MAX(created) AS created FROM position_events c WHERE event='created' AND portfolio='BUILDING' AND NOT EXISTS (SELECT 1 FROM position_events x WHERE x.event='closed' AND x.id=c.id) GROUP BY 1)
        SELECT l.ticker, op.created IS NOT NULL AS holding, op.created FROM l LEFT JOIN op ON op.ticker=l.ticker WHERE n=1""")
 def currently_holding(t):
     from quantspark.operators.positions import load_positions
 
-    held = load_positions(dv.position_events(t)).filter("expected_horizon_days >= 325 and status = 'open'")
+    held = load_positions(dv.position_events(t)).filter("status = 'open'")
     newest = th.latest_per_key(held, ["portfolio", "ticker"], ["created", "id"])
     return th.currently_holding(th.latest_theses(dv.thesis_log(t)), newest, "BUILDING")
 
@@ -221,27 +226,27 @@ def orphan_claims(t):
 
 
 @query("earnings_refresh_due", "L9 X8", "ticker s,earnings_date d",
-       "SELECT ticker, MIN(earnings_date) AS earnings_date FROM earnings WHERE DATE '1998-07-31' BETWEEN earnings_date - INTERVAL 1 DAY AND earnings_date + INTERVAL 2 DAY AND ticker<>'Brand#3' GROUP BY 1")
+       "SELECT ticker, MIN(earnings_date) AS earnings_date FROM earnings WHERE DATE '1998-07-31' BETWEEN earnings_date - INTERVAL 1 DAY AND earnings_date + INTERVAL 1 DAY AND NOT (ticker LIKE 'Brand#1%' AND earnings_date=DATE '1998-07-31') GROUP BY 1")
 def earnings_refresh_due(t):
     reports = dv.earnings(t)
-    near = reports.filter(in_earnings_window(F.lit("1998-07-31").cast("date"), F.col("earnings_date"), 1, 2))
-    done = t.spark.createDataFrame([("Brand#3",)], "ticker string")
-    return near.groupBy("ticker").agg(F.min("earnings_date").alias("earnings_date")).join(done, "ticker", "left_anti")
+    on_day = F.to_date("earnings_date") == F.lit("1998-07-31").cast("date")
+    done = reports.filter(F.col("ticker").like("Brand#1%") & on_day).select("ticker", F.to_date("earnings_date").alias("earnings_date"))
+    return th.earnings_refresh_due(reports, done, "1998-07-31")
 
 
-_SLUG = "concat('<a href=\"/earnings/call-transcripts/2024/', lpad(CAST(1+page_id%12 AS VARCHAR),2,'0'), '/', lpad(CAST(1+page_id%28 AS VARCHAR),2,'0'), '/acme-corp-t', CAST(page_id%40 AS VARCHAR), '-q', CAST(1+page_id%4 AS VARCHAR), '-2024-earnings-call-', CAST(page_id AS VARCHAR), '/\">x</a>')"
+_SLUG = "concat('<a href=\"/earnings/call-transcripts/2024/', lpad(CAST(1+length(html)%12 AS VARCHAR),2,'0'), '/', lpad(CAST(1+length(url)%28 AS VARCHAR),2,'0'), '/acme-corp-t', CAST(length(html)%40 AS VARCHAR), '-q', CAST(1+length(html)%4 AS VARCHAR), '-2024-earnings-call-', CAST(page_id AS VARCHAR), '/\">x</a>')"
 
 
 @query("transcript_index", "S25 X5", "ticker s,transcript_date d,path s",
-       f"""WITH p AS (SELECT page_id, {_SLUG} AS html FROM pages),
-       r AS (SELECT concat('t',CAST(page_id%40 AS VARCHAR)) AS ticker, make_date(2024, CAST(1+page_id%12 AS INT), CAST(1+page_id%28 AS INT)) AS transcript_date, regexp_extract(html,'href="([^"]+)"',1) AS path FROM p)
+       f"""WITH p AS (SELECT length(html) AS h, length(url) AS u, {_SLUG} AS link FROM pages),
+       r AS (SELECT concat('t',CAST(h%40 AS VARCHAR)) AS ticker, make_date(2024, CAST(1+h%12 AS INT), CAST(1+u%28 AS INT)) AS transcript_date, regexp_extract(link,'href="([^"]+)"',1) AS path FROM p)
        SELECT ticker, MAX(transcript_date) AS transcript_date, arg_max(path, (transcript_date, path)) AS path FROM r GROUP BY 1""")
 def transcript_index(t):
-    k = F.col("page_id")
+    k, h, u = F.col("page_id"), F.length("html"), F.length("url")
     two = lambda v: F.lpad(v.cast("string"), 2, "0")
     link = F.concat(
-        F.lit('<a href="/earnings/call-transcripts/2024/'), two(1 + k % 12), F.lit("/"), two(1 + k % 28), F.lit("/acme-corp-t"), (k % 40).cast("string"),
-        F.lit("-q"), (1 + k % 4).cast("string"), F.lit("-2024-earnings-call-"), k.cast("string"), F.lit('/">x</a>'),
+        F.lit('<a href="/earnings/call-transcripts/2024/'), two(1 + h % 12), F.lit("/"), two(1 + u % 28), F.lit("/acme-corp-t"), (h % 40).cast("string"),
+        F.lit("-q"), (1 + h % 4).cast("string"), F.lit("-2024-earnings-call-"), k.cast("string"), F.lit('/">x</a>'),
     )
     return ar.transcript_index(t.read("pages").select(F.concat("html", link).alias("html")))
 
@@ -290,10 +295,10 @@ def factor_texts(t):
     return rows.select("ticker", *[factor_text(F.lit(f), F.col(f)).alias(a) for f, a in (("revenue_growth", "growth"), ("forward_pe", "pe"), ("operating_margin", "margin"))])
 
 
-@query("filing_tickers", "X20", "ticker s,n i", "SELECT substr(source,4) AS ticker, COUNT(*) AS n FROM documents WHERE doc_id%2=0 GROUP BY 1")
+@query("filing_tickers", "X20", "ticker s,n i", "SELECT CASE WHEN doc_id%2=0 THEN substr(source,4) END AS ticker, COUNT(*) AS n FROM documents GROUP BY 1")
 def filing_tickers(t):
-    tagged = t.read("documents").select(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("SEC 8-K: "), F.substring("source", 4, 20))).otherwise(F.col("source")).alias("source"))
-    return tagged.select(known_ticker(F.col("source")).alias("ticker")).filter("ticker is not null").groupBy("ticker").agg(F.count("*").alias("n"))
+    tagged = t.read("documents").select(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("SEC 8-K: "), F.substr("source", F.lit(4)))).otherwise(F.col("source")).alias("source"))
+    return tagged.select(known_ticker(F.col("source")).alias("ticker")).groupBy("ticker").agg(F.count("*").alias("n"))
 
 
 @query("card_ids", "X1", "c_custkey i,id s", "SELECT c_custkey, substr(sha1(concat(c_name,'|',c_mktsegment,'|',CAST(c_nationkey AS VARCHAR))),1,16) AS id FROM customer")

@@ -34,8 +34,10 @@ def claim_counts(claims: DataFrame) -> DataFrame:
 
 
 def new_articles(articles: DataFrame, late: str = "183 days") -> DataFrame:
-    """Each link once. Undated articles take their arrival time before the watermark."""
-    dated = articles.withColumn("event_time", F.coalesce(F.col("published").cast("timestamp"), F.current_timestamp()))
+    """Each link once. Event time is the publication, but never later than the arrival: a date in the far
+    future must not move the watermark past everything that follows. Undated articles take the arrival."""
+    now = F.current_timestamp()
+    dated = articles.withColumn("event_time", F.least(F.coalesce(F.col("published").cast("timestamp"), now), now))
     return dated.withWatermark("event_time", late).dropDuplicatesWithinWatermark(["link"])
 
 

@@ -54,12 +54,14 @@ def test_formats(spark):
         ff.factor_text(F.lit("revenue_growth"), F.lit(0.12)).alias("a"), ff.factor_text(F.lit("forward_pe"), F.lit(24.13)).alias("b"), ff.factor_text(F.lit("insider_flow"), F.lit(-1234.0)).alias("c"),
         ff.macro_delta_text(F.lit("bps"), F.lit(0.05)).alias("d"), ff.macro_value_text(F.lit("usd"), F.lit(1234.5)).alias("e")).first()
     assert tuple(row) == ("+12.0%", "24.1x", "$-1,234", "+5 bps", "$1,234.50")
-    assert ff.metric_label("price_vs_ma") == "Price vs MA" and ff.metric_label("trailing_pe") == "Trailing PE"
+    labels = spark.range(1).select(ff.metric_label(F.lit("price_vs_ma")).alias("a"), ff.metric_label(F.lit("trailing_pe")).alias("b")).first()
+    assert tuple(labels) == ("Price vs MA", "Trailing PE")
 
 
-def test_display_names_keep_a_ticker_named_after_itself():
-    names = ft.universe_names({"AAPL": "Apple", "SPCX": "SPCX"})
-    assert names == {"Apple": "AAPL", "AAPL": "AAPL", "SPCX": "SPCX"} and ft.display_names(names) == {"AAPL": "Apple", "SPCX": "SPCX"}
+def test_display_names_keep_a_ticker_named_after_itself(spark):
+    pairs = cd.name_pairs(spark.createDataFrame([("AAPL", "Apple"), ("SPCX", "SPCX")], "ticker string, name string"))
+    assert {(r.name, r.ticker) for r in pairs.collect()} == {("Apple", "AAPL"), ("AAPL", "AAPL"), ("SPCX", "SPCX")}
+    assert {(r.ticker, r.name) for r in cd.display_names(pairs).collect()} == {("AAPL", "Apple"), ("SPCX", "SPCX")}
 
 
 EVENT = '{"event": "e", "companies": ["B", "A", "A", "X"], "event_type": "%s", "importance": %s, "time_horizon": "weeks", "key_facts": ["f"], "type": "news", "novel": %s%s}'
