@@ -84,3 +84,19 @@ def shared_table(df: DataFrame) -> DataFrame:
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed_table(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """Like :func:`shared_table`, bucketed by ``keys``: joins and groups on exactly these keys do not shuffle it.
+
+    The catalogue entry is dropped at once; the frame that is returned still knows the buckets.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = f"bucketed_{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    df.write.bucketBy(max(1, buckets), *keys).option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # noqa: B018  (resolves the table before its entry goes)
+    spark.sql(f"DROP TABLE {name}")
+    return table

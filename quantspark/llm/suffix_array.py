@@ -2,14 +2,16 @@
 
 Every byte covered by a string of LENGTH bytes that also starts in a document with a smaller id goes.
 
-1. Anchors. Of the GRAM-byte grams inside a window of LENGTH bytes the one with the least hash is the
-   window's anchor, so equal windows have equal anchors. Tasks send hashes, in packed blocks by hash
-   bucket, and learn which anchors occur in different texts. An anchor that a single task already saw in
-   more than LOCAL texts is hot: its task keeps it and sends one marker.
-2. Segments. Only the windows of anchors that occur elsewhere matter: the text from the first to the
-   last of them is a segment. Each task first sorts its own segments and drops what they settle, then
-   sends the rest to the bucket of the anchor, or of the single window where the anchor is hot, so no
-   bucket holds a large group.
+1. Runs. Of the GRAM-byte grams inside a window of LENGTH bytes the one with the least hash names the
+   window, so equal windows have equal names; neighbouring windows of one name are a run. Tasks send the
+   name and a 64-bit hash of the run's bytes, in packed blocks by bucket of the name. Runs with equal
+   bytes are one class: all but the smallest id are repeats as a whole. A class whose name occurs with other
+   bytes too must be compared; for that its smallest id is enough. Each task settles its own classes
+   first. A name with more than LOCAL classes in one step is hot: the task sends one marker and treats its
+   classes as to be compared.
+2. Segments. The texts of the classes to be compared go to the bucket of their name, or window by window
+   to the bucket of the window where the name is hot, so no bucket holds a large group. Texts are
+   written once, bucketed by id, so that no later join shuffles them.
 3. Sorting. In a bucket the suffixes at window starts are sorted in two stages: suffixes smaller than
    their successors directly, the others by bucket scans over the first byte, which place the
    predecessor of each sorted suffix. Common prefixes of neighbours then tell which windows are equal;
@@ -31,16 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantspark.llm.rows import shared_table, stage, steps, to_bytes
+from quantspark.llm.rows import bucketed_table, shared_table, stage, steps, to_bytes
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1  # grams in a window
+NAME_BITS = 40
 LOCAL = 48
 #: Input bytes per bucket of the two exchanges, and segment bytes sorted at once.
 BUCKET_BYTES, SORT_BYTES = 8 << 20, 2 << 20
+#: Input bytes per bucket of the written texts.
+TABLE_BYTES = 16 << 20
 PAD = 56  # bytes of a sort key, seven words
 NO_ID = (1 << 63) - 1
-HASH_BITS = 48
 
 
 def _slide(a: np.ndarray, pick) -> np.ndarray:
@@ -52,18 +56,22 @@ def _slide(a: np.ndarray, pick) -> np.ndarray:
     return pick(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Joined bytes, start of each text, places of anchors, their hashes, and the least hash of every window.
+#: Odd multiplier, its inverse modulo 2**64, and a random number per byte: a sum over places is a text hash.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
 
-    Windows that do not lie in one text have 0 for the least hash.
-    """
-    a = np.frombuffer(b"".join(texts), np.uint8)
+
+def runs(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Joined bytes, and per run of windows: text number, first and last window (in the text), name, hash."""
+    raw = b"".join(texts)
+    a = np.frombuffer(raw, np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     starts = np.cumsum(sizes) - sizes
+    none = np.zeros(0, np.int64)
     if len(a) < LENGTH:
-        none = np.zeros(0, np.int64)
-        return a, starts, none, none.astype(np.uint64), none.astype(np.uint64)
-    h, power, by_size = a.astype(np.uint64) + np.uint64(1), 0x9E3779B97F4A7C15, {}
+        return raw, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    h, power, by_size = a.astype(np.uint64) + np.uint64(1), BASE, {}
     for width in (1, 2, 4, 8):  # hashes of 2, 4, 8 and 16 bytes from their halves
         by_size[width] = h
         h = h[:-width] * np.uint64(power) + h[width:]
@@ -71,29 +79,30 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     m = len(a) - GRAM + 1
     h = h[:m] * np.uint64(0xD6E8FEB86659FD93) + by_size[8][16:][:m]
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = ((h ^ (h >> np.uint64(29))) >> np.uint64(64 - HASH_BITS)) | np.uint64(1)
+    h = ((h ^ (h >> np.uint64(29))) >> np.uint64(64 - NAME_BITS)) | np.uint64(1)
     least = _slide(h, np.minimum)  # one per window
-    ok = np.zeros(len(least) + 1, np.int32)
+    inside = np.zeros(len(least) + 1, np.int32)
     long = sizes >= LENGTH
-    np.add.at(ok, starts[long], 1)
-    np.add.at(ok, (starts + sizes - LENGTH + 1)[long], -1)
-    least = np.where(np.cumsum(ok[:-1]) > 0, least, np.uint64(0))
-    edge = np.zeros(SPAN - 1, np.uint64)
-    most = _slide(np.concatenate([edge, least, edge]), np.maximum)  # over the windows that contain each gram
-    at = np.flatnonzero(most[: len(h)] == h)
-    return a, starts, at, h[at], least
-
-
-def segments(least: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last window of each anchor: those whose least hash is its own."""
-    windows = np.concatenate([np.zeros(SPAN - 1, np.uint64), least, np.zeros(SPAN - 1, np.uint64)])
-    first, last = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-    for i in range(0, len(at), 1 << 16):
-        part = slice(i, i + (1 << 16))
-        own = windows[at[part, None] + np.arange(SPAN)] == hashes[part, None]
-        first[part] = at[part] - (SPAN - 1) + own.argmax(1)
-        last[part] = at[part] - own[:, ::-1].argmax(1)
-    return first, last
+    np.add.at(inside, starts[long], 1)
+    np.add.at(inside, (starts + sizes - LENGTH + 1)[long], -1)
+    least = np.where(np.cumsum(inside[:-1]) > 0, least, np.uint64(0))  # 0: not in one text
+    begin = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    end = np.append(begin[1:], len(least))
+    real = least[begin] > 0
+    begin, end = begin[real], end[real]
+    # Hash of the bytes of each run, from the first byte of its first window to the last of its last.
+    powers, inverse, total = (np.zeros(len(a) + 1, np.uint64) for _ in range(3))
+    for array, factor in ((powers, BASE), (inverse, INVERSE)):
+        array[0], array[1:] = 1, factor
+        np.cumprod(array, out=array)
+    np.cumsum(BYTES[a] * powers[:-1], out=total[1:])
+    last = end - 1 + LENGTH
+    x = (total[last] - total[begin]) * inverse[begin] + (last - begin).astype(np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x ^= x >> np.uint64(29)
+    owner = np.searchsorted(starts, begin, "right") - 1
+    # Empty texts share their start with the next one, which the search already prefers.
+    return raw, owner, begin - starts[owner], end - 1 - starts[owner], least[begin], x
 
 
 def two_stage(u: np.ndarray, need: np.ndarray, smaller: np.ndarray) -> np.ndarray:
@@ -176,59 +185,70 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
-# ---------------------------------------------------------------- 1. anchors
+# ---------------------------------------------------------------- 1. runs
+
+BLOCK_SCHEMA = "bucket int, kind int, ids binary, marks binary, names binary, hashes binary, owners binary"
+REPLY_SCHEMA = "doc_id long, mark long, kind int, hashes binary"
+#: What a text learns about a class of its runs.
+REPEATED, COMPARE, HOT = 0, 1, 2
+MARKER, ENTRY = 3, 4
 
-ANCHOR_SCHEMA = "bucket int, ids binary, marks binary, hashes binary, owners binary, hot boolean"
-REPLY_SCHEMA = "doc_id long, mark long, hashes binary, hot boolean"
 
+def _classes(names, hashes, ids, marks):
+    """Sort by class, id and mark. Gives the order, class number, class sizes and first places, smallest id of each class."""
+    order = np.lexsort((marks, ids, hashes, names))
+    n, h = names[order], hashes[order]
+    new = np.concatenate(([True], (n[1:] != n[:-1]) | (h[1:] != h[:-1])))
+    first = np.flatnonzero(new)
+    return order, np.cumsum(new) - 1, first
 
-def _send_anchors(buckets: int):
-    """Blocks of (hash, text) by bucket. A block without owners marks its hashes as hot."""
 
-    def block(bucket, ids, marks, hashes, owners, hot) -> list:
-        return [bucket, ids.tobytes(), marks.tobytes(), hashes.tobytes(), owners.tobytes(), hot]
+def _send_runs(buckets: int):
+    """Blocks of classes by bucket; replies that a step can give itself travel with them."""
+    fields = ["bucket", "kind", "ids", "marks", "names", "hashes", "owners"]
+    types = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+
+    def replies(kind, ids, marks, owner, hashes) -> list[list]:
+        order = np.argsort(owner, kind="stable")
+        owner, hashes = owner[order], hashes[order]
+        out = []
+        for piece in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1):
+            if len(piece):
+                t = owner[piece[0]]
+                out.append([int(marks[t]) % buckets, kind, ids[[t]].tobytes(), marks[[t]].tobytes(), b"", np.unique(hashes[piece]).tobytes(), b""])
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_ids, all_marks = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("mark").to_numpy(zero_copy_only=False)
             for start, part in steps(to_bytes(batch.column("text")), 2 << 20):
                 ids, marks = all_ids[start : start + len(part)], all_marks[start : start + len(part)]
-                # Equal texts of a step are one text; the smallest id speaks for it.
-                first = np.lexsort((ids, marks))
-                first = np.sort(first[np.concatenate(([True], marks[first][1:] != marks[first][:-1]))]) if len(first) else first
-                ids, marks = ids[first], marks[first]
-                a, starts, at, hashes, _ = anchors([part[i] for i in first])
-                if not len(at):
+                _, owner, _, _, names, hashes = runs(part)
+                if not len(owner):
                     continue
-                owner = np.searchsorted(starts, at, "right") - 1
-                order = np.lexsort((owner, hashes))
-                hashes, owner = hashes[order], owner[order]
-                new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])))
-                hashes, owner = hashes[new], owner[new]
-                begin = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
-                many = np.diff(np.append(begin, len(hashes)))
+                order, number, first = _classes(names, hashes, ids[owner], marks[owner])
+                owner, names, hashes = owner[order], names[order], hashes[order]
+                least = ids[owner][first][number]
+                repeated = ids[owner] > least
+                rows = replies(REPEATED, ids, marks, owner[repeated], hashes[repeated])
+                lead = first  # one text speaks for each class
+                begin = np.flatnonzero(np.concatenate(([True], names[lead][1:] != names[lead][:-1])))
+                many = np.diff(np.append(begin, len(lead)))
                 hot = np.repeat(many > LOCAL, many)
-                rows = []
-                none = np.zeros(0, np.int64)
-                where = (hashes % np.uint64(buckets)).astype(np.int64)
-                marker = hashes[begin][many > LOCAL]
-                for kind, bucket_of, h, o in ((False, where[~hot], hashes[~hot], owner[~hot]), (True, (marker % np.uint64(buckets)).astype(np.int64), marker, None)):
-                    order = np.argsort(bucket_of, kind="stable")
-                    cuts = np.searchsorted(bucket_of[order], np.arange(buckets + 1))
+                rows += replies(HOT, ids, marks, owner[lead[hot]], hashes[lead[hot]])
+                where = (names % np.uint64(buckets)).astype(np.int64)
+                for kind, chosen in ((MARKER, lead[begin][many > LOCAL]), (ENTRY, lead[~hot])):
+                    chosen = chosen[np.argsort(where[chosen], kind="stable")]
+                    cuts = np.searchsorted(where[chosen], np.arange(buckets + 1))
                     for b in np.flatnonzero(np.diff(cuts)).tolist():
-                        own = order[cuts[b] : cuts[b + 1]]
-                        if kind:
-                            rows.append(block(b, none, none, h[own], none, True))
+                        own = chosen[cuts[b] : cuts[b + 1]]
+                        short = (names[own] // np.uint64(buckets)).astype(np.uint32)
+                        if kind == MARKER:
+                            rows.append([b, kind, b"", b"", short.tobytes(), b"", b""])
                         else:
-                            used, local = np.unique(o[own], return_inverse=True)
-                            rows.append(block(b, ids[used], marks[used], h[own], local.astype(np.uint32), False))
-                if hot.any():  # settled here: the reply to each text travels on as it is
-                    order = np.argsort(owner[hot], kind="stable")
-                    texts, h = owner[hot][order], hashes[hot][order]
-                    for piece in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(texts)) + 1):
-                        t = texts[piece[0]]
-                        rows.append(block(int(abs(int(marks[t])) % buckets), ids[[t]], marks[[t]], h[piece], np.zeros(len(piece), np.uint32), True))
-                yield _blocks(rows, ["bucket", "ids", "marks", "hashes", "owners", "hot"], [pa.int32(), *[pa.binary()] * 4, pa.bool_()])
+                            used, local = np.unique(owner[own], return_inverse=True)
+                            rows.append([b, kind, ids[used].tobytes(), marks[used].tobytes(), short.tobytes(), hashes[own].tobytes(), local.astype(np.uint32 if len(used) > 65_535 else np.uint16).tobytes()])
+                yield _blocks(rows, fields, types)
 
     return run
 
@@ -252,42 +272,39 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], key: str = "bucket") -> Iterat
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text of a bucket: its hashes that other texts have too."""
-    names, types = ["doc_id", "mark", "hashes", "hot"], [pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+    """Per text of a bucket: its repeated classes and those to be compared."""
+    fields, types = ["doc_id", "mark", "kind", "hashes"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     for rows in _by_bucket(batches):
-        out = []
-        hashes, ids, marks, hot_hashes = [], [], [], []
+        out, parts, hot_names = [], [], []
         for r in rows:
-            h = np.frombuffer(r["hashes"], np.uint64)
-            if r["hot"]:
-                if r["ids"]:
-                    out.append([int(np.frombuffer(r["ids"], np.int64)[0]), int(np.frombuffer(r["marks"], np.int64)[0]), r["hashes"], True])
-                else:
-                    hot_hashes.append(h)
-                continue
-            own = np.frombuffer(r["owners"], np.uint32)
-            hashes.append(h)
-            ids.append(np.frombuffer(r["ids"], np.int64)[own])
-            marks.append(np.frombuffer(r["marks"], np.int64)[own])
-        if hashes:
-            h, i, m = np.concatenate(hashes), np.concatenate(ids), np.concatenate(marks)
-            hot = np.unique(np.concatenate(hot_hashes)) if hot_hashes else np.zeros(0, np.uint64)
-            order = np.lexsort((m, h))
-            h, i, m = h[order], i[order], m[order]
-            begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            many = np.diff(np.append(begin, len(h)))
-            differ = np.add.reduceat(np.concatenate(([0], (m[1:] != m[:-1]) & (h[1:] == h[:-1]))), begin)  # other texts
-            is_hot = np.isin(h[begin], hot) | (many > LOCAL * 8)
-            for flag, chosen in ((True, is_hot), (False, ~is_hot & (differ > 0))):
-                pick = np.repeat(chosen, many)
-                hh, ii, mm = h[pick], i[pick], m[pick]
-                order = np.lexsort((mm, ii))
-                hh, ii, mm = hh[order], ii[order], mm[order]
-                for piece in np.split(np.arange(len(hh)), np.flatnonzero((np.diff(ii) != 0) | (np.diff(mm) != 0)) + 1):
+            if r["kind"] == MARKER:
+                hot_names.append(np.frombuffer(r["names"], np.uint32))
+            elif r["kind"] == ENTRY:
+                ids, names = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["names"], np.uint32)
+                own = np.frombuffer(r["owners"], np.uint32 if len(ids) > 65_535 else np.uint16)
+                parts.append((names, np.frombuffer(r["hashes"], np.uint64), ids[own], np.frombuffer(r["marks"], np.int64)[own]))
+            else:
+                out.append([int(np.frombuffer(r["ids"], np.int64)[0]), int(np.frombuffer(r["marks"], np.int64)[0]), r["kind"], r["hashes"]])
+        if parts:
+            names, hashes, ids, marks = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order, number, first = _classes(names, hashes, ids, marks)
+            names, hashes, ids, marks = names[order], hashes[order], ids[order], marks[order]
+            repeated = ids > ids[first][number]
+            begin = np.flatnonzero(np.concatenate(([True], names[first][1:] != names[first][:-1])))
+            many = np.diff(np.append(begin, len(first)))  # classes of each name
+            hot = np.isin(names[first][begin], np.unique(np.concatenate(hot_names))) if hot_names else np.zeros(len(begin), bool)
+            hot |= many > 8 * LOCAL
+            lead = np.zeros(len(names), bool)
+            lead[first] = True
+            of_name = np.repeat(np.arange(len(begin)), many)[number]
+            for kind, chosen in ((REPEATED, repeated), (HOT, lead & hot[of_name]), (COMPARE, lead & ~hot[of_name] & (many > 1)[of_name])):
+                at = np.flatnonzero(chosen)
+                at = at[np.lexsort((marks[at], ids[at]))]
+                for piece in np.split(at, np.flatnonzero((np.diff(ids[at]) != 0) | (np.diff(marks[at]) != 0)) + 1):
                     if len(piece):
-                        out.append([int(ii[piece[0]]), int(mm[piece[0]]), hh[piece].tobytes(), flag])
+                        out.append([int(ids[piece[0]]), int(marks[piece[0]]), kind, hashes[piece].tobytes()])
         if out:
-            yield _blocks(out, names, types)
+            yield _blocks(out, fields, types)
 
 
 # ---------------------------------------------------------------- 2. segments
@@ -322,62 +339,61 @@ def _ranges(ids, marks, begins, places, flags) -> list[list]:
 
 
 def _send_segments(buckets: int):
-    """Settle a step's own segments, then send the windows that are left. Settled ranges go to bucket -1."""
+    """Settle what a step can, send the windows that must be compared. Settled ranges go to bucket -1."""
+
+    def known(lists) -> np.ndarray:
+        return np.concatenate([np.frombuffer(x, np.uint64) for x in lists]) if lists else np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, types = ["bucket", "ids", "marks", "begins", "sizes", "routes", "bytes"], [pa.int32(), *[pa.binary()] * 6]
         for batch in batches:
-            columns = {n: batch.column(n).to_pylist() for n in ("doc_id", "mark", "normal", "hot")}
+            columns = {n: batch.column(n).to_pylist() for n in ("doc_id", "mark", "repeated", "compare", "hot")}
             for start, part in steps(to_bytes(batch.column("text")), 2 << 20):
-                a, starts, at, hashes, least = anchors(part)
-                owner = np.searchsorted(starts, at, "right") - 1
-                chosen, hot = np.zeros(len(at), bool), np.zeros(len(at), bool)
+                raw, owner, first, last, name, hashes = runs(part)
+                offset = np.concatenate(([0], np.cumsum([len(p) for p in part])))
                 bounds = np.searchsorted(owner, np.arange(len(part) + 1))
+                status = np.full(len(owner), -1, np.int8)
+                settled: list[list[int]] = []
                 for t in range(len(part)):
-                    own = hashes[bounds[t] : bounds[t + 1]]
-                    for name in ("normal", "hot"):
-                        blobs = columns[name][start + t]
-                        if blobs:
-                            found = np.isin(own, np.concatenate([np.frombuffer(b, np.uint64) for b in blobs]))
-                            chosen[bounds[t] : bounds[t + 1]] |= found
-                            if name == "hot":
-                                hot[bounds[t] : bounds[t + 1]] |= found
-                at, owner, hashes, hot = at[chosen], owner[chosen], hashes[chosen], hot[chosen]
-                if not len(at):
-                    continue
-                first, last = segments(least, at, hashes)
-                raw = a.tobytes()
-                parts = [raw[b:e] for b, e in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)]
-                doc = np.array(columns["doc_id"][start : start + len(part)], np.int64)[owner]
-                mark = np.array(columns["mark"][start : start + len(part)], np.int64)[owner]
-                begin = first - starts[owner]
-                settled, left = [], []
-                for places, flags in _sorted_ranges(doc, mark, begin, hashes, parts):
-                    settled.extend(_ranges(doc, mark, begin, places, flags))
-                    for i, f in zip(places.tolist(), flags, strict=True):
-                        free = ~f
-                        if hot[i]:
-                            left.extend((i, int(w), int(w) + LENGTH, True) for w in np.flatnonzero(free))
-                        else:
-                            left.extend((i, int(b), int(e) - 1 + LENGTH, False) for b, e in zip(*_runs(free), strict=True))
+                    own = slice(bounds[t], bounds[t + 1])
+                    for kind, column in ((COMPARE, "compare"), (HOT, "hot"), (REPEATED, "repeated")):
+                        if columns[column][start + t]:
+                            status[own][np.isin(hashes[own], known(columns[column][start + t]))] = kind
+                    at = np.flatnonzero(status[own] == REPEATED) + bounds[t]
+                    if len(at):  # neighbouring runs make one range
+                        cutting = np.flatnonzero(first[at][1:] > last[at][:-1] + LENGTH) + 1
+                        for piece in np.split(at, cutting):
+                            settled.append([columns["doc_id"][start + t], columns["mark"][start + t], int(first[piece[0]]), int(last[piece[-1]]) + LENGTH])
+                chosen = np.flatnonzero(status > REPEATED)
+                left = []
+                if len(chosen):
+                    first, last, name, hot, of = first[chosen], last[chosen], name[chosen], status[chosen] == HOT, owner[chosen]
+                    parts = [raw[b:e] for b, e in zip((offset[of] + first).tolist(), (offset[of] + last + LENGTH).tolist(), strict=True)]
+                    doc = np.array(columns["doc_id"][start : start + len(part)], np.int64)[of]
+                    mark = np.array(columns["mark"][start : start + len(part)], np.int64)[of]
+                    for places, flags in _sorted_ranges(doc, mark, first, name, parts):
+                        settled.extend(_ranges(doc, mark, first, places, flags))
+                        for i, f in zip(places.tolist(), flags, strict=True):
+                            if hot[i]:
+                                left.extend((i, w, w + LENGTH, True) for w in np.flatnonzero(~f).tolist())
+                            else:
+                                left.extend((i, int(b), int(e) - 1 + LENGTH, False) for b, e in zip(*_runs(~f), strict=True))
                 rows = []
                 if settled:
-                    s = np.array(settled, np.int64)
-                    rows.append([-1, s[:, 0].tobytes(), s[:, 1].tobytes(), s[:, 2].tobytes(), s[:, 3].tobytes(), b"", b""])
+                    x = np.array(settled, np.int64)
+                    rows.append([-1, x[:, 0].tobytes(), x[:, 1].tobytes(), x[:, 2].tobytes(), x[:, 3].tobytes(), b"", b""])
                 if left:
                     pieces = [parts[i][b:e] for i, b, e, _ in left]
-                    index = np.array([x[0] for x in left])
-                    offset = np.array([x[1] for x in left])
-                    alone = np.array([x[3] for x in left])
-                    route = hashes[index].copy()
-                    for j in np.flatnonzero(alone).tolist():
+                    index, at = np.array([x[0] for x in left]), np.array([x[1] for x in left])
+                    route = name[index].copy()
+                    for j in np.flatnonzero([x[3] for x in left]).tolist():
                         route[j] = int.from_bytes(hashlib.blake2b(pieces[j], digest_size=8).digest(), "little")
                     bucket = (route % np.uint64(buckets)).astype(np.int64)
                     order = np.argsort(bucket, kind="stable")
                     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
                     for b in np.flatnonzero(np.diff(cuts)).tolist():
                         own = order[cuts[b] : cuts[b + 1]]
-                        rows.append(_pack(b, doc[index[own]], mark[index[own]], begin[index[own]] + offset[own], route[own], [pieces[j] for j in own]))
+                        rows.append(_pack(b, doc[index[own]], mark[index[own]], first[index[own]] + at[own], route[own], [pieces[j] for j in own]))
                 if rows:
                     yield _blocks(rows, names, types)
 
@@ -438,22 +454,14 @@ def cut(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, list[tuple[i
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a text come together: its ranges, then the text itself."""
     names = ["doc_id", "mark", "n_removed", "n_spans", "kept_sha256", "kept"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-    current, ranges = None, []
     for batch in batches:
         out = []
-        for doc_id, mark, begin, end, text in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "mark", "begin", "end", "text")), strict=True):
-            if (doc_id, mark) != current:
-                current, ranges = (doc_id, mark), []
-            if text is None:
-                ranges.append((begin, end))
-            elif ranges:
-                kept, merged = cut(text, ranges)
-                out.append([doc_id, mark, sum(e - b for b, e in merged), len(merged), hashlib.sha256(kept).hexdigest(), kept])
-        if out:
-            yield _blocks(out, names, types)
+        for doc_id, mark, text, ranges in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "mark", "text", "ranges")), strict=True):
+            kept, merged = cut(text, [(r["begin"], r["end"]) for r in ranges])
+            out.append([doc_id, mark, sum(e - b for b, e in merged), len(merged), hashlib.sha256(kept).hexdigest(), kept])
+        yield _blocks(out, names, types)
 
 
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -466,19 +474,18 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     buckets = max(1, total // BUCKET_BYTES)
     spokesmen = names.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.first("mark").alias("mark"))
 
-    sent = rows.mapInArrow(_send_anchors(buckets), ANCHOR_SCHEMA)
+    texts = bucketed_table(rows, ["doc_id", "mark"], max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TABLE_BYTES))
+
+    sent = rows.mapInArrow(_send_runs(buckets), BLOCK_SCHEMA)
     replies = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, REPLY_SCHEMA)
-    lists = replies.groupBy("doc_id", "mark").agg(
-        F.collect_list(F.when(~F.col("hot"), F.col("hashes"))).alias("normal"), F.collect_list(F.when(F.col("hot"), F.col("hashes"))).alias("hot")
-    ).join(spokesmen, ["doc_id", "mark"], "left_semi")  # a text's own hashes: bounded by the text
-    candidates = shared_table(rows.join(lists, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]))
-    segments_sent = candidates.mapInArrow(_send_segments(buckets), SEGMENT_SCHEMA)
+    learned = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("hashes")))  # noqa: E731  a text's own classes: bounded by the text
+    lists = replies.groupBy("doc_id", "mark").agg(learned(REPEATED).alias("repeated"), learned(COMPARE).alias("compare"), learned(HOT).alias("hot"))
+    lists = lists.join(spokesmen.select("doc_id", "mark"), ["doc_id", "mark"], "left_semi")
+    compared = texts.join(lists, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).mapInArrow(_send_segments(buckets), SEGMENT_SCHEMA)
     scattered = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.pmod(F.xxhash64("ids", "begins"), F.lit(1 << 20)).cast("int"))
-    ranges = segments_sent.repartition(scattered).sortWithinPartitions("bucket").mapInArrow(_sort_buckets, RANGE_SCHEMA)
-    both = ranges.select("doc_id", "mark", "begin", "end", F.lit(None).cast("binary").alias("text"), F.lit(0).alias("last")).unionByName(
-        candidates.select("doc_id", "mark", F.lit(None).cast("long").alias("begin"), F.lit(None).cast("long").alias("end"), "text", F.lit(1).alias("last"))
-    )
-    done = shared_table(both.repartition("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "last").drop("last").mapInArrow(
+    ranges = compared.repartition(scattered).sortWithinPartitions("bucket").mapInArrow(_sort_buckets, RANGE_SCHEMA)
+    gathered = ranges.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
+    done = shared_table(texts.join(gathered, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).mapInArrow(
         _cut_rows, "doc_id long, mark long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     ))
     first = spokesmen.select("sha", F.col("doc_id").alias("first_id"))
