@@ -40,6 +40,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
+def staging_folder(spark: SparkSession) -> str:
+    """The shared folder of this run, for files that several steps read."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder and read it from there.
 
