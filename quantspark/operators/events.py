@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantspark.operators.asof import asof, benchmark_lookup, with_benchmark_return
@@ -56,6 +56,11 @@ def pending_dips(bars: DataFrame, drop: float, hold_days: int) -> DataFrame:
     )
 
 
+def surprise_pct(reported: Column, estimate: Column) -> Column:
+    """Surprise in percent of the estimate's size; NULL without either number or with an estimate of zero."""
+    return F.try_divide(reported - estimate, F.abs(estimate)) * 100
+
+
 def trade_summary(trades: DataFrame, *by: str) -> DataFrame:
     """Count, means and the compounded return of stock and benchmark legs."""
     return trades.groupBy(*by).agg(
