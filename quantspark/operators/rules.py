@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantspark.operators.timeseries import calendar, daily_returns
 from quantspark.session import stage
 
-#: A rule turns an as-of date and its tables into ``(ticker, score)`` rows.
-RuleFunction = Callable[..., DataFrame]
-
 #: Columns of a rule configuration row.
 RULE_CONFIG = "rule string, rule_order int, top_n int, hold_days int, unit_size double, exit_on_signal_loss boolean"
 
@@ -74,8 +69,9 @@ def rule_exits(held: DataFrame, candidates: DataFrame, config: DataFrame, as_of)
 def ranked_entries(portfolios: DataFrame, held: DataFrame, candidates: DataFrame, config: DataFrame) -> DataFrame:
     """Fresh candidates within each rule's free slots and their percentile within the rule."""
     mine = held.groupBy("portfolio", "rule").agg(F.count("*").alias("_held"))
-    # Slots bound the rows per (portfolio, rule); candidates are one row per rule and ticker.
-    offers = candidates.join(config, "rule")
+    # Of a rule's best ``top_n`` at most as many are held as slots are taken, so no later one can be bought.
+    best = F.row_number().over(Window.partitionBy("rule").orderBy(F.col("score").desc(), "ticker"))
+    offers = candidates.join(config, "rule").withColumn("_best", best).filter("_best <= top_n").drop("_best")
     open_slots = (
         portfolios.select("portfolio", F.explode(config.agg(F.collect_list("rule")).scalar()).alias("rule"))
         .join(mine, ["portfolio", "rule"], "left")
@@ -120,3 +116,19 @@ def rule_entries(portfolios: DataFrame, held: DataFrame, candidates: DataFrame,
     """Purchases of one day for every portfolio from its shared cash."""
     ranked = ranked_entries(portfolios, held, candidates, config)
     return greedy_fill(ranked.join(prices.select("ticker", "price"), "ticker", "left"), cash)
+
+
+def rule_day(portfolios: DataFrame, held: DataFrame, candidates: DataFrame, config: DataFrame, prices: DataFrame, cash: DataFrame, as_of) -> DataFrame:
+    """Trades of one day for all portfolios: exits first, then entries from the cash and slots they free.
+
+    A position without a price today is not sold; a ticker sold today may be bought again.
+    """
+    due = rule_exits(held, candidates, config, as_of)
+    sold = stage(due.join(prices.select("ticker", "price"), "ticker").filter("price is not null"))
+    left = held.join(sold.select("portfolio", "rule", "ticker"), ["portfolio", "rule", "ticker"], "left_anti")
+    freed = sold.groupBy("portfolio").agg(F.sum(F.col("shares") * F.col("price")).alias("_freed"))
+    money = cash.join(freed, "portfolio", "left").select("portfolio", (F.col("cash") + F.coalesce("_freed", F.lit(0.0))).alias("cash"))
+    bought = rule_entries(portfolios, left, candidates, config, prices, money)
+    row = ["portfolio", "rule", "ticker", "action", "shares", "price", "reason"]
+    sales = sold.withColumn("action", F.lit("SELL")).select(*row)
+    return sales.unionByName(bought.withColumn("action", F.lit("BUY")).withColumn("reason", F.lit(None).cast("string")).select(*row))

@@ -144,6 +144,26 @@ def rule_fill(t):
     return ru.rule_entries(dv.portfolios(t), stage(dv.rule_held(t)), dv.rule_candidates(t), _config(t), prices, cash)
 
 
+_DAY_EXITS = f"""px AS (SELECT ticker, arg_max(close,d) AS price FROM px_daily WHERE d<=DATE '{TODAY}' AND d>=DATE '{TODAY}' - INTERVAL 7 DAY GROUP BY 1), {_CONFIG_SQL},
+       ex AS (SELECT h.portfolio, h.rule, h.ticker, h.shares, px.price, CASE WHEN date_diff('day',h.entry_date,DATE '{TODAY}')>=c.hold_days THEN 'max hold reached' ELSE 'no longer qualifies' END AS reason
+         FROM rule_held h JOIN cfg c ON c.rule=h.rule JOIN px ON px.ticker=h.ticker LEFT JOIN rule_candidates k ON k.rule=h.rule AND k.ticker=h.ticker
+         WHERE date_diff('day',h.entry_date,DATE '{TODAY}')>=c.hold_days OR (c.exit_on_signal_loss AND k.ticker IS NULL)),
+       hl AS (SELECT h.* FROM rule_held h WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.portfolio=h.portfolio AND ex.rule=h.rule AND ex.ticker=h.ticker))"""
+
+
+@query("rule_day", "E2 H16 H17", "portfolio s,rule s,ticker s,action s,shares f,price f,reason s",
+       f"""WITH RECURSIVE {_DAY_EXITS}, {_RANKED.removeprefix(_CONFIG_SQL + ", ").replace("rule_held", "hl")},
+       li AS (SELECT r.*, px.price, ROW_NUMBER() OVER (PARTITION BY portfolio ORDER BY percentile DESC, rule_order, rk) AS n FROM ranked r JOIN px ON px.ticker=r.ticker),
+       w AS (SELECT p.portfolio, CAST(0 AS BIGINT) AS n, p.initial_cash/40 + coalesce((SELECT SUM(ex.shares*ex.price) FROM ex WHERE ex.portfolio=p.portfolio),0) AS cash, NULL::VARCHAR AS rule, NULL::VARCHAR AS ticker, 0.0::DOUBLE AS shares, 0.0::DOUBLE AS price, false AS taken FROM portfolios p
+         UNION ALL SELECT w.portfolio, li.n, CASE WHEN li.unit_size<=w.cash+1e-6 THEN w.cash-li.unit_size ELSE w.cash END, li.rule, li.ticker, li.unit_size/li.price, li.price, li.unit_size<=w.cash+1e-6
+         FROM w JOIN li ON li.portfolio=w.portfolio AND li.n=w.n+1)
+       SELECT portfolio, rule, ticker, 'BUY' AS action, shares, price, NULL AS reason FROM w WHERE taken UNION ALL SELECT portfolio, rule, ticker, 'SELL', shares, price, reason FROM ex""")
+def rule_day(t):
+    cash = dv.portfolios(t).select("portfolio", (F.col("initial_cash") / 40).alias("cash"))
+    prices = stage(latest_price(dv.px_daily(t), TODAY))
+    return ru.rule_day(dv.portfolios(t), stage(dv.rule_held(t)), stage(dv.rule_candidates(t)), _config(t), prices, cash, TODAY)
+
+
 @query("dip_candidates", "H13", "ticker s,score f",
        """WITH w AS (SELECT * FROM px_daily WHERE d<=DATE '2000-05-12' AND d>=DATE '2000-05-02'), c AS (SELECT d, LAG(d) OVER (ORDER BY d) AS p FROM (SELECT DISTINCT d FROM w))
        SELECT a.ticker, ABS(a.close/b.close-1) AS score FROM w a JOIN c ON c.d=a.d JOIN w b ON b.ticker=a.ticker AND b.d=c.p WHERE a.d=DATE '2000-05-12' AND a.close/b.close-1<=-0.05""")

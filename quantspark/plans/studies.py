@@ -1,5 +1,6 @@
 """Queries over correlations, calendar effects and rebalancing strategies."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantspark.operators import backtest as bt
@@ -19,27 +20,31 @@ _PAIRS = """WITH cum AS (SELECT ticker, d, ret, close/first_value(close) OVER (P
 
 
 @query("corr_pairs", "A14 J10", "ticker_a s,ticker_b s,correlation f",
-       _PAIRS + " SELECT * FROM stats WHERE correlation IS NOT NULL")
+       _PAIRS + """, asked AS (SELECT ticker AS ticker_a, LEAD(ticker) OVER (ORDER BY ticker) AS ticker_b FROM (SELECT DISTINCT ticker FROM px_monthly))
+       SELECT stats.* FROM stats JOIN asked USING (ticker_a, ticker_b) WHERE correlation IS NOT NULL""")
 def corr_pairs(t):
-    return co.pairwise_correlation(stage(dv.px_monthly(t)))
+    bars = stage(dv.px_monthly(t))
+    tickers = bars.select("ticker").distinct()
+    asked = tickers.select(F.col("ticker").alias("ticker_a"), F.lead("ticker").over(Window.orderBy("ticker")).alias("ticker_b")).filter("ticker_b is not null")
+    return co.pairwise_correlation(bars, asked)
 
 
 @query("top_correlated", "T3", "ticker_a s,ticker_b s,correlation f",
        _PAIRS + " SELECT * FROM stats WHERE correlation IS NOT NULL ORDER BY correlation DESC, ticker_a, ticker_b LIMIT 15")
 def top_correlated(t):
-    return co.top_correlated(co.pair_statistics(stage(dv.px_monthly(t))))
+    return co.top_correlated(co.pair_statistics(stage(dv.px_monthly(t)), top=15))
 
 
 @query("divergence", "W5 H11", "ticker_a s,ticker_b s,correlation f,current_spread f,mean_spread f,z_score f",
-       _PAIRS + " SELECT * FROM z")
+       _PAIRS + " SELECT * FROM z WHERE correlation>=0.1")
 def divergence(t):
-    return co.divergence(co.pair_statistics(stage(dv.px_monthly(t))))
+    return co.divergence(co.pair_statistics(stage(dv.px_monthly(t)), 0.1))
 
 
 @query("top_diverged", "T3 W5", "ticker_a s,ticker_b s,z_score f",
        _PAIRS + " SELECT * FROM z ORDER BY ABS(z_score) DESC, ticker_a, ticker_b LIMIT 15")
 def top_diverged(t):
-    return co.top_diverged(co.divergence(co.pair_statistics(stage(dv.px_monthly(t)))))
+    return co.top_diverged(co.divergence(co.pair_statistics(stage(dv.px_monthly(t)), top=15, by="z")))
 
 
 @query("diverged_candidates", "H12", "ticker s,score f",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +27,8 @@ def local_session(cores: str | int = "*", app: str = "quantspark", shuffle_parti
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named in ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder, because its
-    driver and executors share one machine.
+    Only where that is unset and the master is local, as in tests, a temporary folder of this process
+    serves; it goes when the process ends. A cluster without the setting fails.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
@@ -35,7 +37,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared:
         context.setCheckpointDir(shared)
     elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quantspark-checkpoint-"))
+        own = tempfile.mkdtemp(prefix="quantspark-checkpoint-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 

@@ -125,7 +125,7 @@ def test_pair_statistics_match_pandas_with_many_tiles(spark, monkeypatch):
     frame = random_frame(11, 90, ("A", "B", "C", "D", "E")).dropna(how="all")
     corr = frame.pct_change(fill_method=None).corr()
     cum = frame / frame.bfill().iloc[0] - 1
-    rows = {(r.ticker_a, r.ticker_b): r for r in co.divergence(co.pair_statistics(to_bars(spark, frame))).collect()}
+    rows = {(r.ticker_a, r.ticker_b): r for r in co.divergence(co.pair_statistics(to_bars(spark, frame), -1.0)).collect()}
     assert len(rows) == 10
     for (a, b), r in rows.items():
         spread = (cum[a] - cum[b]).dropna()
