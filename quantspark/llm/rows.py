@@ -82,7 +82,7 @@ def shared_table(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -95,7 +95,7 @@ def bucketed_table(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     ensure_checkpoint_dir(spark)
     name = f"bucketed_{uuid.uuid4().hex}"
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}"
-    df.write.bucketBy(max(1, buckets), *keys).option("path", path).saveAsTable(name)
+    df.write.option("compression", "zstd").bucketBy(max(1, buckets), *keys).option("path", path).saveAsTable(name)
     table = spark.table(name)
     table.schema  # noqa: B018  (resolves the table before its entry goes)
     spark.sql(f"DROP TABLE {name}")

@@ -453,15 +453,21 @@ def cut(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, list[tuple[i
     return b"".join([*kept, text[at:]]), merged
 
 
-def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "mark", "n_removed", "n_spans", "kept_sha256", "kept"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-    for batch in batches:
-        out = []
-        for doc_id, mark, text, ranges in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "mark", "text", "ranges")), strict=True):
-            kept, merged = cut(text, [(r["begin"], r["end"]) for r in ranges])
-            out.append([doc_id, mark, sum(e - b for b, e in merged), len(merged), hashlib.sha256(kept).hexdigest(), kept])
-        yield _blocks(out, names, types)
+def _cut_rows(with_text: bool):
+    """Cut each text: its sums, or the text that is left."""
+    names = ["doc_id", "mark", "kept"] if with_text else ["doc_id", "mark", "n_removed", "n_spans", "kept_sha256"]
+    types = [pa.int64(), pa.int64(), pa.binary()] if with_text else [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, mark, text, ranges in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "mark", "text", "ranges")), strict=True):
+                kept, merged = cut(text, [(r["begin"], r["end"]) for r in ranges])
+                sums = [sum(e - b for b, e in merged), len(merged), hashlib.sha256(kept).hexdigest()]
+                out.append([doc_id, mark, kept] if with_text else [doc_id, mark, *sums])
+            yield _blocks(out, names, types)
+
+    return run
 
 
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -484,12 +490,11 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     compared = texts.join(lists, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).mapInArrow(_send_segments(buckets), SEGMENT_SCHEMA)
     scattered = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.pmod(F.xxhash64("ids", "begins"), F.lit(1 << 20)).cast("int"))
     ranges = compared.repartition(scattered).sortWithinPartitions("bucket").mapInArrow(_sort_buckets, RANGE_SCHEMA)
-    gathered = ranges.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
-    done = shared_table(texts.join(gathered, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).mapInArrow(
-        _cut_rows, "doc_id long, mark long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    ))
+    gathered = shared_table(ranges.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("begin", "end")).alias("ranges")))
+    repeating = texts.join(gathered, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    done = repeating.mapInArrow(_cut_rows(False), "doc_id long, mark long, n_removed long, n_spans long, kept_sha256 string")
     first = spokesmen.select("sha", F.col("doc_id").alias("first_id"))
-    known = names.join(first, "sha").join(done.drop("kept"), ["doc_id", "mark"], "left")
+    known = names.join(first, "sha").join(done, ["doc_id", "mark"], "left")
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_bytes") >= LENGTH)
     result = known.select(
         F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).cast(docs.schema[key].dataType).alias("doc_id"), "n_bytes",
@@ -497,4 +502,4 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
-    return result, done.select("doc_id", "mark", "kept")
+    return result, repeating.mapInArrow(_cut_rows(True), "doc_id long, mark long, kept binary")
