@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quantspark.operators.pit import is_buy, is_sale, net_upgrades_live, revisions_trend_live
 from quantspark.operators.timeseries import momentum
+from quantspark.session import stage
 
 # Categories with their factors, and the factors where less is better.
 FACTOR_CATEGORIES: dict[str, list[str]] = {
@@ -108,18 +109,24 @@ def category_scores(ranks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def composite_score(scores: DataFrame, weights: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
-    """Weighted mean of categories; a missing one takes the universe mean of its date."""
+    """Weighted mean of categories; a missing one takes the universe mean of its date.
+
+    The means come from one aggregate over the staged scores, not from a window over the universe.
+    """
     total = sum(weights.get(c, 0.0) for c in FACTOR_CATEGORIES)
     if total == 0:
         return scores.withColumn("composite", F.lit(None).cast("double"))
-    everyone = Window.partitionBy(*by)
-    parts = [
-        F.coalesce(F.col(c), F.avg(c).over(everyone)) * (weights.get(c, 0.0) / total) for c in FACTOR_CATEGORIES
-    ]
+    scores = stage(scores)
+    means = F.struct(*[F.avg(c).alias(c) for c in FACTOR_CATEGORIES]).alias("_mean")
+    if by:
+        filled = scores.join(scores.groupBy(*by).agg(means), list(by))
+    else:
+        filled = scores.withColumn("_mean", scores.agg(means).scalar())
+    parts = [F.coalesce(F.col(c), F.col(f"_mean.{c}")) * (weights.get(c, 0.0) / total) for c in FACTOR_CATEGORIES]
     composite = parts[0]
     for part in parts[1:]:
         composite = composite + part
-    return scores.withColumn("composite", composite)
+    return filled.withColumn("composite", composite).drop("_mean")
 
 
 def rank_universe(table: DataFrame, weights: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:

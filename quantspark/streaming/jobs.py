@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType, TimestampType
 
-from quantspark.operators.articles import recent_articles
+from quantspark.operators.articles import MAX_AGE_MONTHS, recent_articles
 from quantspark.sources.sinks import append_log, write_narratives
 
 
@@ -44,15 +44,20 @@ def new_articles(articles: DataFrame, late: str = "183 days") -> DataFrame:
 def ingest_articles(articles: DataFrame, archive: str, checkpoint: str, as_of):
     """Append unseen recent articles to the archive.
 
-    The archive never forgets a link, also beyond the watermark, so every
-    batch is anti-joined against it. Runs over what has landed, then stops.
+    The archive never forgets a link, also beyond the watermark, so every batch is anti-joined against it.
+    A dated article is at most six months old and cannot have been seen before it was published: only the
+    partitions of those months, and undated entries, are read for it. Runs over what has landed, then stops.
     """
 
     def store(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         fresh = recent_articles(batch, as_of).withColumn("seen_date", F.lit(as_of).cast("date"))
         if _has_rows(spark, archive):
-            fresh = fresh.join(spark.read.parquet(archive).select("link"), "link", "left_anti")
+            seen = spark.read.parquet(archive)
+            since = F.add_months(F.lit(as_of).cast("date"), -MAX_AGE_MONTHS)
+            lately = seen.filter((F.col("seen_date") >= since) | F.col("published").isNull()).select("link")
+            dated = fresh.filter("published IS NOT NULL").join(lately, "link", "left_anti")
+            fresh = dated.unionByName(fresh.filter("published IS NULL").join(seen.select("link"), "link", "left_anti"))
         append_log(fresh, archive, "seen_date")
 
     return new_articles(articles).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
