@@ -31,7 +31,7 @@ def _tiles(t):
     return mc.macro_tiles(dv.macro(t), t.spark.createDataFrame(SERIES, mc.SERIES_CONFIG))
 
 
-@query("macro_tiles", "W21 W20 W22 W23 S16", "key s,label s,as_of d,value f,delta f,n_history i,n_extra i,section i",
+@query("macro_tiles", "W21 W20 W22 W23", "key s,label s,as_of d,value f,delta f,n_history i,n_extra i,section i",
        _TILES + " SELECT *, CASE WHEN cadence='weekly' THEN 1 ELSE 2 END AS section FROM ti")
 def macro_tiles(t):
     return mc.macro_sections(_tiles(t)).withColumn("n_history", F.size("history")).withColumn("n_extra", F.size("history_extra"))
@@ -43,7 +43,7 @@ def macro_window(t):
     return mc.delta_over_window(_tiles(t))
 
 
-@query("diverse_headlines", "W29 S18", "ord i,domain s",
+@query("diverse_headlines", "W29", "ord i,domain s",
        "SELECT ord, domain FROM (SELECT * FROM headlines QUALIFY ROW_NUMBER() OVER (PARTITION BY domain ORDER BY ord)<=2) ORDER BY ord LIMIT 25")
 def diverse_headlines(t):
     return mc.diverse_headlines(dv.headlines(t))
@@ -90,7 +90,7 @@ def card_filter(t):
 _MARKED = "SELECT user_id, card FROM marks QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id, card ORDER BY ts DESC, seq DESC)=1 AND op='mark'"
 
 
-@query("card_marks", "J19 R4", "user_id i,card s", f"SELECT user_id, card FROM (SELECT user_id, card, arg_max(op, (ts, seq)) AS op FROM marks GROUP BY 1,2) WHERE op='mark'")
+@query("card_marks", "J19", "user_id i,card s", f"SELECT user_id, card FROM (SELECT user_id, card, arg_max(op, (ts, seq)) AS op FROM marks GROUP BY 1,2) WHERE op='mark'")
 def card_marks(t):
     return cd.marked(dv.marks(t))
 
@@ -119,7 +119,7 @@ def sector_groups(t):
     return cd.sector_groups(rows).withColumn("tickers", F.concat_ws(",", "tickers"))
 
 
-@query("universe_names", "F2 U8", "ticker s,name s",
+@query("universe_names", "F2", "ticker s,name s",
        "SELECT p_brand AS ticker, arg_min(p_name, p_partkey) AS name FROM part WHERE p_type NOT IN ('ECONOMY','PROMO') GROUP BY 1")
 def universe_names(t):
     picks = t.read("part").select(F.col("p_type").alias("category"), F.col("p_name").alias("name"), F.col("p_brand").alias("ticker"), F.col("p_partkey").alias("ord"))

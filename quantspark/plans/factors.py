@@ -50,7 +50,7 @@ def _table(t):
 _FACTOR_SPEC = ",".join(f"{f} f4" for f in rk.FACTORS)
 
 
-@query("factor_table", "P1 X19 S8", f"ticker s,{_FACTOR_SPEC}", _TABLE + " SELECT * FROM ft")
+@query("factor_table", "P1 X19", f"ticker s,{_FACTOR_SPEC}", _TABLE + " SELECT * FROM ft")
 def factor_table(t):
     return _table(t)
 
@@ -144,7 +144,7 @@ _PANEL = _KNOWN_PRICE + f""", {_COMPANY_FLOW},
 _PANEL_SPEC = "date d,ticker s," + ",".join(f"{c} {'f2' if c == 'insider_flow' else 'f4'}" for c in pn.FACTOR_COLUMNS) + ",forward_return f4"
 
 
-@query("factor_panel", "P12 J22 S24", _PANEL_SPEC, _PANEL + " SELECT * FROM panel")
+@query("factor_panel", "P12", _PANEL_SPEC, _PANEL + " SELECT * FROM panel")
 def factor_panel(t):
     return _panel(t)
 
@@ -186,13 +186,24 @@ def rank_ic(t):
     return ltr.rank_ic(scores.join(pn.forward_return(grid(t), bars, days), ["ticker", "date"]))
 
 
-@query("ltr_scores", "P15 P17", "date d,ticker s,score f,forward_return f", None)
+@query("ltr_scores", "P15", "date d,ticker s,score f,forward_return f", None)
 def ltr_scores(t):
     panel = stage(ltr.time_split(ltr.relevance_labels(_panel(t))))
     model = ltr.train_ranker(panel.filter("not is_test"))
     return model.transform(panel.filter("is_test")).select("date", "ticker", "score", "forward_return")
 
 
+@query("ltr_checked", "P15 P17", "date d,ticker s,has_score b,importance f",
+       _FORWARD + """, dts AS (SELECT date, ROW_NUMBER() OVER (ORDER BY date DESC) AS k, COUNT(*) OVER () AS m FROM (SELECT DISTINCT date FROM fr))
+       SELECT fr.date, fr.ticker, true AS has_score, 1.0 AS importance FROM fr JOIN dts ON dts.date=fr.date WHERE k<=greatest(1, CAST(round_even(m*0.3,0) AS INT))""")
+def ltr_checked(t):
+    """What is determined of the model: every row of the test dates has a score, importances sum to one."""
+    panel = stage(ltr.time_split(ltr.relevance_labels(_panel(t))))
+    model = ltr.train_ranker(panel.filter("not is_test"))
+    total = ltr.feature_importance(model, t.spark).agg(F.sum("importance")).scalar()
+    return model.transform(panel.filter("is_test")).select("date", "ticker", F.col("score").isNotNull().alias("has_score"), total.alias("importance"))
+
+
 @query("factor_changes", "W27", "ticker s,d d,factor s,previous f,current f,delta_pct f",
        """WITH u AS (UNPIVOT (SELECT ticker, d, open AS revenue_growth, close AS earnings_growth FROM px_monthly) ON revenue_growth, earnings_growth INTO NAME factor VALUE v),
        l AS (SELECT *, LAG(v) OVER (PARTITION BY ticker, factor ORDER BY d) AS p FROM u), c AS (SELECT *, ROUND((v-p)/abs(p)*100+3e-10,1) AS delta_pct FROM l WHERE p<>0)

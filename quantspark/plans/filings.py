@@ -24,7 +24,7 @@ def grid(t):
     return t.read("part").select(F.col("p_brand").alias("ticker")).distinct().select("ticker", F.explode(dates).alias("date"))
 
 
-@query("insider_summary", "A1 F4 F5 S5", "ticker s,filings i,buys i,sales i,net_value f2",
+@query("insider_summary", "A1 F4 F5", "ticker s,filings i,buys i,sales i,net_value f2",
        """SELECT ticker, COUNT(*) AS filings, COUNT(*) FILTER (transaction LIKE 'Purchase%') AS buys, COUNT(*) FILTER (transaction LIKE 'Sale%') AS sales,
        SUM(CASE WHEN transaction LIKE 'Purchase%' THEN value WHEN transaction LIKE 'Sale%' THEN -value ELSE 0 END) AS net_value
        FROM insider WHERE start_date >= DATE '2001-12-31' - INTERVAL 730 DAY GROUP BY 1""")
@@ -81,7 +81,7 @@ _SUMMARY = """WITH s AS (SELECT ticker, COUNT(*) AS actions, COUNT(*) FILTER (ac
     j AS (SELECT s.*, actions-up-down AS maintain, p.price, (avg_target/p.price-1)*100 AS upside_pct FROM s LEFT JOIN p ON p.ticker=s.ticker)"""
 
 
-@query("analyst_summary", "A2 S10", "ticker s,actions i,up i,down i,maintain i,avg_target f4,last_action d,price f,upside_pct f4", _SUMMARY + " SELECT * FROM j")
+@query("analyst_summary", "A2", "ticker s,actions i,up i,down i,maintain i,avg_target f4,last_action d,price f,upside_pct f4", _SUMMARY + " SELECT * FROM j")
 def analyst_summary(t):
     return pit.analyst_summary(dv.analyst(t), latest_price(dv.px_daily(t), "1998-06-30"), "1998-06-01", "1998-06-30")
 
@@ -97,7 +97,7 @@ def net_upgrades_live(t):
     return pit.net_upgrades_live(dv.analyst(t), "2000-12-31")
 
 
-@query("revisions_trend_live", "A19 S9", "ticker s,revisions_trend f",
+@query("revisions_trend_live", "A19", "ticker s,revisions_trend f",
        """WITH b AS (SELECT ticker, period, (strongBuy+buy)/nullif(strongBuy+buy+hold+sell+strongSell,0) AS sh FROM rec_trend)
        SELECT t.ticker, (n.sh-o.sh)*100 AS revisions_trend FROM (SELECT DISTINCT ticker FROM b) t
        LEFT JOIN b n ON n.ticker=t.ticker AND n.period='0m' LEFT JOIN b o ON o.ticker=t.ticker AND o.period='-3m'""")
@@ -105,7 +105,7 @@ def revisions_trend_live(t):
     return pit.revisions_trend_live(dv.rec_trend(t))
 
 
-@query("ownership_ranking", "A6 S6", "ticker s,holders i,mean_pct_held f,mean_pct_change f,last_reported d",
+@query("ownership_ranking", "A6", "ticker s,holders i,mean_pct_held f,mean_pct_change f,last_reported d",
        "SELECT ticker, COUNT(*) AS holders, AVG(pct_held) AS mean_pct_held, AVG(pct_change) AS mean_pct_change, MAX(date_reported) AS last_reported FROM holders GROUP BY 1")
 def ownership_ranking(t):
     return pit.ownership_ranking(dv.holders(t))
@@ -132,7 +132,7 @@ _TTM = _DERIVED + """, hist AS (SELECT ticker,start_d,end_d,val,filed,form FROM
     ttm AS (SELECT ticker, date, CASE WHEN COUNT(*)=4 THEN SUM(val) END AS ttm FROM last4 GROUP BY 1,2)"""
 
 
-@query("facts_dedup", "U5 S14", "ticker s,start_d d,end_d d,form s,val f2,filed d", f"WITH {_DEDUP} SELECT * FROM dd")
+@query("facts_dedup", "U5", "ticker s,start_d d,end_d d,form s,val f2,filed d", f"WITH {_DEDUP} SELECT * FROM dd")
 def facts_dedup(t):
     return fa.dedup_facts(_facts(t))
 
@@ -174,12 +174,12 @@ def holdings_lines(t):
     return ho.join_filings(dv.f13_info(t), dv.f13_sub(t))
 
 
-@query("cusip_agg", "A4 J8 F6 S12", "bucket_end d,cusip s,period d,name s,total_shares f2,total_value f2,num_filers i", "SELECT * FROM f13_cusip")
+@query("cusip_agg", "A4 J8 F6", "bucket_end d,cusip s,period d,name s,total_shares f2,total_value f2,num_filers i", "SELECT * FROM f13_cusip")
 def cusip_agg(t):
     return ho.cusip_aggregate(holdings_lines(t))
 
 
-@query("holder_agg", "A5 K4", "bucket_end d,cusip s,cik i,period d,shares f2,value f2", "SELECT * FROM f13_holder")
+@query("holder_agg", "A5", "bucket_end d,cusip s,cik i,period d,shares f2,value f2", "SELECT * FROM f13_holder")
 def holder_agg(t):
     return ho.holder_aggregate(holdings_lines(t))
 

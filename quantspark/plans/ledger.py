@@ -32,7 +32,7 @@ def portfolio_cash(t):
     return pf.cash_balance(dv.trades(t), dv.portfolios(t))
 
 
-@query("positions", "H18 S20", "portfolio s,ticker s,shares f,avg_cost f4,entry_date d", _replay("portfolio,ticker"))
+@query("positions", "H18", "portfolio s,ticker s,shares f,avg_cost f4,entry_date d", _replay("portfolio,ticker"))
 def positions(t):
     return pf.positions(dv.trades(t))
 
@@ -182,7 +182,7 @@ def streak_candidates(t):
     return ru.streak_candidates(dv.earnings_from(stage(dv.quarterly_sums(t))), "2001-07-27", -60.0, 60.0)
 
 
-@query("position_state", "J20 S22", "id s,portfolio s,ticker s,created d,status s,closed_date d,actual_return_pct f",
+@query("position_state", "J20", "id s,portfolio s,ticker s,created d,status s,closed_date d,actual_return_pct f",
        """WITH c AS (SELECT * FROM position_events WHERE event='created'), x AS (SELECT id, closed_date, actual_return_pct FROM position_events WHERE event='closed')
        SELECT c.id, c.portfolio, c.ticker, c.created, CASE WHEN x.id IS NULL THEN 'open' ELSE 'closed' END AS status, x.closed_date, x.actual_return_pct FROM c LEFT JOIN x ON x.id=c.id""")
 def position_state(t):

@@ -51,8 +51,8 @@ def dip_trades(t):
 
 
 @query(
-    "dip_summary", "A10 H7", "ticker s,trades i,mean_return f,mean_excess f",
-    DIP_SQL + " SELECT ticker, COUNT(*) AS trades, AVG(stock_return) AS mean_return, AVG(excess_return) AS mean_excess FROM done GROUP BY 1",
+    "dip_summary", "A10 H7", "ticker s,trades i,mean_return f,mean_excess f,compounded_return e,compounded_benchmark e",
+    DIP_SQL + " SELECT ticker, COUNT(*) AS trades, AVG(stock_return) AS mean_return, AVG(excess_return) AS mean_excess, PRODUCT(1+stock_return)-1 AS compounded_return, PRODUCT(1+benchmark_return)-1 AS compounded_benchmark FROM done GROUP BY 1",
 )
 def dip_summary(t):
     return ev.trade_summary(_dip_trades(t), "ticker")
@@ -69,7 +69,7 @@ def pending_dips(t):
 
 
 @query(
-    "daily_returns", "W1 S2", "ticker s,d d,close f,ret f",
+    "daily_returns", "W1", "ticker s,d d,close f,ret f",
     "SELECT ticker, d, close, ret FROM ret_daily",
 )
 def daily_returns(t):
@@ -136,7 +136,7 @@ def latest_technicals(t):
 
 
 @query(
-    "indicator_history", "F15 U2", "ticker s,d d,value f",
+    "indicator_history", "F15", "ticker s,d d,value f",
     _TECH + " SELECT ticker, d, momentum AS value FROM tech WHERE d>=DATE '2000-01-01' AND momentum IS NOT NULL",
 )
 def indicator_history(t):

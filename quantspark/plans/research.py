@@ -41,12 +41,12 @@ def article_order(t):
     return ar.article_order(ar.concat_feeds(dv.articles(t)), ["src3", "src1"])
 
 
-@query("thin_articles", "F13 L1", "source s,n i", "SELECT source, COUNT(*) AS n FROM articles WHERE length(text)<500 AND source IN ('src1','src2','src3') GROUP BY 1")
+@query("thin_articles", "F13", "source s,n i", "SELECT source, COUNT(*) AS n FROM articles WHERE length(text)<500 AND source IN ('src1','src2','src3') GROUP BY 1")
 def thin_articles(t):
     return dv.articles(t).filter(ar.needs_full_text(F.col("text"), F.col("source"), ["src1", "src2", "src3"])).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("html_text", "X2 L1 E5", "page_id i,text s",
+@query("html_text", "X2 E5", "page_id i,text s",
        r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(html,'<[^>]+>',' ','g'),'\s+',' ','g'),'&quot;','"'),'&copy;','©'),'&middot;','·'),'&amp;?','&','g')) AS text FROM pages""")
 def html_text(t):
     return t.read("pages").select("page_id", strip_html(F.col("html")).alias("text"))
