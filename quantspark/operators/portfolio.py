@@ -175,13 +175,13 @@ def valuation_history(trades: DataFrame, portfolios: DataFrame, bars: DataFrame,
         "portfolio", "d", (F.col("initial_cash") + F.sum(F.coalesce("_c", F.lit(0.0))).over(so_far)).alias("cash")
     )
     moved = daily.select("portfolio", "ticker", "d", "_q")
-    held_days = moved.groupBy("portfolio", "ticker").agg(F.min("d").alias("_from")).select(
-        "portfolio", "ticker", F.explode(F.sequence("_from", end)).alias("d")
-    )
-    per_ticker = Window.partitionBy("portfolio", "ticker").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-    held = held_days.join(moved, ["portfolio", "ticker", "d"], "left").select(
-        "portfolio", "ticker", "d", F.sum(F.coalesce("_q", F.lit(0.0))).over(per_ticker).alias("_held")
+    # Days exist only between trades that leave shares: a closed position costs nothing.
+    per_ticker = Window.partitionBy("portfolio", "ticker").orderBy("d")
+    lots = moved.filter(F.col("d") <= end).select(
+        "portfolio", "ticker", "d", F.sum("_q").over(per_ticker.rowsBetween(Window.unboundedPreceding, 0)).alias("_held"),
+        F.coalesce(F.date_sub(F.lead("d").over(per_ticker), 1), end).alias("_until"),
     )
+    held = lots.filter(F.abs("_held") > CLOSED_BELOW).select("portfolio", "ticker", F.explode(F.sequence("d", "_until")).alias("d"), "_held")
     known = bars.filter(F.col("close").isNotNull() & (F.col("d") >= spans.agg(F.min("start")).scalar()))
     priced = asof(held, known, ["ticker"], "d", "d", {"close": "_p"}, bounded=False)
     worth = priced.groupBy("portfolio", "d").agg(F.sum(F.col("_held") * F.col("_p")).alias("holdings_value"))
