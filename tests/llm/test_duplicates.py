@@ -1,13 +1,15 @@
 """SimHash components, suffix-array removal and syncmer fingerprints against plain loops."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
 import pytest
 import xxhash
 
-from quantspark.llm import simhash, suffix_array, syncmers
+import corpus_pipeline
+from quantspark.llm import similar, simhash, suffix_array, syncmers
 from quantspark.llm.components import components
 
 
@@ -84,6 +86,62 @@ def test_one_row_of_each_group_stays(docs_of, corpus):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(plain_groups([plain_print(t) for t in texts])))
 
 
+def plain_similar(texts):
+    """Components of the texts whose five-word shingles have a Jaccard similarity of at least 0.8."""
+    sets = []
+    for t in texts:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (t or "").encode()))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    pairs = {(i, j): len(a & sets[j]) / len(a | sets[j]) for i, a in enumerate(sets) for j in range(i)}
+    label = list(range(len(texts)))
+    for (i, j), value in pairs.items():
+        if value >= 0.8:
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = [new if x == old else x for x in label]
+    return label, [v for v in pairs.values() if v > 0]
+
+
+def edited(rng, text, edits):
+    words = text.split(" ")
+    for at in rng.sample(range(len(words)), edits):
+        words[at] = f"new{rng.randrange(10**9)}"
+    return " ".join(words)
+
+
+def test_pipeline_stage_finds_every_pair_of_similarity_four_fifths(spark, docs_of, corpus):
+    rng = random.Random(8)
+    texts = list(corpus)
+    for i in range(40):  # one to four edits in texts of about 130 words: similarities on both sides of 0.8
+        words = " ".join(f"{rng.choice('bcdfg')}{rng.randrange(400)}" for _ in range(rng.randrange(90, 170)))
+        texts += [words, edited(rng, words, 1 + i % 4), edited(rng, words, 1 + i % 3)]
+    hub = " ".join(f"h{rng.randrange(500)}" for _ in range(150))
+    texts += [edited(rng, hub, 2) for _ in range(40)]  # a large group of near copies
+    chain = [f"c{k}" for k in range(60)]
+    texts += [" ".join(chain[4 * i : 4 * i + 44]) for i in range(5)]  # each similar to the next only
+    rng.shuffle(texts)
+    label, values = plain_similar(texts)
+    assert sum(0.8 <= v <= 0.95 for v in values) > 100 and sum(0.7 <= v < 0.8 for v in values) > 10
+    docs = docs_of(texts)
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    assert sorted(r["doc_id"] for r in stage(spark, docs.union(docs.limit(3)), "").collect()) == sorted(set(label))
+    assert stage(spark, docs_of([]), "").count() == 0
+
+
+def test_prefixes_of_similar_sets_meet_and_pass_the_bounds():
+    rng = np.random.default_rng(4)
+    known = np.sort(rng.choice(400, 100, replace=False)).astype(np.int64)
+    counts = rng.integers(2, 9, 100)
+    for _ in range(500):
+        a = np.unique(rng.integers(0, 400, rng.integers(1, 120)))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.93], rng.integers(0, 400, rng.integers(0, 9))]))
+        if 5 * len(np.intersect1d(a, b)) < 4 * len(np.union1d(a, b)):
+            continue
+        x, y = (similar.prefix(s, known, counts).tolist() for s in (a, b))
+        shared = [h for h in x if h in y]
+        place = np.array([x.index(shared[0]), y.index(shared[0])])
+        assert similar._possible(np.array([len(a), len(b)]), place, np.array([0]), np.array([1])).all()
+
+
 def plain_removed(texts, length=50):
     data = [(t or "").encode() for t in texts]
     first = {}
