@@ -51,9 +51,11 @@ NAMES = [
     ("agpl-3.0", "affero", r"(?:gnu )?affero general public license (?:version |v )3(?: 0)?"),
     ("agpl", "affero", r"(?:gnu )?affero general public"),
     ("gfdl", "documentation", r"(?:gnu )?free documentation"),
-    ("bsd-0-clause", "bsd", r"(?:0bsd|bsd (?:0|zero) clause|(?:0|zero) clause bsd)"),
+    ("bsd-0-clause", "bsd", r"(?:bsd (?:0|zero) clause|(?:0|zero) clause bsd)"),
+    ("bsd-0-clause", "0bsd", r"0bsd"),
     ("bsd-1-clause", "bsd", r"(?:bsd (?:1|one) clause|(?:1|one) clause bsd)"),
-    ("bsd-2-clause", "bsd", r"(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd|freebsd)"),
+    ("bsd-2-clause", "bsd", r"(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd)"),
+    ("bsd-2-clause", "freebsd", r"freebsd"),
     ("bsd-3-clause", "bsd", r"(?:bsd (?:3|three) clause|(?:3|three) clause bsd|(?:new|modified|revised) bsd)"),
     ("bsd-4-clause", "bsd", r"(?:bsd (?:4|four) clause|(?:4|four) clause bsd|original bsd)"),
     ("bsd", "bsd", r"bsd(?: style)?"),
@@ -141,7 +143,7 @@ PASSAGES = [
     ("proprietary", "unauthorized", 3, 0.8, r"unauthorized (?:copying|use|reproduction|distribution)(?: of this [^ ]+)? (?:via any medium )?is (?:strictly )?prohibited"),
     ("copyright", "copyright", 5, 0.4, r"copyright(?: c)? (?:19|20)[0-9]{2}(?: [^ ]+)?"),
     ("spdx", "spdx", 5, 0.5, r"spdx license identifier(?: [^ ]+)?"),
-    ("reference", "license", 5, 0.3, r"see (?:the )?(?:license|licence|copying)(?: file)?(?: for (?:more )?(?:details|information|terms))?"),
+    *[("reference", word, 5, 0.3, rf"see (?:the )?{word}(?: file)?(?: for (?:more )?(?:details|information|terms))?") for word in ("license", "licence", "copying")],
 ]
 
 
@@ -234,7 +236,8 @@ def unsuppressed(found: Column) -> Column:
 def gate(text: Column) -> Column:
     """Can any rule match? Looks for the stem and for the keywords of the rules that do not need it."""
     free = sorted({r["also"] for r in rules()} - {STEM})
-    return F.coalesce(text.rlike(rf"(?i){STEM}|\b(?:{'|'.join(free)})\b"), F.lit(False))
+    letter = WORD.removesuffix("+")  # borders are those of words: an underscore is one, unlike for \b
+    return F.coalesce(text.rlike(rf"(?i){STEM}|(?<!{letter})(?:{'|'.join(free)})(?!{letter})"), F.lit(False))
 
 
 def _computed(df: DataFrame, **columns: Column) -> DataFrame:

@@ -168,6 +168,31 @@ def test_license_scan_matches_plain_loops(docs_of, corpus):
     assert licenses.summary(licenses.scan(docs_of([]).select("doc_id", "text"))).count() == 0
 
 
+def test_license_scan_loses_no_match_to_its_keywords(docs_of, corpus):
+    texts = corpus + [
+        "GPL_V2", "GPL_2", "CC_BY_SA_4_0", "ALL_RIGHTS_RESERVED", "copyright_2020", "__Apache_2_0__", "SPDX_0BSD", "SPDX-License-Identifier: 0BSD", "released under the FreeBSD license",
+        "0bsd license", "freebsd licence", "see COPYING", "see the licence", "see the copying file for details", "see_the_LICENSE", "écopyright 2020", "copyright 2020é", "mycopyright 2020", "xgpl 2",
+    ]
+    rows = {r["doc_id"]: r for r in licenses.summary(licenses.scan(docs_of(texts).select("doc_id", "text"))).collect()}
+    for i, t in enumerate(texts):
+        norm = f" {' '.join(w.decode() for w in words_of(t))} "
+        found = []
+        for r in licenses.rules():  # every regex, whatever its keywords
+            for m in re.finditer(r["regex"], norm):
+                begin = norm[: m.start()].count(" ") - 1
+                found.append((begin, -(begin + m.group().count(" ") + 1), r["priority"], r["label"], r["confidence"]))
+        kept = []
+        for d in sorted(found):
+            if not any(k[2] <= d[2] and -k[1] >= -d[1] for k in kept):
+                kept.append(d)
+        base = set(filter(None, rows[i]["base_labels"].split(",")))
+        score = max([k[4] for k in kept] + [0.8 if base else 0.0])
+        assert (rows[i]["labels"], rows[i]["score"]) == (",".join(sorted(base | {k[3] for k in kept})), score), t
+    by_text = {t: rows[i]["labels"] for i, t in enumerate(texts)}
+    assert by_text["GPL_2"] == "gpl-2.0" and by_text["CC_BY_SA_4_0"] == "cc-by-sa-4.0" and by_text["copyright_2020"] == "copyright" and by_text["see COPYING"] == "reference"
+    assert by_text["0bsd license"] == "bsd-0-clause" and by_text["freebsd licence"] == "bsd-2-clause" and by_text["xgpl 2"] == ""
+
+
 def test_license_scan_runs_no_python(docs_of):
     plan = licenses.summary(licenses.scan(docs_of(["x"])))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
