@@ -44,7 +44,7 @@ def test_spans_with_equal_slots_are_told_apart_by_their_bytes():
 
 def plain_audit(rows, labels):
     """rows: (id, part, text); labels: (id, quality, toxic)."""
-    good, toxic = {i for i, q, _ in labels if q == 1}, {i for i, _, t in labels if t == 1}
+    good, toxic = ({x[0] for x in labels if x[0] is not None and x[k] == 1} for k in (1, 2))
     failing = []
     for i, part, text in rows:
         p = plain_profile(text)
