@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspark.llm import audit, decontamination, langid, licenses, mixing, oracles, sharding, simhash, suffix_array, suffix_tree, syncmers, toxicity
+from quantspark.llm import audit, decontamination, langid, licenses, mixing, oracles, ranked, sharding, simhash, suffix_array, suffix_tree, syncmers, toxicity
 from quantspark.llm.rows import remainder, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op2_mixing": oracles.MIXING, "op5_decontamination": oracles.DECONTAMINATION, "op13_filter_audit": oracles.FILTER_AUDIT}
+ORACLES: dict[str, str] = {"op2_mixing": oracles.MIXING, "op5_decontamination": oracles.DECONTAMINATION, "op11_ranked_search": oracles.RANKED_SEARCH, "op13_filter_audit": oracles.FILTER_AUDIT}
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]):
@@ -103,6 +103,12 @@ def op10_syncmers(spark: SparkSession, folder: str) -> DataFrame:
     return syncmers.compare_with_next(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked.search_all(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     """Rows that five filters remove in all their orders, by source."""
