@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspark.llm import audit, decontamination, langid, licenses, mixing, oracles, ranked, sharding, simhash, suffix_array, suffix_tree, syncmers, toxicity
+from quantspark.llm import audit, decontamination, jaccard, langid, licenses, mixing, oracles, ranked, sharding, simhash, suffix_array, suffix_tree, syncmers, toxicity
 from quantspark.llm.rows import remainder, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,6 +109,12 @@ def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return ranked.search_all(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op12_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Size and component of every document's set of four-word shingles, linked from similarity 0.85."""
+    return jaccard.join(table(spark, folder, "documents"))
+
+
 @query
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     """Rows that five filters remove in all their orders, by source."""
