@@ -2,22 +2,21 @@
 
 Sets that link have sizes within a fixed ratio and a bounded difference. Sizes fall into geometric bands; for the
 smaller set's band the difference of a linking pair is at most ``d``. The hash range is cut into ``k > d`` equal
-segments, and a set has one tile key per segment: band, segment and a hash of the shingles that it has there. ``d``
-shingles spoil at most ``d`` segments, so a linking pair agrees in some segment and meets in its tile. A tile thus
-holds sets that share whole segments: a passage or a word that many texts share does not bring them together.
-
-Agreement in a segment that is empty in both sets is not shipped. ``k`` is large enough that fewer than ``k - d``
-segments are empty; the rare set for which that fails also goes to one tile of its band for such sets, so no pair
-is lost.
-
-Inside a tile pairs go through hashed bitmap signatures: each shingle flips one bit, and the bits in which two
-signatures differ are at most the shingles in which the sets differ, so a bit count bounds the overlap from above.
-What passes is compared exactly on the sorted shingle arrays, shipped once per set.
-
-Equal sets are one node from the start. In the first rounds each node is compared with one leader only: of the
-leaders of its tiles that are in another component the first in an order of the round. That joins a large group of
-near copies with one pair a node. Then tiles whose nodes lie in several components are compared in full between
-components, in blocks of at most BLOCK nodes, and only pairs that pass the bit count leave the task.
+segments, and a set has one tile key per segment that is not empty: band, segment and a hash of its shingles there.
+``d`` shingles spoil at most ``d`` segments, so of ``m`` keys a linking partner has all but ``d``; and of the first
+``d + SHARED`` keys in the order of the segments the two share SHARED, or ``m - d`` if that is less. Only those keys
+are shipped. A set with no more than ``d`` keys also goes to a tile of its band for such sets, so no pair is lost. A
+tile holds sets that share whole segments: a passage or word that many texts share does not bring them together.
+
+Sets that meet in enough tiles form families, the components of meeting. Each family's sorted shingle arrays go to
+one task, once. There, pairs of fitting sizes are tested on hashed bitmap signatures: each shingle flips one bit, and
+the bits in which two signatures differ are at most the shingles in which the sets differ, so a bit count bounds the
+overlap from above. What passes is intersected exactly, nearest pairs first, unless it is connected already; a
+spanning forest of the links leaves the task.
+
+Equal sets are one node from the start. A family of more than BLOCK sets first has rounds in which each node is
+compared with one leader only, which joins a large group of near copies with one pair a node; what still lies in
+several components is then compared in blocks of BLOCK nodes with one another.
 
 Defined cases: a text without words (null too) has an empty set and is linked with nothing, not even its copies;
 fewer words than a shingle are one shingle; a null id is never a component's name unless the component has no
@@ -34,7 +33,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantspark.llm.components import components
@@ -46,9 +45,11 @@ SEED = 42
 BAND = 1.6
 #: Log probability that a set has too many empty segments for its band.
 LOG_EMPTY = -20.0
-#: Rounds of one leader per node before tiles are compared in full.
+#: Keys that a linking pair shares, where it has so many; the two lowest bits of a set's name hold one less.
+SHARED = 4
+#: Rounds of one leader per node in families of more than BLOCK nodes.
 ROUNDS = 2
-#: Nodes of a tile that one task compares with as many others.
+#: Nodes that one task compares with as many others.
 BLOCK = 2048
 #: The filter that tells which texts are needed again has 2 ** FILTER_BITS bits.
 FILTER_BITS = 24
@@ -113,33 +114,34 @@ def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     return np.unique(_mixed(x))
 
 
-def name_of(found: np.ndarray) -> int:
-    """Signed 64-bit hash of a set; 0 for the empty one."""
-    return 0 if not len(found) else xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63)
-
-
-def keys(found: np.ndarray, rule: Rule) -> np.ndarray:
-    """Tile keys of a set: of the segments that hold shingles, for the bands of its smaller and larger partners."""
+def keys(found: np.ndarray, rule: Rule) -> tuple[np.ndarray, int]:
+    """Tile keys of a set for the bands of its smaller and larger partners, and how many a partner shares at least."""
     starts, apart, cuts = bands(rule)
-    n = len(found)
-    if not n:
-        return np.zeros(0, np.uint64)
+    n, least, out = len(found), SHARED, []
     own = int(np.searchsorted(starts, n, side="right")) - 1
-    out = []
     for band in range(own, -1, -1):
         if band < own and rule.largest(starts[band + 1] - 1) < n:
             break
-        if not apart[band]:
+        k, d = cuts[band], apart[band]
+        if not d:
             continue  # only equal sets link
-        k = cuts[band]
         segment = ((found >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
         begin = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
-        held = np.add.reduceat(_mixed(found), begin)
-        mark = segment[begin] + np.uint64((band + 1) << 40)
+        held = np.add.reduceat(_mixed(found), begin)[: d + SHARED]
+        mark = segment[begin][: d + SHARED] + np.uint64((band + 1) << 40)
         out.append(_mixed(held * np.uint64(0x9E3779B97F4A7C15) + _mixed(mark)))
-        if k - len(begin) >= k - apart[band]:
+        if len(begin) <= d:
             out.append(_mixed(np.array([(band + 1) << 40 | 1 << 39], np.uint64)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        least = min(least, max(1, len(begin) - d))
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), least
+
+
+def named(found: np.ndarray, rule: Rule) -> tuple[int, np.ndarray]:
+    """Signed name and tile keys of a set; 0 is the empty one."""
+    if not len(found):
+        return 0, np.zeros(0, np.uint64)
+    tiles, least = keys(found, rule)
+    return (xxhash.xxh64_intdigest(found.tobytes(), SEED) & ~3 | least - 1) - (1 << 63), tiles
 
 
 def signature(found: np.ndarray, bits: int) -> np.ndarray:
@@ -149,15 +151,10 @@ def signature(found: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bits_for(n: int) -> int:
-    """Four bits or more for each shingle of the largest set of the band of ``n``."""
+    """Four bits or more for each shingle."""
     return max(64, 1 << math.ceil(math.log2(4 * n)))
 
 
-def folded(marks: np.ndarray, bits: int) -> np.ndarray:
-    """The signature of the same set with fewer bits."""
-    return np.bitwise_xor.reduce(marks.reshape(-1, bits // 64), axis=0)
-
-
 def _long(values) -> pa.Array:
     return pa.array(np.ascontiguousarray(values, np.uint64).view(np.int64))
 
@@ -166,11 +163,8 @@ def _named(rule: Rule):
     """Per text: name of its set and size."""
 
     def run(texts: list[bytes]) -> list[dict]:
-        out = []
-        for text in texts:
-            found = shingles(text, rule.size)
-            out.append({"node": name_of(found), "n": len(found)})
-        return out
+        sets = [shingles(text, rule.size) for text in texts]
+        return [{"node": named(found, rule)[0], "n": len(found)} for found in sets]
 
     return arrow_column(run, "node long, n long", pa.struct([("node", pa.int64()), ("n", pa.int64())]))
 
@@ -184,13 +178,11 @@ def _tiles(rule: Rule):
             for _, part in steps(to_bytes(batch.column(0))):
                 tile, node = [], []
                 for text in part:
-                    found = shingles(text, rule.size)
-                    name = name_of(found)
-                    if not len(found) or name in seen:
-                        continue
-                    seen.add(name)
-                    tile.append(keys(found, rule))
-                    node.append(np.full(len(tile[-1]), name, np.int64))
+                    name, own = named(shingles(text, rule.size), rule)
+                    if len(own) and name not in seen:
+                        seen.add(name)
+                        tile.append(own)
+                        node.append(np.full(len(own), name, np.int64))
                 if tile:
                     yield pa.RecordBatch.from_arrays([_long(np.concatenate(tile)), pa.array(np.concatenate(node))], ["tile", "node"])
 
@@ -219,14 +211,20 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["tile", "node"])
 
 
-def _open(rows: DataFrame) -> DataFrame:
-    """The rows (tile, node, root) of tiles with several roots."""
-    ends = rows.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("tile")
-    return shared_table(rows.join(ends, "tile", "left_semi"))
+def _several(rows: DataFrame, what: str) -> DataFrame:
+    """The rows of tiles with several values of ``what``."""
+    ends = rows.groupBy("tile").agg(F.min(what).alias("low"), F.max(what).alias("high")).filter("low <> high").select("tile")
+    return rows.join(ends, "tile", "left_semi")
+
+
+def _families(rows: DataFrame) -> DataFrame:
+    """(node, family) of rows (tile, node): components of meeting in a tile."""
+    first = rows.groupBy("tile").agg(F.min("node").alias("a"))
+    return components(rows.join(first, "tile").select("a", F.col("node").alias("b"))).withColumnRenamed("root", "family")
 
 
 def _needed(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """(node, n, found, signature) with the sorted shingles, once for each of ``nodes``."""
+    """``nodes`` with their sorted shingles in ``found``."""
     # A filter of fixed size spares the shuffle most sets that nobody meets; the join is what decides.
     place = f"shiftrightunsigned(node, {64 - FILTER_BITS})"
     words = nodes.selectExpr(f"shiftright({place}, 6) AS word", f"shiftleft(1L, CAST({place} & 63 AS INT)) AS bit")
@@ -239,51 +237,46 @@ def _needed(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
         seen, marks = set(), wanted.value
         for batch in batches:
             for _, part in steps(to_bytes(batch.column(0))):
-                node, n, arrays, signatures = [], [], [], []
+                node, arrays = [], []
                 for text in part:
                     found = shingles(text, rule.size)
-                    name = name_of(found)
+                    name = named(found, rule)[0]
                     at = (name & ((1 << 64) - 1)) >> (64 - FILTER_BITS)
                     if len(found) and name not in seen and int(marks[at >> 6]) >> (at & 63) & 1:
                         seen.add(name)
                         node.append(name)
-                        n.append(len(found))
                         arrays.append(found.tobytes())
-                        signatures.append(signature(found, bits_for(len(found))).tobytes())
                 if node:
-                    columns = [pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(arrays, pa.binary()), pa.array(signatures, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["node", "n", "found", "signature"])
+                    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(arrays, pa.binary())], ["node", "found"])
 
-    told = docs.select("text").mapInArrow(run, "node long, n long, found binary, signature binary")
-    return shared_table(told.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    told = docs.select("text").mapInArrow(run, "node long, found binary")
+    return shared_table(told.join(nodes, "node").dropDuplicates(["node"]))
 
 
 def _exact(rule: Rule):
-    """mapInArrow over (a, b, shingles and signatures of a and b): the pairs that link."""
+    """mapInArrow over (a, b, shingles of a, shingles of b): the pairs that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = held = marks = None
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             good = np.zeros(len(a), bool)
             for i in range(len(a)):
-                if name != a[i]:
-                    name, held, marks = a[i], np.frombuffer(batch.column(2)[i].as_py(), np.uint64), np.frombuffer(batch.column(4)[i].as_py(), np.uint64)
-                other = np.frombuffer(batch.column(3)[i].as_py(), np.uint64)
-                mine = np.frombuffer(batch.column(5)[i].as_py(), np.uint64)
-                bits = 64 * min(len(marks), len(mine))
-                differ = int(np.bitwise_count(folded(marks, bits) ^ folded(mine, bits)).sum())
-                if differ <= rule.apart(len(held) + len(other)):
-                    good[i] = rule.enough(len(np.intersect1d(held, other, assume_unique=True)), len(held) + len(other))
+                x, y = (np.frombuffer(batch.column(k)[i].as_py(), np.uint64) for k in (2, 3))
+                good[i] = similar(x, y, rule)
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
     return run
 
 
+def similar(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
+    """Exact test on sorted arrays."""
+    return bool(rule.enough(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)))
+
+
 def _linked(pairs: DataFrame, arrays: DataFrame, rule: Rule) -> DataFrame:
-    one = arrays.select(F.col("node").alias("a"), F.col("found").alias("x"), F.col("signature").alias("v"))
-    two = arrays.select(F.col("node").alias("b"), F.col("found").alias("y"), F.col("signature").alias("w"))
-    return stage(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "v", "w").mapInArrow(_exact(rule), "a long, b long"))
+    one = arrays.select(F.col("node").alias("a"), F.col("found").alias("x"))
+    two = arrays.select(F.col("node").alias("b"), F.col("found").alias("y"))
+    return stage(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_exact(rule), "a long, b long"))
 
 
 def _leaders(rows: DataFrame, turn: int) -> DataFrame:
@@ -298,86 +291,109 @@ def _leaders(rows: DataFrame, turn: int) -> DataFrame:
     return chosen.select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
 
 
+def forest(node: np.ndarray, root: np.ndarray, arrays: list[np.ndarray], rule: Rule, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between ``left`` and ``right`` places that connect all linking pairs of different roots."""
+    n = np.fromiter(map(len, arrays), np.int64, len(arrays))
+    bits = bits_for(int(n.max()))
+    marks = np.stack([signature(x, bits) for x in arrays])
+    right = right[np.argsort(n[right], kind="stable")]
+    a, b, apart = [], [], []
+    for row in left.tolist():
+        low = np.searchsorted(n[right], -(-rule.under * n[row] // rule.over))
+        high = np.searchsorted(n[right], rule.largest(n[row]), side="right")
+        others = right[low:high]
+        others = others[(root[others] != root[row]) & (node[others] > node[row])]
+        differ = np.bitwise_count(marks[others] ^ marks[row]).sum(1, dtype=np.int64)
+        near = differ <= rule.apart(n[others] + n[row])
+        a.append(np.full(int(near.sum()), row))
+        b.append(others[near])
+        apart.append(differ[near])
+    a, b, apart = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, apart))
+    up = {r: r for r in root.tolist()}
+
+    def top(r: int) -> int:
+        while up[r] != r:
+            up[r] = r = up[up[r]]
+        return r
+
+    kept = []
+    for i in np.argsort(apart, kind="stable").tolist():
+        x, y = top(int(root[a[i]])), top(int(root[b[i]]))
+        if x != y and similar(arrays[a[i]], arrays[b[i]], rule):
+            up[x] = y
+            kept.append(i)
+    return node[a[kept]], node[b[kept]]
+
+
 def _compared(rule: Rule):
-    """mapInArrow over (tile, i, j, side, node, root, n, signature) in sorted blocks: pairs that the bit counts let pass."""
-
-    def pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        i, j, side, node, root, n = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3, 4, 5, 6))
-        marks = [np.frombuffer(r[7], np.uint64) for r in rows]
-        bits = 64 * min(map(len, marks))
-        marks = np.stack([folded(m, bits) for m in marks])
-        same_block = i[0] == j[0]
-        left, right = np.flatnonzero(side == i[0]), np.flatnonzero(side == j[0])
-        right = right[np.argsort(n[right], kind="stable")]
-        a, b = [], []
-        for row in left.tolist():
-            low = np.searchsorted(n[right], -(-rule.under * n[row] // rule.over))
-            high = np.searchsorted(n[right], rule.over * n[row] // rule.under, side="right")
-            others = right[low:high]
-            others = others[root[others] != root[row]]
-            if same_block:
-                others = others[node[others] > node[row]]
-            if not len(others):
-                continue
-            differ = np.bitwise_count(marks[others] ^ marks[row]).sum(1, dtype=np.int64)
-            others = others[differ <= rule.apart(n[others] + n[row])]
-            a.append(np.full(len(others), node[row]))
-            b.append(node[others])
-        if not a:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(a), np.concatenate(b)
+    """mapInArrow over (family, i, j, side, node, root, found) in sorted blocks: a forest of each block's links."""
+
+    def linked(rows: list[tuple]) -> pa.RecordBatch:
+        side, node, root = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+        arrays = [np.frombuffer(r[6], np.uint64) for r in rows]
+        left, right = (np.flatnonzero(side == rows[0][k]) for k in (1, 2))
+        a, b = forest(node, root, arrays, rule, left, right)
+        if rows[0][1] != rows[0][2]:  # the smaller name may be on either side
+            c, d = forest(node, root, arrays, rule, right, left)
+            a, b = np.concatenate((a, c)), np.concatenate((b, d))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-
-        def out():
-            a, b = pairs(held)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if held and held[0][:3] != row[:3]:
-                    yield out()
+                    yield linked(held)
                     held = []
                 held.append(row)
         if held:
-            yield out()
+            yield linked(held)
 
     return run
 
 
-def _blocks(rows: DataFrame, arrays: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of different components that share a tile and pass the bit counts."""
-    sizes = rows.groupBy("tile").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    sided = rows.join(sizes, "tile").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = sided.withColumn("other", other).select("tile", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "root")
-    full = dealt.join(arrays, "node").select("tile", "i", "j", "side", "node", "root", "n", "signature")
-    compared = full.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "node").mapInArrow(_compared(rule), "a long, b long")
-    return compared.distinct()
+def _large(met: DataFrame, arrays: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Of the tiles of large families: links found by leaders, and blocks of what lies in several components."""
+    rows, edges = met.withColumn("root", F.col("node")), None
+    for turn in range(ROUNDS):
+        found = _linked(_leaders(rows, turn), arrays, rule)
+        edges = found if edges is None else stage(edges.union(found))
+        rooted = rows.drop("root").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rows = shared_table(_several(rooted, "root"))
+    members = rows.select("node", "root").distinct().join(_families(rows), "node")
+    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    sided = members.join(sizes, "family").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = sided.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = other.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "root")
+    return edges, dealt.join(arrays.select("node", "found"), "node").select("family", "i", "j", "side", "node", "root", "found")
 
 
-def links(docs: DataFrame, rule: Rule, rounds: int | None = None) -> DataFrame:
+def links(docs: DataFrame, rule: Rule) -> DataFrame:
     """Edges (a, b) between names of sets that connect all linking ones."""
     tiles = docs.select("text").mapInArrow(_tiles(rule), "tile long, node long")
     met = shared_table(tiles.repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(_met, "tile long, node long"))
-    arrays = _needed(docs, met.select("node").distinct(), rule)
-    met, edges = met.withColumn("root", F.col("node")), None
-    for turn in range(ROUNDS if rounds is None else rounds):
-        found = _linked(_leaders(met, turn), arrays, rule)
-        edges = found if edges is None else stage(edges.union(found))
-        rooted = met.drop("root").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        met = _open(rooted)
-    rest = _linked(_blocks(met, arrays, rule), arrays, rule)
-    return rest if edges is None else edges.union(rest)
+    enough = met.groupBy("node").agg(F.count("*").alias("tiles")).filter("tiles > (node & 3)").select("node")
+    met = shared_table(_several(met.join(enough, "node", "left_semi"), "node"))
+    families = _families(met)
+    sizes = families.groupBy("family").agg(F.count("*").alias("members"))
+    members = stage(families.join(sizes, "family").select("node", "family", (F.col("members") > BLOCK).alias("large")))
+    arrays = _needed(docs, members, rule)
+    none = F.lit(0)
+    blocks = arrays.filter("NOT large").select("family", none.alias("i"), none.alias("j"), none.alias("side"), "node", F.col("node").alias("root"), "found")
+    large = members.filter("large").select("node")
+    edges = None
+    if not large.isEmpty():
+        edges, more = _large(shared_table(met.join(large, "node", "left_semi")), arrays.filter("large"), rule)
+        blocks = blocks.unionByName(more)
+    found = stage(blocks.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node").mapInArrow(_compared(rule), "a long, b long"))
+    return found if edges is None else found.union(edges)
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule | None = None) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable by links, its own included)."""
     rule = rule or Rule()
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    named: Column = _named(rule)(F.col("text"))
-    rows = stage(docs.select("doc_id", named.alias("set")).select("doc_id", "set.node", "set.n"))
+    rows = stage(docs.select("doc_id", _named(rule)(F.col("text")).alias("set")).select("doc_id", "set.node", "set.n"))
     nodes = stage(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     roots = components(links(docs, rule))
     of_node = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -61,7 +61,9 @@ def test_linking_sets_share_a_tile_key():
         common = len(np.intersect1d(a, b))
         if RULE.enough(common, len(a) + len(b)):
             linked += not np.array_equal(a, b)
-            assert np.array_equal(a, b) or len(np.intersect1d(jaccard.keys(a, RULE), jaccard.keys(b, RULE)))
+            if not np.array_equal(a, b):
+                (x, least_a), (y, least_b) = jaccard.keys(a, RULE), jaccard.keys(b, RULE)
+                assert len(np.intersect1d(x, y)) >= max(least_a, least_b) >= 1
         else:
             apart += 1
     assert linked > 500 and apart > 500
@@ -73,7 +75,7 @@ def test_sets_in_few_segments_are_not_lost():
     for drop in (1, 5, 10):
         a, b = base, np.concatenate((base[drop:], np.arange(1000, 1000 + drop // 2, dtype=np.uint64)))
         assert RULE.enough(len(np.intersect1d(a, b)), len(a) + len(b))
-        assert len(np.intersect1d(jaccard.keys(a, RULE), jaccard.keys(b, RULE)))
+        assert len(np.intersect1d(jaccard.keys(a, RULE)[0], jaccard.keys(b, RULE)[0]))
 
 
 def test_every_linking_pair_of_sizes_has_a_band_with_room():
@@ -88,11 +90,9 @@ def test_bit_counts_never_exceed_the_difference():
     for n in (1, 5, 64, 700):
         a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
         b = np.unique(np.concatenate((a[: n // 2], rng.integers(0, 1 << 63, n).astype(np.uint64))))
-        x, y = (jaccard.signature(s, jaccard.bits_for(len(s))) for s in (a, b))
-        bits = 64 * min(len(x), len(y))
-        differ = np.bitwise_count(jaccard.folded(x, bits) ^ jaccard.folded(y, bits)).sum()
+        bits = jaccard.bits_for(n)
+        differ = np.bitwise_count(jaccard.signature(a, bits) ^ jaccard.signature(b, bits)).sum()
         assert differ <= len(np.setxor1d(a, b))
-        assert np.array_equal(jaccard.folded(x, bits), jaccard.signature(a, bits))
 
 
 def test_met_tiles_over_any_batches():
@@ -108,7 +108,7 @@ def test_met_tiles_over_any_batches():
     assert list(jaccard._met(iter([]))) == []
 
 
-@pytest.mark.parametrize(("rounds", "block"), [(2, 2048), (0, 5), (1, 3)])
+@pytest.mark.parametrize(("rounds", "block"), [(2, 2048), (1, 5), (2, 2)])
 def test_join_equals_all_pairs(spark, docs_of, corpus, monkeypatch, rounds, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "ROUNDS", rounds)
