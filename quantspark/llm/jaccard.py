@@ -14,9 +14,9 @@ the bits in which two signatures differ are at most the shingles in which the se
 overlap from above. What passes is intersected exactly, nearest pairs first, unless it is connected already; a
 spanning forest of the links leaves the task.
 
-Equal sets are one node from the start. A family of more than BLOCK sets first has rounds in which each node is
-compared with one leader only, which joins a large group of near copies with one pair a node; what still lies in
-several components is then compared in blocks of BLOCK nodes with one another.
+Equal sets are one node from the start. A family of more than BLOCK sets is cut into blocks. Each block is compared
+with a few pivots of the family, which joins a large group of near copies in linear work; only sets outside the
+family's largest component are then compared with all its blocks.
 
 Defined cases: a text without words (null too) has an empty set and is linked with nothing, not even its copies;
 fewer words than a shingle are one shingle; a null id is never a component's name unless the component has no
@@ -33,7 +33,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantspark.llm.components import components
@@ -47,10 +47,11 @@ BAND = 1.6
 LOG_EMPTY = -20.0
 #: Keys that a linking pair shares, where it has so many; the two lowest bits of a set's name hold one less.
 SHARED = 4
-#: Rounds of one leader per node in families of more than BLOCK nodes.
-ROUNDS = 2
-#: Nodes that one task compares with as many others.
-BLOCK = 2048
+#: Sets, and shingles of them, that one task holds of each side of a comparison.
+BLOCK = 8192
+BLOCK_SHINGLES = 8_000_000
+#: Sets of a large family with which all its others are compared first.
+PIVOTS = 16
 #: The filter that tells which texts are needed again has 2 ** FILTER_BITS bits.
 FILTER_BITS = 24
 
@@ -159,7 +160,7 @@ def _long(values) -> pa.Array:
     return pa.array(np.ascontiguousarray(values, np.uint64).view(np.int64))
 
 
-def _named(rule: Rule):
+def named_set(rule: Rule):
     """Per text: name of its set and size."""
 
     def run(texts: list[bytes]) -> list[dict]:
@@ -211,16 +212,17 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["tile", "node"])
 
 
-def _several(rows: DataFrame, what: str) -> DataFrame:
-    """The rows of tiles with several values of ``what``."""
-    ends = rows.groupBy("tile").agg(F.min(what).alias("low"), F.max(what).alias("high")).filter("low <> high").select("tile")
+def _several(rows: DataFrame) -> DataFrame:
+    """The rows of tiles with several nodes."""
+    ends = rows.groupBy("tile").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("tile")
     return rows.join(ends, "tile", "left_semi")
 
 
-def _families(rows: DataFrame) -> DataFrame:
-    """(node, family) of rows (tile, node): components of meeting in a tile."""
+def _families(rows: DataFrame, near: DataFrame | None) -> DataFrame:
+    """(node, family) of rows (tile, node): components of meeting in a tile, or of being in a pair of ``near``."""
     first = rows.groupBy("tile").agg(F.min("node").alias("a"))
-    return components(rows.join(first, "tile").select("a", F.col("node").alias("b"))).withColumnRenamed("root", "family")
+    pairs = rows.join(first, "tile").select("a", F.col("node").alias("b"))
+    return components(pairs if near is None else pairs.union(near.select("a", "b"))).withColumnRenamed("root", "family")
 
 
 def _needed(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
@@ -253,44 +255,11 @@ def _needed(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     return shared_table(told.join(nodes, "node").dropDuplicates(["node"]))
 
 
-def _exact(rule: Rule):
-    """mapInArrow over (a, b, shingles of a, shingles of b): the pairs that link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            good = np.zeros(len(a), bool)
-            for i in range(len(a)):
-                x, y = (np.frombuffer(batch.column(k)[i].as_py(), np.uint64) for k in (2, 3))
-                good[i] = similar(x, y, rule)
-            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
-
-    return run
-
-
 def similar(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
     """Exact test on sorted arrays."""
     return bool(rule.enough(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)))
 
 
-def _linked(pairs: DataFrame, arrays: DataFrame, rule: Rule) -> DataFrame:
-    one = arrays.select(F.col("node").alias("a"), F.col("found").alias("x"))
-    two = arrays.select(F.col("node").alias("b"), F.col("found").alias("y"))
-    return stage(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_exact(rule), "a long, b long"))
-
-
-def _leaders(rows: DataFrame, turn: int) -> DataFrame:
-    """Per node one other node (a, b): of the leaders of its tiles in other components the first one.
-
-    A tile has two leaders, the first and the last of its nodes in the order of the round.
-    """
-    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "root")
-    ends = rows.groupBy("tile").agg(F.min(order).alias("low"), F.max(order).alias("high"))
-    met = rows.join(ends, "tile").select("node", "root", F.explode(F.array("low", "high")).alias("lead")).filter("lead.root <> root")
-    chosen = met.groupBy("node").agg(F.min("lead").alias("lead"))
-    return chosen.select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
-
-
 def forest(node: np.ndarray, root: np.ndarray, arrays: list[np.ndarray], rule: Rule, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links between ``left`` and ``right`` places that connect all linking pairs of different roots."""
     n = np.fromiter(map(len, arrays), np.int64, len(arrays))
@@ -326,14 +295,14 @@ def forest(node: np.ndarray, root: np.ndarray, arrays: list[np.ndarray], rule: R
 
 
 def _compared(rule: Rule):
-    """mapInArrow over (family, i, j, side, node, root, found) in sorted blocks: a forest of each block's links."""
+    """mapInArrow over sorted blocks: a forest of the links between the two sides of a block, or within its one side."""
 
     def linked(rows: list[tuple]) -> pa.RecordBatch:
         side, node, root = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
         arrays = [np.frombuffer(r[6], np.uint64) for r in rows]
-        left, right = (np.flatnonzero(side == rows[0][k]) for k in (1, 2))
-        a, b = forest(node, root, arrays, rule, left, right)
-        if rows[0][1] != rows[0][2]:  # the smaller name may be on either side
+        left, right = (np.flatnonzero(side == k) for k in (0, 1))
+        a, b = forest(node, root, arrays, rule, left, right if len(right) else left)
+        if len(right):  # the smaller name may be on either side
             c, d = forest(node, root, arrays, rule, right, left)
             a, b = np.concatenate((a, c)), np.concatenate((b, d))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -352,50 +321,60 @@ def _compared(rule: Rule):
     return run
 
 
-def _large(met: DataFrame, arrays: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """Of the tiles of large families: links found by leaders, and blocks of what lies in several components."""
-    rows, edges = met.withColumn("root", F.col("node")), None
-    for turn in range(ROUNDS):
-        found = _linked(_leaders(rows, turn), arrays, rule)
-        edges = found if edges is None else stage(edges.union(found))
-        rooted = rows.drop("root").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rows = shared_table(_several(rooted, "root"))
-    members = rows.select("node", "root").distinct().join(_families(rows), "node")
-    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    sided = members.join(sizes, "family").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = sided.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = other.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "root")
-    return edges, dealt.join(arrays.select("node", "found"), "node").select("family", "i", "j", "side", "node", "root", "found")
-
-
-def links(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Edges (a, b) between names of sets that connect all linking ones."""
+def _links(blocks: DataFrame, rule: Rule) -> DataFrame:
+    """Links of rows (family, i, j, side, node, root, found); equal (family, i, j) are one block."""
+    rows = blocks.select("family", "i", "j", "side", "node", "root", "found").repartition("family", "i", "j")
+    return stage(rows.sortWithinPartitions("family", "i", "j", "side", "node").mapInArrow(_compared(rule), "a long, b long"))
+
+
+def _large(arrays: DataFrame, rule: Rule) -> DataFrame:
+    """Links of families of several blocks."""
+    side = lambda seed, blocks: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(blocks)).cast("int")
+    rows = arrays.select("family", "blocks", side(0, "blocks").alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", F.col("node").alias("root"), "found")
+    place = F.row_number().over(Window.partitionBy("family").orderBy(F.xxhash64("node", F.lit(1)), "node"))
+    pivots = rows.withColumn("place", place).filter(F.col("place") <= PIVOTS).drop("place").withColumn("side", F.lit(1))
+    pivots = pivots.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    first = _links(rows.unionByName(pivots), rule)
+
+    keys = stage(arrays.select("family", "blocks", "node").join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    parts = keys.groupBy("family", "root").agg(F.count("*").alias("n"))
+    main = parts.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("inside"))
+    share = (F.col("all") - F.col("inside")) / F.col("all")
+    told = keys.join(main, "family").withColumn("outer", F.ceil(share * F.col("blocks")).cast("int")).filter("outer > 0")
+    number = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    spot = lambda i, j, k: F.struct(i.alias("i"), j.alias("j"), F.lit(k).alias("side"))
+    inner = F.transform(number("outer"), lambda i: spot(i, side(0, "blocks"), 0))
+    outer = F.transform(number("blocks"), lambda j: spot(side(2, "outer"), j, 1))
+    spots = told.select("family", "node", "root", F.explode(F.when(F.col("root") == F.col("main"), inner).otherwise(F.concat(inner, outer))).alias("at"))
+    rest = spots.select("family", "at.i", "at.j", "at.side", "node", "root").join(arrays.select("node", "found"), "node")
+    return first.union(_links(rest, rule))
+
+
+def links(docs: DataFrame, nodes: DataFrame, rule: Rule, near: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) between names of sets that connect all linking ones. ``docs``: text; ``nodes``: node, n.
+
+    ``near`` are candidates (a, b) from elsewhere; they are tested like those that meet in tiles.
+    """
     tiles = docs.select("text").mapInArrow(_tiles(rule), "tile long, node long")
     met = shared_table(tiles.repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(_met, "tile long, node long"))
     enough = met.groupBy("node").agg(F.count("*").alias("tiles")).filter("tiles > (node & 3)").select("node")
-    met = shared_table(_several(met.join(enough, "node", "left_semi"), "node"))
-    families = _families(met)
-    sizes = families.groupBy("family").agg(F.count("*").alias("members"))
-    members = stage(families.join(sizes, "family").select("node", "family", (F.col("members") > BLOCK).alias("large")))
+    families = stage(_families(_several(met.join(enough, "node", "left_semi")), near).join(nodes.select("node", "n"), "node"))
+    sizes = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    members = stage(families.join(sizes, "family").select("node", "family", "blocks"))
     arrays = _needed(docs, members, rule)
     none = F.lit(0)
-    blocks = arrays.filter("NOT large").select("family", none.alias("i"), none.alias("j"), none.alias("side"), "node", F.col("node").alias("root"), "found")
-    large = members.filter("large").select("node")
-    edges = None
-    if not large.isEmpty():
-        edges, more = _large(shared_table(met.join(large, "node", "left_semi")), arrays.filter("large"), rule)
-        blocks = blocks.unionByName(more)
-    found = stage(blocks.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node").mapInArrow(_compared(rule), "a long, b long"))
-    return found if edges is None else found.union(edges)
+    small = arrays.filter("blocks = 1").select("family", none.alias("i"), none.alias("j"), none.alias("side"), "node", F.col("node").alias("root"), "found")
+    found = _links(small, rule)
+    return found if members.filter("blocks > 1").isEmpty() else found.union(_large(arrays.filter("blocks > 1"), rule))
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule | None = None) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable by links, its own included)."""
     rule = rule or Rule()
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    rows = stage(docs.select("doc_id", _named(rule)(F.col("text")).alias("set")).select("doc_id", "set.node", "set.n"))
-    nodes = stage(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
-    roots = components(links(docs, rule))
+    rows = stage(docs.select("doc_id", named_set(rule)(F.col("text")).alias("set")).select("doc_id", "set.node", "set.n"))
+    nodes = stage(rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    roots = components(links(docs, nodes, rule))
     of_node = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_root = of_node.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("members"))
     # Only sets with another member need a look-up; a hot set is one row of it.

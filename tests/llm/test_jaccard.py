@@ -108,10 +108,10 @@ def test_met_tiles_over_any_batches():
     assert list(jaccard._met(iter([]))) == []
 
 
-@pytest.mark.parametrize(("rounds", "block"), [(2, 2048), (1, 5), (2, 2)])
-def test_join_equals_all_pairs(spark, docs_of, corpus, monkeypatch, rounds, block):
+@pytest.mark.parametrize(("pivots", "block"), [(16, 2048), (1, 3), (2, 5)])
+def test_join_equals_all_pairs(spark, docs_of, corpus, monkeypatch, pivots, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
     rng = random.Random(12)
     texts = list(corpus)
     for n in (9, 30, 90, 250):  # groups of near copies that are alike in chains
