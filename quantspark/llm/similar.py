@@ -1,276 +1,45 @@
-"""Near-duplicates by exact similarity: all pairs of texts whose sets of five-word shingles have a Jaccard
-similarity of at least 4/5 are linked, and of each connected component one document stays.
+"""Near-duplicates for a corpus: of each component of similar texts one document stays.
 
-The fingerprints of ``simhash`` cannot find these pairs: at similarity 0.8 two fingerprints of 64 bits differ
-in about ten bits with a spread of three, so any radius that masks can cover loses part of them. Here pairs
-meet by prefix filtering, which loses none: with all shingles in one fixed order, two sets that are similar
-enough share one of their first ``n - ceil(0.8 n) + 1`` shingles. The order puts frequent shingles last;
-frequencies come from a bounded sample and decide how much work there is, never what is found.
+SimHash fingerprints of five-word shingles and their covering masks bring nearly equal texts together. A fingerprint
+of 64 bits cannot find them all: at a similarity of 0.8 two of them differ in about ten bits with a spread of three.
+So its pairs are candidates next to those of the Jaccard join, whose tiles lose no pair, and every link rests on the
+exact test: a Jaccard similarity of the sets of five-word shingles of at least 4/5.
 
-Equal sets are one node. Rows of (shingle, node) are shuffled by shingle; a pair is possible only if the
-sizes and the places of the first common shingle leave room for the overlap. A first round links each node
-to one leader per shingle, so a large group of near copies costs one pair a row and not its square; a second
-round takes every possible pair whose nodes are not connected yet. Pairs are verified on their texts.
-
-Defined cases: null and word-free texts are copies of each other; fewer words than a shingle are one shingle;
-words are those of ``simhash``. Shingles and sets are compared as 64-bit hashes.
+Defined cases: null and word-free texts are copies of each other; fewer words than a shingle are one shingle; words
+are those of ``simhash``; repeated rows are copies, and of rows with one id the one with the smallest hash of its text
+stays; a row without an id stays only where its component has no other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantspark.llm import jaccard, simhash
 from quantspark.llm.components import components
-from quantspark.llm.rows import arrow_column, shared_table, stage, steps, to_bytes
-
-SHINGLE = 5
-SEED = 42
-#: Texts whose shingles are counted for the order, and shingles that the order knows.
-SAMPLE_ROWS = 50_000
-KNOWN = 1_000_000
-#: Pairs that one step of a task holds.
-PAIRS = 1 << 20
-
-
-def shingles(text: bytes) -> np.ndarray:
-    """Sorted distinct hashes (int64) of all runs of SHINGLE words."""
-    words = text.lower().split()  # bytes: A-Z only, separators are space and \t to \r
-    if not words:
-        return np.zeros(0, np.int64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    runs = max(1, len(words) - SHINGLE + 1)
-    x = np.full(runs, len(words) if runs == 1 else SHINGLE, np.uint64)
-    for i in range(min(SHINGLE, len(words))):
-        x = x * np.uint64(0x9E3779B97F4A7C15) + h[i : i + runs]
-        x ^= x >> np.uint64(29)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return np.unique((x ^ (x >> np.uint64(32))).view(np.int64))
-
-
-def set_name(found: np.ndarray) -> int:
-    """Signed 64-bit hash of a set; 0 for the empty one."""
-    return 0 if not len(found) else int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
-
-
-def name_of(text: Column) -> Column:
-    return arrow_column(lambda texts: [set_name(shingles(t)) for t in texts], "long", pa.int64())(text)
-
-
-def enough(common: np.ndarray | int, total: np.ndarray | int) -> np.ndarray | bool:
-    """Jaccard of at least 4/5 in whole numbers: common / (total - common) >= 4 / 5, total being both sizes."""
-    return 9 * common >= 4 * total
-
-
-def _frequent(docs: DataFrame, text: str, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of several texts of a sample, sorted, and how many texts have them."""
-    share = min(1.0, SAMPLE_ROWS / max(1, rows))
-    chosen = docs.select(F.col(text).alias("text")).filter(F.pmod(F.xxhash64("text", F.lit("order")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, part in steps(to_bytes(batch.column(0))):
-                h, n = np.unique(np.concatenate([shingles(t) for t in part]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["h", "n"])
-
-    counted = chosen.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
-    top = counted.orderBy(F.desc("n"), "h").limit(KNOWN).toArrow()
-    h, n = top.column("h").to_numpy().astype(np.int64), top.column("n").to_numpy().astype(np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def prefix(found: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the common order: rare before frequent, then by hash."""
-    need = len(found) - (4 * len(found) + 4) // 5 + 1
-    if len(known):
-        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-        found = found[np.lexsort((found, np.where(known[at] == found, counts[at], 0)))]
-    return found[:need]
-
-
-def _prefixes(order):
-    """mapInArrow over texts: a row (shingle, node, n, place) per shingle of a prefix; a task tells a set once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = order.value
-        seen = set()
-        for batch in batches:
-            for _, part in steps(to_bytes(batch.column(0))):
-                h, node, n, place = [], [], [], []
-                for text in part:
-                    found = shingles(text)
-                    name = set_name(found)
-                    if not len(found) or name in seen:
-                        continue
-                    seen.add(name)
-                    first = prefix(found, known, counts)
-                    h.append(first)
-                    node.append(np.full(len(first), name, np.int64))
-                    n.append(np.full(len(first), len(found), np.int32))
-                    place.append(np.arange(len(first), dtype=np.int32))
-                if h:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h, node, n, place)], ["h", "node", "n", "place"])
-
-    return run
-
-
-def _possible(n: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """May rows i and j be similar enough if their shingle is the first that they share?"""
-    return enough(np.minimum(n[i] - place[i], n[j] - place[j]).astype(np.int64), n[i].astype(np.int64) + n[j])
-
-
-def leaders(n: np.ndarray, place: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per row of a bucket (sorted by n) the first row whose size still fits: rows (leader, other)."""
-    ends = np.append(starts[1:], len(n))
-    out = []
-    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-        if e - s > 1:
-            lead = s + np.searchsorted(n[s:e], (4 * n[s:e].astype(np.int64) + 4) // 5)
-            out.append(np.stack([lead, np.arange(s, e)]))
-    a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-    good = (a != b) & _possible(n, place, a, b)
-    return a[good], b[good]
-
-
-def unconnected(n: np.ndarray, place: np.ndarray, root: np.ndarray, s: int, e: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All possible pairs of bucket s:e between different components; pairs inside the largest are never listed."""
-    names, code, count = np.unique(root[s:e], return_inverse=True, return_counts=True)
-    if len(names) < 2:
-        return
-    main = code == count.argmax()
-    for i in np.flatnonzero(~main).tolist():
-        # Rows of the largest component on both sides of i, others only before it.
-        low = int(np.searchsorted(n[s:e], (4 * int(n[s + i]) + 4) // 5))
-        high = int(np.searchsorted(n[s:e], 5 * int(n[s + i]) // 4, side="right"))
-        j = np.arange(low, high)
-        j = j[(code[j] != code[i]) & (main[j] | (j < i))] + s
-        j = j[_possible(n, place, j, np.full(len(j), s + i))]
-        if len(j):
-            yield np.full(len(j), s + i), j
-
-
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Rows sorted by their first column, regrouped so that no bucket is cut."""
-    held = []
-    for batch in batches:
-        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-        if not len(rows[0]):
-            continue
-        done = int(np.searchsorted(rows[0], rows[0][-1]))
-        if done:
-            held.append([x[:done] for x in rows])
-            yield [np.concatenate(x) for x in zip(*held, strict=True)]
-            held = []
-        held.append([x[done:] for x in rows])
-        if len(held) > 1 and held[0][0][0] != rows[0][-1]:
-            yield [np.concatenate(x) for x in zip(*held[:-1], strict=True)]
-            held = held[-1:]
-    if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
-
-
-def _starts(h: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-
-
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of shingles that several sets have, each row once."""
-    for h, node, n, place in _buckets(batches):
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])))
-        h, node, n, place = h[new], node[new], n[new], place[new]
-        starts = _starts(h)
-        size = np.diff(np.append(starts, len(h)))
-        keep = np.repeat(size > 1, size)
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, node, n, place)], ["h", "node", "n", "place"])
-
-
-def _pairs(first: bool):
-    """mapInArrow over rows sorted by (shingle, n, node): pairs (a, b) of the first or of the second round."""
-
-    def out(node, a, b) -> pa.RecordBatch:
-        both = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, node, n, place, *root in _buckets(batches):
-            starts = _starts(h)
-            if first:
-                a, b = leaders(n, place, starts)
-                if len(a):
-                    yield out(node, a, b)
-                continue
-            held, size = [], 0
-            for s, e in zip(starts.tolist(), np.append(starts[1:], len(h)).tolist(), strict=True):
-                for pair in unconnected(n, place, root[0], s, e):
-                    held.append(pair)
-                    size += len(pair[0])
-                    if size > PAIRS:
-                        yield out(node, *[np.concatenate(x) for x in zip(*held, strict=True)])
-                        held, size = [], 0
-            if held:
-                yield out(node, *[np.concatenate(x) for x in zip(*held, strict=True)])
-
-    return run
-
-
-def _dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition("h").sortWithinPartitions("h", "n", "node")
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of the rows (a, b, text of a, text of b) that are similar enough."""
-    name, held = None, None
-    for batch in batches:
-        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        good = np.zeros(len(a), bool)
-        for i in range(len(a)):
-            if name != a[i]:
-                name, held = a[i], shingles(batch.column(2)[i].as_py().encode())
-            other = shingles(batch.column(3)[i].as_py().encode())
-            good[i] = enough(len(np.intersect1d(held, other, assume_unique=True)), len(held) + len(other))
-        yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
-
+from quantspark.llm.rows import stage
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return stage(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"))
+RULE = jaccard.Rule(over=5, under=4, size=5)
 
 
-def links(docs: DataFrame, rows: DataFrame, text: str, key: str, mark: Column) -> DataFrame:
-    """Edges (a, b) between names of sets that connect all similar ones. ``rows``: doc_id, mark, node."""
-    spark = docs.sparkSession
-    order = spark.sparkContext.broadcast(_frequent(docs, text, rows.count()))
-    prefixes = docs.select(F.col(text).alias("text")).mapInArrow(_prefixes(order), "h long, node long, n int, place int")
-    met = shared_table(_dealt(prefixes).mapInArrow(_met, "h long, node long, n int, place int"))
-    order.unpersist()
-    # One text of every set that meets another.
-    pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("pick")
-    some = rows.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(pick).select("node", F.col("pick.doc_id").alias("i"), F.col("pick.mark").alias("m"))
-    held = docs.select(F.col(key).alias("_key"), mark.alias("_mark"), F.col(text).alias("text"))
-    same = held["_key"].eqNullSafe(some["i"]) & (held["_mark"] == some["m"])
-    texts = shared_table(held.join(some, same).select("node", "text").dropDuplicates(["node"]))
-    edges = _linked(stage(_dealt(met).mapInArrow(_pairs(True), "a long, b long").distinct()), texts)
-    roots = components(edges)
-    rooted = met.join(roots, "node", "left").select("h", "node", "n", "place", F.coalesce("root", "node").alias("root"))
-    more = stage(_dealt(rooted).mapInArrow(_pairs(False), "a long, b long").distinct())
-    return edges.union(_linked(more, texts))
+def near(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, fp) whose fingerprints are equal or within the radius."""
+    first = stage(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = nodes.join(first, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    one, two = (first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")) for c in ("a", "b"))
+    met = simhash.links(first.select("fp")).join(one, "a").join(two, "b")
+    return equal.union(met.select("a_node", "b_node"))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stand for their component: the smallest id, once. All columns stay."""
     mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
-    rows = stage(docs.select(F.col(key).alias("doc_id"), mark.alias("mark"), name_of(F.col(text)).alias("node")))
+    told = docs.select(F.col(key).alias("doc_id"), mark.alias("mark"), jaccard.named_set(RULE)(F.col(text)).alias("set"), simhash.simhash(F.col(text), RULE.size).alias("fp"))
+    rows = stage(told.select("doc_id", "mark", "set.node", "set.n", "fp"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("mark").alias("mark"))
-    nodes = rows.groupBy("node").agg(F.min(order).alias("kept"))
-    roots = components(links(docs, rows, text, key, mark))
+    nodes = stage(rows.groupBy("node").agg(F.first("n").alias("n"), F.min("fp").alias("fp"), F.min(order).alias("kept")))
+    full = nodes.filter("n > 0")
+    roots = components(jaccard.links(docs.select(F.col(text).alias("text")), full, RULE, near(full)))
     kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("kept").alias("kept"))
     kept = kept.select(F.col("kept.doc_id").alias("_kept_id"), F.col("kept.mark").alias("_kept_mark"))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("_key"), mark.alias("_mark"))

@@ -127,19 +127,17 @@ def test_pipeline_stage_finds_every_pair_of_similarity_four_fifths(spark, docs_o
     assert stage(spark, docs_of([]), "").count() == 0
 
 
-def test_prefixes_of_similar_sets_meet_and_pass_the_bounds():
-    rng = np.random.default_rng(4)
-    known = np.sort(rng.choice(400, 100, replace=False)).astype(np.int64)
-    counts = rng.integers(2, 9, 100)
-    for _ in range(500):
-        a = np.unique(rng.integers(0, 400, rng.integers(1, 120)))
-        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.93], rng.integers(0, 400, rng.integers(0, 9))]))
-        if 5 * len(np.intersect1d(a, b)) < 4 * len(np.union1d(a, b)):
-            continue
-        x, y = (similar.prefix(s, known, counts).tolist() for s in (a, b))
-        shared = [h for h in x if h in y]
-        place = np.array([x.index(shared[0]), y.index(shared[0])])
-        assert similar._possible(np.array([len(a), len(b)]), place, np.array([0]), np.array([1])).all()
+def test_near_fingerprints_are_candidates(spark):
+    rows = [(1, 0), (2, 0), (3, 7), (4, 1 << 40), (5, -1), (6, 15), (7, -1)]
+    found = similar.near(spark.createDataFrame(rows, "node long, fp long")).collect()
+    parent = {n: n for n, _ in rows}
+    for a, b in found:
+        old, new = parent[a], parent[b]
+        parent = {n: new if r == old else r for n, r in parent.items()}
+    groups = {}
+    for n, r in parent.items():
+        groups.setdefault(r, set()).add(n)
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 3, 4, 6], [5, 7]]  # 0-7 three bits, 0-2**40 one, 7-15 one
 
 
 def plain_removed(texts, length=50):
