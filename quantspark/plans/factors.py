@@ -193,15 +193,18 @@ def ltr_scores(t):
     return model.transform(panel.filter("is_test")).select("date", "ticker", "score", "forward_return")
 
 
-@query("ltr_checked", "P15 P17", "date d,ticker s,has_score b,importance f",
-       _FORWARD + """, dts AS (SELECT date, ROW_NUMBER() OVER (ORDER BY date DESC) AS k, COUNT(*) OVER () AS m FROM (SELECT DISTINCT date FROM fr))
-       SELECT fr.date, fr.ticker, true AS has_score, 1.0 AS importance FROM fr JOIN dts ON dts.date=fr.date WHERE k<=greatest(1, CAST(round_even(m*0.3,0) AS INT))""")
+@query("ltr_checked", "P15 P17", "date d,ticker s,relevance i,has_score b,importance f",
+       _FORWARD + """, r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY date ORDER BY forward_return, ticker) AS r, COUNT(*) OVER (PARTITION BY date) AS n FROM fr WHERE forward_return IS NOT NULL),
+       lab AS (SELECT ticker, date, CASE WHEN n=1 THEN 0 ELSE greatest(0, CAST(ceil((r-1)*5/(n-1)) AS INT)-1) END AS relevance FROM r),
+       dts AS (SELECT date, ROW_NUMBER() OVER (ORDER BY date DESC) AS k, COUNT(*) OVER () AS m FROM (SELECT DISTINCT date FROM fr)),
+       x AS (SELECT fr.date, fr.ticker, lab.relevance, k<=greatest(1, CAST(round_even(m*0.3,0) AS INT)) AS is_test FROM fr JOIN dts ON dts.date=fr.date LEFT JOIN lab ON lab.ticker=fr.ticker AND lab.date=fr.date)
+       SELECT date, ticker, relevance, true AS has_score, CASE WHEN (SELECT COUNT(DISTINCT relevance) FROM x WHERE NOT is_test)>1 THEN 1.0 ELSE 0.0 END AS importance FROM x WHERE is_test""")
 def ltr_checked(t):
-    """What is determined of the model: every row of the test dates has a score, importances sum to one."""
+    """What is determined of the model: the grades and a score on every row of the test dates; importances sum to one, or to zero if all training grades are equal."""
     panel = stage(ltr.time_split(ltr.relevance_labels(_panel(t))))
     model = ltr.train_ranker(panel.filter("not is_test"))
     total = ltr.feature_importance(model, t.spark).agg(F.sum("importance")).scalar()
-    return model.transform(panel.filter("is_test")).select("date", "ticker", F.col("score").isNotNull().alias("has_score"), total.alias("importance"))
+    return model.transform(panel.filter("is_test")).select("date", "ticker", "relevance", F.col("score").isNotNull().alias("has_score"), total.alias("importance"))
 
 
 @query("factor_changes", "W27", "ticker s,d d,factor s,previous f,current f,delta_pct f",

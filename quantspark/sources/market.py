@@ -12,13 +12,48 @@ from pyspark.sql import functions as F
 from quantspark import schemas
 
 
+#: The folder of a key whose rows lie in several files, as Spark's writers make it.
+KEYED = r"/key=([^/]*)/"
+
+
+def _landed(named: Column) -> Column:
+    """The value of a ``key=<value>`` folder on the row's path, else what the file or folder is named."""
+    keyed = F.regexp_extract(F.col("_metadata.file_path"), KEYED, 1)
+    return F.when(keyed != "", F.try_url_decode(keyed)).otherwise(named)
+
+
 def file_key(suffix: str = "") -> Column:
-    """File stem of the row's file, e.g. the ticker of a per-ticker file."""
-    return F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+?){suffix}\.[^./]+$", 1)
+    """The row's key, e.g. its ticker: a ``key=`` folder of files, or the stem of a file of its own."""
+    return _landed(F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+?){suffix}\.[^./]+$", 1))
 
 
 def folder_key() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    return _landed(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+
+
+def line_order() -> Column:
+    """Place of a row among all lines of its key: file, block of the file, place in the block.
+
+    Files of a key are named in order, and a file that is read in several blocks gives them ascending starts.
+    """
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")
+    )
+
+
+def lines_of(spark: SparkSession, path: str, key: Column, name: str) -> DataFrame:
+    """(key, line, place) of line-delimited files, read in as many tasks as they have blocks."""
+    return spark.read.option("recursiveFileLookup", "true").text(path).select(key.alias(name), F.col("value").alias("line"), line_order().alias("place"))
+
+
+def numbered(rows: DataFrame, key: str, start: int = 0) -> DataFrame:
+    """``seq`` for ``place``: the row's number within its key. A hot key is numbered in chunks."""
+    from quantspark.operators.ordered import in_chunks, running
+
+    flat = rows.select("*", "place.*").drop("place")
+    order = ["file", "start", "row"]
+    counted = running(in_chunks(flat, [key], order), [key], order, {"seq": F.lit(1)})
+    return counted.withColumn("seq", F.col("seq") - 1 + start).drop(*order, "_chunk")
 
 
 def _number(c: str | Column) -> Column:

@@ -1,4 +1,4 @@
-"""Incremental versions of article intake, bars, alerts, counts, narratives and marks.
+"""Incremental versions of article intake, bars, counts and narratives; ``stateful`` has alerts and marks.
 
 Every job takes a streaming (or static) DataFrame. State is keyed and bounded
 by watermarks or by one row per key, never by the length of the stream.
@@ -6,24 +6,19 @@ by watermarks or by one row per key, never by the length of the stream.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType, TimestampType
 
 from quantspark.operators.articles import MAX_AGE_MONTHS, recent_articles
 from quantspark.sources.sinks import append_log, write_narratives
 
 
 def bars_from_ticks(ticks: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Last price per ticker and window. ``ticks`` is (ticker, ts, price)."""
+    """Last price per ticker and window, of equal times the highest. ``ticks`` is (ticker, ts, price)."""
     return (
         ticks.withWatermark("ts", late)
         .groupBy(F.window("ts", width).alias("w"), "ticker")
-        .agg(F.max_by("price", "ts").alias("close"), F.count("*").alias("ticks"))
+        .agg(F.max_by("price", F.struct("ts", "price")).alias("close"), F.count("*").alias("ticks"))
         .select("ticker", F.col("w.start").alias("ts"), "close", "ticks")
     )
 
@@ -74,73 +69,3 @@ def upsert_narratives(refreshes: DataFrame, table: str, checkpoint: str):
         refreshes.writeStream.foreachBatch(lambda batch, _: write_narratives(batch, table))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
-
-
-class LastClose(StatefulProcessor):
-    """Keeps one close per ticker and emits bars that fell by the threshold against it."""
-
-    def __init__(self, drop: float):
-        self.drop = drop
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", StructType([StructField("ts", TimestampType()), StructField("close", DoubleType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(rows).sort_values("ts")
-        if self.last.exists():
-            ts, close = self.last.get()
-            frame = frame[frame["ts"] > pd.Timestamp(ts)]
-            before = frame["close"].shift(1, fill_value=close)
-        else:
-            before = frame["close"].shift(1)
-        if len(frame):
-            self.last.update((frame["ts"].iloc[-1].to_pydatetime(), float(frame["close"].iloc[-1])))
-        change = frame["close"] / before - 1
-        hit = change <= -self.drop
-        yield pd.DataFrame({"ticker": key[0], "ts": frame["ts"][hit], "close": frame["close"][hit], "ret": change[hit]})
-
-    def close(self) -> None:
-        pass
-
-
-_ALERT = StructType([StructField("ticker", StringType()), StructField("ts", TimestampType()), StructField("close", DoubleType()), StructField("ret", DoubleType())])
-
-
-def dip_alerts(bars: DataFrame, drop: float = 0.05) -> DataFrame:
-    """Alerts on closes that fell by ``drop`` since the ticker's last close. Needs the RocksDB state store."""
-    return bars.groupBy("ticker").transformWithStateInPandas(
-        statefulProcessor=LastClose(drop), outputStructType=_ALERT, outputMode="Append", timeMode="None"
-    )
-
-
-class LastMark(StatefulProcessor):
-    """Keeps the latest change per card and emits the card's state when it flips."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("mark", StructType([StructField("ts", TimestampType()), StructField("op", StringType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = None
-        for chunk in rows:
-            last = chunk.loc[chunk["ts"].idxmax()]
-            if newest is None or last["ts"] >= newest["ts"]:
-                newest = last
-        had = self.state.get() if self.state.exists() else (None, "unmark")
-        if had[0] is not None and newest["ts"] < pd.Timestamp(had[0]):
-            return
-        self.state.update((newest["ts"].to_pydatetime(), newest["op"]))
-        if newest["op"] != had[1]:
-            yield pd.DataFrame({"kind": [key[0]], "user_id": [key[1]], "card": [key[2]], "op": [newest["op"]], "ts": [newest["ts"]]})
-
-    def close(self) -> None:
-        pass
-
-
-_MARK = StructType([StructField(c, StringType()) for c in ("kind", "user_id", "card", "op")] + [StructField("ts", TimestampType())])
-
-
-def card_marks(changes: DataFrame) -> DataFrame:
-    """Flips of read and favourite marks; repeated marks are no-ops. A refreshed card sends ``unmark``."""
-    return changes.groupBy("kind", "user_id", "card").transformWithStateInPandas(
-        statefulProcessor=LastMark(), outputStructType=_MARK, outputMode="Append", timeMode="None"
-    )

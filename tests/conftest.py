@@ -1,8 +1,8 @@
-import datetime as dt
 import sys
 from pathlib import Path
 
 import pytest
+from days import day
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
@@ -18,10 +18,6 @@ def spark():
     session.stop()
 
 
-def day(text: str) -> dt.date:
-    return dt.date.fromisoformat(text)
-
-
 @pytest.fixture(scope="session")
 def bars(spark):
     """Build bars from {ticker: {date: close}}."""

@@ -3,8 +3,7 @@
 import datetime as dt
 import json
 
-import pytest
-from conftest import day
+from days import day
 from pyspark.sql import functions as F
 
 from quantspark.sources import feeds, filings, logs, market, sinks
@@ -179,25 +178,3 @@ def test_narrative_stream(spark, tmp_path):
     spark.createDataFrame([("g", "week", day("2024-01-01"), 1, "old"), ("g", "week", day("2024-01-03"), 2, "new")], shape).write.parquet(str(tmp_path / "in"))
     jobs.upsert_narratives(spark.readStream.schema(shape).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(180)
     assert [r.narrative for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["new"]
-
-
-def test_stateful_alerts_and_marks(spark, tmp_path):
-    pytest.importorskip("google.protobuf")
-    at = lambda h: dt.datetime(2024, 1, 1, h)
-    shape = "ticker string, ts timestamp, close double"
-    spark.createDataFrame([("A", at(1), 100.0), ("A", at(2), 94.0), ("B", at(1), 10.0), ("A", at(3), 93.0)], shape).coalesce(1).write.parquet(str(tmp_path / "b"))
-    alerts = str(tmp_path / "alerts")
-
-    def step():
-        job = jobs.dip_alerts(spark.readStream.schema(shape).parquet(str(tmp_path / "b")))
-        q = job.writeStream.format("parquet").option("path", alerts).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-        q.awaitTermination(180)
-        return sorted((r.ticker, r.ts.hour, round(r.ret, 6)) for r in spark.read.parquet(alerts).collect())
-
-    assert step() == [("A", 2, -0.06)]
-    spark.createDataFrame([("A", at(4), 80.0)], shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "b"))
-    assert step() == [("A", 2, -0.06), ("A", 4, round(80 / 93 - 1, 6))]
-    marks = "kind string, user_id string, card string, op string, ts timestamp"
-    spark.createDataFrame([("read", "u", "c", "mark", at(1)), ("read", "u", "c", "mark", at(2)), ("read", "u", "d", "unmark", at(1))], marks).coalesce(1).write.parquet(str(tmp_path / "m"))
-    run(jobs.card_marks(spark.readStream.schema(marks).parquet(str(tmp_path / "m"))), tmp_path, "marks", "append")
-    assert [(r.card, r.op) for r in spark.table("marks").collect()] == [("c", "mark")]

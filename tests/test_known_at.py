@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import day
+from days import day
 from pyspark.sql import functions as F
 
 from quantspark.operators import facts as fa

@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import day
+from days import day
 from pyspark.sql import functions as F
 
 from quantspark.operators import asof as ao

@@ -5,7 +5,7 @@ import html
 import re
 
 import pytest
-from conftest import day
+from days import day
 from pyspark.sql import functions as F
 
 from quantspark.functions import dates as fd
