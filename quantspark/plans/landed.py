@@ -27,32 +27,32 @@ def _plain(c: str = "ticker"):
     return F.replace(F.col(c), F.lit("#"), F.lit(""))
 
 
-def land(t, df: DataFrame, key: str, kind: str, inner: str | None = None, **options) -> str:
-    """Write one file per key: ``<key>.<kind>``, or ``<key>/<inner>`` if given. Returns the folder."""
-    spark, raw, out = t.spark, _place(t, "raw"), _place(t, "landed")
-    writer = df.repartition(key).write.partitionBy(key)
-    (writer.text(raw) if kind in ("json", "xml") else writer.csv(raw, header=True, **options))
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    files = path(raw).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(path(out))
-    for folder in files.listStatus(path(raw)):
-        name = folder.getPath().getName()
-        if "=" not in name:
-            continue
-        value = name.split("=", 1)[1]
-        for part in files.listStatus(folder.getPath()):
-            if part.getPath().getName().startswith("part-"):
-                target = path(f"{out}/{value}/{inner}" if inner else f"{out}/{value}.{kind}")
-                files.mkdirs(target.getParent())
-                files.rename(part.getPath(), target)
+#: Rows of one landed file; a key with more has several files.
+FILE_ROWS = 100_000
+
+
+def land(t, df: DataFrame, key: str, kind: str, order: tuple[str, ...] = (), **options) -> str:
+    """Write the rows of each key into files of a folder ``key=<value>``, in ``order``. Returns the folder above.
+
+    Keys and orders are range partitioned, so a hot key is written by many tasks, into files whose names ascend.
+    """
+    out = _place(t, "landed")
+    rows = df.withColumnRenamed(key, "key").repartitionByRange("key", *order).sortWithinPartitions("key", *order)
+    writer = rows.drop("_order").write.partitionBy("key").option("maxRecordsPerFile", FILE_ROWS)
+    if kind == "csv":
+        writer.csv(out, header=True, **options)
+    elif kind == "json":
+        writer.json(out)
+    else:
+        writer.text(out)
     return out
 
 
 def wide(t, df: DataFrame, time: str, value: str) -> str:
-    """One CSV with a column per ticker."""
+    """CSV files with a column per ticker."""
     tickers = sorted(r[0] for r in df.select("ticker").distinct().collect())  # columns of a wide file
     out = _place(t, "wide")
-    df.groupBy(time).pivot("ticker", tickers).agg(F.first(value)).coalesce(1).write.csv(out, header=True)
+    df.groupBy(time).pivot("ticker", tickers).agg(F.first(value)).write.csv(out, header=True)
     return out
 
 
@@ -107,7 +107,7 @@ def landed_stock_info(t):
     info = dv.stock_info(t)
     fields = F.col("info") if "info" in info.columns else F.struct(*[c for c in info.columns if c != "ticker"])
     rows = info.select(_plain().alias("ticker"), F.to_json(fields).alias("value"))
-    back = market.read_stock_info(t.spark, land(t, rows, "ticker", "json"))
+    back = market.read_stock_info(t.spark, land(t, rows, "ticker", "text"))
     return back.select("ticker", *[F.col("info")[c].try_cast("double").alias(c) for c in ("forwardPE", "volume", "pegRatio")])
 
 
@@ -143,8 +143,8 @@ def landed_filings(t):
     info = dv.f13_info(t).select(
         F.lit("all").alias("bucket"), F.col("accession").alias("ACCESSION_NUMBER"), F.col("name").alias("NAMEOFISSUER"), F.col("class").alias("TITLEOFCLASS"),
         F.col("cusip").alias("CUSIP"), F.col("value").alias("VALUE"), F.col("shares").alias("SSHPRNAMT"))
-    read = filings.read_submissions(t.spark, land(t, subs, "bucket", "csv", "SUBMISSION.tsv", sep="\t"))
-    lines = filings.read_infotable(t.spark, land(t, info, "bucket", "csv", "INFOTABLE.tsv", sep="\t"))
+    read = filings.read_submissions(t.spark, land(t, subs, "bucket", "csv", sep="\t"))
+    lines = filings.read_infotable(t.spark, land(t, info, "bucket", "csv", ("ACCESSION_NUMBER",), sep="\t"))
     return read.join(lines, "accession").groupBy("bucket_end", "cik", "period").agg(F.count("*").alias("n"), F.sum("shares").alias("shares"), F.sum("value").alias("value"))
 
 
@@ -154,13 +154,11 @@ def landed_concepts(t):
 
     number = F.regexp_extract("ticker", r"(\d+)$", 1).cast("long")
     facts = _facts(t).select("ticker", F.struct(F.col("start_d").alias("start"), F.col("end_d").alias("end"), "val", "filed", "form", F.lit(2000).alias("fy"), F.lit("Q1").alias("fp")).alias("fact"), number.alias("cik"))
-    body = F.struct(F.first("cik").alias("cik"), F.lit("Revenues").alias("tag"), F.struct(F.collect_list("fact").alias("USD")).alias("units"))
-    files = facts.groupBy(_plain().alias("key")).agg(F.to_json(body).alias("value"))
+    files = facts.select(_plain().alias("key"), "cik", F.lit("Revenues").alias("tag"), F.struct(F.array("fact").alias("USD")).alias("units"))
     names = facts.select("ticker", "cik").distinct()
-    listing = names.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(
-        F.col("cik").cast("string"), F.struct(F.col("cik").alias("cik_str"), F.lower(_plain()).alias("ticker"), F.lit("x").alias("title")))))).alias("value")).withColumn("key", F.lit("listing"))
-    companies = filings.read_cik_map(t.spark, land(t, listing, "key", "json"))
-    return filings.read_concepts(t.spark, land(t, files, "key", "json"), companies)
+    listing = names.select(F.lit("listing").alias("key"), F.col("cik").alias("cik_str"), F.lower(_plain()).alias("ticker"), F.lit("x").alias("title"))
+    companies = filings.read_cik_map(t.spark, land(t, listing, "key", "json", ("ticker",)), lines=True)
+    return filings.read_concepts(t.spark, land(t, files, "key", "json"), companies, lines=True)
 
 
 @query("landed_fred", "S16", "key s,d d,value f", "SELECT key, d, value FROM macro WHERE day(d)<>1")
@@ -178,32 +176,22 @@ def _escaped(c):
 def landed_feeds(t):
     when = F.date_format(F.col("published").cast("timestamp"), "d MMM yyyy HH:mm:ss")
     item = F.concat(F.lit("<item><title>"), _escaped(F.col("title")), F.lit("</title><link>"), F.col("link"), F.lit("</link><pubDate>"), F.coalesce(F.concat(when, F.lit(" +0000")), F.lit("soon")), F.lit("</pubDate></item>"))
-    rows = dv.articles(t).select("source", item.alias("item"), (F.col("doc_id") % 2).alias("half"))
-    # A feed file holds the items of one source, one line each.
-    rss = rows.groupBy("source").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list("item"), "\n"), F.lit("</channel></rss>")).alias("value"))
-    return feeds.read_feeds(t.spark, land(t, rss, "source", "xml"))
+    # Feed files of a source hold some of its items each.
+    rows = dv.articles(t).select("source", item.alias("value"), F.col("doc_id").alias("_order"))
+    return feeds.read_feeds(t.spark, land(t, rows, "source", "xml", ("_order",)))
 
 
 @query("landed_headlines", "S18", "query s,ord i,title s,domain s", "SELECT domain AS query, ROW_NUMBER() OVER (PARTITION BY domain ORDER BY ord)-1 AS ord, title, domain FROM headlines QUALIFY title<>'' AND domain<>''")
 def landed_headlines(t):
-    entry = F.struct("ord", "title", "domain", F.lit("20240305T000000Z").alias("seendate"))
-    body = F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e.dropFields("ord")).alias("articles")))
-    files = dv.headlines(t).groupBy(F.col("domain").alias("key")).agg(body.alias("value"))
-    return feeds.read_headlines(t.spark, land(t, files, "key", "json"))
-
-
-def _arrays(t, rows: DataFrame, key: str, order: str, inner: str | None = None) -> str:
-    """Per-key JSON arrays in ``order``, the old layout of a log (one whole file per key)."""
-    fields = [c for c in rows.columns if c not in (key, order)]
-    items = F.transform(F.sort_array(F.collect_list(F.struct(order, F.struct(*fields).alias("e")))), lambda x: x["e"])
-    return land(t, rows.groupBy(key).agg(F.to_json(items).alias("value")), key, "json", inner)
+    rows = dv.headlines(t).select(F.col("domain").alias("key"), F.col("ord").alias("_order"), "title", "domain", F.lit("20240305T000000Z").alias("seendate"))
+    return feeds.read_headlines(t.spark, land(t, rows, "key", "json", ("_order",)), lines=True)
 
 
 @query("landed_thesis_log", "S19", "ticker s,seq i,event s,date d,confidence f,claims_considered i",
        f"SELECT {_KEYED} AS ticker, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY seq)-1 AS seq, event, date, confidence, claims_considered FROM thesis_log")
 def landed_thesis_log(t):
     rows = dv.thesis_log(t).withColumn("ticker", _plain())
-    return logs.read_event_log(t.spark, "theses", _arrays(t, rows, "ticker", "seq"))
+    return logs.read_event_log(t.spark, "theses", land(t, rows.withColumnRenamed("seq", "_order"), "ticker", "json", ("_order",)), lines=True)
 
 
 @query("landed_positions", "S22", "portfolio s,event s,id s,ticker s,created d,closed_date d",
@@ -211,42 +199,41 @@ def landed_thesis_log(t):
 def landed_positions(t):
     rows = dv.position_events(t).withColumn("portfolio", F.coalesce("portfolio", F.lit("none")))
     rows = rows.withColumn("portfolio", F.when(F.col("event") == "created", F.col("portfolio")).otherwise("none"))
-    return logs.read_event_log(t.spark, "positions", f"{_arrays(t, rows, 'portfolio', 'seq', 'positions.json')}/*/positions.json")
+    return logs.read_event_log(t.spark, "positions", land(t, rows.withColumnRenamed("seq", "_order"), "portfolio", "json", ("_order",)), lines=True)
 
 
 @query("landed_trades", "S20", "portfolio s,d d,ticker s,action s,n i,shares f2", "SELECT portfolio, d, ticker, action, COUNT(*) AS n, SUM(shares) AS shares FROM trades GROUP BY 1,2,3,4")
 def landed_trades(t):
-    rows = dv.trades(t).select("portfolio", F.col("d").alias("date"), "ticker", "action", "shares", "price", F.lit("a, b").alias("note"), "rule")
-    back = logs.read_trades(t.spark, f"{land(t, rows, 'portfolio', 'csv', 'trades.csv')}/*/trades.csv")
+    rows = dv.trades(t).select("portfolio", F.col("d").alias("date"), "ticker", "action", "shares", "price", F.lit("a, b").alias("note"), "rule", F.col("seq").alias("_order"))
+    back = logs.read_trades(t.spark, land(t, rows, "portfolio", "csv", ("date", "_order")))
     return back.filter("note = 'a, b'").groupBy("portfolio", "d", "ticker", "action").agg(F.count("*").alias("n"), F.sum("shares").alias("shares"))
 
 
 @query("landed_portfolios", "S21", "portfolio s,initial_cash f2,created d", "SELECT portfolio, initial_cash, created FROM portfolios")
 def landed_portfolios(t):
     body = F.to_json(F.struct(F.col("portfolio").alias("name"), F.col("initial_cash").cast("double").alias("initial_cash"), "created"))
-    return logs.read_portfolios(t.spark, f"{land(t, dv.portfolios(t).select('portfolio', body.alias('value')), 'portfolio', 'json', 'meta.json')}/*/meta.json")
+    return logs.read_portfolios(t.spark, land(t, dv.portfolios(t).select("portfolio", body.alias("value")), "portfolio", "text"))
 
 
 @query("landed_archive", "S23", "link s,source s,article_date d,event_type s", "SELECT link, source, coalesce(published, DATE '2024-07-01') AS article_date, CASE WHEN doc_id%2=0 THEN 'earnings' END AS event_type FROM articles")
 def landed_archive(t):
     event = F.when(F.col("doc_id") % 2 == 0, F.struct(F.lit("earnings").alias("event_type"), F.lit(3).alias("importance")))
     entry = F.struct(F.coalesce("published", F.lit("2024-07-01").cast("date")).alias("article_date"), "title", "source", event.alias("event"))
-    files = dv.articles(t).groupBy(F.col("source").alias("key")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("link", entry.alias("e"))))).alias("value"))
-    return logs.read_archive(t.spark, land(t, files, "key", "json")).select("link", "source", "article_date", F.col("event.event_type").alias("event_type"))
+    rows = dv.articles(t).select(F.col("source").alias("key"), "link", entry.alias("e"))
+    return logs.read_archive(t.spark, land(t, rows, "key", "json", ("link",)), lines=True).select("link", "source", "article_date", F.col("event.event_type").alias("event_type"))
 
 
 @query("landed_state", "S26", "kind s,name s,n i",
        """SELECT 'attempted' AS kind, link AS name, 2 AS n FROM articles UNION ALL SELECT 'known', source, 1 FROM (SELECT DISTINCT source FROM articles)
        UNION ALL SELECT 'attempt', ticker, CAST(COUNT(*) AS INT) FROM thesis_log GROUP BY 2 UNION ALL SELECT 'check', ticker, CAST(day(MAX(date)) AS INT) FROM thesis_log GROUP BY 2""")
 def landed_state(t):
-    one = lambda df, body, key=F.lit("state"): land(t, df.groupBy(key.alias("key")).agg(F.to_json(body).alias("value")), "key", "json")
-    pairs = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v)))
+    entries = lambda df, key, e: land(t, df.select(F.lit("state").alias("key"), key, e.alias("e")), "key", "json", (key,))
     articles, log = dv.articles(t), dv.thesis_log(t).groupBy("ticker").agg(F.count("*").cast("int").alias("n"), F.max("date").alias("date"))
-    attempted = logs.read_attempted(t.spark, one(articles, pairs(F.col("link"), F.array(F.lit("A"), F.lit("B"))), F.col("source"))).groupBy(F.col("link").alias("name")).agg(F.count("*").alias("n"))
-    known = logs.read_known_tickers(t.spark, one(articles, F.collect_set("source"), F.col("source"))).select(F.col("ticker").alias("name"), F.lit(1).alias("n"))
+    attempted = logs.read_attempted(t.spark, entries(articles, "link", F.array(F.lit("A"), F.lit("B"))), lines=True).groupBy(F.col("link").alias("name")).agg(F.count("*").alias("n"))
+    known = logs.read_known_tickers(t.spark, land(t, articles.select(F.lit("state").alias("key"), F.col("source").alias("value")).distinct(), "key", "text", ("value",)), lines=True).select(F.col("ticker").alias("name"), F.lit(1).alias("n"))
     entry = F.struct(F.col("n").alias("consecutive_failures"), F.col("date").alias("last_attempt"))
-    attempts = logs.read_attempts(t.spark, one(log, pairs(F.col("ticker"), entry))).select(F.col("ticker").alias("name"), F.col("consecutive_failures").alias("n"))
-    checks = logs.read_earnings_checks(t.spark, one(log, pairs(F.col("ticker"), F.col("date").cast("string")))).select(F.col("ticker").alias("name"), F.dayofmonth("earnings_date").alias("n"))
+    attempts = logs.read_attempts(t.spark, entries(log, "ticker", entry), lines=True).select(F.col("ticker").alias("name"), F.col("consecutive_failures").alias("n"))
+    checks = logs.read_earnings_checks(t.spark, entries(log, "ticker", F.col("date").cast("string")), lines=True).select(F.col("ticker").alias("name"), F.dayofmonth("earnings_date").alias("n"))
     parts = [df.select(F.lit(kind).alias("kind"), "name", F.col("n").cast("long").alias("n")) for kind, df in (("attempted", attempted), ("known", known), ("attempt", attempts), ("check", checks))]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
@@ -319,8 +306,13 @@ def stream_intake(t):
 
 @query("stream_counts", "R2", "source s,ticker s,n i", "SELECT source, ticker, COUNT(*) AS n FROM responses GROUP BY 1,2")
 def stream_counts(t):
-    name = f"counts_{uuid.uuid4().hex}"
+    """Each batch stores the counts that it changed with its number; the newest of a key is its count."""
+    out = _place(t, "counts")
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+
     counts = jobs.claim_counts(_stream(t, dv.responses(t).select("source", "ticker")))
-    job = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", _place(t, "state")).trigger(availableNow=True).start()
+    job = counts.writeStream.foreachBatch(store).outputMode("update").option("checkpointLocation", _place(t, "state")).trigger(availableNow=True).start()
     job.awaitTermination()
-    return t.spark.table(name).withColumnRenamed("count", "n")
+    return t.spark.read.parquet(out).groupBy("source", "ticker").agg(F.max_by("count", "batch").alias("n"))

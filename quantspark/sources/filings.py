@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantspark.functions.dates import bucket_end
+from quantspark.sources.market import folder_key
 
 # Tags tried for each concept.
 CONCEPT_TAGS = {
@@ -25,7 +26,7 @@ _FACT = "array<struct<start: date, end: date, val: double, filed: date, form: st
 
 def _bucket():
     """The bucket is the folder that holds the table."""
-    return bucket_end(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+    return bucket_end(folder_key())
 
 
 def _tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -62,13 +63,14 @@ def concept_tags(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "concept string, tag string, tag_order int")
 
 
-def read_concepts(spark: SparkSession, path: str, companies: DataFrame) -> DataFrame:
+def read_concepts(spark: SparkSession, path: str, companies: DataFrame, lines: bool = False) -> DataFrame:
     """Company-concept JSON files to facts: dollars, else shares, else dollars per share.
 
-    ``companies`` is (ticker, cik). Start is NULL for instant facts.
+    ``companies`` is (ticker, cik). Start is NULL for instant facts. A file is one object, or with ``lines`` an
+    object per line with some of the facts each, so that files can be split.
     """
     schema = f"cik long, tag string, units struct<USD: {_FACT}, shares: {_FACT}, `USD/shares`: {_FACT}>"
-    raw = spark.read.schema(schema).json(path, multiLine=True)
+    raw = spark.read.schema(schema).json(path, multiLine=not lines, recursiveFileLookup=True)
     some = lambda c: F.when(F.size(c) > 0, F.col(c))
     picked = raw.select(
         F.lpad(F.col("cik").cast("string"), 10, "0").alias("cik"), "tag",
@@ -81,7 +83,11 @@ def read_concepts(spark: SparkSession, path: str, companies: DataFrame) -> DataF
     )
 
 
-def read_cik_map(spark: SparkSession, path: str) -> DataFrame:
-    """Ticker to ten-digit company number."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, struct<cik_str: long, ticker: string, title: string>>")).alias("k", "v"))
+def read_cik_map(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Ticker to ten-digit company number, from one object of all companies or a line for each."""
+    company = "struct<cik_str: long, ticker: string, title: string>"
+    if lines:
+        rows = spark.read.text(path, recursiveFileLookup=True).select(F.from_json("value", company).alias("v"))
+    else:
+        rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string, {company}>")).alias("k", "v"))
     return rows.select(F.upper("v.ticker").alias("ticker"), F.lpad(F.col("v.cik_str").cast("string"), 10, "0").alias("cik"))

@@ -6,22 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantspark import schemas
-from quantspark.sources.market import file_key, folder_key
+from quantspark.sources.market import file_key, folder_key, line_order, lines_of, numbered
 
 _KEY = {"claims": "log_key", "theses": "ticker", "fundamentals": "ticker", "earnings_calls": "ticker", "macro": "series_key", "positions": "portfolio"}
 
 
-def read_event_log(spark: SparkSession, kind: str, path: str) -> DataFrame:
-    """Per-key JSON arrays (claims, theses, fundamentals, earnings_calls, macro, positions).
+def read_event_log(spark: SparkSession, kind: str, path: str, lines: bool = False) -> DataFrame:
+    """Per-key logs (claims, theses, fundamentals, earnings_calls, macro, positions).
 
-    The key is the file stem (the folder for positions); ``seq`` keeps the
-    order in which entries were appended.
+    A file is a JSON array, or with ``lines`` an entry per line: then a key may have many files, read in as
+    many tasks as they have blocks. The key is the folder ``key=<key>``, else the file stem (the folder for
+    positions); ``seq`` keeps the order in which entries were appended.
     """
-    whole = spark.read.text(path, wholetext=True)
-    key = folder_key() if kind == "positions" else file_key()
-    items = whole.select(key.alias(_KEY[kind]), F.from_json("value", f"array<struct<{_fields(schemas.LOGS[kind])}>>").alias("items"))
-    rows = items.select(_KEY[kind], F.posexplode("items").alias("seq", "e"))
-    out = rows.select(_KEY[kind], "seq", "e.*")
+    key, name, entry = folder_key() if kind == "positions" else file_key(), _KEY[kind], f"struct<{_fields(schemas.LOGS[kind])}>"
+    if lines:
+        rows = numbered(lines_of(spark, path, key, name), name).withColumn("e", F.from_json("line", entry))
+    else:
+        whole = spark.read.text(path, wholetext=True)
+        rows = whole.select(key.alias(name), F.from_json("value", f"array<{entry}>").alias("items")).select(name, F.posexplode("items").alias("seq", "e"))
+    out = rows.select(name, "seq", "e.*")
     if kind == "claims":
         empty = F.array().cast("array<string>")
         out = out.withColumns({
@@ -46,29 +49,36 @@ def _fields(ddl: str) -> str:
 
 
 def read_trades(spark: SparkSession, path: str) -> DataFrame:
-    """Trade logs, one per portfolio folder. Old rows have six fields; missing note and rule are empty.
+    """Trade logs, one or more files per portfolio folder. Old rows have six fields; missing note and rule are empty.
 
-    ``seq`` is the line's place in its file, the tie-break within a day.
+    ``seq`` is the row's place in the portfolio's log, from 1, the tie-break within a day.
     """
-    lines = spark.read.text(path, wholetext=True).select(folder_key().alias("portfolio"), F.posexplode(F.split("value", "\r?\n")).alias("seq", "line"))
-    rows = lines.filter("seq > 0 and trim(line) <> ''").withColumn("r", F.from_csv("line", F.lit(schemas.TRADES)))
-    blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c.split(".")[1])
-    return rows.select(
-        "portfolio", F.col("seq").cast("long"), F.col("r.date").alias("d"), "r.ticker", "r.action", "r.shares", "r.price", blank("r.note"), blank("r.rule")
+    raw = spark.read.csv(path, schema=schemas.TRADES, header=True, recursiveFileLookup=True)
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    rows = raw.select(
+        folder_key().alias("portfolio"), F.col("date").alias("d"), "ticker", "action", "shares", "price", blank("note"), blank("rule"), line_order().alias("place")
     )
+    return numbered(rows, "portfolio", 1).select("portfolio", "seq", "d", "ticker", "action", "shares", "price", "note", "rule")
 
 
 def read_portfolios(spark: SparkSession, path: str) -> DataFrame:
     """Portfolio settings; rule settings stay a map of text."""
     meta = "name string, initial_cash double, created date, rules map<string, map<string, string>>"
-    rows = spark.read.text(path, wholetext=True).select(folder_key().alias("portfolio"), F.from_json("value", meta).alias("m"))
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(folder_key().alias("portfolio"), F.from_json("value", meta).alias("m"))
     return rows.select("portfolio", "m.initial_cash", "m.created", "m.rules")
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Article archive, a JSON object link -> entry."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string, struct<{_fields(schemas.ARCHIVE)}>>")).alias("link", "e"))
-    return rows.select("link", "e.*")
+def _entries(spark: SparkSession, path: str, key: str, fields: str, lines: bool) -> DataFrame:
+    """(key, e) of a JSON object key -> entry, or with ``lines`` of a line ``{"<key>": ..., "e": entry}`` per entry."""
+    if lines:
+        rows = spark.read.text(path, recursiveFileLookup=True).select(F.from_json("value", f"struct<{key}: string, e: {fields}>").alias("r"))
+        return rows.select("r.*")
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string, {fields}>")).alias(key, "e"))
+
+
+def read_archive(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Article archive, link -> entry."""
+    return _entries(spark, path, "link", f"struct<{_fields(schemas.ARCHIVE)}>", lines).select("link", "e.*")
 
 
 def _config(spark: SparkSession, path: str) -> DataFrame:
@@ -91,24 +101,23 @@ def read_sources(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("ord", "s.name", "s.url", F.coalesce("s.full_page_fetch", F.lit(False)).alias("full_page_fetch"))
 
 
-def read_attempted(spark: SparkSession, path: str) -> DataFrame:
+def read_attempted(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(link, ticker) pairs already processed."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("link", "tickers"))
-    return rows.select("link", F.explode("tickers").alias("ticker"))
+    return _entries(spark, path, "link", "array<string>", lines).select("link", F.explode("e").alias("ticker"))
 
 
-def read_known_tickers(spark: SparkSession, path: str) -> DataFrame:
+def read_known_tickers(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    if lines:
+        return spark.read.text(path, recursiveFileLookup=True).withColumnRenamed("value", "ticker")
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("ticker"))
 
 
-def read_attempts(spark: SparkSession, path: str) -> DataFrame:
+def read_attempts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Aggregation attempts per ticker."""
-    shape = "map<string, struct<consecutive_failures: int, last_attempt: date>>"
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", shape)).alias("ticker", "a"))
-    return rows.select("ticker", "a.consecutive_failures", "a.last_attempt")
+    rows = _entries(spark, path, "ticker", "struct<consecutive_failures: int, last_attempt: date>", lines)
+    return rows.select("ticker", "e.consecutive_failures", "e.last_attempt")
 
 
-def read_earnings_checks(spark: SparkSession, path: str) -> DataFrame:
+def read_earnings_checks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(ticker, earnings_date) already refreshed for."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, string>")).alias("ticker", "d"))
-    return rows.select("ticker", F.to_date("d").alias("earnings_date"))
+    return _entries(spark, path, "ticker", "string", lines).select("ticker", F.to_date("e").alias("earnings_date"))

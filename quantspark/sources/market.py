@@ -19,7 +19,7 @@ KEYED = r"/key=([^/]*)/"
 def _landed(named: Column) -> Column:
     """The value of a ``key=<value>`` folder on the row's path, else what the file or folder is named."""
     keyed = F.regexp_extract(F.col("_metadata.file_path"), KEYED, 1)
-    return F.when(keyed != "", F.try_url_decode(keyed)).otherwise(named)
+    return F.when(keyed != "", keyed).otherwise(named)
 
 
 def file_key(suffix: str = "") -> Column:
@@ -61,8 +61,8 @@ def _number(c: str | Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def _csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
-    return spark.read.csv(path, schema=schema, header=True, sep=sep, enforceSchema=False)
+def _csv(spark: SparkSession, path: str, schema: str, sep: str = ",", **options) -> DataFrame:
+    return spark.read.csv(path, schema=schema, header=True, sep=sep, recursiveFileLookup=True, **{"enforceSchema": False, **options})
 
 
 def _wide(spark: SparkSession, path: str, value: str) -> DataFrame:
@@ -130,7 +130,7 @@ def read_major_holders(spark: SparkSession, path: str) -> DataFrame:
 
 def read_stock_info(spark: SparkSession, path: str) -> DataFrame:
     """Schemaless snapshot per ticker as a map of text."""
-    rows = spark.read.text(path, wholetext=True)
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True)  # one small object per ticker
     return rows.select(file_key().alias("ticker"), F.from_json("value", "map<string,string>").alias("info"))
 
 
@@ -140,12 +140,13 @@ def read_rec_trend(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_analyst_actions(spark: SparkSession, path: str) -> DataFrame:
-    """Dated actions; a missing target is 0. ``seq`` is the row's place in its file."""
-    rows = spark.read.text(path, wholetext=True).select(file_key().alias("ticker"), F.posexplode(F.split("value", "\r?\n")).alias("seq", "line"))
+    """Dated actions; a missing target is 0. ``seq`` is the row's place among those of its ticker, from 1."""
     shape = "grade_date timestamp, firm string, to_grade string, from_grade string, action string, current_price_target double"
-    parsed = rows.filter("seq > 0 and line <> ''").withColumn("r", F.from_csv("line", F.lit(shape)))
-    target = F.coalesce(_number("r.current_price_target"), F.lit(0.0))
-    return parsed.select("ticker", "r.grade_date", "r.firm", "r.to_grade", "r.from_grade", "r.action", target.alias("target"), "seq")
+    target = F.coalesce(_number("current_price_target"), F.lit(0.0))
+    rows = _csv(spark, path, shape, enforceSchema=True).select(
+        file_key().alias("ticker"), "grade_date", "firm", "to_grade", "from_grade", "action", target.alias("target"), line_order().alias("place")
+    )
+    return numbered(rows, "ticker", 1)
 
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
@@ -155,7 +156,7 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fred(spark: SparkSession, path: str) -> DataFrame:
     """Two-column series; a dot marks a missing value. The key is the file stem."""
-    rows = spark.read.csv(path, schema="d date, raw string", header=True)
+    rows = spark.read.csv(path, schema="d date, raw string", header=True, recursiveFileLookup=True)
     return rows.select(file_key().alias("key"), "d", F.col("raw").try_cast("double").alias("value")).filter("value is not null")
 
 
