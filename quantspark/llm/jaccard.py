@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantspark.llm.components import components
-from quantspark.llm.rows import arrow_column, shared_table, stage, steps, to_bytes
+from quantspark.llm.rows import arrow_column, shared_table, small_batches, stage, steps, to_bytes
 
 SHINGLE = 4
 SEED = 42
@@ -371,6 +371,7 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule, near: DataFrame | None
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule | None = None) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable by links, its own included)."""
     rule = rule or Rule()
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     rows = stage(docs.select("doc_id", named_set(rule)(F.col("text")).alias("set")).select("doc_id", "set.node", "set.n"))
     nodes = stage(rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies")))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quantspark.llm import jaccard, simhash
 from quantspark.llm.components import components
-from quantspark.llm.rows import stage
+from quantspark.llm.rows import small_batches, stage
 
 RULE = jaccard.Rule(over=5, under=4, size=5)
 
@@ -33,6 +33,7 @@ def near(nodes: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stand for their component: the smallest id, once. All columns stay."""
+    small_batches(docs.sparkSession)
     mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
     told = docs.select(F.col(key).alias("doc_id"), mark.alias("mark"), jaccard.named_set(RULE)(F.col(text)).alias("set"), simhash.simhash(F.col(text), RULE.size).alias("fp"))
     rows = stage(told.select("doc_id", "mark", "set.node", "set.n", "fp"))
