@@ -252,7 +252,7 @@ def _needed(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(arrays, pa.binary())], ["node", "found"])
 
     told = docs.select("text").mapInArrow(run, "node long, found binary")
-    return shared_table(told.join(nodes, "node").dropDuplicates(["node"]))
+    return shared_table(told.dropDuplicates(["node"]).join(nodes, "node"))
 
 
 def similar(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
@@ -346,22 +346,38 @@ def _large(arrays: DataFrame, rule: Rule) -> DataFrame:
     inner = F.transform(number("outer"), lambda i: spot(i, side(0, "blocks"), 0))
     outer = F.transform(number("blocks"), lambda j: spot(side(2, "outer"), j, 1))
     spots = told.select("family", "node", "root", F.explode(F.when(F.col("root") == F.col("main"), inner).otherwise(F.concat(inner, outer))).alias("at"))
-    rest = spots.select("family", "at.i", "at.j", "at.side", "node", "root").join(arrays.select("node", "found"), "node")
+    rest = spots.select("family", "at.i", "at.j", "at.side", "node", "root").join(arrays.select("family", "node", "found"), ["family", "node"])
     return first.union(_links(rest, rule))
 
 
-def links(docs: DataFrame, nodes: DataFrame, rule: Rule, near: DataFrame | None = None) -> DataFrame:
+def _blocked(families: DataFrame) -> DataFrame:
+    """(node, family, n) with the number of blocks of the family."""
+    sizes = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    return stage(families.join(sizes, "family").select("node", "family", "n", "blocks"))
+
+
+def _by_size(members: DataFrame, rule: Rule) -> DataFrame:
+    """Families of several blocks cut into overlapping size bands; a linking pair is in one band or in two next ones."""
+    band = F.floor(F.log("n") / F.lit(math.log(rule.over / rule.under)))
+    large = members.filter("blocks > 1").withColumn("band", F.explode(F.array(band, band - 1)))
+    cut = _blocked(large.select("node", F.xxhash64("family", "band").alias("family"), "n"))
+    return members.filter("blocks = 1").unionByName(cut)
+
+
+def links(docs: DataFrame, nodes: DataFrame, rule: Rule, near: DataFrame | None = None, by_size: bool = False) -> DataFrame:
     """Edges (a, b) between names of sets that connect all linking ones. ``docs``: text; ``nodes``: node, n.
 
-    ``near`` are candidates (a, b) from elsewhere; they are tested like those that meet in tiles.
+    ``near`` are candidates (a, b) from elsewhere; they are tested like those that meet in tiles. ``by_size`` cuts
+    families of several blocks into size bands first, which ships each set twice but compares fewer.
     """
     tiles = docs.select("text").mapInArrow(_tiles(rule), "tile long, node long")
     met = shared_table(tiles.repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(_met, "tile long, node long"))
     enough = met.groupBy("node").agg(F.count("*").alias("tiles")).filter("tiles > (node & 3)").select("node")
     families = stage(_families(_several(met.join(enough, "node", "left_semi")), near).join(nodes.select("node", "n"), "node"))
-    sizes = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    members = stage(families.join(sizes, "family").select("node", "family", "blocks"))
-    arrays = _needed(docs, members, rule)
+    members = _blocked(families)
+    if by_size:
+        members = _by_size(members, rule)
+    arrays = _needed(docs, members.select("node", "family", "blocks"), rule)
     none = F.lit(0)
     small = arrays.filter("blocks = 1").select("family", none.alias("i"), none.alias("j"), none.alias("side"), "node", F.col("node").alias("root"), "found")
     found = _links(small, rule)

@@ -23,12 +23,13 @@ RULE = jaccard.Rule(over=5, under=4, size=5)
 
 
 def near(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ``nodes`` (node, fp) whose fingerprints are equal or within the radius."""
-    first = stage(nodes.groupBy("fp").agg(F.min("node").alias("first")))
-    equal = nodes.join(first, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    one, two = (first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")) for c in ("a", "b"))
+    """Pairs (a, b) of ``nodes`` (node, n, fp) whose fingerprints are equal or within the radius and whose sizes fit."""
+    first = stage(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first")))
+    equal = nodes.join(first, "fp").filter("node <> first.node").select(F.col("first").alias("a"), F.struct("node", "n").alias("b"))
+    one, two = (first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_set")) for c in ("a", "b"))
     met = simhash.links(first.select("fp")).join(one, "a").join(two, "b")
-    return equal.union(met.select("a_node", "b_node"))
+    fits = F.greatest("a.n", "b.n") * RULE.under <= F.least("a.n", "b.n") * RULE.over
+    return equal.union(met.select("a_set", "b_set")).filter(fits).select("a.node", "b.node").toDF("a", "b")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -40,7 +41,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("mark").alias("mark"))
     nodes = stage(rows.groupBy("node").agg(F.first("n").alias("n"), F.min("fp").alias("fp"), F.min(order).alias("kept")))
     full = nodes.filter("n > 0")
-    roots = components(jaccard.links(docs.select(F.col(text).alias("text")), full, RULE, near(full)))
+    roots = components(jaccard.links(docs.select(F.col(text).alias("text")), full, RULE, near(full), by_size=True))
     kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("kept").alias("kept"))
     kept = kept.select(F.col("kept.doc_id").alias("_kept_id"), F.col("kept.mark").alias("_kept_mark"))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("_key"), mark.alias("_mark"))

@@ -129,7 +129,7 @@ def test_pipeline_stage_finds_every_pair_of_similarity_four_fifths(spark, docs_o
 
 def test_near_fingerprints_are_candidates(spark):
     rows = [(1, 0), (2, 0), (3, 7), (4, 1 << 40), (5, -1), (6, 15), (7, -1)]
-    found = similar.near(spark.createDataFrame(rows, "node long, fp long")).collect()
+    found = similar.near(spark.createDataFrame([(n, 10, fp) for n, fp in rows] + [(8, 99, 0)], "node long, n long, fp long")).collect()
     parent = {n: n for n, _ in rows}
     for a, b in found:
         old, new = parent[a], parent[b]

@@ -121,6 +121,9 @@ def test_join_equals_all_pairs(spark, docs_of, corpus, monkeypatch, pivots, bloc
             words = edited(rng, words, max(1, n // 60))
     rng.shuffle(texts)
     rows = [(i if i % 23 else None, t, "en", "a") for i, t in enumerate(texts)] + [(7, texts[7], "en", "a")] * 2
+    if block == 3:
+        cut = jaccard.links
+        monkeypatch.setattr(jaccard, "links", lambda docs, nodes, rule: cut(docs, nodes, rule, by_size=True))
     found = jaccard.join(docs_of(rows))
     assert found.columns == ["doc_id", "n_shingles", "component_id"]
     assert sorted(map(tuple, found.collect()), key=repr) == plain_components([(i, t) for i, t, _, _ in rows])
