@@ -6,8 +6,10 @@ unpartitioned windows and broadcasts over them are bounded by the calendar.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +94,27 @@ def equal_weight_strategy(lookback_days: int) -> WeightFunction:
     return lambda dates, bars: equal_weight(eligible(bars, dates, lookback_days))
 
 
+def custom_strategy(weigh: Callable[[dt.date, pd.DataFrame], dict[str, float]], lookback_days: int) -> WeightFunction:
+    """A strategy written as a plain function of (date, history) that returns weights by ticker.
+
+    ``history`` has a row per day of the ``lookback_days`` up to the date and a column of closes per ticker. Every
+    rebalance date is a task of its own, which holds only that slice; tickers without a weight are not held.
+    """
+
+    def one(key: tuple, slice_: pd.DataFrame) -> pd.DataFrame:
+        history = slice_.pivot(index="d", columns="ticker", values="close").sort_index()
+        found = [(key[0], str(t), float(w)) for t, w in weigh(key[0], history).items() if w == w]
+        return pd.DataFrame(found, columns=["date", "ticker", "w"]).astype({"w": "float64"})
+
+    def weights(dates: DataFrame, bars: DataFrame) -> DataFrame:
+        # A row per rebalance date and day of its window, bounded by the schedule.
+        spans = dates.select("date", F.explode(F.sequence(F.date_sub("date", lookback_days), "date")).alias("d"))
+        slices = bars.filter("close is not null").select("ticker", "d", "close").join(F.broadcast(spans), "d")
+        return slices.groupBy("date").applyInPandas(one, "date date, ticker string, w double")
+
+    return weights
+
+
 def random_picks(pool: DataFrame, n: int, trials: int) -> DataFrame:
     """``trials`` independent draws of ``n`` tickers per date, ordered by a hash of (trial, date, ticker)."""
     drawn = pool.select("date", "ticker", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantspark.operators.ordered import in_chunks, running
 from quantspark.operators.pit import is_buy, is_sale, net_upgrades_live, revisions_trend_live
 from quantspark.operators.timeseries import momentum
 from quantspark.session import stage
@@ -90,16 +91,19 @@ def _factor_order(factors: list[str]) -> Column:
 def percentile_ranks(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Long ``(by, ticker, factor, value, pct)``: average rank over the non-missing count, times 100.
 
-    One window partition holds one factor of one date, so it is bounded by
-    the number of tickers.
+    Equal values are counted first, so ties are one row. The distinct values are range partitioned and
+    counted in two levels, within each range and over the ranges before it; a factor of one date may thus
+    have any number of tickers.
     """
     factors = [c for c in table.columns if c in FACTORS]
-    long = table.unpivot([*by, "ticker"], factors, "factor", "value").withColumn("_o", _factor_order(factors))
-    group = Window.partitionBy(*by, "factor")
-    ties = F.count("_o").over(Window.partitionBy(*by, "factor", "_o"))
-    rank = F.rank().over(group.orderBy(F.col("_o").asc_nulls_last()))
-    pct = (rank + (ties - 1) / 2) / F.count("_o").over(group) * 100
-    return long.withColumn("pct", F.when(F.col("_o").isNotNull(), pct)).drop("_o")
+    long = stage(table.unpivot([*by, "ticker"], factors, "factor", "value").withColumn("_o", _factor_order(factors)))
+    group = [*by, "factor"]
+    counts = long.filter("_o is not null").groupBy(*group, "_o").agg(F.count("*").alias("_n"))
+    chunked = in_chunks(counts, group, ["_o"])
+    totals = chunked.groupBy(*group).agg(F.sum("_n").alias("_all"))
+    upto = running(chunked, group, ["_o"], {"_upto": F.col("_n")}).join(totals, group)
+    pct = (F.col("_upto") - (F.col("_n") - 1) / 2) / F.col("_all") * 100
+    return long.join(upto.select(*group, "_o", pct.alias("pct")), [*group, "_o"], "left").select(*by, "ticker", "factor", "value", "pct")
 
 
 def category_scores(ranks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

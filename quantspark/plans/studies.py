@@ -149,6 +149,22 @@ def equal_weight_equity(t):
     return bt.backtest(stage(dv.px_monthly(t)), bt.equal_weight_strategy(LOOKBACK), STEP, START, BPS, "equal_weight")
 
 
+def inverse_volatility(date, history):
+    """Weights in proportion to one over the deviation of the returns; tickers that do not move are left out."""
+    deviation = history.pct_change(fill_method=None).std()
+    inverse = 1 / deviation[deviation > 0]
+    return (inverse / inverse.sum()).to_dict()
+
+
+@query("custom_weights", "E1", "date d,ticker s,w f", _DATES + f""", s AS (SELECT reb.date, r.ticker, stddev_samp(r.ret) AS sd FROM reb JOIN ret_monthly r ON r.d<=reb.date
+       JOIN cal_monthly c ON c.d=r.d AND c.prev_d>=reb.date - INTERVAL {LOOKBACK} DAY GROUP BY 1,2)
+       SELECT date, ticker, (1/sd)/SUM(1/sd) OVER (PARTITION BY date) AS w FROM s WHERE sd>0""")
+def custom_weights(t):
+    bars = stage(dv.px_monthly(t))
+    dates = stage(bt.rebalance_dates(calendar(bars).select("d"), STEP, START))
+    return bt.custom_strategy(inverse_volatility, LOOKBACK)(dates, bars)
+
+
 _RANDOM_SQL = f"""SELECT trial AS label, date, ticker, 1.0/COUNT(*) OVER (PARTITION BY trial, date) AS w FROM (SELECT *,
     ROW_NUMBER() OVER (PARTITION BY trial, date ORDER BY md5(concat(CAST(trial AS VARCHAR),'|',CAST(date AS VARCHAR),'|',ticker)), ticker) AS r
     FROM pool, generate_series(0,{TRIALS - 1}) g(trial)) WHERE r<={N}"""
