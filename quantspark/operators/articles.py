@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantspark.functions.text import FILING_PREFIX, known_ticker, mentions, prefix_title, strip_html
+from quantspark.operators.lookup import holding
 
 # Fixed values.
 MIN_FULL_TEXT_CHARS, MIN_IMPORTANCE, BACKFILL_DAYS, MAX_AGE_MONTHS = 500, 3, 90, 6
@@ -91,18 +92,16 @@ def orphan_claims(claims: DataFrame, theses: DataFrame, attempts: DataFrame, max
     )
 
 
-def backfill_candidates(archive: DataFrame, added: dict[str, str], attempted: DataFrame, as_of) -> DataFrame:
-    """Recent archived articles whose text holds a newly added ticker or its name.
+def backfill_candidates(archive: DataFrame, added: DataFrame, attempted: DataFrame, as_of) -> DataFrame:
+    """Recent archived articles whose text holds a newly added ticker or its name, without regard to case.
 
-    The added companies come from configuration and travel as a constant
-    array, so each article is scanned once and no pairs are joined.
+    ``added`` (``ticker``, ``name``) may have any size; articles meet only companies that an index of their
+    text proposes. One row per article and ticker.
     """
     recent = archive.filter(F.col("article_date") >= F.date_sub(F.lit(as_of).cast("date"), BACKFILL_DAYS))
     body = F.lower(F.concat_ws(" ", F.coalesce("text", F.lit("")), F.coalesce("title", F.lit(""))))
-    needles = F.array(*[F.struct(F.lit(t).alias("ticker"), F.lit(t.lower()).alias("a"), F.lit(n.lower()).alias("b")) for t, n in sorted(added.items())])
-    hits = F.filter(needles, lambda c: F.contains(F.col("_body"), c["a"]) | F.contains(F.col("_body"), c["b"]))
-    found = recent.withColumn("_body", body).withColumn("_hits", F.transform(hits, lambda c: c["ticker"])).drop("_body")
-    pairs = found.withColumn("ticker", F.explode("_hits")).drop("_hits")
+    needles = added.select(F.explode(F.array(F.lower("ticker"), F.lower("name"))).alias("needle"), F.col("ticker").alias("value"))
+    pairs = holding(recent, body, needles).withColumn("ticker", F.explode("found")).drop("found")
     return pairs.join(attempted.select("link", "ticker"), ["link", "ticker"], "left_anti")
 
 

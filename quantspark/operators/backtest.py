@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantspark.functions.sampling import permuted, round_keys
 from quantspark.operators.asof import asof
 from quantspark.operators.timeseries import calendar, daily_returns
 from quantspark.session import stage
@@ -116,11 +117,17 @@ def custom_strategy(weigh: Callable[[dt.date, pd.DataFrame], dict[str, float]],
 
 
 def random_picks(pool: DataFrame, n: int, trials: int) -> DataFrame:
-    """``trials`` independent draws of ``n`` tickers per date, ordered by a hash of (trial, date, ticker)."""
-    drawn = pool.select("date", "ticker", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
-    lot = F.md5(F.concat_ws("|", F.col("trial").cast("string"), F.col("date").cast("string"), "ticker"))
-    rank = F.row_number().over(Window.partitionBy("trial", "date").orderBy(lot, "ticker"))
-    return drawn.withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r")
+    """``trials`` independent draws of ``n`` tickers per date without replacement (all of them if there are fewer).
+
+    The tickers of a date are numbered once. A keyed permutation of the numbers, one per (trial, date), names the
+    drawn ones, so the plan holds trials x n rows per date and never trials x pool.
+    """
+    numbered = stage(pool.select("date", "ticker", F.row_number().over(Window.partitionBy("date").orderBy("ticker")).alias("_place")))
+    sizes = numbered.groupBy("date").agg(F.max("_place").alias("_m"))
+    drawn = sizes.select("date", "_m", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
+    keyed = drawn.withColumn("_keys", round_keys(F.concat_ws("|", F.col("trial").cast("string"), F.col("date").cast("string"))))
+    turns = F.transform(permuted(F.sequence(F.lit(0), F.least(F.lit(n), F.col("_m")) - 1), F.col("_m"), F.col("_keys")), lambda x: x + 1)
+    return keyed.select("date", "trial", F.explode(turns).alias("_place")).join(numbered, ["date", "_place"]).select("date", "ticker", "trial")
 
 
 def _schedule(days: DataFrame, dates: DataFrame, start) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantspark.operators.lookup import holding
 from quantspark.session import stage
 
 
@@ -48,12 +49,21 @@ def vintages(buckets: DataFrame, quarters: int, buffer: int = 2) -> DataFrame:
     )
 
 
-def resolve_cusip(aggregate: DataFrame, companies: dict[str, str], by: list[str]) -> DataFrame:
+def resolve_cusip(aggregate: DataFrame, companies: dict[str, str] | DataFrame, by: list[str]) -> DataFrame:
     """Per company, the cusip with the largest value whose usual name holds the company's first word.
 
-    The universe is configuration, so it travels as a constant array inside
-    the expression instead of a join.
+    A table of companies (``ticker``, ``name``; one row per ticker) may have any size: the distinct first words
+    look their names up in an index, and companies join the answer of their word. A few companies from
+    configuration (a dict) travel as a constant array inside the expression instead.
     """
+    if isinstance(companies, DataFrame):
+        first = F.regexp_extract(F.upper("name"), r"\S+", 0)
+        named = companies.select("ticker", first.alias("_word"))
+        names = holding(aggregate.select("name").distinct(), F.upper("name"), named.select(F.col("_word").alias("needle"), F.col("_word").alias("value")))
+        found = aggregate.select(*by, "cusip", "total_value", "name").join(names.select("name", F.explode("found").alias("_word")), "name")
+        totals = found.groupBy(*by, "_word", "cusip").agg(F.sum("total_value").alias("_v"))
+        best = totals.groupBy(*by, "_word").agg(F.min_by("cusip", F.struct(-F.col("_v"), F.col("cusip"))).alias("cusip"))
+        return best.join(named, "_word").select(*by, "ticker", "cusip")
     tokens = F.array(*[F.struct(F.lit(t).alias("ticker"), F.lit(name.upper().split()[0]).alias("token")) for t, name in sorted(companies.items())])
     hits = F.filter(tokens, lambda c: F.contains(F.upper(F.col("name")), c["token"]))
     found = aggregate.select(*by, "cusip", "total_value", F.explode(hits).alias("c"))
@@ -62,7 +72,7 @@ def resolve_cusip(aggregate: DataFrame, companies: dict[str, str], by: list[str]
 
 
 def institutional_history(
-    cusips: DataFrame, holders: DataFrame, companies: dict[str, str], known: DataFrame, quarters: int = 5, top: int = 10
+    cusips: DataFrame, holders: DataFrame, companies: dict[str, str] | DataFrame, known: DataFrame, quarters: int = 5, top: int = 10
 ) -> DataFrame:
     """Top holders' position and mean change per quarter, for each vintage of known buckets.
 

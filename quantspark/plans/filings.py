@@ -187,12 +187,20 @@ def holder_agg(t):
 _COMPANY_ROWS = "co(ticker, token) AS (VALUES " + ", ".join(f"('{t}','{n.upper().split()[0]}')" for t, n in COMPANIES.items()) + ")"
 
 
-def _inst(quarters: int) -> str:
-    return f"""WITH {_COMPANY_ROWS}, be AS (SELECT DISTINCT bucket_end FROM f13_cusip),
+# One company per part beside those above; names are looked up once per first word.
+_PART_COMPANIES = (
+    _COMPANY_ROWS.replace("co(", "fixed(", 1) + ", co AS (SELECT * FROM fixed UNION ALL SELECT concat('P', CAST(p_partkey AS VARCHAR)), upper(split_part(trim(p_name),' ',1)) FROM part),"
+    " words AS (SELECT DISTINCT token AS ticker, token FROM co WHERE token<>'')"
+)
+
+
+def _inst(quarters: int, companies: str = _COMPANY_ROWS) -> str:
+    universe = "words" if "words AS" in companies else "co"
+    return f"""WITH {companies}, be AS (SELECT DISTINCT bucket_end FROM f13_cusip),
     known AS (SELECT v.bucket_end AS vintage, b.bucket_end, ROW_NUMBER() OVER (PARTITION BY v.bucket_end ORDER BY b.bucket_end DESC)-1 AS age
       FROM be v JOIN be b ON b.bucket_end<=v.bucket_end QUALIFY age < {quarters + 2}),
     seen AS (SELECT k.vintage, k.age, c.* FROM f13_cusip c JOIN known k ON k.bucket_end=c.bucket_end),
-    res AS (SELECT vintage, ticker, cusip FROM (SELECT s.vintage, co.ticker, s.cusip, SUM(s.total_value) AS v FROM seen s JOIN co ON contains(upper(s.name), co.token)
+    res AS (SELECT vintage, ticker, cusip FROM (SELECT s.vintage, co.ticker, s.cusip, SUM(s.total_value) AS v FROM seen s JOIN {universe} AS co ON contains(upper(s.name), co.token)
       WHERE s.age=0 GROUP BY 1,2,3) QUALIFY ROW_NUMBER() OVER (PARTITION BY vintage, ticker ORDER BY v DESC, cusip)=1),
     prim AS (SELECT s.vintage, r.ticker, s.cusip, s.period, s.bucket_end FROM seen s JOIN res r ON r.vintage=s.vintage AND r.cusip=s.cusip
       QUALIFY ROW_NUMBER() OVER (PARTITION BY s.vintage, r.ticker, s.period ORDER BY s.num_filers DESC, s.age)=1),
@@ -204,11 +212,14 @@ def _inst(quarters: int) -> str:
       LEFT JOIN hr b ON b.vintage=t.vintage AND b.ticker=t.ticker AND b.cik=t.cik AND b.period=t.pp GROUP BY 1,2,3)"""
 
 
-@query("resolve_cusip", "J11", "vintage d,ticker s,cusip s", _inst(1) + " SELECT * FROM res")
+@query("resolve_cusip", "J11", "vintage d,ticker s,cusip s",
+       _inst(1, _PART_COMPANIES) + " SELECT vintage, co.ticker, cusip FROM res JOIN co ON co.token=res.ticker")
 def resolve_cusip(t):
     cusips = stage(ho.cusip_aggregate(holdings_lines(t)))
     newest = ho.vintages(cusips, 1).filter("age = 0")
-    return ho.resolve_cusip(cusips.join(F.broadcast(newest), "bucket_end"), COMPANIES, ["vintage"])
+    parts = t.read("part").select(F.concat(F.lit("P"), "p_partkey").alias("ticker"), F.col("p_name").alias("name"))
+    companies = parts.unionByName(t.spark.createDataFrame(sorted(COMPANIES.items()), "ticker string, name string"))
+    return ho.resolve_cusip(cusips.join(F.broadcast(newest), "bucket_end"), companies, ["vintage"])
 
 
 @query("institutional_history", "P10 J9 J12 T4", "ticker s,period d,total_shares f2,total_value f2,num_filers i,pct_change f4",

@@ -53,14 +53,18 @@ def html_text(t):
 
 
 @query("backfill", "J15 J13 L10", "link s,ticker s",
-       f"""WITH nt(ticker, name) AS (VALUES {', '.join(f"('{k}','{v}')" for k, v in ADDED.items())}), done AS (SELECT link FROM articles WHERE doc_id%9=0)
+       f"""WITH nt(ticker, name) AS (VALUES {', '.join(f"('{k}','{v}')" for k, v in ADDED.items())}
+         UNION ALL SELECT upper(word), MAX(p_name) FROM (SELECT p_name, unnest(string_split(p_name,' ')) AS word FROM part) WHERE word<>'' GROUP BY 1), done AS (SELECT link FROM articles WHERE doc_id%9=0)
        SELECT a.link, nt.ticker FROM articles a, nt WHERE a.published >= DATE '{AS_OF}' - INTERVAL 90 DAY
          AND (contains(lower(concat(a.text,' ',a.title)), lower(nt.ticker)) OR contains(lower(concat(a.text,' ',a.title)), lower(nt.name)))
          AND NOT (nt.ticker='THBLE' AND a.link IN (SELECT link FROM done))""")
 def backfill(t):
     rows = dv.articles(t).withColumnRenamed("published", "article_date")
     attempted = rows.filter("doc_id % 9 = 0").select("link", F.lit("THBLE").alias("ticker"))
-    return ar.backfill_candidates(rows, ADDED, attempted, AS_OF)
+    words = t.read("part").select("p_name", F.explode(F.split("p_name", " ")).alias("word")).filter("word <> ''")
+    added = words.groupBy(F.upper("word").alias("ticker")).agg(F.max("p_name").alias("name"))
+    added = added.unionByName(t.spark.createDataFrame(sorted(ADDED.items()), "ticker string, name string"))
+    return ar.backfill_candidates(rows, added, attempted, AS_OF)
 
 
 _VALID_SQL = ", ".join(f"'{v}'" for v in VALID)

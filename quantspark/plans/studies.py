@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quantspark.functions.sampling import PRIME, ROUNDS
 from quantspark.operators import backtest as bt
 from quantspark.operators import calendar_effects as ce
 from quantspark.operators import correlation as co
@@ -165,9 +166,19 @@ def custom_weights(t):
     return bt.custom_strategy(inverse_volatility, LOOKBACK)(dates, bars)
 
 
-_RANDOM_SQL = f"""SELECT trial AS label, date, ticker, 1.0/COUNT(*) OVER (PARTITION BY trial, date) AS w FROM (SELECT *,
-    ROW_NUMBER() OVER (PARTITION BY trial, date ORDER BY md5(concat(CAST(trial AS VARCHAR),'|',CAST(date AS VARCHAR),'|',ticker)), ticker) AS r
-    FROM pool, generate_series(0,{TRIALS - 1}) g(trial)) WHERE r<={N}"""
+# The same permutation of the tickers' numbers, one round of all draws a step.
+_RANDOM_SQL = f"""WITH RECURSIVE numbered AS (SELECT date, ticker, ROW_NUMBER() OVER (PARTITION BY date ORDER BY ticker)-1 AS place FROM pool),
+    sizes AS (SELECT date, COUNT(*) AS m FROM pool GROUP BY 1),
+    keys AS (SELECT date, trial, i, md5(concat(CAST(trial AS VARCHAR),'|',CAST(date AS VARCHAR),'|',CAST(i AS VARCHAR))) AS h
+      FROM sizes, generate_series(0,{TRIALS - 1}) t(trial), generate_series(1,{ROUNDS}) r(i)),
+    nums AS (SELECT date, trial, i, CAST(concat('0x',substr(h,1,7)) AS BIGINT) AS pivot, CAST(concat('0x',substr(h,9,7)) AS BIGINT) AS factor,
+      CAST(concat('0x',substr(h,17,7)) AS BIGINT) AS shift FROM keys),
+    walk AS (SELECT date, trial, m, 0::BIGINT AS i, n AS x FROM sizes, generate_series(0,{TRIALS - 1}) t(trial), generate_series(0,{N - 1}) p(n) WHERE n<m
+      UNION ALL SELECT date, trial, m, i+1, CASE WHEN (factor*greatest(x,y)+shift)%{PRIME}%2=1 THEN y ELSE x END
+        FROM (SELECT w.date, w.trial, w.m, w.i, w.x, ((k.pivot-w.x)%w.m+w.m)%w.m AS y, k.factor, k.shift
+          FROM walk w JOIN nums k ON k.date=w.date AND k.trial=w.trial AND k.i=w.i+1))
+    SELECT walk.trial AS label, walk.date, ticker, 1.0/COUNT(*) OVER (PARTITION BY walk.trial, walk.date) AS w
+      FROM walk JOIN numbered ON numbered.date=walk.date AND numbered.place=walk.x WHERE walk.i={ROUNDS}"""
 
 
 @query("random_control", "H5", "d d,equity e", _curve(_RANDOM_SQL) + " SELECT d, AVG(equity) AS equity FROM curve GROUP BY 1")
