@@ -7,7 +7,8 @@ words, so a text in two languages becomes spans. The prediction is the language
 letters; the score is its share of letters.
 
 Training counts n-grams over a bounded sample: at most ``SAMPLE_ROWS`` labelled rows per language, by
-hash of the id, for at most ``MAX_LANGUAGES`` languages (the most frequent). Defined cases: a null text
+hash of the id. Every distinct language is learned; a table with more than ``MAX_LANGUAGES`` of them, whose
+model would not fit a worker, is refused with an error. Defined cases: a null text
 or one without a letter is ``und`` with score 0; rows without language do not train; without any
 training row everything is ``und``; ties go to the language first in code point order.
 """
@@ -22,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantspark.llm.rows import arrow_column, steps, to_bytes
+from quantspark.llm.rows import STEP_BYTES, arrow_column, steps, to_bytes
 
 SAMPLE_ROWS = 1500
-MAX_LANGUAGES = 128
+MAX_LANGUAGES = 1024
 BITS = 16
 #: Log cost of changing the language between two words.
 SWITCH = 9.0
@@ -107,21 +108,23 @@ class Model:
 def viterbi(emit: np.ndarray, starts: np.ndarray, switch: float) -> np.ndarray:
     """Best labels of many word sequences laid end to end; ``starts`` are their first words.
 
-    Each sequence is cut into blocks of BLOCK words. All blocks advance together: first the best score
+    Each sequence is cut into blocks of BLOCK words, or four times the labels, so that memory stays a multiple of
+    words times labels. All blocks advance together: first the best score
     from every label before a block to every label at its end, then a pass over the blocks of each
     sequence, then the labels inside. Every step is an array operation over blocks.
     """
     n, k = emit.shape
     if n == 0 or k < 2:
         return np.zeros(n, np.int32)
+    width = max(BLOCK, 4 * k)
     sizes = np.diff(np.append(starts, n))
-    blocks = -(-sizes // BLOCK)
+    blocks = -(-sizes // width)
     owner = np.repeat(np.arange(len(sizes)), blocks)
     rank = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    begin = starts[owner] + rank * BLOCK
-    size = np.minimum(BLOCK, sizes[owner] - rank * BLOCK)
+    begin = starts[owner] + rank * width
+    size = np.minimum(width, sizes[owner] - rank * width)
     order = np.argsort(-size, kind="stable")
-    alive = [int(np.count_nonzero(size > t)) for t in range(BLOCK)]
+    alive = [int(np.count_nonzero(size > t)) for t in range(width)]
     begin_o = begin[order]
 
     def advance(score: np.ndarray, t: int) -> np.ndarray:
@@ -132,7 +135,7 @@ def viterbi(emit: np.ndarray, starts: np.ndarray, switch: float) -> np.ndarray:
 
     move = np.full((len(begin), k, k), -np.float32(1e30), np.float32)
     move[:, np.arange(k), np.arange(k)] = 0
-    for t in range(BLOCK):
+    for t in range(width):
         if alive[t]:
             move[: alive[t]] = advance(move[: alive[t]], t)
     total = np.empty_like(move)
@@ -146,18 +149,18 @@ def viterbi(emit: np.ndarray, starts: np.ndarray, switch: float) -> np.ndarray:
         enter[here] = (enter[here - 1][:, :, None] + total[here - 1]).max(1)
         enter[here] -= enter[here].max(1, keepdims=True)
     # Inside the blocks: keep the best predecessor of every label.
-    score, back = enter[order], np.zeros((BLOCK, len(begin), k), np.int8)
-    for t in range(BLOCK):
+    score, back = enter[order], np.zeros((width, len(begin), k), np.int16)
+    for t in range(width):
         m = alive[t]
         if not m:
             break
         top = score[:m].argmax(1)
         peak = score[np.arange(m), top][:, None] - np.float32(switch)
-        back[t, :m] = np.where(score[:m] >= peak, np.arange(k, dtype=np.int8)[None, :], top[:, None].astype(np.int8))
+        back[t, :m] = np.where(score[:m] >= peak, np.arange(k, dtype=np.int16)[None, :], top[:, None].astype(np.int16))
         score[:m] = np.maximum(score[:m], peak) + emit[begin_o[:m] + t]
     # For every final label of a block: the label before its first word.
-    entry = np.tile(np.arange(k, dtype=np.int8), (len(begin), 1))
-    for t in range(BLOCK - 1, -1, -1):
+    entry = np.tile(np.arange(k, dtype=np.int16), (len(begin), 1))
+    for t in range(width - 1, -1, -1):
         if alive[t]:
             entry[: alive[t]] = np.take_along_axis(back[t, : alive[t]], entry[: alive[t]].astype(np.int64), 1)
     final, entered = np.empty_like(score), np.empty_like(entry)
@@ -170,7 +173,7 @@ def viterbi(emit: np.ndarray, starts: np.ndarray, switch: float) -> np.ndarray:
         last[here - 1] = entered[here, last[here]]
     labels = np.zeros(n, np.int32)
     current = last[order]
-    for t in range(BLOCK - 1, -1, -1):
+    for t in range(width - 1, -1, -1):
         m = alive[t]
         if m:
             labels[begin_o[:m] + t] = current[:m]
@@ -215,7 +218,9 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     """Count n-grams per language over the bounded sample. Only counts per (language, bucket) reach the driver."""
     known = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key), F.lit("language sample")).alias("h"))
     known = known.filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"{lang} has more than {MAX_LANGUAGES} values; a model of that size does not fit a worker")
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), np.float32))
@@ -262,7 +267,11 @@ def language(model: Model, spark):
     def label(texts: list[bytes]) -> list[dict]:
         if not kept:
             kept.append(code_tables())
-        return label_texts(texts, Model(*sent.value), kept[0])
+        model, out = Model(*sent.value), []
+        # Emissions take words times languages: many languages, smaller steps.
+        for _, part in steps(texts, STEP_BYTES * 16 // max(16, len(model.languages))):
+            out.extend(label_texts(part, model, kept[0]))
+        return out
 
     span = pa.struct([("first", pa.int64()), ("words", pa.int64()), ("lang", pa.string())])
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(span))])
