@@ -1,19 +1,19 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Contexts are sequences of up to DEPTH preceding words. A context is a candidate if it begins at least
-CONTEXT_SHARE of all training tokens, and it becomes a state if its next words diverge from those of its
-longest suffix state: the gain in log likelihood must exceed what as many free parameters gain by chance.
-A state keeps the next words that make up at least ENTRY_SHARE of all tokens; the rest of its mass, and a
-constant, goes to its suffix state, whose probabilities it smooths with, down to the root. The root has
-(c + 0.1) / (N + 0.1 (V + 1)). A token is scored in the longest state that ends before it.
-
-Shares bound the model whatever the input: at most 1 / HOT_SHARE words, 1 / CONTEXT_SHARE contexts and
-1 / ENTRY_SHARE next words a level are broadcast; the table of all words is shuffled, never collected.
-Words outside the broadcast vocabulary get their counts by a join, and each of them is a small share of
-all training tokens, so that join has no hot key on the table's side.
+Contexts are sequences of up to DEPTH preceding words. With N training tokens, a context is a candidate if it occurs at
+least CONTEXT_RATE * sqrt(N) times (140 times in a million tokens, 9,900 times in five thousand million), and it becomes
+a state if its next words diverge from those of its longest suffix state: the gain in log likelihood must exceed what as
+many free parameters gain by chance. A state keeps the next words that follow at least ENTRY_RATE * sqrt(N) times; the
+rest of its mass, and a constant, goes to its suffix state, whose probabilities it smooths with, down to the root. The
+root has (c + 0.1) / (N + 0.1 (V + 1)). A token is scored in the longest state that ends before it.
+
+So the model grows with the corpus, with the square root of its tokens: at most sqrt(N) / HOT_RATE words,
+sqrt(N) / CONTEXT_RATE contexts and sqrt(N) / ENTRY_RATE next words a level are broadcast. The table of all words
+grows with the corpus itself; it is shuffled, never collected. Words outside the broadcast vocabulary get their
+counts by a join, and each of them is a small share of all training tokens, so that join has no hot key.
 
 Defined cases: null is empty; an empty text has one token, its end; without training rows every
-probability is that of an empty count (log 0); rows with equal id and text share one score each.
+probability is that of an empty count (log 0); rows with equal id and text share one score each; ids may be of any type that casts to text and back.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from quantspark.llm.rows import shared_table, steps, to_bytes
 
 DEPTH = 3
-HOT_SHARE = 2e-6
-CONTEXT_SHARE = 2e-4
-ENTRY_SHARE = 2e-6
+HOT_RATE = 0.02
+CONTEXT_RATE = 0.14
+ENTRY_RATE = 0.02
 SMOOTH = 2.0
 #: Entries of a task's local counts before they are sent on.
 FLUSH = 400_000
@@ -44,6 +44,11 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()  # bytes: A-Z only; separators are space and \t to \r
 
 
+def least(rate: float, tokens: int) -> float:
+    """Occurrences that ``rate`` asks for among ``tokens`` tokens; once is never enough."""
+    return max(2.0, rate * float(tokens) ** 0.5)
+
+
 def _counted(pairs: dict | Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(pairs), pa.binary()), pa.array(list(pairs.values()), pa.int64())], ["word", "n"])
 
@@ -241,23 +246,23 @@ def train(texts: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
     table = shared_table(count_words(texts))
     tokens, distinct, ends = table.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.length("word") == 0, F.col("c")))).first()
     tokens, distinct, ends = tokens or 0, distinct or 0, ends or 0
-    hot = table.filter((F.col("c") >= tokens * HOT_SHARE) | (F.length("word") == 0)).collect()  # at most 1 / HOT_SHARE rows
+    hot = table.filter((F.col("c") >= HOT_RATE * float(tokens) ** 0.5) | (F.length("word") == 0)).collect()  # at most sqrt(tokens) / HOT_RATE rows
     hot.sort(key=lambda r: bytes(r["word"]))
     tree = Tree([bytes(r["word"]) for r in hot], np.array([r["c"] for r in hot], float), tokens, distinct, ends)
     # Level one: frequent words and the start of a text (never the end).
     counts = np.append(tree.counts, float(ends))
-    codes = np.array([i for i in range(len(counts)) if i != tree.end and counts[i] >= max(2, tokens * CONTEXT_SHARE)], np.int64)
+    codes = np.array([i for i in range(len(counts)) if i != tree.end and counts[i] >= least(CONTEXT_RATE, tokens)], np.int64)
     n = counts[codes] if len(codes) else np.zeros(0)
     for _ in range(depth if tokens else 0):
         if not len(codes):
             break
         level = Level(codes, n)
         tree.levels.append(level)
-        rows = _follow_counts(texts, tree).filter(F.col("n") >= max(2, tokens * ENTRY_SHARE)).toPandas()  # at most 1 / ENTRY_SHARE rows
+        rows = _follow_counts(texts, tree).filter(F.col("n") >= least(ENTRY_RATE, tokens)).toPandas()  # at most sqrt(tokens) / ENTRY_RATE rows
         found, many = rows["code"].to_numpy(np.int64), rows["n"].to_numpy(float)
         level.state, level.kept = np.zeros(len(codes), bool), np.zeros(len(codes))
         _states(tree, level, found, many)
-        onward = (many >= max(2, tokens * CONTEXT_SHARE)) & (found % tree.width != tree.end)
+        onward = (many >= least(CONTEXT_RATE, tokens)) & (found % tree.width != tree.end)
         order = np.argsort(found[onward])
         codes, n = found[onward][order], many[onward][order]
     return tree, table
@@ -266,9 +271,9 @@ def train(texts: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
 def score(docs: DataFrame, tree: Tree, table: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every row of ``docs``."""
     sent = docs.sparkSession.sparkContext.broadcast(tree.plain())
-    schema = "doc_id long, mark long, word binary, n long, n_tokens long, n_known long, base double, score double, rows long"
+    schema = "doc_id string, mark long, word binary, n long, n_tokens long, n_known long, base double, score double, rows long"
     names = [c.split()[0] for c in schema.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+    types = [pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tree_of(sent.value)
@@ -305,7 +310,7 @@ def score(docs: DataFrame, tree: Tree, table: DataFrame, text: str = "text", key
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     # Header rows carry a word with a space in it, which no text has: they meet no count and spread evenly.
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    source = docs.select(F.col(key).cast("string").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = source.mapInArrow(run, schema).join(table, "word", "left")
     rare = F.col("n") * F.log10((F.coalesce(F.col("c"), F.lit(0)) + 0.1) / F.lit(tree.divisor()))
     sums = parts.groupBy("doc_id", "mark").agg(

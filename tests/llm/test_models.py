@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quantspark.llm import langid, suffix_tree, toxicity
@@ -66,6 +67,32 @@ def test_block_viterbi_finds_the_best_path():
         assert math.isclose(value(part, own, 5.0), value(part, plain_viterbi(part, 5.0), 5.0), abs_tol=1e-2)
 
 
+def test_viterbi_of_many_labels():
+    rng = np.random.default_rng(1)
+    sizes, k = [1, 1300, 30], 300
+    emit = rng.normal(0, 3, (sum(sizes), k)).astype(np.float32)
+    starts = np.cumsum([0] + sizes[:-1])
+    labels = langid.viterbi(emit, starts, 2.0)
+    assert labels.max() > 127
+    for s, n in zip(starts, sizes, strict=True):
+        own, part = labels[s : s + n], emit[s : s + n].astype(float)
+        assert math.isclose(value(part, own, 2.0), value(part, plain_viterbi(part, 2.0), 2.0), rel_tol=1e-4)
+
+
+def test_every_language_is_learned_and_too_many_are_refused(docs_of, monkeypatch):
+    names = [f"l{i:03d}" for i in range(150)]
+    texts = {name: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{x}" for x in ("ko", "mu", "ra", "zi") * 3) for i, name in enumerate(names)}
+    # The last name has the fewest rows.
+    rows = [(i * 3 + j, texts[n], n, "s") for i, n in enumerate(names) for j in range(1 if n == "l149" else 2)]
+    model = langid.train(docs_of(rows))
+    assert model.languages == names
+    found = langid.identify(docs_of(rows), model).select("lang", F.col("language_.lang").alias("got")).collect()
+    assert np.mean([r["lang"] == r["got"] for r in found]) > 0.98 and ("l149", "l149") in {(r["lang"], r["got"]) for r in found}
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 149)
+    with pytest.raises(ValueError, match="149"):
+        langid.train(docs_of(rows))
+
+
 def test_toxicity_query_separates_held_out_rows(spark):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
     rows = QUERIES["op1_toxicity"](spark, "/root/testdata/sf0.1").collect()
@@ -104,7 +131,7 @@ def plain_base(texts, train):
 
 
 def test_suffix_tree_counts_and_base(docs_of, corpus, monkeypatch):
-    monkeypatch.setattr(suffix_tree, "HOT_SHARE", 2e-3)  # most words are outside the vocabulary
+    monkeypatch.setattr(suffix_tree, "HOT_RATE", 0.2)  # most words are outside the vocabulary
     docs = docs_of(corpus)
     tree, counts = suffix_tree.train(docs.filter("doc_id % 3 <> 0").select("text"))
     rows = {r["doc_id"]: r for r in suffix_tree.score(docs, tree, counts).collect()}
@@ -145,3 +172,69 @@ def test_suffix_tree_odd_tables(docs_of):
     docs = docs_of([(1, "a b", "en", "s")] * 3 + [(None, "a c", None, None), (1, "c c c", "en", "s")])
     tree, counts = suffix_tree.train(docs.select("text"))
     assert sorted(r["n_tokens"] for r in suffix_tree.score(docs, tree, counts).collect()) == [3, 3, 3, 3, 4]
+
+
+def plain_tree_scores(texts, train):
+    """The tree from dictionaries of word tuples, the score of each text word by word."""
+    start = None
+    split = [[start, *(t or "").encode().lower().split(), b""] for t in texts]
+    c = Counter(w for s, k in zip(split, train, strict=True) if k for w in s[1:])
+    n = sum(c.values())
+    root = lambda w: (c[w] + 0.1) / (n + 0.1 * (len(c) + 1))
+    context, entry = (max(2.0, r * n**0.5) for r in (suffix_tree.CONTEXT_RATE, suffix_tree.ENTRY_RATE))
+    states = {}
+
+    def probability(history, word, most):
+        p = root(word)
+        for size in range(1, most + 1):
+            held = states.get(tuple(history[-size:])) if len(history) >= size else None
+            if held:
+                many, kept = held
+                p = (kept.get(word, 0) + (many - sum(kept.values()) + suffix_tree.SMOOTH) * p) / (many + suffix_tree.SMOOTH)
+        return p
+
+    level = {(w,): m for w, m in [*c.items(), (start, sum(train))] if w != b"" and m >= context}
+    for size in range(1, suffix_tree.DEPTH + 1):
+        follow = {h: Counter() for h in level}
+        for s, k in zip(split, train, strict=True):
+            for i in range(size, len(s)) if k else ():
+                if tuple(s[i - size : i]) in follow:
+                    follow[tuple(s[i - size : i])][s[i]] += 1
+        onward, new = {}, {}
+        for h, m in level.items():
+            kept = {w: x for w, x in follow[h].items() if x >= entry}
+            parent = {w: probability(h, w, size - 1) for w in kept}
+            gain = sum(x * math.log(x / m / parent[w]) for w, x in kept.items())
+            rest = m - sum(kept.values())
+            gain += rest * math.log(rest / m / max(1 - sum(parent.values()), 1e-9)) if rest > 0 else 0.0
+            if gain > len(kept) + 10:
+                new[h] = (m, kept)
+            onward.update({(*h, w): x for w, x in kept.items() if w != b"" and x >= context})
+        states.update(new)
+        level = onward
+    return states, [sum(math.log10(probability(s[max(0, i - suffix_tree.DEPTH) : i], s[i], suffix_tree.DEPTH)) for i in range(1, len(s))) for s in split]
+
+
+def test_suffix_tree_equals_the_plain_tree(docs_of, corpus):
+    rng = random.Random(8)
+    texts = corpus + [" ".join(rng.choices(["red wine", "red wine glass", "blue sky", "tree", "a house"], k=25)) for _ in range(150)]
+    train = [i % 5 != 0 for i in range(len(texts))]
+    docs = docs_of(texts).withColumn("doc_id", F.concat(F.lit("id"), "doc_id"))  # ids may be text
+    tree, counts = suffix_tree.train(docs_of(texts).filter("doc_id % 5 <> 0").select("text"))
+    states, want = plain_tree_scores(texts, train)
+    assert {len(h) for h in states} == {1, 2, 3} and sum(int(x.state.sum()) for x in tree.levels) == len(states)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, tree, counts).collect()}
+    for i, score in enumerate(want):
+        assert math.isclose(got[f"id{i}"], score, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_suffix_tree_knows_a_phrase_of_143_in_a_million(docs_of):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(2000)]
+    stream = rng.choices(words, k=1_000_000)
+    for at in rng.sample(range(0, 999_000, 10), 143):
+        stream[at : at + 4] = ["w1", "w2", "w3", "w4"]
+    texts = [" ".join(stream[i : i + 2000]) for i in range(0, 1_000_000, 2000)]
+    tree, counts = suffix_tree.train(docs_of(texts).select("text"))
+    got = suffix_tree.score(docs_of(["w1 w2 w3 w4"]), tree, counts).first()
+    assert got["score"] > got["base_score"] + 4
