@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantspark.operators.asof import asof, benchmark_lookup, with_benchmark_return
+from quantspark.operators.ordered import in_chunks, running
 from quantspark.operators.timeseries import daily_returns
 from quantspark.session import stage
 
@@ -92,6 +95,19 @@ def pead_trades(
     )
 
 
+def concat_trades(since, **studies: DataFrame) -> DataFrame:
+    """Trades of several studies bought from ``since`` on, in order of purchase, with the study's name and their running number.
+
+    Equal days go by study, ticker and selling day. The numbers run over all trades, so they come from range
+    partitions and the counts of the partitions before; no task holds the whole log.
+    """
+    columns = ["ticker", "buy_date", "buy_price", "sell_date", "sell_price", "stock_return", "benchmark_return", "excess_return"]
+    parts = [trades.select(F.lit(name).alias("study"), *columns) for name, trades in studies.items()]
+    log = reduce(DataFrame.unionByName, parts).filter(F.col("buy_date") >= F.lit(since).cast("date"))
+    order = ["buy_date", "study", "ticker", "sell_date", "buy_price", "sell_price"]
+    return running(in_chunks(log, [], order), [], order, {"seq": F.lit(1)}).drop("_chunk")
+
+
 def streak_trades(
     earnings: DataFrame, bars: DataFrame, benchmark: DataFrame,
     threshold: float, hold_days: int, cost_bps: float = 0.0,

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quantspark.operators import boosting as bo
 from quantspark.operators import facts as fa
 from quantspark.operators import holdings as ho
 from quantspark.operators import ltr
@@ -186,10 +187,35 @@ def rank_ic(t):
     return ltr.rank_ic(scores.join(pn.forward_return(grid(t), bars, days), ["ticker", "date"]))
 
 
+_GRADES = """r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY date ORDER BY forward_return, ticker) AS r, COUNT(*) OVER (PARTITION BY date) AS n FROM fr WHERE forward_return IS NOT NULL),
+       lab AS (SELECT ticker, date, CASE WHEN n=1 THEN 0 ELSE greatest(0, CAST(ceil((r-1)*5/(n-1)) AS INT)-1) END AS relevance FROM r)"""
+
+
+@query("ltr_gradients", "P15", "date d,ticker s,relevance i,gradient f,curvature f", _KNOWN_PRICE + f""", {_FORWARD.removeprefix('WITH ').removeprefix(_GRID + ', ')}, {_GRADES},
+       j AS (SELECT gp.date, gp.ticker, lab.relevance, tanh(gp.momentum/100) AS s FROM gp JOIN lab ON lab.ticker=gp.ticker AND lab.date=gp.date WHERE gp.momentum IS NOT NULL),
+       p AS (SELECT a.date, a.ticker, a.relevance, SUM(CASE WHEN a.relevance>b.relevance THEN -exp(b.s-a.s) WHEN a.relevance<b.relevance THEN exp(a.s-b.s) ELSE 0 END) AS g,
+         SUM(CASE WHEN a.relevance>b.relevance THEN exp(b.s-a.s) WHEN a.relevance<b.relevance THEN exp(a.s-b.s) ELSE 0 END) AS h,
+         SUM(CASE WHEN a.relevance>b.relevance THEN 1 ELSE 0 END) AS above FROM j a JOIN j b ON b.date=a.date GROUP BY 1,2,3),
+       q AS (SELECT *, SUM(above) OVER (PARTITION BY date) AS pairs FROM p)
+       SELECT date, ticker, relevance, coalesce(g/nullif(pairs,0),0) AS gradient, coalesce(h/nullif(pairs,0),0) AS curvature FROM q""")
+def ltr_gradients(t):
+    """Gradients of the pairwise loss when squashed momentum is the score; the SQL visits every pair of a date."""
+    from quantspark.operators.asof import asof
+    from quantspark.operators.timeseries import momentum
+
+    bars, market = px.bars_and_market(t)
+    scores = asof(grid(t), momentum(bars, market, 84), ["ticker"], "date", "d", {"momentum": "score"})
+    days = bars.select("d").unionByName(market.select("d")).distinct()
+    graded = ltr.relevance_labels(pn.forward_return(grid(t), bars, days)).filter("relevance is not null")
+    rows = scores.filter("score is not null").withColumn("score", F.tanh(F.col("score") / 100)).join(graded, ["ticker", "date"])
+    return bo.pairwise_gradients(stage(rows))
+
+
 @query("ltr_scores", "P15", "date d,ticker s,score f,forward_return f", None)
 def ltr_scores(t):
+    """Scores of the test dates by trees boosted on the pairwise loss of the training dates."""
     panel = stage(ltr.time_split(ltr.relevance_labels(_panel(t))))
-    model = ltr.train_ranker(panel.filter("not is_test"))
+    model = bo.train_pairwise(panel.filter("not is_test"), pn.FACTOR_COLUMNS)
     return model.transform(panel.filter("is_test")).select("date", "ticker", "score", "forward_return")
 
 

@@ -238,6 +238,22 @@ def pead_miss(t):
     return _pead_study(t, "miss")
 
 
+_LOGGED = "ticker, buy_date, buy_price, sell_date, sell_price, stock_return, benchmark_return, excess_return"
+_SINCE = "1996-01-01"
+
+
+@query(
+    "concat_trades", "U6",
+    "seq i,study s,ticker s,buy_date d,buy_price f,sell_date d,sell_price f,stock_return f,benchmark_return f,excess_return f",
+    f"""WITH log AS (SELECT 'beat' AS study, {_LOGGED} FROM ({_pead("beat", "> 5")}) UNION ALL SELECT 'miss', {_LOGGED} FROM ({_pead("miss", "< -5")}))
+        SELECT ROW_NUMBER() OVER (ORDER BY buy_date, study, ticker, sell_date, buy_price, sell_price) AS seq, * FROM log WHERE buy_date>=DATE '{_SINCE}'""",
+)
+def concat_trades(t):
+    sums = stage(dv.daily_sums(t))
+    earnings, bars, market = dv.earnings_from(sums), dv.prices_from(sums), dv.market_from(sums)
+    return ev.concat_trades(_SINCE, **{d: ev.pead_trades(earnings, bars, market, 5.0, HOLD, d) for d in ("beat", "miss")})
+
+
 @query(
     "earnings_streak", "H10 W24",
     "ticker s,earnings_date d,prior_surprise_1 f,prior_surprise_2 f,buy_date d,buy_price f,sell_date d,sell_price f,stock_return f,benchmark_return f,excess_return f",

@@ -1,6 +1,5 @@
 """Queries over correlations, calendar effects and rebalancing strategies."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantspark.functions.sampling import PRIME, ROUNDS
@@ -20,13 +19,22 @@ _PAIRS = """WITH cum AS (SELECT ticker, d, ret, close/first_value(close) OVER (P
       FROM stats WHERE n_spread>=10 AND std_spread<>0 AND correlation IS NOT NULL)"""
 
 
-@query("corr_pairs", "A14 J10", "ticker_a s,ticker_b s,correlation f",
-       _PAIRS + """, asked AS (SELECT ticker AS ticker_a, LEAD(ticker) OVER (ORDER BY ticker) AS ticker_b FROM (SELECT DISTINCT ticker FROM px_monthly))
-       SELECT stats.* FROM stats JOIN asked USING (ticker_a, ticker_b) WHERE correlation IS NOT NULL""")
+#: Correlations below this are not listed.
+LEAST_CORRELATION = 0.05
+
+
+@query("corr_pairs", "A14 J10", "ticker_a s,ticker_b s,correlation f", _PAIRS + f" SELECT * FROM stats WHERE correlation>={LEAST_CORRELATION}")
 def corr_pairs(t):
+    return co.pair_statistics(stage(dv.px_monthly(t)), LEAST_CORRELATION)
+
+
+@query("corr_with_first", "A14", "ticker_a s,ticker_b s,correlation f",
+       _PAIRS + " SELECT * FROM stats WHERE ticker_a=(SELECT MIN(ticker) FROM px_monthly) AND correlation IS NOT NULL")
+def corr_with_first(t):
+    """One ticker against all others: the pairs that are asked for."""
     bars = stage(dv.px_monthly(t))
-    tickers = bars.select("ticker").distinct()
-    asked = tickers.select(F.col("ticker").alias("ticker_a"), F.lead("ticker").over(Window.orderBy("ticker")).alias("ticker_b")).filter("ticker_b is not null")
+    first = bars.agg(F.min("ticker")).scalar()
+    asked = bars.select(first.alias("ticker_a"), F.col("ticker").alias("ticker_b")).distinct().filter("ticker_a <> ticker_b")
     return co.pairwise_correlation(bars, asked)
 
 

@@ -85,3 +85,16 @@ def test_performance_summary(spark):
     assert s.cagr == pytest.approx(1.2 ** (365.25 / 3) - 1)
     flat = bt.performance_summary(spark.createDataFrame([("f", rows[0][1], 1.0), ("f", rows[1][1], 1.0), ("f", rows[2][1], 1.0)], "label string, d date, equity double")).first()
     assert flat.sharpe is None
+
+
+def test_trades_of_several_studies_are_numbered_in_order_of_purchase(spark):
+    from quantspark.operators.events import concat_trades
+
+    columns = "ticker string, buy_date date, buy_price double, sell_date date, sell_price double, stock_return double, benchmark_return double, excess_return double"
+    made = lambda days: spark.createDataFrame([(t, day(d), 1.0, day("2024-06-01"), 2.0, 1.0, 0.5, 0.5) for t, d in days], columns)
+    hot = [(f"T{i:03d}", "2024-02-01") for i in range(200)]
+    log = concat_trades("2024-01-01", beat=made([("B", "2024-03-01"), ("A", "2023-12-31"), *hot]), miss=made([("A", "2024-01-01"), ("T000", "2024-02-01")]))
+    rows = sorted((r.seq, str(r.buy_date), r.study, r.ticker) for r in log.collect())
+    assert [r[0] for r in rows] == list(range(1, 204))
+    assert [r[1:] for r in rows] == sorted(r[1:] for r in rows) and rows[0][1:] == ("2024-01-01", "miss", "A")
+    assert concat_trades("2025-01-01", beat=made(hot)).count() == 0
