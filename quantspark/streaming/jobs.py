@@ -6,11 +6,13 @@ by watermarks or by one row per key, never by the length of the stream.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantspark.operators.articles import MAX_AGE_MONTHS, recent_articles
+from quantspark.operators.articles import recent_articles
+from quantspark.session import stage
 from quantspark.sources.sinks import append_log, write_narratives
+from quantspark.streaming import membership
 
 
 def bars_from_ticks(ticks: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -39,30 +41,23 @@ def new_articles(articles: DataFrame, late: str = "183 days") -> DataFrame:
 def ingest_articles(articles: DataFrame, archive: str, checkpoint: str, as_of):
     """Append unseen recent articles to the archive.
 
-    The archive never forgets a link, also beyond the watermark, so every batch is anti-joined against it.
-    A dated article is at most six months old and cannot have been seen before it was published: only the
-    partitions of those months, and undated entries, are read for it. Runs over what has landed, then stops.
+    The archive never forgets a link, also beyond the watermark, so every batch asks the monthly filters
+    beside it (``<archive>_filters``) and compares only with the months that may hold one of its links. The
+    filters are written before the rows, so a batch that breaks off in between is found again when it is
+    repeated. Runs over what has landed, then stops.
     """
+    filters = f"{archive.rstrip('/')}_filters"
 
     def store(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = recent_articles(batch, as_of).withColumn("seen_date", F.lit(as_of).cast("date"))
-        if _has_rows(spark, archive):
-            seen = spark.read.parquet(archive)
-            since = F.add_months(F.lit(as_of).cast("date"), -MAX_AGE_MONTHS)
-            lately = seen.filter((F.col("seen_date") >= since) | F.col("published").isNull()).select("link")
-            dated = fresh.filter("published IS NOT NULL").join(lately, "link", "left_anti")
-            fresh = dated.unionByName(fresh.filter("published IS NULL").join(seen.select("link"), "link", "left_anti"))
-        append_log(fresh, archive, "seen_date")
+        recent = stage(recent_articles(batch, as_of).withColumn("seen_date", F.lit(as_of).cast("date")))
+        fresh = stage(recent.join(membership.held(recent, archive, filters), "link", "left_anti"))
+        if not fresh.isEmpty():
+            membership.add(fresh, filters)
+            append_log(fresh, archive, "seen_date")
 
     return new_articles(articles).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _has_rows(spark: SparkSession, path: str) -> bool:
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
-
-
 def upsert_narratives(refreshes: DataFrame, table: str, checkpoint: str):
     """Keep one narrative per bucket as refreshes arrive."""
     return (
