@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quantspark.plans import derived as dv
 from quantspark.plans.base import query
-from quantspark.session import staging_folder
+from quantspark.session import stage, staging_folder
 from quantspark.sources import feeds, filings, logs, market, sinks
 from quantspark.streaming import jobs
 
@@ -243,7 +243,7 @@ def sink_append(t):
     rows, out = dv.thesis_log(t).withColumn("ticker", _plain()), _place(t, "log")
     for batch in (rows, rows.limit(0), rows):
         sinks.append_log(batch, out)
-    return t.spark.read.parquet(out).groupBy("ticker").agg(F.count("*").alias("n"))
+    return sinks.read_log(t.spark, out).groupBy("ticker").agg(F.count("*").alias("n"))
 
 
 @query("sink_panel", "K2 S24", "date d,ticker s,momentum f",
@@ -281,11 +281,15 @@ def sink_aggregates(t):
     return side("cusip_agg", "total_value").withColumn("kind", F.lit("cusip")).unionByName(side("holder_agg", "value").withColumn("kind", F.lit("holder")))
 
 
-@query("sink_undo", "K5", "portfolio s,n i,last i", "SELECT portfolio, COUNT(*) AS n, MAX(seq) AS last FROM trades WHERE portfolio<>'BUILDING' OR (d, seq)<(SELECT MAX((d, seq)) FROM trades WHERE portfolio='BUILDING') GROUP BY 1")
+@query("sink_undo", "K5", "portfolio s,n i,last i",
+       """WITH newest AS (SELECT arg_max((portfolio, d, seq), (d, seq, portfolio)) AS x FROM trades)
+       SELECT portfolio, COUNT(*) AS n, MAX(seq) AS last FROM trades, newest WHERE (portfolio, d, seq)<>x GROUP BY 1""")
 def sink_undo(t):
-    out = _place(t, "trades")
-    sinks.append_log(dv.trades(t), out, "portfolio")
-    sinks.undo_last_trade(t.spark, out, "BUILDING")
+    """Undo for the portfolio that traded last."""
+    trades, out = stage(dv.trades(t)), _place(t, "trades")
+    sinks.append_log(trades, out, "portfolio", None)
+    newest = trades.agg(F.max_by("portfolio", F.struct("d", "seq", "portfolio")).alias("portfolio")).first()
+    sinks.undo_last_trade(t.spark, out, newest.portfolio)
     return t.spark.read.parquet(out).groupBy("portfolio").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
 
 

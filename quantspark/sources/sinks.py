@@ -6,7 +6,7 @@ first, so a failed write never reads what it is replacing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantspark.operators.macro import upsert_bucketed
@@ -15,10 +15,35 @@ from quantspark.operators.portfolio import pop_last_trade
 from quantspark.session import stage
 
 
-def append_log(df: DataFrame, path: str, key: str = "ticker") -> None:
-    """Add rows to a log; existing rows are never touched and no rows is no work."""
-    if not df.isEmpty():
-        df.write.mode("append").partitionBy(key).parquet(path)
+#: Folders of a log whose key has any number of values.
+BUCKETS = 64
+_BUCKET = "_bucket"
+
+
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(buckets)).cast("int")
+
+
+def append_log(df: DataFrame, path: str, key: str = "ticker", buckets: int | None = BUCKETS) -> None:
+    """Add rows to a log; existing rows are never touched and no rows is no work.
+
+    Rows lie in ``buckets`` folders by hash of the key, read by :func:`read_log`; a write makes few files a folder
+    and splits a hot one. ``buckets=None`` makes a folder per value, for keys with few values.
+    """
+    if df.isEmpty():
+        return
+    if buckets is None:
+        return df.write.mode("append").partitionBy(key).parquet(path)
+    dealt = df.withColumn(_BUCKET, _bucket(F.col(key), buckets)).hint("rebalance", _BUCKET)
+    dealt.write.mode("append").partitionBy(_BUCKET).parquet(path)
+
+
+def read_log(spark: SparkSession, path: str, key: str = "ticker", value: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """A log written in buckets; of one key if ``value`` is given, from that key's folder alone."""
+    rows = spark.read.parquet(path)
+    if value is not None:
+        rows = rows.filter((F.col(_BUCKET) == _bucket(F.lit(value), buckets)) & (F.col(key) == value))
+    return rows.drop(_BUCKET)
 
 
 def overwrite_partitions(df: DataFrame, path: str, key: str) -> None:

@@ -53,7 +53,7 @@ def ingest_articles(articles: DataFrame, archive: str, checkpoint: str, as_of):
         fresh = stage(recent.join(membership.held(recent, archive, filters), "link", "left_anti"))
         if not fresh.isEmpty():
             membership.add(fresh, filters)
-            append_log(fresh, archive, "seen_date")
+            append_log(fresh, archive, "seen_date", None)
 
     return new_articles(articles).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -122,7 +122,12 @@ def test_sinks(spark, tmp_path):
     sinks.append_log(rows, log)
     sinks.append_log(rows.limit(0), log)
     sinks.append_log(rows, log)
-    assert spark.read.parquet(log).count() == 4
+    assert sorted(tuple(r) for r in sinks.read_log(spark, log).collect()) == [("A", 1), ("A", 1), ("B", 2), ("B", 2)]
+    assert sinks.read_log(spark, log).columns == rows.columns
+    assert [tuple(r) for r in sinks.read_log(spark, log, value="B").collect()] == [("B", 2), ("B", 2)]
+    many = str(tmp_path / "many")
+    sinks.append_log(spark.range(3000).selectExpr("concat('T', id) AS ticker", "id"), many)
+    assert sinks.read_log(spark, many).count() == 3000 and sum(1 for _ in (tmp_path / "many").glob("_bucket=*")) <= sinks.BUCKETS
     panel = str(tmp_path / "panel")
     sinks.write_panel(spark.createDataFrame([(day("2024-01-01"), "A", 1.0), (day("2024-01-02"), "A", 1.0)], "date date, ticker string, momentum double"), panel)
     sinks.write_panel(spark.createDataFrame([(day("2024-01-01"), "A", 9.0), (day("2024-01-01"), "B", 2.0)], "date date, ticker string, momentum double"), panel)
@@ -133,7 +138,7 @@ def test_sinks(spark, tmp_path):
     sinks.write_narratives(spark.createDataFrame([("g", "week", day("2024-01-03"), 2, "new")], shape), table)
     assert sorted(r.narrative for r in spark.read.parquet(table).collect()) == ["new", "oil"]
     trades = str(tmp_path / "trades")
-    sinks.append_log(spark.createDataFrame([("p", day("2024-01-01"), 1), ("p", day("2024-01-01"), 2), ("q", day("2024-01-01"), 1)], "portfolio string, d date, seq int"), trades, "portfolio")
+    sinks.append_log(spark.createDataFrame([("p", day("2024-01-01"), 1), ("p", day("2024-01-01"), 2), ("q", day("2024-01-01"), 1)], "portfolio string, d date, seq int"), trades, "portfolio", None)
     sinks.undo_last_trade(spark, trades, "p")
     sinks.undo_last_trade(spark, trades, "q")
     assert [(r.portfolio, r.seq) for r in spark.read.parquet(trades).collect()] == [("p", 1)]
