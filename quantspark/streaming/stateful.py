@@ -8,13 +8,16 @@ within the watermark's delay, plus one entry per ticker or marked card.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+#: Changes of one user that are put in order at once.
+ROWS = 10_000
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -22,6 +25,15 @@ def _struct(**fields) -> StructType:
     return StructType([StructField(name, kind()) for name, kind in fields.items()])
 
 
+def _later(us: int, seq: int | None) -> tuple:
+    """Sorts changes by time and sequence; no sequence is the largest."""
+    return us, seq is None, seq or 0
+
+
+def _order(row: Row) -> tuple:
+    return _later(*row[-2:])
+
+
 def use_rocksdb(spark) -> None:
     """The state store that keyed maps and timers need; streams started from now on have it."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
@@ -109,43 +121,66 @@ def dip_alerts(bars: DataFrame, drop: float = 0.05, late: str = "1 day", known:
 class CardMarks(StatefulProcessor):
     """The newest change of every card of a user, by (time, sequence).
 
-    A marked card stays. An unmarked one stays only until the watermark has passed its change, so that an earlier
-    mark that comes late does not bring it back; then its entry is deleted.
+    A marked card stays. An unmarked one stays until the watermark has passed its change, so that an earlier mark that
+    comes late does not bring it back; the user's timer then deletes its entry. One timer per user stands at the newest
+    card that was unmarked when it was set, so a user's cards are gone through once per delay of the watermark, not
+    once per unmarked card. The changes of a batch meet in memory: the state is asked and told once per card.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.cards = handle.getMapState("cards", _struct(card=StringType), _struct(us=LongType, seq=LongType, op=StringType))
+        self.timer = handle.getValueState("timer", _struct(us=LongType))
+        self.started: tuple = None, {}  # the key whose initial state was read last, and its cards
 
-    def _put(self, card: str, us: int, seq: int, op: str) -> bool:
-        """Store a change if it is the newest; true if the card flips."""
-        had = self.cards.getValue((card,)) if self.cards.containsKey((card,)) else None
-        if had is not None and (us, seq) <= (had[0], had[1]):
-            return False
-        self.cards.updateValue((card,), (us, seq, op))
-        if op != "mark":
-            self.handle.registerTimer(us // 1000 + 1)
-        return op != ("unmark" if had is None else had[2])
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        for row in initialState.itertuples():
-            self._put(row.card, int(row.us), int(row.seq), row.op)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        flips = []
-        for frame in rows:
-            ordered = frame.sort_values(["us", "seq"])
-            for card, us, seq, op in zip(ordered["card"], ordered["us"].tolist(), ordered["seq"].tolist(), ordered["op"], strict=True):
-                if self._put(card, us, seq, op):
-                    flips.append((*key, card, op, us, seq))
-        if flips:
-            yield pd.DataFrame(flips, columns=["kind", "user_id", "card", "op", "us", "seq"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def _wake_at(self, us: int) -> None:
+        """A timer just after a change."""
+        self.timer.update((us,))
+        self.handle.registerTimer(us // 1000 + 1)
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        if self.started[0] != key:
+            self.started = key, {}
+        change = initialState.us, initialState.seq, initialState.op
+        self.started[1][initialState.card] = change
+        self.cards.updateValue((initialState.card,), change)
+        if initialState.op != "mark" and not self.timer.exists():
+            self._wake_at(initialState.us)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        newest = self.started[1] if self.started[0] == key else {}
+        self.started = None, {}
+        changed = set()
+        for part in batched(rows, ROWS):
+            for _, kind, user_id, card, op, us, seq in sorted(part, key=_order):
+                if card not in newest:
+                    newest[card] = self.cards.getValue((card,))
+                had = newest[card]
+                if had is not None and _later(us, seq) <= _later(had[0], had[1]):
+                    continue
+                newest[card] = us, seq, op
+                changed.add(card)
+                if op != ("unmark" if had is None else had[2]):
+                    yield Row(kind=kind, user_id=user_id, card=card, op=op, us=us, seq=seq)
+        unmarked = []
+        for card in changed:
+            self.cards.updateValue((card,), newest[card])
+            if newest[card][2] != "mark":
+                unmarked.append(newest[card][0])
+        if unmarked and not self.timer.exists():
+            self._wake_at(max(unmarked))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        gone = [k for k, v in self.cards.iterator() if v[2] != "mark" and v[0] < passed]
-        for card in gone:
-            self.cards.removeKey(card)
+        unmarked = [(k, v[0]) for k, v in self.cards.iterator() if v[2] != "mark"]
+        for card, us in unmarked:
+            if us < passed:
+                self.cards.removeKey(card)
+        waiting = [us for _, us in unmarked if us >= passed]
+        if waiting:
+            self._wake_at(max(waiting))
+        else:
+            self.timer.clear()
         return iter(())
 
     def close(self) -> None:
@@ -165,7 +200,7 @@ def card_marks(changes: DataFrame, late: str = "1 day", known: DataFrame | None
     if known is not None:
         newest = timed(known).groupBy("kind", "user_id", "card").agg(F.max_by(F.struct("op", "us", "seq"), F.struct("us", "seq")).alias("n"))
         start = newest.select("kind", "user_id", "card", "n.op", "n.us", "n.seq").groupBy("kind", "user_id")
-    flips = timed(changes).select("ts", *shape).withWatermark("ts", late).groupBy("kind", "user_id").transformWithStateInPandas(
+    flips = timed(changes).select("ts", *shape).withWatermark("ts", late).groupBy("kind", "user_id").transformWithState(
         statefulProcessor=CardMarks(), outputStructType=_struct(kind=StringType, user_id=StringType, card=StringType, op=StringType, us=LongType, seq=LongType),
         outputMode="Append", timeMode="EventTime", initialState=start,
     )

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Row
 
 from quantspark.streaming import stateful
 
@@ -56,3 +57,36 @@ def test_marks_keep_the_newest_change_and_forget_unmarked_cards(spark, tmp_path)
     state = spark.read.format("statestore").option("stateVarName", "cards").load(str(tmp_path / "state"))
     held = {(r.key.user_id, r.user_map_key.card, r.user_map_value.op) for r in state.collect()}
     assert held == {("u", "b", "mark"), ("u", "c", "mark"), ("v", "a", "mark")}
+
+
+class Calls:
+    """A state variable or handle in memory that counts what it is asked."""
+
+    def __init__(self):
+        self.held, self.calls, self.parts = {}, [], {}
+
+    def getMapState(self, name, *_):
+        return self.parts.setdefault(name, Calls())
+
+    getValueState = getMapState
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append((name, *args))
+            if name in ("updateValue", "update"):
+                self.held[args[0] if name == "updateValue" else None] = args[-1]
+            return self.held.get(args[0]) if name == "getValue" else None
+
+        return call
+
+
+def test_state_is_asked_once_per_card_and_one_timer_stands_per_user():
+    handle, marks = Calls(), stateful.CardMarks()
+    marks.init(handle)
+    rows = [Row(ts=None, kind="read", user_id="u", card=f"c{i % 3}", op="unmark" if i // 3 % 2 else "mark", us=i * 10_000, seq=i) for i in range(60)]
+    flips = list(marks.handleInputRows(("read", "u"), iter(rows[::-1]), None))
+    assert [(f.card, f.op, f.seq) for f in flips] == [(r.card, r.op, r.seq) for r in rows]
+    cards = [c[0] for c in handle.parts["cards"].calls]
+    assert sorted(cards) == ["getValue"] * 3 + ["updateValue"] * 3
+    assert handle.parts["cards"].held == {(f"c{i % 3}",): (i * 10_000, i, "unmark") for i in (57, 58, 59)}
+    assert [c for c in handle.calls if c[0] == "registerTimer"] == [("registerTimer", 591)]
