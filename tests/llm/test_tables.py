@@ -168,6 +168,21 @@ def test_license_scan_matches_plain_loops(docs_of, corpus):
     assert licenses.summary(licenses.scan(docs_of([]).select("doc_id", "text"))).count() == 0
 
 
+def test_license_words_are_a_plain_class_and_rules_see_keywords_only(docs_of, monkeypatch):
+    assert not licenses.WORD.startswith("[^")  # Java tests a negated class of ranges an order of magnitude slower
+    seen = []
+    plain = licenses.detections
+    monkeypatch.setattr(licenses, "detections", lambda norm, words: seen.append(words) or plain(norm, words))
+    texts = ["\x00a\x7fb_c\x80\U0001f600 \U0010ffff,9", "the MIT license of licen and é words under gpl", None, "..."]
+    docs = docs_of(texts).select("doc_id", "text")
+    found = {r["doc_id"]: r for r in licenses.summary(licenses.scan(docs)).collect()}
+    assert [found[i]["n_words"] for i in range(4)] == [len(words_of(t or "")) for t in texts]
+    norm = licenses.normalised(F.lit(texts[1]))
+    name = seen[0]._jc.toString()
+    assert docs.limit(1).select(norm.alias("n")).first()["n"] == " the mit license of licen and é words under gpl "
+    assert name == "found_keywords" and set(licenses.keywords()) >= {"mit", "license", "under", "gpl"} and "of" not in licenses.keywords()
+
+
 def test_license_scan_loses_no_match_to_its_keywords(docs_of, corpus):
     texts = corpus + [
         "GPL_V2", "GPL_2", "CC_BY_SA_4_0", "ALL_RIGHTS_RESERVED", "copyright_2020", "__Apache_2_0__", "SPDX_0BSD", "SPDX-License-Identifier: 0BSD", "released under the FreeBSD license",
