@@ -180,9 +180,19 @@ def repeats(parts: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     return [repeated[s : s + w] for s, w in zip(starts.tolist(), windows.tolist(), strict=True)]
 
 
-def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edges = np.diff(np.concatenate(([False], flags, [False])).astype(np.int8))
-    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+def _runs(flags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of true in all of several arrays at once: number of the array, begin and end in it."""
+    if not flags:
+        return (np.zeros(0, np.int64),) * 3
+    starts = np.cumsum([1] + [len(f) + 1 for f in flags])  # an array stands between two places that are false
+    inside = np.ones(starts[-1], bool)
+    inside[starts - 1] = False
+    joined = np.zeros(len(inside), np.int8)
+    joined[inside] = np.concatenate(flags)
+    edges = np.diff(joined)
+    begin, end = np.flatnonzero(edges == 1) + 1, np.flatnonzero(edges == -1) + 1
+    number = np.searchsorted(starts, begin, "right") - 1
+    return number, begin - starts[number], end - starts[number]
 
 
 # ---------------------------------------------------------------- 1. runs
@@ -331,19 +341,33 @@ def _sorted_ranges(ids, marks, begins, routes, parts: list[bytes]):
 
 
 def _ranges(ids, marks, begins, places, flags) -> list[list]:
-    out = []
-    for i, f in zip(places.tolist(), flags, strict=True):
-        for b, e in zip(*_runs(f), strict=True):
-            out.append([int(ids[i]), int(marks[i]), int(begins[i] + b), int(begins[i] + e - 1 + LENGTH)])
-    return out
+    number, begin, end = _runs(flags)
+    of = places[number]
+    return np.column_stack((ids[of], marks[of], begins[of] + begin, begins[of] + end - 1 + LENGTH)).tolist()
+
+
+def _status(owner: np.ndarray, hashes: np.ndarray, learned: dict[int, list[list[bytes]]]) -> np.ndarray:
+    """Per run what its text has learned about its class, -1 if nothing; of several kinds the last one in ``learned``."""
+    told, places = [hashes], [owner]
+    for lists in learned.values():
+        joined = [b"".join(x) for x in lists]
+        told.append(np.frombuffer(b"".join(joined), np.uint64))
+        places.append(np.repeat(np.arange(len(joined)), np.fromiter(map(len, joined), np.int64, len(joined)) // 8))
+    all_hashes, all_places = np.concatenate(told), np.concatenate(places)
+    order = np.lexsort((all_hashes, all_places))
+    new = (np.diff(all_places[order]) != 0) | (all_hashes[order][1:] != all_hashes[order][:-1])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.concatenate(([0], np.cumsum(new)))[: len(order)]
+    kinds = np.full(len(order), -1, np.int8)
+    at = np.cumsum([len(x) for x in told])
+    for i, kind in enumerate(learned):
+        kinds[group[at[i] : at[i + 1]]] = kind
+    return kinds[group[: len(hashes)]]
 
 
 def _send_segments(buckets: int):
     """Settle what a step can, send the windows that must be compared. Settled ranges go to bucket -1."""
 
-    def known(lists) -> np.ndarray:
-        return np.concatenate([np.frombuffer(x, np.uint64) for x in lists]) if lists else np.zeros(0, np.uint64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, types = ["bucket", "ids", "marks", "begins", "sizes", "routes", "bytes"], [pa.int32(), *[pa.binary()] * 6]
         for batch in batches:
@@ -352,14 +376,10 @@ def _send_segments(buckets: int):
                 raw, owner, first, last, name, hashes = runs(part)
                 offset = np.concatenate(([0], np.cumsum([len(p) for p in part])))
                 bounds = np.searchsorted(owner, np.arange(len(part) + 1))
-                status = np.full(len(owner), -1, np.int8)
+                status = _status(owner, hashes, {kind: columns[c][start : start + len(part)] for kind, c in ((COMPARE, "compare"), (HOT, "hot"), (REPEATED, "repeated"))})
                 settled: list[list[int]] = []
                 for t in range(len(part)):
-                    own = slice(bounds[t], bounds[t + 1])
-                    for kind, column in ((COMPARE, "compare"), (HOT, "hot"), (REPEATED, "repeated")):
-                        if columns[column][start + t]:
-                            status[own][np.isin(hashes[own], known(columns[column][start + t]))] = kind
-                    at = np.flatnonzero(status[own] == REPEATED) + bounds[t]
+                    at = np.flatnonzero(status[bounds[t] : bounds[t + 1]] == REPEATED) + bounds[t]
                     if len(at):  # neighbouring runs make one range
                         cutting = np.flatnonzero(first[at][1:] > last[at][:-1] + LENGTH) + 1
                         for piece in np.split(at, cutting):
@@ -373,11 +393,12 @@ def _send_segments(buckets: int):
                     mark = np.array(columns["mark"][start : start + len(part)], np.int64)[of]
                     for places, flags in _sorted_ranges(doc, mark, first, name, parts):
                         settled.extend(_ranges(doc, mark, first, places, flags))
-                        for i, f in zip(places.tolist(), flags, strict=True):
-                            if hot[i]:
-                                left.extend((i, w, w + LENGTH, True) for w in np.flatnonzero(~f).tolist())
-                            else:
-                                left.extend((i, int(b), int(e) - 1 + LENGTH, False) for b, e in zip(*_runs(~f), strict=True))
+                        new = [~f for f in flags]
+                        for i in np.flatnonzero(hot[places]).tolist():
+                            left.extend((int(places[i]), w, w + LENGTH, True) for w in np.flatnonzero(new[i]).tolist())
+                            new[i] = new[i][:0]
+                        number, begin, end = _runs(new)
+                        left.extend(zip(places[number].tolist(), begin.tolist(), (end - 1 + LENGTH).tolist(), [False] * len(number), strict=True))
                 rows = []
                 if settled:
                     x = np.array(settled, np.int64)

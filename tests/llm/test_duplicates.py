@@ -230,3 +230,21 @@ def test_null_ids_and_repeated_rows(docs_of):
     removed = sorted((r["doc_id"] or -1, r["n_removed"]) for r in suffix_array.without_repeats(docs)[0].collect())
     assert removed == [(-1, len(long)), (-1, len(long)), (4, 0), (4, 0), (5, 0)]
     assert syncmers.compare_with_next(docs).count() == 5
+
+
+def test_suffix_array_looks_up_many_texts_and_segments_at_once():
+    rng = np.random.default_rng(5)
+    flags = [rng.random(n) < 0.6 for n in (0, 1, 7, 0, 40, 3)]
+    number, begin, end = suffix_array._runs(flags)
+    plain = [(i, m.start(), m.end()) for i, f in enumerate(flags) for m in re.finditer("1+", "".join("01"[int(x)] for x in f))]
+    assert list(zip(number.tolist(), begin.tolist(), end.tolist(), strict=True)) == plain
+    assert [len(x) for x in suffix_array._runs([])] == [0, 0, 0]
+
+    owner = np.repeat(np.arange(6), [3, 0, 5, 40, 1, 9])
+    hashes = rng.integers(0, 12, len(owner)).astype(np.uint64)
+    told = {k: [[rng.integers(0, 12, n).astype(np.uint64).tobytes() for n in rng.integers(0, 3, 2)] for _ in range(6)] for k in (suffix_array.COMPARE, suffix_array.HOT, suffix_array.REPEATED)}
+    want = []
+    for t, h in zip(owner.tolist(), hashes, strict=True):
+        want.append(next((k for k in reversed(told) if h.tobytes() in [x[i : i + 8] for x in told[k][t] for i in range(0, len(x), 8)]), -1))
+    assert suffix_array._status(owner, hashes, told).tolist() == want
+    assert suffix_array._status(owner[:0], hashes[:0], {k: [] for k in told}).tolist() == []
