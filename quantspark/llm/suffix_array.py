@@ -41,6 +41,8 @@ NAME_BITS = 40
 LOCAL = 48
 #: Input bytes per bucket of the two exchanges, and segment bytes sorted at once.
 BUCKET_BYTES, SORT_BYTES = 8 << 20, 2 << 20
+#: Buckets whose replies meet in one bucket of replies.
+REPLY_BUCKETS = 4
 #: Input bytes per bucket of the written texts.
 TABLE_BYTES = 16 << 20
 PAD = 56  # bytes of a sort key, seven words
@@ -198,7 +200,8 @@ def _runs(flags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- 1. runs
 
 BLOCK_SCHEMA = "bucket int, kind int, ids binary, marks binary, names binary, hashes binary, owners binary"
-REPLY_SCHEMA = "doc_id long, mark long, kind int, hashes binary"
+REPLY_SCHEMA = "reply int, ids binary, marks binary, kinds binary, owners binary, hashes binary"
+LEARNED_SCHEMA = "doc_id long, mark long, repeated binary, compare binary, hot binary"
 #: What a text learns about a class of its runs.
 REPEATED, COMPARE, HOT = 0, 1, 2
 MARKER, ENTRY = 3, 4
@@ -257,7 +260,7 @@ def _send_runs(buckets: int):
                             rows.append([b, kind, b"", b"", short.tobytes(), b"", b""])
                         else:
                             used, local = np.unique(owner[own], return_inverse=True)
-                            rows.append([b, kind, ids[used].tobytes(), marks[used].tobytes(), short.tobytes(), hashes[own].tobytes(), local.astype(np.uint32 if len(used) > 65_535 else np.uint16).tobytes()])
+                            rows.append([b, kind, ids[used].tobytes(), marks[used].tobytes(), short.tobytes(), hashes[own].tobytes(), local.astype(_numbers(len(used))).tobytes()])
                 yield _blocks(rows, fields, types)
 
     return run
@@ -281,40 +284,90 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], key: str = "bucket") -> Iterat
         yield held
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text of a bucket: its repeated classes and those to be compared."""
-    fields, types = ["doc_id", "mark", "kind", "hashes"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    for rows in _by_bucket(batches):
-        out, parts, hot_names = [], [], []
+def _numbers(count: int) -> type:
+    """The type that numbers the texts of a block."""
+    return np.uint32 if count > 65_535 else np.uint16
+
+
+def _answer(replies: int):
+    """What a bucket knows of its texts, their repeated classes and those to be compared, in one block per bucket of replies."""
+    fields, types = ["reply", "ids", "marks", "kinds", "owners", "hashes"], [pa.int32(), *[pa.binary()] * 5]
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        ids, marks, kinds, hashes = (np.concatenate(x) for x in zip(*out, strict=True))
+        where = marks % replies
+        order = np.lexsort((marks, ids, where))
+        where, ids, marks, kinds, hashes = (x[order] for x in (where, ids, marks, kinds, hashes))
+        new = np.concatenate(([True], (np.diff(ids) != 0) | (np.diff(marks) != 0)))
+        number = np.cumsum(new) - 1
+        rows = []
+        for begin, end in zip(*_cuts(where), strict=True):
+            own = slice(begin, end)
+            used = begin + np.flatnonzero(new[own])
+            owners = (number[own] - number[begin]).astype(_numbers(len(used)))
+            rows.append([int(where[begin]), ids[used].tobytes(), marks[used].tobytes(), kinds[own].tobytes(), owners.tobytes(), hashes[own].tobytes()])
+        return _blocks(rows, fields, types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_bucket(batches):
+            out, parts, hot_names = [], [], []
+
+            def say(kind: int, ids, marks, hashes, out=out) -> None:
+                out.append((ids, marks, np.full(len(hashes), kind, np.int8), hashes))
+
+            for r in rows:
+                if r["kind"] == MARKER:
+                    hot_names.append(np.frombuffer(r["names"], np.uint32))
+                    continue
+                ids, marks, hashes = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["marks"], np.int64), np.frombuffer(r["hashes"], np.uint64)
+                if r["kind"] == ENTRY:
+                    own = np.frombuffer(r["owners"], _numbers(len(ids)))
+                    parts.append((np.frombuffer(r["names"], np.uint32), hashes, ids[own], marks[own]))
+                else:  # of one text
+                    say(r["kind"], np.repeat(ids, len(hashes)), np.repeat(marks, len(hashes)), hashes)
+            if parts:
+                names, hashes, ids, marks = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order, number, first = _classes(names, hashes, ids, marks)
+                names, hashes, ids, marks = names[order], hashes[order], ids[order], marks[order]
+                repeated = ids > ids[first][number]
+                begin = np.flatnonzero(np.concatenate(([True], names[first][1:] != names[first][:-1])))
+                many = np.diff(np.append(begin, len(first)))  # classes of each name
+                hot = np.isin(names[first][begin], np.unique(np.concatenate(hot_names))) if hot_names else np.zeros(len(begin), bool)
+                hot |= many > 8 * LOCAL
+                lead = np.zeros(len(names), bool)
+                lead[first] = True
+                of_name = np.repeat(np.arange(len(begin)), many)[number]
+                for kind, chosen in ((REPEATED, repeated), (HOT, lead & hot[of_name]), (COMPARE, lead & ~hot[of_name] & (many > 1)[of_name])):
+                    say(kind, ids[chosen], marks[chosen], hashes[chosen])
+            if any(len(x[0]) for x in out):
+                yield packed(out)
+
+    return run
+
+
+def _cuts(values: np.ndarray) -> tuple[list[int], list[int]]:
+    """Begins and ends of the runs of equal values; there is one at least."""
+    begin = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    return begin.tolist(), [*begin[1:].tolist(), len(values)]
+
+
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text of a bucket of replies all that the buckets know: the hashes of its classes by kind."""
+    fields, types = ["doc_id", "mark", "repeated", "compare", "hot"], [pa.int64(), pa.int64(), *[pa.binary()] * 3]
+    for rows in _by_bucket(batches, "reply"):
+        parts = []
         for r in rows:
-            if r["kind"] == MARKER:
-                hot_names.append(np.frombuffer(r["names"], np.uint32))
-            elif r["kind"] == ENTRY:
-                ids, names = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["names"], np.uint32)
-                own = np.frombuffer(r["owners"], np.uint32 if len(ids) > 65_535 else np.uint16)
-                parts.append((names, np.frombuffer(r["hashes"], np.uint64), ids[own], np.frombuffer(r["marks"], np.int64)[own]))
-            else:
-                out.append([int(np.frombuffer(r["ids"], np.int64)[0]), int(np.frombuffer(r["marks"], np.int64)[0]), r["kind"], r["hashes"]])
-        if parts:
-            names, hashes, ids, marks = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order, number, first = _classes(names, hashes, ids, marks)
-            names, hashes, ids, marks = names[order], hashes[order], ids[order], marks[order]
-            repeated = ids > ids[first][number]
-            begin = np.flatnonzero(np.concatenate(([True], names[first][1:] != names[first][:-1])))
-            many = np.diff(np.append(begin, len(first)))  # classes of each name
-            hot = np.isin(names[first][begin], np.unique(np.concatenate(hot_names))) if hot_names else np.zeros(len(begin), bool)
-            hot |= many > 8 * LOCAL
-            lead = np.zeros(len(names), bool)
-            lead[first] = True
-            of_name = np.repeat(np.arange(len(begin)), many)[number]
-            for kind, chosen in ((REPEATED, repeated), (HOT, lead & hot[of_name]), (COMPARE, lead & ~hot[of_name] & (many > 1)[of_name])):
-                at = np.flatnonzero(chosen)
-                at = at[np.lexsort((marks[at], ids[at]))]
-                for piece in np.split(at, np.flatnonzero((np.diff(ids[at]) != 0) | (np.diff(marks[at]) != 0)) + 1):
-                    if len(piece):
-                        out.append([int(ids[piece[0]]), int(marks[piece[0]]), kind, hashes[piece].tobytes()])
-        if out:
-            yield _blocks(out, fields, types)
+            ids = np.frombuffer(r["ids"], np.int64)
+            own = np.frombuffer(r["owners"], _numbers(len(ids)))
+            parts.append((ids[own], np.frombuffer(r["marks"], np.int64)[own], np.frombuffer(r["kinds"], np.int8), np.frombuffer(r["hashes"], np.uint64)))
+        ids, marks, kinds, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((kinds, marks, ids))
+        ids, marks, kinds, hashes = ids[order], marks[order], kinds[order], hashes[order]
+        text = np.cumsum(np.concatenate(([0], (np.diff(ids) != 0) | (np.diff(marks) != 0))))
+        first = np.flatnonzero(np.concatenate(([True], np.diff(text) != 0)))
+        cuts = {kind: np.searchsorted(text * 4 + kinds, np.arange(len(first)) * 4 + kind).tolist() for kind in range(4)}
+        of = lambda kind: [hashes[b:e].tobytes() for b, e in zip(cuts[kind], cuts[kind + 1], strict=True)]  # noqa: B023, E731
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids[first], marks[first], of(REPEATED), of(COMPARE), of(HOT)), types, strict=True)], fields)
 
 
 # ---------------------------------------------------------------- 2. segments
@@ -346,11 +399,10 @@ def _ranges(ids, marks, begins, places, flags) -> list[list]:
     return np.column_stack((ids[of], marks[of], begins[of] + begin, begins[of] + end - 1 + LENGTH)).tolist()
 
 
-def _status(owner: np.ndarray, hashes: np.ndarray, learned: dict[int, list[list[bytes]]]) -> np.ndarray:
+def _status(owner: np.ndarray, hashes: np.ndarray, learned: dict[int, list[bytes]]) -> np.ndarray:
     """Per run what its text has learned about its class, -1 if nothing; of several kinds the last one in ``learned``."""
     told, places = [hashes], [owner]
-    for lists in learned.values():
-        joined = [b"".join(x) for x in lists]
+    for joined in learned.values():
         told.append(np.frombuffer(b"".join(joined), np.uint64))
         places.append(np.repeat(np.arange(len(joined)), np.fromiter(map(len, joined), np.int64, len(joined)) // 8))
     all_hashes, all_places = np.concatenate(told), np.concatenate(places)
@@ -504,9 +556,8 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     texts = bucketed_table(rows, ["doc_id", "mark"], max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TABLE_BYTES))
 
     sent = rows.mapInArrow(_send_runs(buckets), BLOCK_SCHEMA)
-    replies = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, REPLY_SCHEMA)
-    learned = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("hashes")))  # noqa: E731  a text's own classes: bounded by the text
-    lists = replies.groupBy("doc_id", "mark").agg(learned(REPEATED).alias("repeated"), learned(COMPARE).alias("compare"), learned(HOT).alias("hot"))
+    replies = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer(max(1, buckets // REPLY_BUCKETS)), REPLY_SCHEMA)
+    lists = replies.repartition("reply").sortWithinPartitions("reply").mapInArrow(_learned, LEARNED_SCHEMA)
     lists = lists.join(spokesmen.select("doc_id", "mark"), ["doc_id", "mark"], "left_semi")
     compared = texts.join(lists, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).mapInArrow(_send_segments(buckets), SEGMENT_SCHEMA)
     scattered = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.pmod(F.xxhash64("ids", "begins"), F.lit(1 << 20)).cast("int"))

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quantspark.llm import similar, simhash, suffix_array, syncmers
@@ -242,9 +243,27 @@ def test_suffix_array_looks_up_many_texts_and_segments_at_once():
 
     owner = np.repeat(np.arange(6), [3, 0, 5, 40, 1, 9])
     hashes = rng.integers(0, 12, len(owner)).astype(np.uint64)
-    told = {k: [[rng.integers(0, 12, n).astype(np.uint64).tobytes() for n in rng.integers(0, 3, 2)] for _ in range(6)] for k in (suffix_array.COMPARE, suffix_array.HOT, suffix_array.REPEATED)}
+    told = {k: [rng.integers(0, 12, n).astype(np.uint64).tobytes() for n in rng.integers(0, 5, 6)] for k in (suffix_array.COMPARE, suffix_array.HOT, suffix_array.REPEATED)}
     want = []
     for t, h in zip(owner.tolist(), hashes, strict=True):
-        want.append(next((k for k in reversed(told) if h.tobytes() in [x[i : i + 8] for x in told[k][t] for i in range(0, len(x), 8)]), -1))
+        want.append(next((k for k in reversed(told) if h.tobytes() in [told[k][t][i : i + 8] for i in range(0, len(told[k][t]), 8)]), -1))
     assert suffix_array._status(owner, hashes, told).tolist() == want
     assert suffix_array._status(owner[:0], hashes[:0], {k: [] for k in told}).tolist() == []
+
+
+def test_suffix_array_replies_are_blocks_not_rows_per_text(docs_of, monkeypatch):
+    """What buckets answer comes in a row per pair of buckets, whatever the number of texts."""
+    made = []
+    plain = suffix_array._answer
+    monkeypatch.setattr(suffix_array, "_answer", lambda replies: made.append(replies) or plain(replies))
+    rng = random.Random(3)
+    shared = ["".join(rng.choices("abcdefgh ", k=80)) for _ in range(12)]
+    docs = docs_of([" ".join(rng.sample(shared, 6)) + str(i) for i in range(60)])
+    suffix_array.without_repeats(docs)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+    sent = rows.mapInArrow(suffix_array._send_runs(5), suffix_array.BLOCK_SCHEMA)
+    replies = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(plain(2), suffix_array.REPLY_SCHEMA)
+    assert made == [1] and 0 < replies.count() <= 5 * 2
+    found = replies.repartition("reply").sortWithinPartitions("reply").mapInArrow(suffix_array._learned, suffix_array.LEARNED_SCHEMA).collect()
+    assert len(found) == len({(r["doc_id"], r["mark"]) for r in found}) >= 50
+    assert all(len(r[k]) % 8 == 0 for r in found for k in ("repeated", "compare", "hot"))
