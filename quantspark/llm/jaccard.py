@@ -8,11 +8,13 @@ segments, and a set has one tile key per segment that is not empty: band, segmen
 are shipped. A set with no more than ``d`` keys also goes to a tile of its band for such sets, so no pair is lost. A
 tile holds sets that share whole segments: a passage or word that many texts share does not bring them together.
 
-Sets that meet in enough tiles form families, the components of meeting. Each family's sorted shingle arrays go to
-one task, once. There, pairs of fitting sizes are tested on hashed bitmap signatures: each shingle flips one bit, and
-the bits in which two signatures differ are at most the shingles in which the sets differ, so a bit count bounds the
-overlap from above. What passes is intersected exactly, nearest pairs first, unless it is connected already; a
-spanning forest of the links leaves the task.
+Sets that meet in enough tiles form families, the components of meeting. In one task, pairs of fitting sizes are
+tested on hashed bitmap signatures: each shingle flips one bit, and the bits in which two signatures differ are at most
+the shingles in which the sets differ, so a bit count bounds the overlap from above. This is done twice. First on
+sketches of one to two bits per shingle, for long texts that meet by common shingles form families that grow with the
+corpus: the components of what passes are smaller families, and most sets leave. Then the sorted shingle arrays
+of the rest go to one task a family, once; what passes four bits per shingle is intersected exactly, nearest pairs
+first, unless it is connected already; a spanning forest of the links leaves the task.
 
 Equal sets are one node from the start. A family of more than BLOCK sets is cut into blocks. Each block is compared
 with a few pivots of the family, which joins a large group of near copies in linear work; only sets outside the
@@ -50,6 +52,8 @@ SHARED = 4
 #: Sets, and shingles of them, that one task holds of each side of a comparison.
 BLOCK = 8192
 BLOCK_SHINGLES = 8_000_000
+#: Shingles of sets whose sketches one task holds of each side; they take at most two bits each.
+SKETCH_SHINGLES = 128_000_000
 #: Sets of a large family with which all its others are compared first.
 PIVOTS = 16
 #: The filter that tells which texts are needed again has 2 ** FILTER_BITS bits.
@@ -156,18 +160,31 @@ def bits_for(n: int) -> int:
     return max(64, 1 << math.ceil(math.log2(4 * n)))
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Size of a set and its signature of one to two bits for each shingle."""
+    return np.concatenate(([np.uint64(len(found))], signature(found, max(64, 1 << (len(found) - 1).bit_length()))))
+
+
+def folded(marks: np.ndarray, words: int) -> np.ndarray:
+    """Signatures (one a row) brought to ``words`` words; as if they had been made of so many bits."""
+    while marks.shape[1] > words:
+        half = marks.shape[1] // 2
+        marks = marks[:, :half] ^ marks[:, half:]
+    return marks
+
+
 def _long(values) -> pa.Array:
     return pa.array(np.ascontiguousarray(values, np.uint64).view(np.int64))
 
 
 def named_set(rule: Rule):
-    """Per text: name of its set and size."""
+    """Per text: name of its set, size and sketch."""
 
     def run(texts: list[bytes]) -> list[dict]:
         sets = [shingles(text, rule.size) for text in texts]
-        return [{"node": named(found, rule)[0], "n": len(found)} for found in sets]
+        return [{"node": named(found, rule)[0], "n": len(found), "sketch": sketch(found).tobytes() if len(found) else None} for found in sets]
 
-    return arrow_column(run, "node long, n long", pa.struct([("node", pa.int64()), ("n", pa.int64())]))
+    return arrow_column(run, "node long, n long, sketch binary", pa.struct([("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())]))
 
 
 def _tiles(rule: Rule):
@@ -294,16 +311,52 @@ def forest(node: np.ndarray, root: np.ndarray, arrays: list[np.ndarray], rule: R
     return node[a[kept]], node[b[kept]]
 
 
-def _compared(rule: Rule):
-    """mapInArrow over sorted blocks: a forest of the links between the two sides of a block, or within its one side."""
+def alike(node: np.ndarray, root: np.ndarray, arrays: list[np.ndarray], rule: Rule, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Like :func:`forest`, over sketches: pairs that connect all whose bits leave a link possible."""
+    n = np.fromiter((int(x[0]) for x in arrays), np.int64, len(arrays))
+    words = np.fromiter((len(x) - 1 for x in arrays), np.int64, len(arrays))
+    label = np.unique(root, return_inverse=True)[1]
+    right = right[np.argsort(n[right], kind="stable")]
+    classes = {int(w): right[words[right] == w] for w in np.unique(words[right])}
+    marks = {w: np.stack([arrays[i][1:] for i in rows.tolist()]) for w, rows in classes.items()}
+    a, b = [], []
+    for own in np.unique(words[left]).tolist():
+        for w, rows in classes.items():
+            if not own <= 2 * w <= 4 * own:  # sizes that link differ less
+                continue
+            least = min(own, w)
+            there, sizes = folded(marks[w], least), n[rows]
+            for row in left[words[left] == own].tolist():
+                low = np.searchsorted(sizes, -(-rule.under * n[row] // rule.over))
+                high = np.searchsorted(sizes, rule.largest(n[row]), side="right")
+                others = rows[low:high]
+                places = np.flatnonzero((label[others] != label[row]) & (node[others] > node[row]))
+                if not len(places):
+                    continue
+                others = others[places]
+                differ = np.bitwise_count(there[low + places] ^ folded(arrays[row][None, 1:], least)).sum(1, dtype=np.int64)
+                others = others[differ <= rule.apart(n[others] + n[row])]
+                if len(others):
+                    joined, first = np.unique(label[others], return_index=True)
+                    a.extend([row] * len(first))
+                    b.extend(others[first].tolist())
+                    label[np.isin(label, joined)] = label[row]
+    return node[np.array(a, np.int64)], node[np.array(b, np.int64)]
+
+
+def _compared(rule: Rule, compare):
+    """mapInArrow over sorted blocks: a forest of the links between the two sides of a block, or within its one side.
+
+    ``compare`` is :func:`forest` over shingles or :func:`alike` over sketches.
+    """
 
     def linked(rows: list[tuple]) -> pa.RecordBatch:
         side, node, root = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
         arrays = [np.frombuffer(r[6], np.uint64) for r in rows]
         left, right = (np.flatnonzero(side == k) for k in (0, 1))
-        a, b = forest(node, root, arrays, rule, left, right if len(right) else left)
+        a, b = compare(node, root, arrays, rule, left, right if len(right) else left)
         if len(right):  # the smaller name may be on either side
-            c, d = forest(node, root, arrays, rule, right, left)
+            c, d = compare(node, root, arrays, rule, right, left)
             a, b = np.concatenate((a, c)), np.concatenate((b, d))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -321,20 +374,20 @@ def _compared(rule: Rule):
     return run
 
 
-def _links(blocks: DataFrame, rule: Rule) -> DataFrame:
+def _links(blocks: DataFrame, rule: Rule, compare) -> DataFrame:
     """Links of rows (family, i, j, side, node, root, found); equal (family, i, j) are one block."""
     rows = blocks.select("family", "i", "j", "side", "node", "root", "found").repartition("family", "i", "j")
-    return stage(rows.sortWithinPartitions("family", "i", "j", "side", "node").mapInArrow(_compared(rule), "a long, b long"))
+    return stage(rows.sortWithinPartitions("family", "i", "j", "side", "node").mapInArrow(_compared(rule, compare), "a long, b long"))
 
 
-def _large(arrays: DataFrame, rule: Rule) -> DataFrame:
+def _large(arrays: DataFrame, rule: Rule, compare) -> DataFrame:
     """Links of families of several blocks."""
     side = lambda seed, blocks: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(blocks)).cast("int")
     rows = arrays.select("family", "blocks", side(0, "blocks").alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", F.col("node").alias("root"), "found")
     place = F.row_number().over(Window.partitionBy("family").orderBy(F.xxhash64("node", F.lit(1)), "node"))
     pivots = rows.withColumn("place", place).filter(F.col("place") <= PIVOTS).drop("place").withColumn("side", F.lit(1))
     pivots = pivots.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    first = _links(rows.unionByName(pivots), rule)
+    first = _links(rows.unionByName(pivots), rule, compare)
 
     keys = stage(arrays.select("family", "blocks", "node").join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node")))
     parts = keys.groupBy("family", "root").agg(F.count("*").alias("n"))
@@ -347,25 +400,42 @@ def _large(arrays: DataFrame, rule: Rule) -> DataFrame:
     outer = F.transform(number("blocks"), lambda j: spot(side(2, "outer"), j, 1))
     spots = told.select("family", "node", "root", F.explode(F.when(F.col("root") == F.col("main"), inner).otherwise(F.concat(inner, outer))).alias("at"))
     rest = spots.select("family", "at.i", "at.j", "at.side", "node", "root").join(arrays.select("family", "node", "found"), ["family", "node"])
-    return first.union(_links(rest, rule))
+    return first.union(_links(rest, rule, compare))
+
 
+def _all_links(arrays: DataFrame, rule: Rule, compare) -> DataFrame:
+    """Links of rows (family, blocks, node, found) within each family."""
+    none = F.lit(0)
+    small = arrays.filter("blocks = 1").select("family", none.alias("i"), none.alias("j"), none.alias("side"), "node", F.col("node").alias("root"), "found")
+    found = _links(small, rule, compare)
+    large = arrays.filter("blocks > 1")
+    return found if large.isEmpty() else found.union(_large(large, rule, compare))
 
-def _blocked(families: DataFrame) -> DataFrame:
-    """(node, family, n) with the number of blocks of the family."""
-    sizes = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+
+def _blocked(families: DataFrame, shingles: int) -> DataFrame:
+    """(node, family, n) with the number of blocks of the family, of at most so many shingles."""
+    sizes = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(shingles))).cast("int").alias("blocks"))
     return stage(families.join(sizes, "family").select("node", "family", "n", "blocks"))
 
 
-def _by_size(members: DataFrame, rule: Rule) -> DataFrame:
+def _by_size(members: DataFrame, rule: Rule, shingles: int) -> DataFrame:
     """Families of several blocks cut into overlapping size bands; a linking pair is in one band or in two next ones."""
     band = F.floor(F.log("n") / F.lit(math.log(rule.over / rule.under)))
     large = members.filter("blocks > 1").withColumn("band", F.explode(F.array(band, band - 1)))
-    cut = _blocked(large.select("node", F.xxhash64("family", "band").alias("family"), "n"))
+    cut = _blocked(large.select("node", F.xxhash64("family", "band").alias("family"), "n"), shingles)
     return members.filter("blocks = 1").unionByName(cut)
 
 
+def _refined(families: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """(node, family, n) of the components of sets whose sketches leave a link possible; sets without such a partner go."""
+    members = _by_size(_blocked(families, SKETCH_SHINGLES), rule, SKETCH_SHINGLES)
+    sketches = stage(members.join(nodes.select("node", F.col("sketch").alias("found")), "node").select("family", "blocks", "node", "found"))
+    found = components(_all_links(sketches, rule, alike)).withColumnRenamed("root", "family")
+    return stage(found.join(nodes.select("node", "n"), "node"))
+
+
 def links(docs: DataFrame, nodes: DataFrame, rule: Rule, near: DataFrame | None = None, by_size: bool = False) -> DataFrame:
-    """Edges (a, b) between names of sets that connect all linking ones. ``docs``: text; ``nodes``: node, n.
+    """Edges (a, b) between names of sets that connect all linking ones. ``docs``: text; ``nodes``: node, n, sketch.
 
     ``near`` are candidates (a, b) from elsewhere; they are tested like those that meet in tiles. ``by_size`` cuts
     families of several blocks into size bands first, which ships each set twice but compares fewer.
@@ -374,14 +444,10 @@ def links(docs: DataFrame, nodes: DataFrame, rule: Rule, near: DataFrame | None
     met = shared_table(tiles.repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(_met, "tile long, node long"))
     enough = met.groupBy("node").agg(F.count("*").alias("tiles")).filter("tiles > (node & 3)").select("node")
     families = stage(_families(_several(met.join(enough, "node", "left_semi")), near).join(nodes.select("node", "n"), "node"))
-    members = _blocked(families)
+    members = _blocked(_refined(families, nodes, rule), BLOCK_SHINGLES)
     if by_size:
-        members = _by_size(members, rule)
-    arrays = _needed(docs, members.select("node", "family", "blocks"), rule)
-    none = F.lit(0)
-    small = arrays.filter("blocks = 1").select("family", none.alias("i"), none.alias("j"), none.alias("side"), "node", F.col("node").alias("root"), "found")
-    found = _links(small, rule)
-    return found if members.filter("blocks > 1").isEmpty() else found.union(_large(arrays.filter("blocks > 1"), rule))
+        members = _by_size(members, rule, BLOCK_SHINGLES)
+    return _all_links(_needed(docs, members.select("node", "family", "blocks"), rule), rule, forest)
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule | None = None) -> DataFrame:
@@ -389,8 +455,8 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Rule |
     rule = rule or Rule()
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    rows = stage(docs.select("doc_id", named_set(rule)(F.col("text")).alias("set")).select("doc_id", "set.node", "set.n"))
-    nodes = stage(rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    rows = stage(docs.select("doc_id", named_set(rule)(F.col("text")).alias("set")).select("doc_id", "set.node", "set.n", "set.sketch"))
+    nodes = stage(rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     roots = components(links(docs, nodes, rule))
     of_node = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_root = of_node.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("members"))

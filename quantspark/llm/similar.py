@@ -37,9 +37,9 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     small_batches(docs.sparkSession)
     mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
     told = docs.select(F.col(key).alias("doc_id"), mark.alias("mark"), jaccard.named_set(RULE)(F.col(text)).alias("set"), simhash.simhash(F.col(text), RULE.size).alias("fp"))
-    rows = stage(told.select("doc_id", "mark", "set.node", "set.n", "fp"))
+    rows = stage(told.select("doc_id", "mark", "set.node", "set.n", "set.sketch", "fp"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("mark").alias("mark"))
-    nodes = stage(rows.groupBy("node").agg(F.first("n").alias("n"), F.min("fp").alias("fp"), F.min(order).alias("kept")))
+    nodes = stage(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("fp").alias("fp"), F.min(order).alias("kept")))
     full = nodes.filter("n > 0")
     roots = components(jaccard.links(docs.select(F.col(text).alias("text")), full, RULE, near(full), by_size=True))
     kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("kept").alias("kept"))

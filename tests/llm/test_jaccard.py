@@ -142,3 +142,54 @@ def test_empty_tables_and_string_ids(spark, docs_of):
     assert sorted(map(tuple, jaccard.join(docs_of([None, "", " "])).collect())) == [(0, 0, 0), (1, 0, 1), (2, 0, 2)]
     named = spark.createDataFrame([("b", "t u"), ("a", "t U")], "doc_id string, text string")
     assert sorted(map(tuple, jaccard.join(named).collect())) == [("a", 1, "a"), ("b", 1, "a")]
+
+
+def test_sketches_leave_every_link_possible():
+    rng = random.Random(21)
+    sets = []
+    for _ in range(60):
+        words = ["w%d" % rng.randrange(4000) for _ in range(rng.choice([4, 12, 60, 63, 64, 66, 120, 130, 500]))]
+        sets += [jaccard.shingles(" ".join(edited(rng, words, e)).encode()) for e in (0, 1, 2, 5)]
+    sets = [s for s in sets if len(s)]
+    sketches = [jaccard.sketch(s) for s in sets]
+    for found, made in zip(sets, sketches, strict=True):
+        assert made[0] == len(found) and 64 * (len(made) - 1) >= len(found)
+        for bits in (64, 128, 256):
+            if bits <= 64 * (len(made) - 1):
+                assert jaccard.folded(made[None, 1:], bits // 64)[0].tolist() == jaccard.signature(found, bits).tolist()
+    node = np.array(rng.sample(range(10**6), len(sets)), np.int64)
+    both, odd = np.arange(len(sets)), np.arange(len(sets)) % 3 == 0
+    place = {v: i for i, v in enumerate(node.tolist())}
+    for sides in ([(both, both)], [(both[odd], both[~odd]), (both[~odd], both[odd])]):
+        root = list(range(len(sets)))
+
+        def top(i, root=root):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        edges = 0
+        for left, right in sides:
+            a, b = jaccard.alike(node, node, sketches, RULE, left, right)
+            edges += len(a)
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                root[top(place[x])] = top(place[y])
+        assert edges <= len(sides) * (len(sets) - 1)
+        for i in range(len(sets)):
+            for j in range(i):
+                if (len(sides) == 1 or odd[i] != odd[j]) and RULE.enough(len(np.intersect1d(sets[i], sets[j])), len(sets[i]) + len(sets[j])):
+                    assert top(i) == top(j)
+
+
+def test_sets_that_only_meet_are_not_shipped(spark, docs_of, monkeypatch):
+    """Long texts of one stock of passages meet in tiles; only those that may link send their shingles."""
+    rng = random.Random(22)
+    stock = [" ".join("s%d" % rng.randrange(5000) for _ in range(8)) for _ in range(60)]
+    texts = [" ".join(p for _ in range(50) for p in (rng.choice(stock), "own%d" % rng.randrange(10**6))) for _ in range(40)]
+    texts.append(texts[7] + " end")
+    shipped = []
+    plain = jaccard._needed
+    monkeypatch.setattr(jaccard, "_needed", lambda docs, nodes, rule: shipped.append(nodes.select("node").distinct().count()) or plain(docs, nodes, rule))
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs_of(texts)).collect()}
+    assert found == {i: 7 if i == 40 else i for i in range(41)}
+    assert shipped == [2]
