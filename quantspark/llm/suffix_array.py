@@ -8,7 +8,8 @@ Every byte covered by a string of LENGTH bytes that also starts in a document wi
    bytes are one class: all but the smallest id are repeats as a whole. A class whose name occurs with other
    bytes too must be compared; for that its smallest id is enough. Each task settles its own classes
    first. A name with more than LOCAL classes in one step is hot: the task sends one marker and treats its
-   classes as to be compared.
+   classes as to be compared. Blocks tell texts by id and a short mark: runs learn by class and id alone, so
+   rows of one id that share a short mark may learn together.
 2. Segments. The texts of the classes to be compared go to the bucket of their name, or window by window
    to the bucket of the window where the name is hot, so no bucket holds a large group. Texts are
    written once, bucketed by id, so that no later join shuffles them.
@@ -45,6 +46,8 @@ BUCKET_BYTES, SORT_BYTES = 8 << 20, 2 << 20
 REPLY_BUCKETS = 4
 #: Input bytes per bucket of the written texts.
 TABLE_BYTES = 16 << 20
+#: What blocks of runs keep of a text's mark.
+SHORT = 0xFFFF
 PAD = 56  # bytes of a sort key, seven words
 NO_ID = (1 << 63) - 1
 
@@ -216,6 +219,24 @@ def _classes(names, hashes, ids, marks):
     return order, np.cumsum(new) - 1, first
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """All first bytes of the values, then all second ones and so on: shuffles compress the high ones away."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _of_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _steps(values: np.ndarray) -> bytes:
+    """Like :func:`_planes`, of the differences between neighbours; for values in order or nearly so."""
+    return _planes(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def _of_steps(data: bytes, kind: type) -> np.ndarray:
+    return np.cumsum(_of_planes(data, kind), dtype=kind)
+
+
 def _send_runs(buckets: int):
     """Blocks of classes by bucket; replies that a step can give itself travel with them."""
     fields = ["bucket", "kind", "ids", "marks", "names", "hashes", "owners"]
@@ -228,12 +249,12 @@ def _send_runs(buckets: int):
         for piece in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1):
             if len(piece):
                 t = owner[piece[0]]
-                out.append([int(marks[t]) % buckets, kind, ids[[t]].tobytes(), marks[[t]].tobytes(), b"", np.unique(hashes[piece]).tobytes(), b""])
+                out.append([int(ids[t] + marks[t]) % buckets, kind, _steps(ids[[t]]), marks[[t]].tobytes(), b"", np.unique(hashes[piece]).tobytes(), b""])
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_ids, all_marks = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("mark").to_numpy(zero_copy_only=False)
+            all_ids, all_marks = batch.column("doc_id").to_numpy(zero_copy_only=False), (batch.column("mark").to_numpy(zero_copy_only=False) & SHORT).astype(np.uint16)
             for start, part in steps(to_bytes(batch.column("text")), 2 << 20):
                 ids, marks = all_ids[start : start + len(part)], all_marks[start : start + len(part)]
                 _, owner, _, _, names, hashes = runs(part)
@@ -257,10 +278,10 @@ def _send_runs(buckets: int):
                         own = chosen[cuts[b] : cuts[b + 1]]
                         short = (names[own] // np.uint64(buckets)).astype(np.uint32)
                         if kind == MARKER:
-                            rows.append([b, kind, b"", b"", short.tobytes(), b"", b""])
+                            rows.append([b, kind, b"", b"", _steps(short), b"", b""])
                         else:
                             used, local = np.unique(owner[own], return_inverse=True)
-                            rows.append([b, kind, ids[used].tobytes(), marks[used].tobytes(), short.tobytes(), hashes[own].tobytes(), local.astype(_numbers(len(used))).tobytes()])
+                            rows.append([b, kind, _steps(ids[used]), marks[used].tobytes(), _steps(short), hashes[own].tobytes(), local.astype(_numbers(len(used))).tobytes()])
                 yield _blocks(rows, fields, types)
 
     return run
@@ -295,17 +316,17 @@ def _answer(replies: int):
 
     def packed(out: list[tuple]) -> pa.RecordBatch:
         ids, marks, kinds, hashes = (np.concatenate(x) for x in zip(*out, strict=True))
-        where = marks % replies
+        where = ((ids.view(np.uint64) * np.uint64(BASE) + marks) >> np.uint64(20)) % np.uint64(replies)
         order = np.lexsort((marks, ids, where))
         where, ids, marks, kinds, hashes = (x[order] for x in (where, ids, marks, kinds, hashes))
-        new = np.concatenate(([True], (np.diff(ids) != 0) | (np.diff(marks) != 0)))
+        new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])))
         number = np.cumsum(new) - 1
         rows = []
         for begin, end in zip(*_cuts(where), strict=True):
             own = slice(begin, end)
             used = begin + np.flatnonzero(new[own])
             owners = (number[own] - number[begin]).astype(_numbers(len(used)))
-            rows.append([int(where[begin]), ids[used].tobytes(), marks[used].tobytes(), kinds[own].tobytes(), owners.tobytes(), hashes[own].tobytes()])
+            rows.append([int(where[begin]), _steps(ids[used]), marks[used].tobytes(), kinds[own].tobytes(), owners.tobytes(), hashes[own].tobytes()])
         return _blocks(rows, fields, types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,12 +338,12 @@ def _answer(replies: int):
 
             for r in rows:
                 if r["kind"] == MARKER:
-                    hot_names.append(np.frombuffer(r["names"], np.uint32))
+                    hot_names.append(_of_steps(r["names"], np.uint32))
                     continue
-                ids, marks, hashes = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["marks"], np.int64), np.frombuffer(r["hashes"], np.uint64)
+                ids, marks, hashes = _of_steps(r["ids"], np.int64), np.frombuffer(r["marks"], np.uint16), np.frombuffer(r["hashes"], np.uint64)
                 if r["kind"] == ENTRY:
                     own = np.frombuffer(r["owners"], _numbers(len(ids)))
-                    parts.append((np.frombuffer(r["names"], np.uint32), hashes, ids[own], marks[own]))
+                    parts.append((_of_steps(r["names"], np.uint32), hashes, ids[own], marks[own]))
                 else:  # of one text
                     say(r["kind"], np.repeat(ids, len(hashes)), np.repeat(marks, len(hashes)), hashes)
             if parts:
@@ -352,14 +373,14 @@ def _cuts(values: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text of a bucket of replies all that the buckets know: the hashes of its classes by kind."""
+    """Per text (id and short mark) of a bucket of replies all that the buckets know: the hashes of its classes by kind."""
     fields, types = ["doc_id", "mark", "repeated", "compare", "hot"], [pa.int64(), pa.int64(), *[pa.binary()] * 3]
     for rows in _by_bucket(batches, "reply"):
         parts = []
         for r in rows:
-            ids = np.frombuffer(r["ids"], np.int64)
+            ids = _of_steps(r["ids"], np.int64)
             own = np.frombuffer(r["owners"], _numbers(len(ids)))
-            parts.append((ids[own], np.frombuffer(r["marks"], np.int64)[own], np.frombuffer(r["kinds"], np.int8), np.frombuffer(r["hashes"], np.uint64)))
+            parts.append((ids[own], np.frombuffer(r["marks"], np.uint16).astype(np.int64)[own], np.frombuffer(r["kinds"], np.int8), np.frombuffer(r["hashes"], np.uint64)))
         ids, marks, kinds, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((kinds, marks, ids))
         ids, marks, kinds, hashes = ids[order], marks[order], kinds[order], hashes[order]
@@ -378,7 +399,7 @@ RANGE_SCHEMA = "doc_id long, mark long, begin long, end long"
 
 def _pack(bucket: int, ids, marks, begins, routes, parts: list[bytes]) -> list:
     sizes = np.fromiter(map(len, parts), np.int32, len(parts))
-    return [bucket, ids.tobytes(), marks.tobytes(), begins.tobytes(), sizes.tobytes(), routes.tobytes(), b"".join(parts)]
+    return [bucket, _steps(ids), marks.tobytes(), _planes(begins), _planes(sizes), _planes(routes), pa.compress(b"".join(parts), "zstd", asbytes=True)]
 
 
 def _sorted_ranges(ids, marks, begins, routes, parts: list[bytes]):
@@ -454,7 +475,8 @@ def _send_segments(buckets: int):
                 rows = []
                 if settled:
                     x = np.array(settled, np.int64)
-                    rows.append([-1, x[:, 0].tobytes(), x[:, 1].tobytes(), x[:, 2].tobytes(), x[:, 3].tobytes(), b"", b""])
+                    x = x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))].T.copy()
+                    rows.append([-1, _steps(x[0]), x[1].tobytes(), _planes(x[2]), _planes(x[3]), b"", b""])
                 if left:
                     pieces = [parts[i][b:e] for i, b, e, _ in left]
                     index, at = np.array([x[0] for x in left]), np.array([x[1] for x in left])
@@ -462,7 +484,7 @@ def _send_segments(buckets: int):
                     for j in np.flatnonzero([x[3] for x in left]).tolist():
                         route[j] = int.from_bytes(hashlib.blake2b(pieces[j], digest_size=8).digest(), "little")
                     bucket = (route % np.uint64(buckets)).astype(np.int64)
-                    order = np.argsort(bucket, kind="stable")
+                    order = np.lexsort((first[index] + at, mark[index], doc[index], bucket))
                     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
                     for b in np.flatnonzero(np.diff(cuts)).tolist():
                         own = order[cuts[b] : cuts[b + 1]]
@@ -481,7 +503,8 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return _blocks(rows, names, types)
 
     def settled(row: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row[k], np.int64)) for k in ("ids", "marks", "begins", "sizes")], names)
+        read = (_of_steps, np.frombuffer, _of_planes, _of_planes)
+        return pa.RecordBatch.from_arrays([pa.array(f(row[k], np.int64)) for f, k in zip(read, ("ids", "marks", "begins", "sizes"), strict=True)], names)
 
     held: list[dict] = []
     for batch in batches:
@@ -498,8 +521,9 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _bucket_ranges(rows: list[dict]) -> list[list]:
-    joined = {k: np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in (("ids", np.int64), ("marks", np.int64), ("begins", np.int64), ("sizes", np.int32), ("routes", np.uint64))}
-    raw = b"".join(r["bytes"] for r in rows)
+    read = (("ids", _of_steps, np.int64), ("marks", np.frombuffer, np.int64), ("begins", _of_planes, np.int64), ("sizes", _of_planes, np.int32), ("routes", _of_planes, np.uint64))
+    joined = {k: np.concatenate([f(r[k], t) for r in rows]) for k, f, t in read}
+    raw = b"".join(pa.decompress(r["bytes"], int(_of_planes(r["sizes"], np.int32).sum(dtype=np.int64)), "zstd", asbytes=True) for r in rows)
     ends = np.cumsum(joined["sizes"].astype(np.int64))
     parts = [raw[b:e] for b, e in zip((ends - joined["sizes"]).tolist(), ends.tolist(), strict=True)]
     out: list[list] = []
@@ -558,7 +582,8 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     sent = rows.mapInArrow(_send_runs(buckets), BLOCK_SCHEMA)
     replies = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer(max(1, buckets // REPLY_BUCKETS)), REPLY_SCHEMA)
     lists = replies.repartition("reply").sortWithinPartitions("reply").mapInArrow(_learned, LEARNED_SCHEMA)
-    lists = lists.join(spokesmen.select("doc_id", "mark"), ["doc_id", "mark"], "left_semi")
+    told = spokesmen.select("doc_id", "mark", F.col("mark").bitwiseAND(F.lit(SHORT)).alias("short"))
+    lists = lists.withColumnRenamed("mark", "short").join(told, ["doc_id", "short"]).drop("short")
     compared = texts.join(lists, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).mapInArrow(_send_segments(buckets), SEGMENT_SCHEMA)
     scattered = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.pmod(F.xxhash64("ids", "begins"), F.lit(1 << 20)).cast("int"))
     ranges = compared.repartition(scattered).sortWithinPartitions("bucket").mapInArrow(_sort_buckets, RANGE_SCHEMA)

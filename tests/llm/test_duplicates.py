@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -267,3 +268,35 @@ def test_suffix_array_replies_are_blocks_not_rows_per_text(docs_of, monkeypatch)
     found = replies.repartition("reply").sortWithinPartitions("reply").mapInArrow(suffix_array._learned, suffix_array.LEARNED_SCHEMA).collect()
     assert len(found) == len({(r["doc_id"], r["mark"]) for r in found}) >= 50
     assert all(len(r[k]) % 8 == 0 for r in found for k in ("repeated", "compare", "hot"))
+
+
+def test_suffix_array_blocks_do_not_carry_long_marks_and_ids():
+    """What a block tells of a text takes few bytes once compressed: at size each text is in many blocks."""
+    rng = np.random.default_rng(6)
+    for values in (np.zeros(0, np.int64), np.array([5, -3, suffix_array.NO_ID, -suffix_array.NO_ID - 1, 7]), np.sort(rng.integers(0, 1 << 40, 99)), rng.integers(0, 1 << 32, 50).astype(np.uint32)):
+        assert suffix_array._of_steps(suffix_array._steps(values), values.dtype.type).tolist() == values.tolist()
+        assert suffix_array._of_planes(suffix_array._planes(values), values.dtype.type).tolist() == values.tolist()
+    texts = [("".join(map(chr, rng.integers(97, 123, 60)))).encode() for _ in range(400)]
+    marks = rng.integers(-(1 << 63), 1 << 63, 400)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(400) + 10**9), pa.array(marks), pa.array(texts, pa.binary())], ["doc_id", "mark", "text"])
+    for sent in suffix_array._send_runs(1)(iter([batch])):
+        row = next(r for r in sent.to_pylist() if r["kind"] == suffix_array.ENTRY)
+        assert len(pa.compress(row["ids"] + row["marks"], "lz4", asbytes=True)) < 5 * 400
+
+
+def test_suffix_array_tells_rows_of_one_id_apart(docs_of, monkeypatch):
+    monkeypatch.setattr(suffix_array, "SHORT", 0)  # rows of one id learn together
+    rng = random.Random(9)
+    part = lambda: "".join(rng.choices("abcdefgh ", k=70))
+    shared = [part() for _ in range(4)]
+    rows = [(1, shared[0] + part()), (2, shared[0] + shared[1]), (2, part() + shared[1] + shared[2]), (3, shared[2] + part()), (None, shared[3] + part()), (None, shared[3] + shared[1]), (4, shared[3]), (3, shared[0] + shared[1])]
+    found = suffix_array.without_repeats(docs_of([(*r, "en", "s") for r in rows]))[0].collect()
+    data, windows = [(r[0] if r[0] is not None else 99, r[1]) for r in rows], {}
+    for key, x in data:
+        for p in range(len(x) - 49):
+            windows[x[p : p + 50]] = min(windows.get(x[p : p + 50], 99), key)
+    want = []
+    for key, x in data:
+        gone = {q for p in range(len(x) - 49) if windows[x[p : p + 50]] < key for q in range(p, p + 50)}
+        want.append((key, len(x), len(gone), hashlib.sha256("".join(c for p, c in enumerate(x) if p not in gone).encode()).hexdigest()))
+    assert sorted((99 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in found) == sorted(want)
